@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-REMEMBERED = 250_000  #: pieces, and pre-tokens, that a Python worker remembers
+REMEMBERED = 400_000  #: pieces that a Python worker remembers after their second occurrence
+SEEN_ONCE = 200_000  #: pieces, and pre-tokens, remembered after their first
 
 _coders: dict[bytes, "Coder"] = {}
 
@@ -42,7 +43,8 @@ class Coder:
         self.tokens = {i: t for t, i in ranks.items()}
         self.words = [0] * (max(ranks.values()) // 256 + 1)  # empty between calls
         self.pre: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.spaced: dict[str, tuple[tuple[int, ...], str]] = {}  # seen twice
+        self.once: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -84,11 +86,9 @@ class Coder:
             rank_at[gone] = None
             after[i] = end
             before[end] = i
-            fresh = [(i, get(piece[i : after[end]]) if end < n else None)]
-            if i:
-                left = before[i]
-                fresh.append((left, get(piece[left:end])))
-            for at, r in fresh:
+            at = i
+            r = get(piece[i : after[end]]) if end < n else None
+            while True:  # the pair that the new token begins, then the one that it ends
                 rank_at[at] = r
                 if r is not None:
                     if r in buckets:
@@ -97,6 +97,10 @@ class Coder:
                         buckets[r] = [at]
                         words[r >> 8] |= 1 << (r & 255)
                         summary |= 1 << (r >> 8)
+                if at < i or not i:
+                    break
+                at = before[i]
+                r = get(piece[at:end])
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -111,7 +115,7 @@ class Coder:
             if ids is None:
                 ids = self.merged(m.encode("utf-8", "replace"))
                 if len(m) <= 64:
-                    if len(self.pre) >= REMEMBERED:
+                    if len(self.pre) >= SEEN_ONCE:
                         self.pre.clear()
                     self.pre[m] = ids
             out += ids
@@ -128,15 +132,26 @@ class Coder:
             for i, x in enumerate(out):
                 if x is None:
                     p = pieces[i]
-                    if p not in self.spaced:
-                        if len(self.spaced) >= REMEMBERED:
-                            self.spaced.clear()
-                        self.spaced[p] = self.told(self.plain(" " + p))
-                    out[i] = self.spaced[p]
+                    out[i] = self.spaced.get(p) or self.piece(p)
         elif len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace()):
             return [self.told(self.plain(x)) for x in self.joined(pieces)]
         return out
 
+    def piece(self, p: str) -> tuple[tuple[int, ...], str]:
+        """What parts() tells of one piece, with its space; pieces that occur only once do not push out others."""
+        x = self.once.pop(p, None)
+        if x is not None:
+            if len(self.spaced) >= REMEMBERED:
+                self.spaced.clear()
+            self.spaced[p] = x
+            return x
+        x = self.told(self.plain(" " + p))
+        if len(p) <= 64:
+            if len(self.once) >= SEEN_ONCE:
+                self.once.clear()
+            self.once[p] = x
+        return x
+
     @staticmethod
     def told(ids: tuple[int, ...]) -> tuple[tuple[int, ...], str]:
         return ids, ",".join(map(str, ids))
