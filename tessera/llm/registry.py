@@ -1,10 +1,13 @@
 """The operators' queries and their SQL."""
 
-from . import language, line_dedup, mixing, ngram_join
+from . import bpe, curves, flac, language, line_dedup, mixing, ngram_join
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_line_dedup": line_dedup.query,
+    "op3_byte_bpe": bpe.query,
+    "op5_flac_media": flac.query,
+    "op6_hilbert_neighbours": curves.query,
     "op9_source_mixing": mixing.query,
     "op10_language_id": language.query,
 }
