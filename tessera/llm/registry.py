@@ -1,6 +1,6 @@
 """The operators' queries and their SQL."""
 
-from . import bpe, curves, flac, language, line_dedup, mixing, ngram_join
+from . import bpe, curves, flac, language, licenses, line_dedup, mixing, ngram_join, secrets
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -8,6 +8,8 @@ QUERIES = {
     "op3_byte_bpe": bpe.query,
     "op5_flac_media": flac.query,
     "op6_hilbert_neighbours": curves.query,
+    "op7_secret_scan": secrets.query,
+    "op8_license_scan": licenses.query,
     "op9_source_mixing": mixing.query,
     "op10_language_id": language.query,
 }
