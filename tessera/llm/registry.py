@@ -1,11 +1,12 @@
 """The operators' queries and their SQL."""
 
-from . import bpe, curves, flac, language, licenses, line_dedup, mixing, ngram_join, secrets
+from . import bpe, curves, flac, language, licenses, line_dedup, mixing, ngram_join, secrets, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_line_dedup": line_dedup.query,
     "op3_byte_bpe": bpe.query,
+    "op4_toxicity": toxicity.query,
     "op5_flac_media": flac.query,
     "op6_hilbert_neighbours": curves.query,
     "op7_secret_scan": secrets.query,
