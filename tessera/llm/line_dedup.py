@@ -172,4 +172,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without what repeats an earlier one; one that is wholly repeated goes."""
     out = dedup(docs.drop("removed_lines", "removed_words", "n_lines"))
-    return out.where((F.col("removed_lines") == 0) | (F.length(F.trim(F.col("text"))) > 0)).select(*docs.columns)
+    out = out.where((F.col("removed_lines") == 0) | (F.length(F.trim(F.col("text"))) > 0)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
