@@ -206,8 +206,8 @@ def map_dedup(spark, d):
 
 
 @register("stored_sources", f"""
-, u AS (SELECT "releaseId", url, min(id) AS at, max_by(coalesce(description, ''), id) AS description FROM sources WHERE description IS DISTINCT FROM '{COVER_ROLE}' GROUP BY 1, 2)
-SELECT "releaseId", string_agg(url || '=' || description, ',' ORDER BY at) AS stored FROM u GROUP BY 1""", T.SQL)
+, u AS (SELECT "releaseId", url, min(id) AS pos, max_by(coalesce(description, ''), id) AS description FROM sources WHERE description IS DISTINCT FROM '{COVER_ROLE}' GROUP BY 1, 2)
+SELECT "releaseId", string_agg(url || '=' || description, ',' ORDER BY pos) AS stored FROM u GROUP BY 1""", T.SQL)
 def stored_sources(spark, d):
     own = T.sources(spark, d).where(~F.col("description").eqNullSafe(F.lit(COVER_ROLE))).groupBy("releaseId").agg(F.array_sort(F.collect_list(F.struct("id", "url", F.coalesce("description", F.lit("")).alias("sourceType")))).alias("s"))
     given = F.transform("s", lambda s: F.struct(s["url"].alias("title"), s["url"].alias("url"), s["sourceType"].alias("sourceType")))
