@@ -1,5 +1,6 @@
 """What several corpus operators share: cutting lineage, components of a graph, Arrow helpers."""
 
+import gc
 import tempfile
 import uuid
 
@@ -11,6 +12,18 @@ from pyspark.sql import functions as F
 _own_dir: list[str] = []
 
 
+_state: dict = {}
+
+
+def kept(operator: str, key, build=None):
+    """What an operator keeps in a Python worker between tasks. Workers serve one operator after another, so it takes the place of what another kept."""
+    if operator not in _state or _state[operator][0] != key:
+        _state.clear()
+        gc.collect()
+        _state[operator] = (key, build() if build else None)
+    return _state[operator][1]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only where that is unset (tests on one machine) a folder of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -38,7 +51,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join has a shuffle of its own and a hub's neighbours can be split
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))

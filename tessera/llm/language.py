@@ -20,14 +20,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE_DOCS = 400  #: training documents of each language, those of least text hash
+SAMPLE_DOCS = 400  #: different training texts of each language, those of least hash
 SAMPLE_SYMBOLS = 1 << 16  #: symbols of normalised training text of each language
 MAX_LANGS = 64  #: languages learned, those with most labelled rows first
 SEGMENT = 512  #: symbols parsed in a run; a phrase ends where a segment ends, alike for every language
 ODD = 0.62  #: phrases per symbol from which a text counts as in none of the languages
 
 _letters: list[np.ndarray] = []
-_models: dict[str, tuple] = {}
 
 
 def _lower() -> np.ndarray:
@@ -88,16 +87,13 @@ def automaton(seq: list[int], size: int) -> np.ndarray:
 
 
 def _load(model: str) -> tuple:
-    """Languages, code point to symbol, and for each language its automaton and bits per phrase; built once in each Python worker."""
-    if model not in _models:
-        _models.clear()
-        texts = json.loads(model)
-        codes = {lang: symbols([t])[0][:SAMPLE_SYMBOLS] for lang, t in texts.items()}
-        known = np.unique(np.concatenate([*codes.values(), np.zeros(1, np.uint32)]))[:255]
-        to = np.full(0x110000, min(len(known), 255), np.uint8)  # the last symbol: letters not seen, in no transition
-        to[known] = np.arange(len(known))
-        _models[model] = (list(texts), to, [(automaton(to[c].tolist(), len(known) + 1), math.log2(max(2, len(c)))) for c in codes.values()])
-    return _models[model]
+    """Languages, code point to symbol, and for each language its automaton and bits per phrase."""
+    texts = json.loads(model)
+    codes = {lang: symbols([t])[0][:SAMPLE_SYMBOLS] for lang, t in texts.items()}
+    known = np.unique(np.concatenate([*codes.values(), np.zeros(1, np.uint32)]))[:255]
+    to = np.full(0x110000, min(len(known), 255), np.uint8)  # the last symbol: letters not seen, in no transition
+    to[known] = np.arange(len(known))
+    return list(texts), to, [(automaton(to[c].tolist(), len(known) + 1), math.log2(max(2, len(c)))) for c in codes.values()]
 
 
 def phrases(seq: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -127,10 +123,13 @@ def phrases(seq: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarr
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> str:
     """The model: a bounded sample of the text of each language (SAMPLE_DOCS, SAMPLE_SYMBOLS, MAX_LANGS), by least text hash."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    kept = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    kept = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang", "texts")
+    # the least hashes are among those below a share that holds some three times as many texts; copies of a text meet before they move
+    below = F.pmod("h", F.lit(1 << 30)) * F.col("texts") < F.lit(float((3 * SAMPLE_DOCS + 64) << 30))
     # a document counts with its first SAMPLE_SYMBOLS characters at most, so that the sample's size is bounded
-    rows = rows.join(F.broadcast(kept), "lang").select("lang", F.substring("text", 1, SAMPLE_SYMBOLS).alias("text"), F.xxhash64("text").alias("h"))
-    best = Window.partitionBy("lang").orderBy("h", "text")
+    rows = rows.join(F.broadcast(kept), "lang").where(below).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_SYMBOLS)).alias("text"))
+    best = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
     least = rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= SAMPLE_DOCS)
     so_far = F.sum(F.length("text")).over(best.rowsBetween(Window.unboundedPreceding, -1))
     least = least.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < SAMPLE_SYMBOLS)
@@ -145,7 +144,7 @@ def predict(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        langs, to, tables = _load(sent.value)
+        langs, to, tables = common.kept("language", sent.value, lambda: _load(sent.value))
         for batch in batches:
             column = batch.column(len(batch.schema) - 1)
             chars = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
