@@ -107,7 +107,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """(doc, text_hash, lines): positions of the lines to delete, for documents that lose any."""
     lines = common.cut(lines_of(docs, id_col, text).groupBy("h1", "h2", "doc", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("at"), F.first("words").alias("words")))
     owners = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("o"), F.max("doc").alias("latest"), F.count("*").alias("holders"))
-    owners = owners.where("o.doc < latest").select("h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs"), "holders")
+    # written, so that the join below has a shuffle of its own and a line with very many holders can be split
+    owners = common.cut(owners.where("o.doc < latest").select("h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs"), "holders"))
     shared = lines.join(owners, ["h1", "h2"]).where("doc > owner").select("doc", "text_hash", "h1", F.explode("at").alias("pos"), "words", "holders", "owner", "theirs")
 
     def run(batches):
@@ -144,6 +145,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches):
+        common.kept("lines", None)
         for batch in batches:
             texts, spans = batch.column(batch.schema.get_field_index("__text")).to_pylist(), batch.column(batch.schema.get_field_index("__gone")).to_pylist()
             kept, counts, words, all_lines = [], [], [], []
