@@ -108,15 +108,14 @@ def phrases(seq: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarr
     start, size, owner = start[order], size[order], owner[order]
     width = table.shape[1]
     flat, root = table.ravel(), table[0]
-    state, count = np.zeros(len(start), np.int64), np.ones(len(start), np.int64)
+    state, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
     active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
     for t, n in enumerate(active.tolist()):
         c = seq[start[:n] + t]
         to = flat[state[:n] * width + c]
-        ends = to == 0
-        if t:
-            count[:n] += ends
-        state[:n] = np.where(ends, root[c], to)
+        fails = to == 0
+        count[:n] += fails | (state[:n] == 0)  # a phrase begins; a symbol that is in no phrase is one by itself
+        state[:n] = np.where(fails, root[c], to)
     return np.bincount(owner, count, len(lengths)).astype(np.int64)
 
 
@@ -139,8 +138,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> str:
     return json.dumps({k: " ".join(v) for k, v in sample.items()})
 
 
-def predict(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns `also`, lang_pred, score (share of the winner's inverse cost), bits (cost per symbol) and rate (phrases per symbol)."""
+def predict(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text", also: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
+    """id_col, the columns `also`, the text too if keep, lang_pred, score (share of the winner's inverse cost), bits (cost per symbol) and rate (phrases per symbol)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -162,11 +161,12 @@ def predict(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "te
                 score = np.where(none, 0.0, (1 / np.maximum(bits, 1e-9)).max(0) / (1 / np.maximum(bits, 1e-9)).sum(0)) if langs else cost
                 rate = np.where(none, 0.0, found[best, at] / np.maximum(n, 1)) if langs else cost
                 pred = ["und" if x else langs[b] for x, b in zip(none.tolist(), best.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred, pa.string()), pa.array(score), pa.array(cost), pa.array(rate)], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names) - 4], pa.array(pred, pa.string()), pa.array(score), pa.array(cost), pa.array(rate)], names=names)
 
     rows = docs.select(id_col, *also, text)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    names = [*rows.columns[:-1], "lang_pred", "score", "bits", "rate"]
+    passed = rows.schema.fields[: None if keep else -1]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in passed]
+    names = [*(f.name for f in passed), "lang_pred", "score", "bits", "rate"]
     return rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string, score double, bits double, rate double"]))
 
 
@@ -183,6 +183,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the learned languages; those without a letter, or that no language explains, go."""
-    docs = docs.withColumn("__text", F.col("text"))
-    found = predict(docs.select(*[c for c in docs.columns if c != "__text"], "__text"), fit(docs.where(~held_out())), "doc_id", "__text", tuple(c for c in docs.columns if c not in ("doc_id", "__text")))
-    return found.where((F.col("lang_pred") != "und") & (F.col("rate") < ODD)).select(*[c for c in docs.columns if c != "__text"])
+    rest = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("__rest")  # apart, as its names may be any
+    found = predict(docs.select("doc_id", rest, "text"), fit(docs.where(~held_out())), also=("__rest",), keep=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("rate") < ODD)).select("doc_id", "text", "__rest.*").select(*docs.columns)

@@ -101,8 +101,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, rounded: 0, 1 or 2 rows."""
     names = docs.columns
-    numbered = docs.withColumn("__row", F.struct(*names))
-    taken = mix(docs.select(F.struct("doc_id", F.xxhash64(*[F.col(c) for c in names])).alias("k"), "source", "text"), "k")
-    times = taken.groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken")).select(F.col("doc_id").alias("k"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("times"))
-    keyed = numbered.withColumn("k", F.struct("doc_id", F.xxhash64(*[F.col(c) for c in names])))
-    return keyed.join(times, keyed["k"].eqNullSafe(times["k"])).where("times > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*names)
+    key = F.struct("doc_id", F.xxhash64(*[F.col(c) for c in names]).alias("h"))
+    taken = mix(docs.select(key.alias("k"), "source", "text"), "k")
+    total = taken.groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    times = total.select(F.col("doc_id").alias("__k"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("__times"))
+    rows = docs.withColumn("__own", key).join(times, F.col("__own").eqNullSafe(F.col("__k"))).where("__times > 0")
+    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)

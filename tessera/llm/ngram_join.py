@@ -132,6 +132,7 @@ def least_matches() -> list[tuple[int, int]]:
 def signed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(doc, body, k1, k2, n, bands): body is the text's hash; class key, number of shingles, band keys; n = 0 and no bands for texts without a word."""
     def run(batches):
+        common.kept("ngram", None)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in common.by_bytes(np.array([len(t or "") for t in texts]), 4_000_000):
@@ -157,8 +158,8 @@ def signed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("body")).mapInArrow(run, "doc long, body long, k1 long, k2 long, n long, bands array<long>")
 
 
-def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each set: the copies it is linked to, and the index of the least set that links lead to. side: pairs within one side count only if there is but one."""
+def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each set: the copies it is linked to, and the index of the least set that links lead to. side: only pairs of two sides count, unless it is None."""
     n, bounds = len(sets), least_matches()
     values = minhashes(sets)
     sizes = np.array([len(s) for s in sets])
@@ -172,10 +173,9 @@ def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray) -> tupl
             x = root[x]
         return x
 
-    two = bool(side.any())
     for a in range(n - 1):
         others = np.arange(a + 1, n)
-        if two:
+        if side is not None:
             others = others[side[others] != side[a]]
         # a pair whose sizes alone rule the threshold out can have no link
         others = others[np.minimum(sizes[others], sizes[a]) >= THRESHOLD * np.maximum(sizes[others], sizes[a])]
@@ -232,7 +232,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
             if len(sets) < 2:
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["rep", "links", "to"])
             off = rows[0][1] != rows[0][2]
-            links, to = linked(sets, np.array([r[7] for r in rows]), np.array([off and r[3] for r in rows]))
+            links, to = linked(sets, np.array([r[7] for r in rows]), np.array([r[3] for r in rows]) if off else None)
             reps_here = np.array([r[4] for r in rows])
             hit = links > 0
             return pa.RecordBatch.from_arrays([pa.array(reps_here[hit]), pa.array(links[hit]), pa.array(reps_here[to[hit]])], names=["rep", "links", "to"])
@@ -263,10 +263,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of least id, and once if its row repeats."""
-    found = join(docs.select("doc_id", "text"))
-    gone = found.where("n_links > 0 and doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.where("n_links > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])).alias("__rest"))
-    twice = twice.select("doc_id", "text", "__rest.*").select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
+    found = common.cut(join(docs.select("doc_id", "text")).where("n_links > 0"))
+    kept = docs.join(found.where("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    again = common.cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():  # no id has two rows
+        return kept
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("__rest")) if rest else kept.join(again, "doc_id", "left_semi").distinct()
+    once = once.select("doc_id", "text", "__rest.*").select(*docs.columns) if rest else once.select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

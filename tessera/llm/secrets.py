@@ -95,7 +95,8 @@ def tested(token: Column) -> Column:
         n, a, code = m["n"], m["a"], m["code"]
         pairs = F.zip_with(F.slice(code, 1, (n - 1).cast("int")), F.slice(code, 2, (n - 1).cast("int")), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
         add = lambda arr, f: F.aggregate(arr, F.lit(0.0), lambda s, x: s + f(x))
-        chi = (add(m["count"], lambda c: (c - n / a) * (c - n / a)) * a / n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
+        far_off = 2 / (9 * (a - 1))  # the cube root of chi-squared is nearly normal (Wilson and Hilferty)
+        chi = (F.cbrt(add(m["count"], lambda c: (c - n / a) * (c - n / a)) * a / n / (a - 1)) - 1 + far_off) / F.sqrt(far_off)
         runs = (add(pairs, lambda p: ((p["x"] < a / 2) != (p["y"] < a / 2)).cast("double")) - (n - 1) / 2) / F.sqrt((n - 1) / 4)
         serial = add(pairs, lambda p: (p["x"] - (a - 1) / 2) * (p["y"] - (a - 1) / 2)) * 12 / (a * a - 1) / F.sqrt(n - 1)
         p_uniform = F.least(F.lit(1.0), 3 * F.least(tail(F.greatest(chi, F.lit(0.0))), 2 * tail(F.abs(runs)), 2 * tail(F.abs(serial))))
