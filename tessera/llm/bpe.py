@@ -16,7 +16,6 @@ are ignored; an empty table gives an empty result. Ids outside the vocabulary ma
 import base64
 import hashlib
 from heapq import heappop, heappush
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -25,26 +24,51 @@ from pyspark.sql import functions as F
 
 from . import common
 
-REMEMBERED = 400_000  #: pieces that a Python worker remembers after their second occurrence
-SEEN_ONCE = 200_000  #: pieces, and pre-tokens, remembered after their first
-
-_coders: dict[bytes, "Coder"] = {}
+#: What a Python worker remembers, some 350 MB at most: entries used twice, and entries used once; for pieces and for pre-tokens.
+PIECES, PRE_TOKENS = (900_000, 400_000), (300_000, 250_000)
 
+#: Lower ranks have higher bits, so that the length of a word of the bitmap tells its first set rank.
+BIT = [1 << 255 - i for i in range(256)]
 
 def ranks_of(file: bytes) -> dict[bytes, int]:
     """Token bytes to rank, from the lines of a rank file."""
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
 
 
+class Memory:
+    """A bounded map of two ages: what is asked for again moves to the lasting part, so that single entries do not push it out."""
+
+    def __init__(self, bounds: tuple[int, int]):
+        self.bounds = bounds
+        self.lasting: dict = {}
+        self.fresh: dict = {}
+
+    def get(self, key):
+        x = self.lasting.get(key)
+        if x is None and (x := self.fresh.pop(key, None)) is not None:
+            if len(self.lasting) >= self.bounds[0]:
+                self.lasting.clear()
+            self.lasting[key] = x
+        return x
+
+    def put(self, key, value) -> None:
+        if len(self.fresh) >= self.bounds[1]:
+            self.fresh.clear()
+        self.fresh[key] = value
+
+
 class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.tokens = {i: t for t, i in ranks.items()}
-        self.words = [0] * (max(ranks.values()) // 256 + 1)  # empty between calls
-        self.pre: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, tuple[tuple[int, ...], str]] = {}  # seen twice
-        self.once: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.told = {str(i): t for t, i in ranks.items()}
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        self.words = [0] * (max(ranks.values()) // 256 + 1)  # empty between calls; at most 256 words under one summary
+        if len(self.words) > 256:
+            raise ValueError("ranks beyond 65535")
+        self.pre = Memory(PRE_TOKENS)
+        self.pieces = Memory(PIECES)
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -52,33 +76,42 @@ class Coder:
         whole = ranks.get(piece)
         if whole is not None:
             return (whole,)
-        n, words, get = len(piece), self.words, ranks.get
+        n, words, get, bit = len(piece), self.words, ranks.get, BIT
+        token = [self.bytes[b] for b in piece]
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        rank_at: list[int | None] = [None] * (n + 1)
-        buckets: dict[int, list[int]] = {}
+        rank_at = [get(piece[i : i + 2]) for i in range(n - 1)]
+        rank_at += (None, None)
+        buckets: dict[int, int | list[int]] = {}  # a position, or a heap of some
         summary = 0
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                rank_at[i] = r
-                if r in buckets:
-                    buckets[r].append(i)
-                else:
-                    buckets[r] = [i]
-                    words[r >> 8] |= 1 << (r & 255)
-                    summary |= 1 << (r >> 8)
+        for i, r in enumerate(rank_at):
+            if r is None:
+                continue
+            held = buckets.get(r)
+            if held is None:
+                buckets[r] = i
+                w = r >> 8
+                words[w] |= bit[r & 255]
+                summary |= bit[w]
+            elif type(held) is int:
+                buckets[r] = [held, i]
+            else:
+                held.append(i)
         while summary:
-            w = (summary & -summary).bit_length() - 1
+            w = 255 - (summary.bit_length() - 1)
             bits = words[w]
-            r = w << 8 | (bits & -bits).bit_length() - 1
-            bucket = buckets[r]
-            i = heappop(bucket)
-            if not bucket:
+            r = (w << 8) + 256 - bits.bit_length()
+            held = buckets[r]
+            if type(held) is list:
+                i = heappop(held)
+                if not held:
+                    held = None
+            else:
+                i, held = held, None
+            if held is None:
                 del buckets[r]
-                bits &= bits - 1
-                words[w] = bits
+                words[w] = bits = bits ^ bit[r & 255]
                 if not bits:
-                    summary &= summary - 1
+                    summary ^= bit[w]
             if rank_at[i] != r:
                 continue
             gone = after[i]
@@ -86,76 +119,70 @@ class Coder:
             rank_at[gone] = None
             after[i] = end
             before[end] = i
+            token[i] = r
             at = i
             r = get(piece[i : after[end]]) if end < n else None
             while True:  # the pair that the new token begins, then the one that it ends
                 rank_at[at] = r
                 if r is not None:
-                    if r in buckets:
-                        heappush(buckets[r], at)
+                    held = buckets.get(r)
+                    if held is None:
+                        buckets[r] = at
+                        w = r >> 8
+                        words[w] |= bit[r & 255]
+                        summary |= bit[w]
+                    elif type(held) is int:
+                        buckets[r] = [held, at] if held < at else [at, held]
                     else:
-                        buckets[r] = [at]
-                        words[r >> 8] |= 1 << (r & 255)
-                        summary |= 1 << (r >> 8)
+                        heappush(held, at)
                 if at < i or not i:
                     break
                 at = before[i]
                 r = get(piece[at:end])
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(token[i])
             i = after[i]
         return tuple(out)
 
-    def plain(self, text: str) -> tuple[int, ...]:
-        """Ids of text, match by match of the pattern."""
-        out: list[int] = []
+    def plain(self, text: str) -> str:
+        """Ids of text, match by match of the pattern, as decimals joined by commas."""
+        out = []
         for m in self.split(text):
             ids = self.pre.get(m)
             if ids is None:
-                ids = self.merged(m.encode("utf-8", "replace"))
+                ids = ",".join(map(str, self.merged(m.encode("utf-8", "replace"))))
                 if len(m) <= 64:
-                    if len(self.pre) >= SEEN_ONCE:
-                        self.pre.clear()
-                    self.pre[m] = ids
-            out += ids
-        return tuple(out)
-
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids, and their decimals joined by commas, of consecutive pieces of text."""
+                    self.pre.put(m, ids)
+            out.append(ids)
+        return ",".join(out)
+
+    def decimals(self, text: str) -> str:
+        """Ids of text as decimals joined by commas, piece by piece from memory."""
+        if not text:
+            return ""
         pieces = text.split(" ")
-        out = list(map(self.spaced.get, pieces))
-        out[0] = self.told(self.plain(pieces[0]))
+        out = list(map(self.pieces.lasting.get, pieces))
+        out[0] = self.plain(pieces[0])
+        if not pieces[0] or pieces[0][-1].isspace() and len(pieces) > 1:
+            return ",".join([self.plain(x) for x in self.joined(pieces)])
         if None in out:
-            if any(not p or p[0].isspace() or p[-1].isspace() for p, x in zip(pieces, out, strict=True) if x is None) or not pieces[0] or pieces[0][-1].isspace():
-                return [self.told(self.plain(x)) for x in self.joined(pieces)]
+            if any(not p or p[0].isspace() or p[-1].isspace() for p, x in zip(pieces, out, strict=True) if x is None):
+                return ",".join([self.plain(x) for x in self.joined(pieces)])
             for i, x in enumerate(out):
                 if x is None:
-                    p = pieces[i]
-                    out[i] = self.spaced.get(p) or self.piece(p)
-        elif len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace()):
-            return [self.told(self.plain(x)) for x in self.joined(pieces)]
-        return out
-
-    def piece(self, p: str) -> tuple[tuple[int, ...], str]:
-        """What parts() tells of one piece, with its space; pieces that occur only once do not push out others."""
-        x = self.once.pop(p, None)
-        if x is not None:
-            if len(self.spaced) >= REMEMBERED:
-                self.spaced.clear()
-            self.spaced[p] = x
-            return x
-        x = self.told(self.plain(" " + p))
-        if len(p) <= 64:
-            if len(self.once) >= SEEN_ONCE:
-                self.once.clear()
-            self.once[p] = x
+                    out[i] = self.piece(pieces[i])
+        return ",".join(out)
+
+    def piece(self, p: str) -> str:
+        """Ids of a piece with the space before it."""
+        x = self.pieces.get(p)
+        if x is None:
+            x = self.plain(" " + p)
+            if len(p) <= 64:
+                self.pieces.put(p, x)
         return x
 
-    @staticmethod
-    def told(ids: tuple[int, ...]) -> tuple[tuple[int, ...], str]:
-        return ids, ",".join(map(str, ids))
-
     @staticmethod
     def joined(pieces: list[str]) -> list[str]:
         """The text again, cut only at spaces between two characters that are not white space."""
@@ -168,7 +195,7 @@ class Coder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.parts(text)))
+        return list(map(int, self.decimals(text).split(","))) if text else []
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -176,10 +203,7 @@ class Coder:
 
 def coder(file: bytes, pattern: str) -> Coder:
     """The coder of a rank file; one in each Python worker."""
-    if file not in _coders:
-        _coders.clear()
-        _coders[file] = Coder(ranks_of(file), pattern)
-    return _coders[file]
+    return common.kept("bpe", (file, pattern), lambda: Coder(ranks_of(file), pattern))
 
 
 def _sent(spark, path: str):
@@ -225,11 +249,11 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []
             for t in common.texts_of(batch.column(1)):
-                parts = own.parts(t)
-                ids = list(chain.from_iterable([x[0] for x in parts]))
+                decimals = own.decimals(t)
+                ids = decimals.split(",") if decimals else []
                 counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join([x[1] for x in parts if x[1]]).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                of_ids.append(hashlib.sha256(decimals.encode()).hexdigest())
+                of_bytes.append(hashlib.sha256(b"".join(map(own.told.__getitem__, ids))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
