@@ -27,5 +27,6 @@ def export(rows: DataFrame, filters: Filters | None = None) -> DataFrame:
     return export_rows(ordered(filtered(rows, filters) if filters else rows))
 
 
-def file_name(artist: str, day: datetime.date) -> str:
-    return f"CD-BOX_{re.sub(r'[' + re.escape(chr(92)) + r'/:*?\"<>|]', '_', artist)}_{day:%Y%m%d}.xlsx"
+def file_name(prefix: str, artist: str, day: datetime.date) -> str:
+    """prefix_artist_yyyymmdd.xlsx; characters that file systems refuse become underscores."""
+    return f"{prefix}_{re.sub(r'[/:*?\"<>|' + re.escape(chr(92)) + ']', '_', artist)}_{day:%Y%m%d}.xlsx"

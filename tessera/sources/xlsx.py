@@ -113,11 +113,11 @@ def workbook(sheets: dict[str, tuple[list[str], list[list[object]]]]) -> bytes:
     return out.getvalue()
 
 
-def write(rows: DataFrame, key: str) -> DataFrame:
+def write(rows: DataFrame, key: str, sheet: str = "Library") -> DataFrame:
     """(key, content): one workbook for each value of key, such as an artist. A workbook holds what one library holds, and is made in one task."""
     names = [c for c in rows.columns if c != key]
 
     def one(k, pdf):
-        return pd.DataFrame([(k[0], workbook({"CD-BOX": (names, pdf[names].astype(object).where(pdf[names].notna(), "").values.tolist())}))], columns=[key, "content"])
+        return pd.DataFrame([(k[0], workbook({sheet: (names, pdf[names].astype(object).where(pdf[names].notna(), "").values.tolist())}))], columns=[key, "content"])
 
     return rows.groupBy(key).applyInPandas(one, f"`{key}` {rows.schema[key].dataType.simpleString()}, content binary")

@@ -61,7 +61,7 @@ def test_export(spark):
     a, b = export.export(rows).orderBy(F.desc("来源 URL")).collect()
     assert (a["收藏状态"], a["原版品番"], a["来源 URL"], a["封面来源 URL"]) == ("OWNED", "KIDS-111", "https://a\nhttps://b", "https://c") if a["收藏状态"] == "OWNED" else True
     assert {r["收藏状态"] for r in (a, b)} == {"OWNED", "NOT_OWNED"}
-    assert export.file_name('a/b:"c"', datetime.date(2024, 5, 6)) == "CD-BOX_a_b__c__20240506.xlsx"
+    assert export.file_name("Shelf", 'a/b:"c"\\', datetime.date(2024, 5, 6)) == "Shelf_a_b__c___20240506.xlsx"
 
 
 CANDIDATE = """taskId string, id string, position int, title string, category string, artistCredit string, format string, releaseDate string, originalReleaseDate string, catalogNumber string, label string,
@@ -142,13 +142,13 @@ def test_resolution(spark):
     names = "taskId string, id string, title string, titleOriginal string, releaseDate string, originalReleaseDate string, coverImageUrl string, coverImageSourceUrl string"
     cand = spark.createDataFrame([("t", str(i), f"Album {i}", None, "1990-01-01", None, "mine" if i == 2 else None, None) for i in range(1, 4)] + [("w", "1", "Album 1", "ALBUM-1", "1990", None, None, None), ("w", "2", "album 1", None, "1990", None, None, None)], names)
     art, page = "http://is1.mzstatic.com/100x100bb.jpg", "http://music.apple.com/x"
-    albums = resolve.valid_albums(spark.createDataFrame([(i, 7, "中山美穂", f"Ａlbum {i}", "1990-05-05", art, page) for i in range(1, 4)] + [(9, 8, "B", "Album 3", "1990", art, page), (0, 7, "x", "Album 1", "1990", art, page), (5, 7, " ", "Album 1", "1990", art, page)], ALBUM))
+    albums = resolve.valid_albums(spark.createDataFrame([(i, 7, "山田花子", f"Ａlbum {i}", "1990-05-05", art, page) for i in range(1, 4)] + [(9, 8, "B", "Album 3", "1990", art, page), (0, 7, "x", "Album 1", "1990", art, page), (5, 7, " ", "Album 1", "1990", art, page)], ALBUM))
     assert albums.count() == 4
     assert [tuple(r) for r in resolve.dominant_artist(cand, albums).collect()] == [("t", 7, 2)]  # w's two candidates meet one album
-    rows, artists = resolve.enrich(cand, spark.createDataFrame([("t", "Miho", None, "Miho N"), ("w", "Miho", None, "")], "taskId string, name string, nameRomaji string, query string"), albums)
+    rows, artists = resolve.enrich(cand, spark.createDataFrame([("t", "Hanako", None, "Hanako N"), ("w", "Hanako", None, "")], "taskId string, name string, nameRomaji string, query string"), albums)
     got = {(r.taskId, r.id): r.coverImageUrl for r in rows.collect()}
     assert got[("t", "1")] == "https://is1.mzstatic.com/600x600bb.jpg" and got[("t", "2")] == "mine" and got[("w", "1")] is None
-    assert {r.taskId: (r.name, r.nameRomaji) for r in artists.collect()} == {"t": ("中山美穂", "Miho N"), "w": ("Miho", None)}
+    assert {r.taskId: (r.name, r.nameRomaji) for r in artists.collect()} == {"t": ("山田花子", "Hanako N"), "w": ("Hanako", None)}
     assert resolve.enrich(cand, artists, albums.where("false"))[0].where("coverImageUrl is not null").count() == 1
 
 
@@ -206,8 +206,8 @@ def test_patch_and_sources(spark):
 
 
 def test_follow(spark):
-    artists = spark.createDataFrame([("1", "Miho", 2), ("2", "MIHO", 1)], "id string, name string, createdAt int")
-    out = mutations.follow_artists(artists, spark.createDataFrame([], "userId string, artistId string"), spark.createDataFrame([(" miho ",), ("New",), ("new",), (" ",)], "name string"), "u")
+    artists = spark.createDataFrame([("1", "Hanako", 2), ("2", "HANAKO", 1)], "id string, name string, createdAt int")
+    out = mutations.follow_artists(artists, spark.createDataFrame([], "userId string, artistId string"), spark.createDataFrame([(" hanako ",), ("New",), ("new",), (" ",)], "name string"), "u")
     assert out["artists"].count() == 3 and {r.artistId for r in out["follows"].collect()} == {"2", "artist:New"}
 
 
@@ -244,3 +244,13 @@ def test_stream(spark, sf):
         assert spark.table("spans").where("n >= 2").count() == spark.table("spans").count() > 0
     finally:
         q.stop()
+
+
+def test_workbooks_round_trip(spark, tmp_path):
+    rows = export.export_rows(spark.createDataFrame([release("r", notes="a<b>&\x01"), release("s", artistId="b", status=None)], LIBRARY), keep=("artistId",))
+    for r in xlsx.write(rows, "artistId").collect():
+        (tmp_path / f"{r.artistId}.xlsx").write_bytes(r.content)
+    back = xlsx.read(spark, f"file://{tmp_path}/*.xlsx").collect()
+    assert sorted((r.fileName, r.sheetName, r.rowNumber) for r in back) == [("a.xlsx", "Library", 2), ("b.xlsx", "Library", 2)]
+    cells = {c.header: c.text for c in next(r for r in back if r.fileName == "a.xlsx").cells}
+    assert cells["收藏状态"] == "OWNED" and cells["备注"] == "a<b>&" and list(cells) == list(export.TITLES)
