@@ -114,5 +114,48 @@ def patch_rules() -> dict[str, object]:
     }
 
 
+def request_rules() -> dict[str, object]:
+    """Rules of a research request: artistName, country, target and three flags."""
+    short = lambda c, n: F.length(trimmed(F.col(c))).between(1, n)
+    flags = ("excludeReissues", "includeCollaborations", "includeLiveRemixBest")
+    return {"artistName is required.": short("artistName", 160), "country is required.": short("country", 80), "Invalid target.": F.col("target").isin("ORIGINAL_CD", "ALL_CD", "ALL_PHYSICAL")} | {f"{f} is required.": F.col(f).isNotNull() for f in flags}
+
+
+def edit_rules() -> dict[str, object]:
+    """Rules of a candidate's edit."""
+    from ..functions.values import CANDIDATE_CATEGORIES
+
+    c = F.col
+    within = lambda name, n: c(name).isNull() | (F.length(trimmed(c(name))) <= n)
+    texts = {"format": 80, "catalogNumber": 120, "label": 200, "notes": 4000}
+    date, cover = c("originalReleaseDate"), c("coverImageUrl")
+    return {
+        "title must have 1 to 300 characters.": F.length(trimmed(c("title"))).between(1, 300),
+        "artistCredit must have 1 to 300 characters.": F.length(trimmed(c("artistCredit"))).between(1, 300),
+        "Invalid category.": c("category").isin(*CANDIDATE_CATEGORIES),
+        "Date must be a real calendar date in YYYY-MM-DD format.": date.isNull() | strict_date(trimmed(date)).isNotNull(),
+        "URL must use HTTP or HTTPS.": cover.isNull() | http_or_null(cover).isNotNull(),
+    } | {f"{n} is too long.": within(n, most) for n, most in texts.items()}
+
+
+def import_input_rules() -> dict[str, object]:
+    """Rules of a candidate import: artistMode, artistId, artistName, selected, excluded, pending and edited ids (arrays)."""
+    from .selection import has_repeats
+    from .selection import within as inside
+
+    c = F.col
+    few = F.lit(True)
+    for n in ("selected", "excluded", "pending"):
+        few &= F.size(n) <= 1000
+    return {
+        "artistId is required.": (c("artistMode") != "existing") | text_or_null(c("artistId")).isNotNull(),
+        "artistName is required.": (c("artistMode") != "create") | text_or_null(c("artistName")).isNotNull(),
+        "Invalid artistMode.": c("artistMode").isin("create", "existing"),
+        "Too many ids.": few,
+        "Candidate IDs must be unique.": ~has_repeats(c("selected")),
+        "Only selected candidates may be changed.": inside(c("edited"), c("selected")),
+    }
+
+
 def status_rules() -> dict[str, object]:
     return {"Invalid collection status.": canonical_status(F.col("status")).isNotNull(), "priority must be an integer from 1 to 5.": F.col("priority").try_cast("double").isin(1.0, 2.0, 3.0, 4.0, 5.0)}

@@ -254,3 +254,33 @@ def test_workbooks_round_trip(spark, tmp_path):
     assert sorted((r.fileName, r.sheetName, r.rowNumber) for r in back) == [("a.xlsx", "Library", 2), ("b.xlsx", "Library", 2)]
     cells = {c.header: c.text for c in next(r for r in back if r.fileName == "a.xlsx").cells}
     assert cells["收藏状态"] == "OWNED" and cells["备注"] == "a<b>&" and list(cells) == list(export.TITLES)
+
+
+def test_structuring(spark):
+    from tessera.operators import structuring
+
+    row = '{"title":"Album","format":"CD","catalogNumber":"K-1","label":"L","releaseDate":"1985-09-05","coverImageUrl":"https://c.example/x.jpg","sources":[{"url":"https://made.up/x"}]}'
+    other = '{"title":"Best","category":"BEST","format":"LP","catalogNumber":"K-2","label":"L","releaseDate":"1985-09-05","notes":"reissue","isReissue":"?"}'
+    text = "Result: ```json\n{\"releases\":[" + row + "," + other + "]}\n```"
+    fields = "taskId string, text string, sourceText string, artistName string, country string, target string, excludeReissues boolean, sourceUrl string, defaultCoverSourceUrl string"
+    rows = [("a", text, "from https://shop.example/p.", "A", "JP", "ORIGINAL_CD", True, None, None), ("b", text, "no address here", "A", "JP", "ALL_CD", False, None, "https://c.example/x.jpg"), ("c", '{"releases":[{"format":"CD"}]}', "", "A", "JP", "ALL_CD", False, None, None), ("d", None, None, "A", "JP", "ALL_CD", False, None, None)]
+    good, errors = structuring.structure(spark.createDataFrame(rows, fields))
+    got = {(r.taskId, r.id): r for r in good.collect()}
+    assert {r.taskId for r in errors.collect()} == {"c", "d"} and len(got) == 4
+    first, second, bare = got["a", "candidate-1"], got["a", "candidate-2"], got["b", "candidate-1"]
+    assert (first.confidence, [s.url for s in first.sources], first.coverImageUrl, first.artistCredit) == ("HIGH", ["https://shop.example/p"], None, "A")
+    assert (second.category, second.isReissue, second.isExcludedByDefault, second.confidence) == ("BEST", True, True, "MEDIUM")
+    assert (bare.confidence, bare.sources, bare.coverImageUrl, bare.coverImageSourceUrl) == ("LOW", [], "https://c.example/x.jpg", "https://c.example/x.jpg")
+    assert any("no explicit source url" in w for w in bare.warnings)
+
+
+def test_rules(spark):
+    faults = lambda df, rules: [r.faults for r in mutations.validated(df, rules)[1].collect()]
+    req = spark.createDataFrame([("A", "JP", "ALL_CD", True, True, True), (" ", "JP", "x", True, None, True)], "artistName string, country string, target string, excludeReissues boolean, includeCollaborations boolean, includeLiveRemixBest boolean")
+    assert faults(req, mutations.request_rules()) == [["artistName is required.", "Invalid target.", "includeCollaborations is required."]]
+    imp = spark.createDataFrame([("create", None, "A", ["1"], [], [], ["1"]), ("existing", None, None, ["1", "1"], [], [], ["2"])], "artistMode string, artistId string, artistName string, selected array<string>, excluded array<string>, pending array<string>, edited array<string>")
+    assert faults(imp, mutations.import_input_rules()) == [["artistId is required.", "Candidate IDs must be unique.", "Only selected candidates may be changed."]]
+    edit = spark.createDataFrame([("T", "A", "LIVE", "2025-02-30", "javascript:x", None, None, None, "n" * 4001), ("T", "A", "LIVE", None, None, None, None, None, None)], "title string, artistCredit string, category string, originalReleaseDate string, coverImageUrl string, format string, catalogNumber string, label string, notes string")
+    assert [len(f) for f in faults(edit, mutations.edit_rules())] == [3]
+    st = spark.createDataFrame([("want", "0"), ("SKIP", "5"), ("x", "6")], "status string, priority string")
+    assert [len(f) for f in faults(st, mutations.status_rules())] == [1, 2]
