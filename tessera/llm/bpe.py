@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: What a Python worker remembers, some 350 MB at most: entries used twice, and entries used once; for pieces and for pre-tokens.
-PIECES, PRE_TOKENS = (900_000, 400_000), (300_000, 250_000)
+#: What a Python worker remembers, some 250 MB at most: entries used twice, and entries used once; for pieces and for pre-tokens.
+PIECES, PRE_TOKENS = (600_000, 350_000), (250_000, 200_000)
 
 #: Lower ranks have higher bits, so that the length of a word of the bitmap tells its first set rank.
 BIT = [1 << 255 - i for i in range(256)]
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     rows = docs.select(id_col, text)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
+    return common.arrow(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -237,7 +237,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=[id_col, "bytes"])
 
     rows = encoded.select(id_col, "ids")
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, bytes binary")
+    return common.arrow(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, bytes binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,7 +258,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
     rows = docs.select(id_col, text)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.arrow(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

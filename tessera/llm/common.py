@@ -20,10 +20,27 @@ def kept(operator: str, key, build=None):
     if operator not in _state or _state[operator][0] != key:
         _state.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _state[operator] = (key, build() if build else None)
     return _state[operator][1]
 
 
+BATCH_ROWS = 1000  #: rows of an Arrow batch; Spark's 10,000 are too many where rows are texts
+
+
+def arrow(rows: DataFrame, run, schema: str) -> DataFrame:
+    """rows.mapInArrow(run, schema), in batches fit for texts; a task gives back what Arrow has pooled. The session's batch size is lowered, never raised."""
+    conf = rows.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(task, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only where that is unset (tests on one machine) a folder of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

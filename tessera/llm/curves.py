@@ -106,7 +106,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
                 cells = np.clip((((x @ to - mean) / scale / 6 + 0.5 + shift) * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, c, np.int32)), pa.array(hilbert(cells, BITS))], names=["rep", "curve", "key"])
 
-    keys = reps.select("rep", "v").mapInArrow(key, "rep long, curve int, key long")
+    keys = common.arrow(reps.select("rep", "v"), key, "rep long, curve int, key long")
     dealt = keys.repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
     dealt = common.cut(dealt.select("rep", "curve", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
     parts = dealt.groupBy("curve", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
@@ -157,7 +157,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         if held:
             yield done()
 
-    found = units.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks").mapInArrow(near, "q long, rep long, d double")
+    found = common.arrow(units.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks"), near, "q long, rep long, d double")
     found = found.groupBy("q", "rep").agg(F.min("d").alias("d")).join(members, "rep")  # the classes found, with the ids that stand for them
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("n") <= k + 1).select("q", "d", "id")
     asking = rows.where(is_query(F.col("id"))).select("h1", "h2", F.col("id").alias("query_id")).distinct().join(reps.select("h1", "h2", F.col("rep").alias("q")), ["h1", "h2"]).select("q", "query_id")

@@ -381,7 +381,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes[lo:hi], pa.int64()), pa.array(encode(data[lo:hi]), pa.binary())], names=[id_col, "n_bytes", "media"])
 
     rows = docs.select(id_col, text)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, media binary")
+    return common.arrow(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def blocks(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -395,7 +395,7 @@ def blocks(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), batch.schema[0].type), pa.array(at, pa.int64()), pa.array([x[a : a + BLOCK] for a in at], pa.binary())], names=[id_col, "sample_offset", "pcm"])
 
     rows = stored.select(id_col, "media")
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, sample_offset long, pcm binary")
+    return common.arrow(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, sample_offset long, pcm binary")
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -416,7 +416,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
     rows = docs.select(id_col, text)
     spark_kinds = {"int64": "long", "string": "string"}
-    return rows.mapInArrow(run, ", ".join([f"`{id_col}` {rows.schema[0].dataType.simpleString()}"] + [f"{n} {spark_kinds[str(k)]}" for n, k in zip(names[1:], kinds, strict=True)]))
+    return common.arrow(rows, run, ", ".join([f"`{id_col}` {rows.schema[0].dataType.simpleString()}"] + [f"{n} {spark_kinds[str(k)]}" for n, k in zip(names[1:], kinds, strict=True)]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "te
     passed = rows.schema.fields[: None if keep else -1]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in passed]
     names = [*(f.name for f in passed), "lang_pred", "score", "bits", "rate"]
-    return rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string, score double, bits double, rate double"]))
+    return common.arrow(rows, run, ", ".join([*kinds, "lang_pred string, score double, bits double, rate double"]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -208,7 +208,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
     rows = docs.select(id_col, text)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
+    return common.arrow(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

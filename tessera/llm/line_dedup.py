@@ -132,7 +132,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["doc", "text_hash", "lines"])
 
     # all matches of one document meet, at most as many as it has lines; a line with many holders is spread over them
-    return shared.repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash").mapInArrow(run, MATCHES)
+    return common.arrow(shared.repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash"), run, MATCHES)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,7 +163,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(words, pa.int64()), pa.array(all_lines, pa.int64())], names=[*names, text, "removed_lines", "removed_words", "n_lines"])
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{text}` string, removed_lines long, removed_words long, n_lines long"])
-    return rows.select(*names, F.col(text).alias("__text"), "__gone").mapInArrow(run, schema)
+    return common.arrow(rows.select(*names, F.col(text).alias("__text"), "__gone"), run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= TOXIC)], names=[id_col, "severity", "p_toxic", "toxic"])
 
     rows = docs.select(id_col, text)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, severity double, p_toxic double, toxic boolean")
+    return common.arrow(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, severity double, p_toxic double, toxic boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
