@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: What a Python worker remembers, some 250 MB at most: entries used twice, and entries used once; for pieces and for pre-tokens.
-PIECES, PRE_TOKENS = (600_000, 350_000), (250_000, 200_000)
+#: What a Python worker remembers, some 200 MB at most: entries used twice, and entries used once; for pieces and for pre-tokens.
+PIECES, PRE_TOKENS = (450_000, 250_000), (200_000, 150_000)
 
 #: Lower ranks have higher bits, so that the length of a word of the bitmap tells its first set rank.
 BIT = [1 << 255 - i for i in range(256)]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 _state: dict = {}
@@ -55,9 +56,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later stages then restart from these files, not from df's lineage."""
     path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete what cut() has written in this session, once no result that reads it is needed any more; how many tables went."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): root is the smallest node of node's component, for every node that has an edge to another.
 

@@ -32,7 +32,7 @@ THRESHOLD = 0.8
 ROWS, BANDS = 6, 40
 TOLERANCE = 1e-6
 STEP = 16
-BLOCK = 400_000  #: shingles in a block of a cluster
+BLOCK = 100_000  #: shingles in a block of a cluster
 SEED = 20240229
 
 WORD = re.compile(r"\w+")
@@ -155,7 +155,7 @@ def signed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     names=["doc", "body", "k1", "k2", "n", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("body")).mapInArrow(run, "doc long, body long, k1 long, k2 long, n long, bands array<long>")
+    return common.arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("body")), run, "doc long, body long, k1 long, k2 long, n long, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +246,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         if held:
             yield done()
 
-    found = common.cut(units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(run, "rep long, links long, to long"))
+    found = common.cut(common.arrow(units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep"), run, "rep long, links long, to long"))
     groups = common.connected_components(found.select("rep", "to"), "rep", "to")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.select("rep", "k1", "k2", "copies", "least").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))

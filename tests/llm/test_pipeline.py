@@ -54,3 +54,8 @@ def test_components(spark):
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: top(x) for x in linked}
     assert common.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_sweep(spark):
+    df = common.cut(spark.range(5).toDF("id"))
+    assert df.count() == 5 and common.sweep(spark) > 0 and common.sweep(spark) == 0
