@@ -2,12 +2,12 @@
 
 Grades: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in one of poor quality. The proportional-odds model has one
 weight per word feature, shared by all thresholds: P(grade <= j) = sigmoid(threshold_j - w.x). Features are the presence of
-words, and of words that begin with a stem of PREFIXES letters, which toxic labelled documents hold far more often than
-others; a document's features are scaled to length one. The expected
+words, of a word that begins with a stem of PREFIXES letters, and of two different such words, which toxic labelled
+documents hold far more often than others; a document's features are scaled to length one. The expected
 severity is the sum over j of P(grade > j), from 0 to 2; a document is toxic if P(grade > 0) is TOXIC or more.
 
-The vocabulary's counts run in Spark over the labelled sample (about FIT_DOCS documents by id hash, all if fewer); only the
-vocabulary and the sample's few features per document come to the driver, where the model is fitted.
+Features of the labelled sample (about FIT_DOCS documents by id hash, all if fewer) are made and counted in Spark; only the
+vocabulary and the sample's few kept features per document come to the driver, where the model is fitted.
 
 Defined results: null and empty texts have no features and get the model's base severity. Labels that are null, or that
 belong to no document, are not learned from; an id labelled twice counts by its highest grade. Rows are scored each on
@@ -36,10 +36,14 @@ PENALTY = 0.05  #: of squared weights
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str) -> set[str]:
-    """Words of text, and ^stem for each stem of a longer word."""
+def features(text: str, stems: frozenset[str] | None = None) -> set[str]:
+    """Words of text, ^stem for each stem of a longer word, ^^stem where two different words have it; of stems only these, unless None."""
     words = set(WORD.findall(text.lower()))
-    return words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in PREFIXES))
+    once, twice = set(), set()
+    for k in PREFIXES:
+        for s in [w[:k] for w in words if len(w) > k and (stems is None or w[:k] in stems)]:
+            (twice if s in once else once).add(s)
+    return words.union(["^" + s for s in once], ["^^" + s for s in twice])
 
 
 @dataclass
@@ -87,16 +91,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     graded = graded.groupBy("id").agg(F.max("grade").alias("grade"))
     share = min(1.0, FIT_DOCS / max(1, graded.count()))
     sample = graded.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))
-    stems = F.flatten(F.array(*[F.transform(F.filter("words", lambda w: F.length(w) > k), lambda w: F.concat(F.lit("^"), F.left(w, F.lit(k)))) for k in PREFIXES]))
     # copies of one text count once
-    rows = docs.select(F.col(id_col).alias("id"), text).join(sample, "id").groupBy(F.xxhash64(text).alias("h")).agg(F.max(F.struct("grade", text)).alias("x"))
-    rows = common.cut(rows.select("x.*").select("grade", words.alias("words")).select("grade", F.array_distinct(F.concat("words", stems)).alias("words")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(sample, "id").groupBy(F.xxhash64("text").alias("h")).agg(F.max(F.struct("grade", "text")).alias("x"))
+
+    def run(batches):
+        for batch in batches:
+            words = pa.array([sorted(features(t)) for t in common.texts_of(batch.column(1))], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), words], names=["grade", "words"])
+
+    rows = common.cut(common.arrow(rows.select("x.grade", "x.text"), run, "grade int, words array<string>"))
     n = {r.toxic: r["count"] for r in rows.groupBy((F.col("grade") > 0).alias("toxic")).count().collect()}
     bad, good = n.get(True, 0), n.get(False, 0)
     if not bad or not good:
         return None
-    counts = rows.select("grade", F.explode("words").alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("grade") > 0).alias("bad"))
+    counts = rows.select("grade", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("grade") > 0).alias("bad"))
     p = F.col("n") / F.lit(bad + good)
     z = (F.col("bad") / bad - (F.col("n") - F.col("bad")) / good) / F.sqrt(p * (1 - p) * (1 / bad + 1 / good) + 1e-12)
     kept = counts.where(F.col("n") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()
@@ -116,8 +124,9 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: st
 
     def run(batches):
         weights, names = sent.value, frozenset(sent.value)
+        stems = frozenset(w.lstrip("^") for w in names if w[0] == "^")
         for batch in batches:
-            held = [names.intersection(features(t)) for t in common.texts_of(batch.column(1))]
+            held = [names.intersection(features(t, stems)) for t in common.texts_of(batch.column(1))]
             sums = np.array([sum(weights[w] for w in h) / max(1, len(h)) ** 0.5 for h in held], np.float64)
             above = 1 - sigmoid(cut[None] - sums[:, None]) if model else np.zeros((len(sums), GRADES - 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= TOXIC)], names=[id_col, "severity", "p_toxic", "toxic"])

@@ -17,6 +17,11 @@ def test_fit_recovers_order():
     assert cut[0] < cut[1] and w[0] > w[5] > w[1] > w[4] and abs(cut[0] - 1) < 0.4 and abs(cut[1] - 3) < 0.5 and abs(w[0] - 3) < 0.6
 
 
+def test_features():
+    assert X.features("Bastante bastardo, BASTANTE 3x") == {"bastante", "bastardo", "x", "^basta", "^bastan", "^bastar", "^bastant", "^bastard", "^^basta"}
+    assert X.features("bastante bastardo", frozenset(["bastar"])) == {"bastante", "bastardo", "^bastar"} and X.features("") == set()
+
+
 def planted(spark, n=600):
     rng = np.random.default_rng(2)
     plain = [f"word{i}" for i in range(300)]
