@@ -7,7 +7,7 @@ reaches THRESHOLD is below TOLERANCE, and what is left is verified exactly on th
 BLOCK shingles is dealt to blocks, and each pair of blocks is a unit of its own, so no task sees more than two blocks.
 Links are counted where they are found: pairs never become rows.
 
-With BANDS bands of ROWS values a pair of similarity 0.8 shares no band with probability 2e-6; no bound on partners,
+With BANDS bands of ROWS values a pair of similarity 0.8 shares no band with probability 5e-6; no bound on partners,
 candidates or bucket sizes applies.
 
 Shingles: SHINGLE words in a row of the lower-cased text, words being runs of letters, digits and underscores; a text of
