@@ -1,12 +1,15 @@
 """Operator 2: line dedup by pairwise alignment.
 
 Lines are hashed, those of fewer than five words together with the line before them. One that occurs in two or more
-documents is shared, and the document of least id that has it is its owner. A later document is paired with the owners of its shared lines (one pair for
-each document and line, never a pair of all holders), and the two are aligned with patience diff: lines that
+documents is shared, and the document of least id that has it is its owner. So have runs of 2, 4, 8, ... neighbouring shared lines each
+their owner, the first document that holds the run; a passage is covered by two runs of its longest scale, so its holder is found
+though others own its lines. A later document is paired with the owners of its shared lines and runs (one row for
+each document, line and scale, never a pair of all holders), and the two are aligned with patience diff: lines that
 occur once in both are anchors, the longest increasing run of them is kept, and matches grow from the anchors over
-equal neighbours. Aligned blocks (runs of neighbouring lines) of MIN_WORDS words or more are deleted from the later
-document. A line's rarity sets the order in which a document's owners are aligned: owners of its rarest lines first,
-and what one alignment deletes the next one does not see.
+equal neighbours. What any of a document's alignments takes is pooled, and blocks (runs of neighbouring lines) of
+MIN_WORDS words or more are deleted. Each owner is aligned once, so of two blocks that changed places against it only one is taken there.
+Where all of a document's shared lines have MIN_WORDS words or more, each of them is a block by itself and only the lines' owners are
+aligned: such a line stays if it changed places against its owner, even where another document holds it in a like passage.
 
 Defined results: null and empty texts have one empty line and lose none. Lines are compared after trimming outer
 white space. Rows of null id take no part and stay. Rows that repeat an id count as one document of that id, later
@@ -81,45 +84,126 @@ def patience(mine: dict[int, int], theirs: dict[int, list[int]], lines: dict[int
     return taken
 
 
+def diagonals(runs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(position, their position) of every line in runs of (position, lines, their first position), each once."""
+    out, so_far = [], {}
+    for p, n, q in sorted(runs):
+        begin = max(p, so_far.get(q - p, 0))
+        out += [(x, x + q - p) for x in range(begin, p + n)]
+        so_far[q - p] = max(begin, p + n)
+    return out
+
+
 def deleted(rows: list[tuple]) -> list[int]:
-    """Positions that one document loses. rows: (pos, words, line, holders, owner, the owner's positions)."""
+    """Positions that one document loses. rows: (pos, scale, words, line, owner, the owner's positions); words and line where scale is 0."""
+    line, words = {r[0]: r[3] for r in rows if r[1] == 0}, {r[0]: r[2] for r in rows if r[1] == 0}
+    theirs: dict[int, dict[int, set[int]]] = {}  # owner, my position, its positions
+    runs: dict[int, list[tuple[int, int, int]]] = {}
+    for pos, scale, _, _, owner, at in rows:
+        if scale == 0:
+            theirs.setdefault(owner, {})[pos] = set(at)
+        else:
+            runs.setdefault(owner, []).append((pos, 1 << scale, at[0]))
+    for owner, found in runs.items() if any(n < MIN_WORDS for n in words.values()) else ():
+        for p, q in diagonals(found):
+            theirs.setdefault(owner, {}).setdefault(p, set()).add(q)
     gone: set[int] = set()
-    owners: dict[int, list[tuple]] = {}
-    for r in rows:
-        owners.setdefault(r[4], []).append(r)
-    for owner in sorted(owners, key=lambda o: (min(r[3] for r in owners[o]), o)):
-        left = [r for r in owners[owner] if r[0] not in gone]
-        mine, lines = {r[0]: r[2] for r in left}, {}
-        for r in sorted(left):
-            lines.setdefault(r[2], []).append(r[0])
-        taken, words = patience(mine, {r[2]: list(r[5]) for r in left}, lines), {r[0]: r[1] for r in left}
-        block: list[int] = []
-        for p in [*sorted(taken), None]:
-            if block and (p is None or p != block[-1] + 1):
-                if sum(words[x] for x in block) >= MIN_WORDS:
-                    gone.update(block)
-                block = []
-            block.append(p)
-    return sorted(gone)
+    for of in theirs.values():
+        mine, places, lines = {p: line[p] for p in of}, {}, {}
+        for p in sorted(of):
+            lines.setdefault(line[p], []).append(p)
+            places.setdefault(line[p], set()).update(of[p])
+        gone |= patience(mine, {x: sorted(at) for x, at in places.items()}, lines)
+    out, block = [], []
+    for p in [*sorted(gone), None]:
+        if block and (p is None or p != block[-1] + 1):
+            if sum(words[x] for x in block) >= MIN_WORDS:
+                out += block
+            block = []
+        block.append(p)
+    return out
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of hashes, in order."""
+    def stir(x):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    return stir(stir(a + np.uint64(0x9E3779B97F4A7C15)) + b)
+
+
+def runs_of(shared: DataFrame) -> DataFrame:
+    """(doc, text_hash, pos, scale, h1, h2): each run of 2, 4, 8, ... neighbouring lines that are all shared."""
+    names = ("doc", "text_hash", "pos", "h1", "h2")
+
+    def run(batches):
+        held: list = []
+
+        def found(columns):
+            doc, text_hash, pos, h1, h2 = columns
+            h1, h2, scale, n = h1.view(np.uint64), h2.view(np.uint64), 0, len(doc)
+            begins = np.ones(n, bool)
+            begins[1:] = (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1]) | (pos[1:] != pos[:-1] + 1)
+            firsts = np.flatnonzero(begins)
+            ends = np.repeat(np.append(firsts[1:], n), np.diff(np.append(firsts, n)))  # where each row's section ends
+            at = np.arange(n)
+            while len(at := at[at + (2 << scale) <= ends[at]]):
+                half = 1 << scale
+                old1, old2 = h1, h2
+                h1, h2 = h1.copy(), h2.copy()
+                h1[at], h2[at] = mixed(old1[at], old1[at + half]), mixed(old2[at], old2[at + half])
+                scale += 1
+                for i in range(0, len(at), 10_000):
+                    x = at[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(text_hash[x]), pa.array(pos[x]), pa.array(np.full(len(x), scale, np.int32)), pa.array(h1[x].view(np.int64)), pa.array(h2[x].view(np.int64))], names=["doc", "text_hash", "pos", "scale", "h1", "h2"])
+
+        for batch in batches:
+            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+            if not len(columns[0]):
+                continue
+            held.append(columns)
+            # the last document may go on in the next batch
+            last = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
+            if len(last) or (len(held) > 1 and (held[-2][0][-1], held[-2][1][-1]) != (columns[0][0], columns[1][0])):
+                n = last[-1] + 1 if len(last) else 0
+                rest = [c[n:] for c in columns]
+                held[-1] = [c[:n] for c in columns]
+                yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
+                held = [rest]
+        if held:
+            yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    rows = shared.select(*names).repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash", "pos")
+    return common.arrow(rows, run, "doc long, text_hash long, pos int, scale int, h1 long, h2 long")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, text_hash, lines): positions of the lines to delete, for documents that lose any."""
     lines = common.cut(lines_of(docs, id_col, text).groupBy("h1", "h2", "doc", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("at"), F.first("words").alias("words")))
-    owners = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("o"), F.max("doc").alias("latest"), F.count("*").alias("holders"))
+    owners = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("o"), F.max("doc").alias("latest"))
     # written, so that the join below has a shuffle of its own and a line with very many holders can be split
-    owners = common.cut(owners.where("o.doc < latest").select("h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs"), "holders"))
-    shared = lines.join(owners, ["h1", "h2"]).where("doc > owner").select("doc", "text_hash", "h1", F.explode("at").alias("pos"), "words", "holders", "owner", "theirs")
+    owners = common.cut(owners.where("o.doc < latest").select("h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs")))
+    shared = common.cut(lines.join(owners, ["h1", "h2"]).select("doc", "text_hash", "h1", "h2", F.explode("at").alias("pos"), "words", "owner", F.when(F.col("doc") > F.col("owner"), F.col("theirs")).alias("theirs")))
+    runs = common.cut(runs_of(shared).groupBy("scale", "h1", "h2", "doc", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("at")))
+    first = runs.groupBy("scale", "h1", "h2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("o"), F.max("doc").alias("latest"))
+    first = common.cut(first.where("o.doc < latest").select("scale", "h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs")))
+    # a run is held against one of the owner's, the n-th against the n-th
+    nth = F.get("theirs", F.least("i", F.size("theirs") - 1))
+    longer = runs.join(first, ["scale", "h1", "h2"]).where("doc > owner").select("doc", "text_hash", "scale", "owner", "theirs", F.posexplode("at").alias("i", "pos"))
+    longer = longer.select("doc", "text_hash", "pos", "scale", F.lit(0).alias("words"), F.lit(0).cast("long").alias("h1"), "owner", F.array(nth).alias("theirs"))
+    matches = shared.where("doc > owner").select("doc", "text_hash", "pos", F.lit(0).alias("scale"), "words", "h1", "owner", "theirs").unionByName(longer)
 
     def run(batches):
         held: list = []
 
         def done():
-            return [(held[0][0], held[0][1], deleted([(r[3], r[4], r[2], r[5], r[6], r[7]) for r in held]))] if held else []
+            return [(held[0][0], held[0][1], deleted([r[2:] for r in held]))] if held else []
 
         for batch in batches:
             out = []
-            for r in zip(*(batch.column(n).to_pylist() for n in ("doc", "text_hash", "h1", "pos", "words", "holders", "owner", "theirs")), strict=True):
+            for r in zip(*(batch.column(n).to_pylist() for n in ("doc", "text_hash", "pos", "scale", "words", "h1", "owner", "theirs")), strict=True):
                 if held and held[0][:2] != r[:2]:
                     out += done()
                     held.clear()
@@ -131,8 +215,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         rows = [r for r in rows if r[2]]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["doc", "text_hash", "lines"])
 
-    # all matches of one document meet, at most as many as it has lines; a line with many holders is spread over them
-    return common.arrow(shared.repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash"), run, MATCHES)
+    # all matches of one document meet, at most one for each of its lines and scales; a line with many holders is spread over them
+    return common.arrow(matches.repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash"), run, MATCHES)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -78,3 +78,29 @@ def test_odd_rows(spark, odd, empty):
     assert by[3][0].text is None and by[4][0].text == "" and {r.removed_lines for r in by[None]} == {0}
     assert L.dedup(empty).count() == 0
     assert L.stage(spark, odd, "").columns == odd.columns
+
+
+def test_passage_whose_lines_have_other_owners(spark):
+    """Document 3 has the passage first, but documents 1 and 2 own two of its lines, and fragments are under ten words."""
+    passage = [line(i, 6) for i in range(7)]
+    rows = [(1, f"{passage[3]}\nown words"), (2, f"{passage[1]}\nother"), (3, "\n".join(passage)), (4, "\n".join(passage)), (5, "\n".join(["its own", *passage[:3], "more of it"]))]
+    got = run(spark, rows)
+    assert got[4].text == "" and got[5].text == "its own\nmore of it" and got[3].removed_lines == 0
+
+
+def test_passage_in_another_order_than_its_lines_owner(spark):
+    """Document 1 owns every line in the opposite order, document 2 has the passage as it is copied."""
+    order = [line(i, 6) for i in range(5)]
+    got = run(spark, [(1, "\n".join(order[::-1])), (2, "\n".join(order)), (3, "\n".join(order))])
+    assert got[3].text == ""
+
+
+def test_runs_go_over_batches(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        docs = spark.createDataFrame([(d, 0, p, 10 * p, 7 * p) for d in range(4) for p in range(5)] + [(9, 0, p, p, p) for p in (1, 3)], "doc long, text_hash long, pos int, h1 long, h2 long").coalesce(1)
+        rows = [(r.doc, r.scale, r.pos) for r in L.runs_of(docs).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(rows) == sorted((d, s, p) for d in range(4) for s, n in ((1, 4), (2, 2)) for p in range(n))
