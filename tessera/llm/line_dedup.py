@@ -7,7 +7,8 @@ though others own its lines. A later document is paired with the owners of its s
 each document, line and scale, never a pair of all holders), and the two are aligned with patience diff: lines that
 occur once in both are anchors, the longest increasing run of them is kept, and matches grow from the anchors over
 equal neighbours. What any of a document's alignments takes is pooled, and blocks (runs of neighbouring lines) of
-MIN_WORDS words or more are deleted. Each owner is aligned once, so of two blocks that changed places against it only one is taken there.
+MIN_WORDS words or more are deleted, and shorter ones that hold a line of LINE_WORDS words or more which COMMON_DOCS documents or
+more share. Other short blocks, of rare or very short lines, stay. Each owner is aligned once, so of two blocks that changed places against it only one is taken there.
 Where all of a document's shared lines have MIN_WORDS words or more, each of them is a block by itself and only the lines' owners are
 aligned: such a line stays if it changed places against its owner, even where another document holds it in a like passage.
 
@@ -28,6 +29,7 @@ from . import common
 
 LINE_WORDS = 5  #: words of a line that is compared alone
 MIN_WORDS = 10  #: words of an aligned block that is deleted
+COMMON_DOCS = 3  #: documents that hold a line of LINE_WORDS words or more, from which a shorter block goes with it
 
 MATCHES = "doc long, text_hash long, lines array<int>"
 
@@ -95,11 +97,12 @@ def diagonals(runs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 
 def deleted(rows: list[tuple]) -> list[int]:
-    """Positions that one document loses. rows: (pos, scale, words, line, owner, the owner's positions); words and line where scale is 0."""
+    """Positions that one document loses. rows: (pos, scale, words, line, holders, owner, the owner's positions); words, line and holders where scale is 0."""
     line, words = {r[0]: r[3] for r in rows if r[1] == 0}, {r[0]: r[2] for r in rows if r[1] == 0}
+    common_ones = {r[0] for r in rows if r[1] == 0 and r[2] >= LINE_WORDS and r[4] >= COMMON_DOCS}
     theirs: dict[int, dict[int, set[int]]] = {}  # owner, my position, its positions
     runs: dict[int, list[tuple[int, int, int]]] = {}
-    for pos, scale, _, _, owner, at in rows:
+    for pos, scale, _, _, _, owner, at in rows:
         if scale == 0:
             theirs.setdefault(owner, {})[pos] = set(at)
         else:
@@ -117,7 +120,7 @@ def deleted(rows: list[tuple]) -> list[int]:
     out, block = [], []
     for p in [*sorted(gone), None]:
         if block and (p is None or p != block[-1] + 1):
-            if sum(words[x] for x in block) >= MIN_WORDS:
+            if sum(words[x] for x in block) >= MIN_WORDS or not common_ones.isdisjoint(block):
                 out += block
             block = []
         block.append(p)
@@ -182,18 +185,18 @@ def runs_of(shared: DataFrame) -> DataFrame:
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, text_hash, lines): positions of the lines to delete, for documents that lose any."""
     lines = common.cut(lines_of(docs, id_col, text).groupBy("h1", "h2", "doc", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("at"), F.first("words").alias("words")))
-    owners = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("o"), F.max("doc").alias("latest"))
+    owners = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("o"), F.max("doc").alias("latest"), F.count("*").alias("holders"))
     # written, so that the join below has a shuffle of its own and a line with very many holders can be split
-    owners = common.cut(owners.where("o.doc < latest").select("h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs")))
-    shared = common.cut(lines.join(owners, ["h1", "h2"]).select("doc", "text_hash", "h1", "h2", F.explode("at").alias("pos"), "words", "owner", F.when(F.col("doc") > F.col("owner"), F.col("theirs")).alias("theirs")))
+    owners = common.cut(owners.where("o.doc < latest").select("h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs"), "holders"))
+    shared = common.cut(lines.join(owners, ["h1", "h2"]).select("doc", "text_hash", "h1", "h2", F.explode("at").alias("pos"), "words", "holders", "owner", F.when(F.col("doc") > F.col("owner"), F.col("theirs")).alias("theirs")))
     runs = common.cut(runs_of(shared).groupBy("scale", "h1", "h2", "doc", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("at")))
     first = runs.groupBy("scale", "h1", "h2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("o"), F.max("doc").alias("latest"))
     first = common.cut(first.where("o.doc < latest").select("scale", "h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs")))
     # a run is held against one of the owner's, the n-th against the n-th
     nth = F.get("theirs", F.least("i", F.size("theirs") - 1))
     longer = runs.join(first, ["scale", "h1", "h2"]).where("doc > owner").select("doc", "text_hash", "scale", "owner", "theirs", F.posexplode("at").alias("i", "pos"))
-    longer = longer.select("doc", "text_hash", "pos", "scale", F.lit(0).alias("words"), F.lit(0).cast("long").alias("h1"), "owner", F.array(nth).alias("theirs"))
-    matches = shared.where("doc > owner").select("doc", "text_hash", "pos", F.lit(0).alias("scale"), "words", "h1", "owner", "theirs").unionByName(longer)
+    longer = longer.select("doc", "text_hash", "pos", "scale", F.lit(0).alias("words"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("holders"), "owner", F.array(nth).alias("theirs"))
+    matches = shared.where("doc > owner").select("doc", "text_hash", "pos", F.lit(0).alias("scale"), "words", "h1", "holders", "owner", "theirs").unionByName(longer)
 
     def run(batches):
         held: list = []
@@ -203,7 +206,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
         for batch in batches:
             out = []
-            for r in zip(*(batch.column(n).to_pylist() for n in ("doc", "text_hash", "pos", "scale", "words", "h1", "owner", "theirs")), strict=True):
+            for r in zip(*(batch.column(n).to_pylist() for n in ("doc", "text_hash", "pos", "scale", "words", "h1", "holders", "owner", "theirs")), strict=True):
                 if held and held[0][:2] != r[:2]:
                     out += done()
                     held.clear()

@@ -81,11 +81,11 @@ def test_odd_rows(spark, odd, empty):
 
 
 def test_passage_whose_lines_have_other_owners(spark):
-    """Document 3 has the passage first, but documents 1 and 2 own two of its lines, and fragments are under ten words."""
-    passage = [line(i, 6) for i in range(7)]
-    rows = [(1, f"{passage[3]}\nown words"), (2, f"{passage[1]}\nother"), (3, "\n".join(passage)), (4, "\n".join(passage)), (5, "\n".join(["its own", *passage[:3], "more of it"]))]
+    """Document 3 has the passage first, but documents 1 and 2 own some of its lines, and fragments are under ten words."""
+    passage = [line(i, 4) for i in range(7)]
+    rows = [(1, f"{passage[2]}\n{passage[3]}\nown words"), (2, f"{passage[0]}\n{passage[1]}\nother"), (3, "\n".join(passage)), (4, "\n".join(passage)), (5, "\n".join([*passage[:4], "more of it"]))]
     got = run(spark, rows)
-    assert got[4].text == "" and got[5].text == "its own\nmore of it" and got[3].removed_lines == 0
+    assert got[4].text == "" and got[5].text == "more of it" and got[3].removed_lines == 0
 
 
 def test_passage_in_another_order_than_its_lines_owner(spark):
@@ -104,3 +104,10 @@ def test_runs_go_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert sorted(rows) == sorted((d, s, p) for d in range(4) for s, n in ((1, 4), (2, 2)) for p in range(n))
+
+
+def test_common_short_line(spark):
+    """A line of 5 words in three documents goes from the later two; one in two documents, and a line of 4 words, stay."""
+    rows = [(i, f"{line(0, 5)}\n{line(100 + i)}\n{line(1, 4)}\n{line(200 + i)}\n{line(2 + (i == 3), 5)}") for i in (1, 2, 3)]
+    got = run(spark, [*rows, (4, line(3, 5))])
+    assert {i: r.text.split("\n") for i, r in got.items()} == {1: rows[0][1].split("\n"), 2: rows[1][1].split("\n")[1:], 3: rows[2][1].split("\n")[1:], 4: [line(3, 5)]}
