@@ -163,7 +163,8 @@ def detected(words: str) -> list[tuple[int, int, str, float]]:
 
 
 #: One of these is in every text that a rule or a base phrase can match.
-ANY = tuple(k.encode() for k in sorted({k for r in rules() for k in r[4]} | {"license", "cc by"}))
+#: Tested before spaces are joined, so these are single words: of a key of two words, the last.
+ANY = tuple(k.encode() for k in sorted({k.split()[-1] for r in rules() for k in r[4]} | {"license", "cc"}))
 
 
 def scanned(words: str, n_words: int) -> tuple:

@@ -52,3 +52,12 @@ def test_containment():
 def test_odd_rows(odd, empty):
     got = L.scan(odd)
     assert got.count() == odd.count() and L.scan(empty).count() == 0 and not got.where("n_base > 0").count()
+
+
+def test_words_apart(spark):
+    """Whole texts whose only key words have more than one separator between them."""
+    texts = ["CC - BY 4.0", "cc,\n by", "cc  by", "CC\n\nBY", "x cc (by)", "placed in the public -- domain", "cc", "by"]
+    rows = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert (rows[i].n_words, rows[i].n_base, rows[i].first_word, rows[i].last_word, rows[i].base_labels) == base(t), t
+    assert [rows[i].n_base for i in range(8)] == [1, 1, 1, 1, 1, 0, 0, 0] and rows[5].labels == "public-domain"
