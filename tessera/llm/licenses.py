@@ -88,7 +88,7 @@ PHRASINGS = [
     ("granted", r"(?:licensed|released|distributed|published|available|provided|covered|offered) (?:to you )?(?:under|by|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{0}(?: (?:version|v) ?\d+(?: \d+)*| \d+(?: \d+)*)?(?: or (?:any )?later(?: version)?)?", 20, 0.95, "licen release distribut publish availab provid cover offer"),
     ("terms", r"(?:terms|conditions|provisions) of (?:the )?{0}(?: version \d+(?: \d+)*)?", 30, 0.85, "terms conditions provisions"),
     ("declared", r"licen[cs]e (?:is )?{0}(?: \d+(?: \d+)*)?", 40, 0.8, "licen"),
-    ("versioned", r"{0} (?:version|v) ?\d+(?: \d+)*(?: or (?:any )?later(?: version)?)?", 50, 0.75, "version"),
+    ("versioned", r"{0} (?:version|v) ?\d+(?: \d+)*(?: or (?:any )?later(?: version)?)?", 50, 0.75, "version v#"),
     ("suffixed", r"{0}(?: \d+(?: \d+)*)? licen[cs]e[ds]?", 60, 0.6, "licen"),
 ]
 
@@ -105,12 +105,33 @@ SENTENCES = [
     ("proprietary", r"(?:proprietary and confidential|unauthorized copying of this file)", 25, 0.8, "proprietary unauthorized"),
 ]
 
+# Names that are a sign without more words: those of FAMILIES that say license, and these. All have one priority, so that the longest wins.
+NAMED, NAMED_WEIGHT = 70, 0.5
+NAMES = [(label, name, "cc creative") for label, name in FAMILIES if label.startswith("cc-by")] + [
+    ("cc0", r"cc0|cc zero|creative commons zero|public domain dedication", "cc creative dedication"), ("unlicense", r"the unlicense|unlicense", "unlicense"), ("commons-clause", r"commons clause", "commons"),
+    ("bsd-0-clause", r"0bsd", "0bsd"), ("mulan", r"mulan (?:permissive|psl)", "mulan"), ("ofl", r"sil ofl", "ofl"), ("openrail", r"openrail(?: m)?", "openrail"),
+]
+
+
+def full_names(name: str) -> list[str]:
+    """Of a family's alternatives those that say license, which they may leave out elsewhere."""
+    out, depth = [""], 0
+    for c in name:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x for x in (re.sub(r"\(\?:( (?:software )?license)\)\?", r"\1", x) for x in out) if "licen" in x]
+
 
 @cache
 def rules() -> list[tuple[re.Pattern, str, int, float, tuple[str, ...]]]:
     """All rules: pattern, label, priority, weight, keywords. A family's place breaks ties between names that contain one another."""
     out = [(p, label, 100 * priority, weight, keys) for label, p, priority, weight, keys in SENTENCES]
     out += [(form.replace("{0}", f"(?:{name})"), label, 100 * priority + place, weight, keys) for place, (label, name) in enumerate(FAMILIES) for _, form, priority, weight, keys in PHRASINGS]
+    out += [(name, label, 100 * NAMED, NAMED_WEIGHT, keys) for label, name, keys in NAMES]
+    out += [("|".join(full), label, 100 * NAMED, NAMED_WEIGHT, "licen") for label, name in FAMILIES if (full := full_names(name))]
     split = lambda keys: (keys,) if keys == "public domain" else tuple(keys.split())
     return [(re.compile(rf"(?<![^ ])(?:{p})(?![^ ])"), label, priority, weight, split(keys)) for p, label, priority, weight, keys in out]
 
@@ -125,6 +146,10 @@ def gates() -> dict[str, list[int]]:
     return out
 
 
+#: What the key "v#" stands for, in words and in bytes whose spaces are not joined yet: a v and a number, of any script.
+V_NUMBER, V_BYTES = re.compile(r"(?<![^ ])v ?\d"), re.compile(rb"(?<![^ ])v *[0-9\x80-\xff]")
+
+
 TO_WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -146,7 +171,7 @@ def detected(words: str) -> list[tuple[int, int, str, float]]:
     found, ran = [], set()
     every = rules()
     for key, ids in gates().items():
-        if key not in words:
+        if not (V_NUMBER.search(words) if key == "v#" else key in words):
             continue
         for i in ids:
             if i in ran:
@@ -163,8 +188,8 @@ def detected(words: str) -> list[tuple[int, int, str, float]]:
 
 
 #: One of these is in every text that a rule or a base phrase can match.
-#: Tested before spaces are joined, so these are single words: of a key of two words, the last.
-ANY = tuple(k.encode() for k in sorted({k.split()[-1] for r in rules() for k in r[4]} | {"license", "cc"}))
+#: Or else V_BYTES is. Tested before spaces are joined, so these are single words: of a key of two words, the last.
+ANY = tuple(k.encode() for k in sorted({k.split()[-1] for r in rules() for k in r[4] if k != "v#"} | {"license", "cc"}))
 
 
 def scanned(words: str, n_words: int) -> tuple:
@@ -202,7 +227,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
                 rows = []
                 for a, b, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), counts.tolist(), strict=True):
                     part = raw[a:b]
-                    if any(k in part for k in ANY):
+                    if any(k in part for k in ANY) or V_BYTES.search(part):
                         rows.append(scanned(b" ".join(filter(None, part.split(b" "))).decode("utf-8", "replace"), n))
                     else:
                         rows.append(none)

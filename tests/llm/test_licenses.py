@@ -61,3 +61,51 @@ def test_words_apart(spark):
     for i, t in enumerate(texts):
         assert (rows[i].n_words, rows[i].n_base, rows[i].first_word, rows[i].last_word, rows[i].base_labels) == base(t), t
     assert [rows[i].n_base for i in range(8)] == [1, 1, 1, 1, 1, 0, 0, 0] and rows[5].labels == "public-domain"
+
+
+def matches_of(pattern):
+    """Texts that together take every alternative of a pattern once at least, with optional parts and without."""
+    from re import _constants as C
+    from re import _parser as P
+
+    def of(items):
+        out = [""]
+        for op, arg in items:
+            if op is C.LITERAL:
+                part = [chr(arg)]
+            elif op is C.IN:
+                part = [chr(v) if o is C.LITERAL else "3" if v is C.CATEGORY_DIGIT else "u" for o, v in arg]
+            elif op is C.SUBPATTERN:
+                part = of(arg[3])
+            elif op is C.BRANCH:
+                part = [x for b in arg[1] for x in of(b)]
+            elif op is C.MAX_REPEAT:
+                part = [x for x in dict.fromkeys([*[""] * (arg[0] == 0), *of(arg[2])])]
+            else:
+                assert op is C.ASSERT_NOT, op
+                continue
+            n = max(len(out), len(part))
+            out = [a + b for a in out for b in part] if len(out) * len(part) <= 400 else [out[i % len(out)] + part[i % len(part)] for i in range(n)]
+        return out
+
+    return of(P.parse(pattern))
+
+
+def test_gates_lose_nothing_that_a_rule_matches():
+    n = 0
+    for pattern, label, *_, keys in L.rules():
+        for words in matches_of(pattern.pattern):
+            assert pattern.search(words), (pattern.pattern, words)
+            assert any(L.V_NUMBER.search(words) if k == "v#" else k in words for k in keys), (label, words)
+            apart = words.replace(" ", "  ").encode()
+            assert any(k in apart for k in L.ANY) or L.V_BYTES.search(apart), words
+            n += 1
+    assert n > 3000
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("GPL v3", "gpl"), ("MPL - v2.0", "mpl"), ("LGPL v2.1 or later", "lgpl"), ("GPL v ٣", "gpl"), ("GNU Affero General Public License", "agpl"), ("Mozilla Public License", "mpl"),
+    ("Creative Commons Attribution ShareAlike", "cc-by-sa"), ("CC0", "cc0"), ("the Unlicense", "unlicense"), ("Public Domain Dedication and License", "pddl"), ("BSD 3-Clause License", "bsd-3-clause"), ("see v3 of it", ""),
+])
+def test_names_and_versions_alone(spark, text, labels):
+    assert L.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().labels == labels
