@@ -22,7 +22,7 @@ from . import common
 
 SAMPLE_DOCS = 400  #: different training texts of each language, those of least hash
 SAMPLE_SYMBOLS = 1 << 16  #: symbols of normalised training text of each language
-MAX_LANGS = 64  #: languages learned, those with most labelled rows first
+TABLE_BYTES = 128 << 20  #: of all languages' dense transitions, of the commonest symbols; the others' are sparse
 SEGMENT = 512  #: symbols parsed in a run; a phrase ends where a segment ends, alike for every language
 ODD = 0.62  #: phrases per symbol from which a text counts as in none of the languages
 
@@ -53,8 +53,15 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
 
 
-def automaton(seq: list[int], size: int) -> np.ndarray:
-    """Transitions [state, symbol] of the suffix automaton of seq; 0 (the root) where there is none."""
+Table = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def automaton(seq: list[int], size: int, most: int = TABLE_BYTES) -> Table:
+    """Transitions of the suffix automaton of seq over symbols below size; 0 (the root) where there is none.
+
+    Those of the first symbols, as many as fit in `most` bytes, are an array [state, symbol]; beside it are the others' sorted keys
+    (state * size + symbol), their targets, and size.
+    """
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in seq:
@@ -80,9 +87,30 @@ def automaton(seq: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.zeros((len(nexts), size), np.int32)
-    for s, d in enumerate(nexts):
-        out[s, list(d)] = list(d.values())
+    count = np.array([len(d) for d in nexts])
+    states = np.repeat(np.arange(len(nexts), dtype=np.int64), count)
+    by = np.fromiter((c for d in nexts for c in d), np.int64, count.sum())
+    to = np.fromiter((t for d in nexts for t in d.values()), np.int32, count.sum())
+    width = max(1, min(size, most // (4 * len(nexts))))
+    dense, near = np.zeros((len(nexts), width), np.int32), by < width
+    dense[states[near], by[near]] = to[near]
+    keys, to = (states * size + by)[~near], to[~near]
+    order = np.argsort(keys)
+    return dense, keys[order], to[order], size
+
+
+def step(table: Table, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Where each state goes with its symbol."""
+    dense, keys, targets, size = table
+    width = dense.shape[1]
+    if width == size or not len(c) or c.max() < width:
+        return dense.ravel()[state * width + c]
+    out, far = np.zeros(len(c), np.int32), c >= width
+    out[~far] = dense.ravel()[state[~far] * width + c[~far]]
+    if len(keys):
+        sought = state[far] * size + c[far]
+        at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+        out[far] = np.where(keys[at] == sought, targets[at], 0)
     return out
 
 
@@ -90,13 +118,15 @@ def _load(model: str) -> tuple:
     """Languages, code point to symbol, and for each language its automaton and bits per phrase."""
     texts = json.loads(model)
     codes = {lang: symbols([t])[0][:SAMPLE_SYMBOLS] for lang, t in texts.items()}
-    known = np.unique(np.concatenate([*codes.values(), np.zeros(1, np.uint32)]))[:255]
-    to = np.full(0x110000, min(len(known), 255), np.uint8)  # the last symbol: letters not seen, in no transition
+    known, times = np.unique(np.concatenate([*codes.values(), np.zeros(1, np.uint32)]), return_counts=True)
+    known = known[np.argsort(-times, kind="stable")]
+    to = np.full(0x110000, len(known), np.uint32)  # the last symbol: letters not seen, in no transition
     to[known] = np.arange(len(known))
-    return list(texts), to, [(automaton(to[c].tolist(), len(known) + 1), math.log2(max(2, len(c)))) for c in codes.values()]
+    most = TABLE_BYTES // max(1, len(codes))
+    return list(texts), to, [(automaton(to[c].tolist(), len(known) + 1, most), math.log2(max(2, len(c)))) for c in codes.values()]
 
 
-def phrases(seq: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
+def phrases(seq: np.ndarray, offsets: np.ndarray, table: Table) -> np.ndarray:
     """Phrases of each text's cross parsing. All segments step together, longest first, so that each step is a few array operations."""
     lengths = np.diff(offsets)
     per = -(-lengths // SEGMENT)
@@ -106,28 +136,28 @@ def phrases(seq: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarr
     size = np.minimum(SEGMENT, offsets[1:][owner] - start)
     order = np.argsort(-size, kind="stable")
     start, size, owner = start[order], size[order], owner[order]
-    width = table.shape[1]
-    flat, root = table.ravel(), table[0]
     state, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
     active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
     for t, n in enumerate(active.tolist()):
-        c = seq[start[:n] + t]
-        to = flat[state[:n] * width + c]
+        c = seq[start[:n] + t].astype(np.int64)
+        to = step(table, state[:n], c)
         fails = to == 0
         count[:n] += fails | (state[:n] == 0)  # a phrase begins; a symbol that is in no phrase is one by itself
-        state[:n] = np.where(fails, root[c], to)
+        if fails.any():
+            to[fails] = step(table, np.zeros(fails.sum(), np.int64), c[fails])
+        state[:n] = to
     return np.bincount(owner, count, len(lengths)).astype(np.int64)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> str:
-    """The model: a bounded sample of the text of each language (SAMPLE_DOCS, SAMPLE_SYMBOLS, MAX_LANGS), by least text hash."""
+    """The model: a bounded sample of the text of each language (SAMPLE_DOCS, SAMPLE_SYMBOLS), by least text hash."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    kept = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang", "texts")
+    kept = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"))
     # the least hashes are among those below a share that holds some three times as many texts; copies of a text meet before they move
     below = F.pmod("h", F.lit(1 << 30)) * F.col("texts") < F.lit(float((3 * SAMPLE_DOCS + 64) << 30))
     # a document counts with its first SAMPLE_SYMBOLS characters at most, so that the sample's size is bounded
-    rows = rows.join(F.broadcast(kept), "lang").where(below).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_SYMBOLS)).alias("text"))
+    rows = rows.join(kept, "lang").where(below).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_SYMBOLS)).alias("text"))
     best = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
     least = rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= SAMPLE_DOCS)
     so_far = F.sum(F.length("text")).over(best.rowsBetween(Window.unboundedPreceding, -1))

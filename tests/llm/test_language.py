@@ -73,3 +73,23 @@ def test_training_is_bounded_and_blind(spark, monkeypatch):
 def test_stage(spark, odd):
     out = G.stage(spark, odd, "")
     assert out.columns == odd.columns and out.where("text is null or doc_id = 8").count() == 0 and out.where("doc_id in (1, 6, 12)").count() == 4
+
+
+def test_scripts_of_thousands_of_letters(spark):
+    """Two languages of 300 Chinese signs each, and a script never learned; more languages than 64."""
+    rng = random.Random(5)
+    signs = {"p": range(0x4E00, 0x4F2C), "q": range(0x6000, 0x612C)}
+    words = {k: ["".join(chr(rng.choice(v)) for _ in range(2)) for _ in range(80)] for k, v in signs.items()}
+    rows = [(i, "".join(rng.choice(words["pq"[i % 2]]) for _ in range(60)), "pq"[i % 2]) for i in range(80)]
+    rows += [(1000 + 3 * i + j, f"{chr(0xAC00 + 2 * i)}{chr(0xAC01 + 2 * i)}" * 9, f"r{i:02}") for i in range(70) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    new = spark.createDataFrame([(-1, "".join(chr(rng.randrange(0x8000, 0x8400)) for _ in range(200)), None), (-2, rows[-1][1], "r69"), (-3, rows[-211][1], rows[-211][2])], docs.schema)
+    got = {r.doc_id: r for r in G.predict(docs.unionByName(new), G.fit(docs), also=("lang",)).collect()}
+    assert all(r.lang == r.lang_pred for i, r in got.items() if i != -1) and got[-1].rate == 1
+
+
+def test_sparse_transitions():
+    rng = random.Random(6)
+    seq, new = [rng.randrange(9) for _ in range(500)], np.array([rng.randrange(10) for _ in range(900)])
+    offsets = np.array([0, 0, 7, 600, 900])
+    assert G.phrases(new, offsets, G.automaton(seq, 10, 0)).tolist() == G.phrases(new, offsets, G.automaton(seq, 10)).tolist()
