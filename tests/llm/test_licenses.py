@@ -35,7 +35,7 @@ def test_base_columns(spark):
     ("the river was wide", []), ("distributed under the boost software license", ["boost"]), ("licensed under the mozilla public license and released under the mit license", ["mpl", "mit"]),
 ])
 def test_rules(words, labels):
-    assert [d[2] for d in L.detected(words)] == labels
+    assert [d[2] for d in L.detected(words, L.word_ends(words))] == labels
 
 
 def test_there_are_hundreds_of_rules_and_gates_lose_none():
@@ -45,7 +45,8 @@ def test_there_are_hundreds_of_rules_and_gates_lose_none():
 
 
 def test_containment():
-    kept = L.detected("licensed under the gnu affero general public license version 3")
+    words = "licensed under the gnu affero general public license version 3"
+    kept = L.detected(words, L.word_ends(words))
     assert [(k[0], k[1], k[2]) for k in kept] == [(0, 10, "agpl")]
 
 
@@ -109,3 +110,31 @@ def test_gates_lose_nothing_that_a_rule_matches():
 ])
 def test_names_and_versions_alone(spark, text, labels):
     assert L.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().labels == labels
+
+
+def test_many_phrases_in_one_text(spark):
+    """Work is in proportion to the matches: places, containment and covered words alike."""
+    text = "mit license " * 16_000
+    row = L.scan(spark.createDataFrame([(1, text), (2, "CC - BY, " * 9)], "doc_id int, text string")).orderBy("doc_id").collect()[0]
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == base(text)[:4] and row.labels == "mit"
+
+
+def test_uncontained_against_all_pairs():
+    rng = random.Random(1)
+    for _ in range(300):
+        found = [(rng.randrange(3), a := rng.randrange(30), a + 1 + rng.randrange(9)) for _ in range(25)]
+        found.sort(key=lambda f: (f[0], f[1] - f[2], f[1]))
+        kept = []
+        for f in found:
+            if not any(k[1] <= f[1] and f[2] <= k[2] for k in kept):
+                kept.append(f)
+        assert L.uncontained(found) == kept
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2.0-or-later"),
+    ("https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa-4.0"), ("GPL with Classpath exception", "classpath-exception"), ("Neither the name of X nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+    ("Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements", "apache-2.0"), ("under the same terms as Perl itself", "perl"), ("For evaluation purposes only", "evaluation"),
+])
+def test_notices(spark, text, label):
+    assert label in L.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().labels.split(",")
