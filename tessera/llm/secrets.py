@@ -3,15 +3,17 @@
 Base kinds are three patterns (assign, access, hex). The method adds kind `random`: tokens of TOKEN characters or more that
 mix letters and digits. For each an encoding is inferred (hex, base32, base36, base62, base64) and tested for randomness over
 that alphabet: Pearson's chi-squared for uniform symbols, runs above and below the alphabet's middle, and serial correlation
-of neighbouring symbols. A token that fails one of them at level UNIFORM (Bonferroni over the three) has structure and is left.
+of neighbouring symbols. The least of the three p-values, times three, is the battery's.
 
-Whether it could be ordinary text is the hypothesis to reject: there, neighbouring characters change class (digit, lower,
-upper, other) with probability ORDINARY at most, so k changes in n - 1 places have p <= exp(-(n - 1) KL(k / (n - 1) | ORDINARY))
-(Chernoff). p falls with length, and the Benjamini-Hochberg step at level FDR runs within each length class over the tokens
-of the whole table, by counts in bins of p; the bin's upper edge stands for its p.
+Both of a token's hypotheses are decided by the Benjamini-Hochberg step, within its length class and over the tokens of the whole
+table. The battery rejects "it is random" at level STRUCTURED: such a token has structure and is left, and of those left so at
+most that share are random ones. "It is ordinary text" is a runs test too, of character classes: in ordinary text neighbouring
+characters change class (digit, lower, upper, other) with probability ORDINARY at most, so k changes in n - 1 places have
+p <= exp(-(n - 1) KL(k / (n - 1) | ORDINARY)) (Chernoff). It must be rejected at level FDR for a token to be found. p-values are
+counted in bins; the bin's upper edge stands for its p.
 
 Everything is DataFrame functions. Spans are code points, end exclusive. Places come from cutting the text at the matches:
-gaps and matches in turn give all starts. Defined results: null and empty texts have no spans. Rows are scanned each on
+gaps and matches in turn give all starts, added up in chunks of CHUNK matches and then over the chunks. Defined results: null and empty texts have no spans. Rows are scanned each on
 its own, other columns are ignored, an empty table gives an empty result.
 """
 
@@ -30,9 +32,10 @@ KINDS = ("assign", "access", "hex", "random")
 
 TOKEN = 20
 RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{%d,}" % TOKEN
-UNIFORM = 0.001
+STRUCTURED = 0.01
 ORDINARY = 0.1
 FDR = 0.01
+CHUNK = 128
 CLASSES = (20, 28, 40, 64)  #: least lengths of the length classes
 BINS_PER_DECADE, MOST_BIN = 4, 1200
 
@@ -48,15 +51,19 @@ ENCODINGS = [  # name, pattern of the whole token, alphabet
 ]
 
 
+def bound(x: Column, f) -> Column:
+    """f(x), x computed once however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches, leftmost and non-overlapping: array of (start, end, matched: the length of the group)."""
     p = F.lit(pattern)
     rows = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
         F.transform(F.regexp_extract_all(text, p, F.lit(0)), F.length).alias("whole"),
-        F.transform(F.regexp_extract_all(text, p, F.lit(group)), lambda m: m).alias("group"),
+        F.regexp_extract_all(text, p, F.lit(group)).alias("group"),
     )
-    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,matched:string>>)").alias("out"))
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
@@ -64,7 +71,11 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["group"].alias("matched")))
         return F.struct(end.alias("at"), F.when(x["whole"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    return F.aggregate(rows, first, step, lambda acc: acc["out"])
+    chunks = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK)), lambda j: F.slice(r, (j * CHUNK + 1).cast("int"), F.lit(CHUNK)))
+    length = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(x["whole"], F.lit(0)))
+    starts = lambda cs: F.aggregate(cs, F.array(F.lit(0)), lambda at, c: F.concat(at, F.array(F.element_at(at, -1) + length(c))))
+    within = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none().alias("out")), step, lambda acc: acc["out"])
+    return bound(rows, lambda r: bound(chunks(r), lambda cs: F.flatten(F.zip_with(cs, F.slice(starts(cs), F.lit(1), F.size(cs)), within))))
 
 
 def none() -> Column:
@@ -81,7 +92,7 @@ def tested(token: Column) -> Column:
     which = F.coalesce(*[F.when(token.rlike(p), F.lit(name)) for name, p, _ in ENCODINGS if p], F.lit(ENCODINGS[-1][0]))
     alphabets = F.create_map(*[F.lit(x) for name, _, alphabet in ENCODINGS for x in (name, alphabet)])
     base = F.struct(F.translate(token, "-_", "+/").alias("t"), F.length(token).alias("n"), which.alias("encoding"), alphabets[which].alias("alphabet"))
-    classes = F.split(F.translate(token, DIGITS + LOWER + UPPER, "d" * 10 + "l" * 26 + "u" * 26), "")
+    classes = F.split(F.translate(token, DIGITS + LOWER + UPPER + "+/-_", "d" * 10 + "l" * 26 + "u" * 26 + "o" * 4), "")
     more = lambda b: F.struct(
         b["n"].cast("double").alias("n"),
         b["encoding"].alias("encoding"),
@@ -108,8 +119,7 @@ def tested(token: Column) -> Column:
         p_ordinary = F.when(rate > ORDINARY, F.exp(-(n - 1) * far)).otherwise(1.0)
         return F.struct(m["encoding"].alias("encoding"), n.cast("int").alias("n"), p_uniform.alias("p_uniform"), p_ordinary.alias("p_ordinary"))
 
-    # each step binds the one before it, so nothing is computed twice
-    return F.transform(F.transform(F.transform(F.array(base), lambda b: b), more), scored)[0]
+    return bound(base, lambda b: bound(more(b), scored))
 
 
 def length_class(n: Column) -> Column:
@@ -142,24 +152,34 @@ def scanned(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return common.cut(rows.withColumn("tokens", F.transform("tokens", lambda x: F.struct(x["start"], x["end"], tested(x["matched"]).alias("test")))))
 
 
-def cutoffs(rows: DataFrame) -> dict[int, int]:
-    """Length class to the least bin of p_ordinary that the Benjamini-Hochberg step accepts; at most one entry per class."""
-    tokens = rows.select(F.explode("tokens.test").alias("t")).select(length_class(F.col("t.n")).alias("c"), bin_of(F.col("t.p_ordinary")).alias("b"))
-    bins = tokens.groupBy("c", "b").agg(F.count("*").alias("k"))
-    as_small = F.sum("k").over(Window.partitionBy("c").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0))
-    bins = bins.withColumn("rank", as_small).withColumn("m", F.sum("k").over(Window.partitionBy("c")))
-    good = bins.where(F.pow(F.lit(10.0), -F.col("b") / BINS_PER_DECADE) <= F.lit(FDR) * F.col("rank") / F.col("m"))
-    return {r.c: r.b for r in good.groupBy("c").agg(F.min("b").alias("b")).collect()}
+def cutoffs(rows: DataFrame) -> dict[str, dict[int, int]]:
+    """For each p-value, length class to the least bin that the Benjamini-Hochberg step rejects; at most one entry per class."""
+    levels = {"p_uniform": STRUCTURED, "p_ordinary": FDR}
+    both = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), bin_of(F.col(f"t.{p}")).alias("b")) for p in levels]))
+    tokens = rows.select(F.explode("tokens.test").alias("t")).select(length_class(F.col("t.n")).alias("c"), both.alias("x"))
+    bins = tokens.groupBy("c", "x.p", "x.b").agg(F.count("*").alias("k"))
+    as_small = F.sum("k").over(Window.partitionBy("c", "p").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0))
+    bins = bins.withColumn("rank", as_small).withColumn("m", F.sum("k").over(Window.partitionBy("c", "p")))
+    level = F.when(F.col("p") == "p_uniform", F.lit(levels["p_uniform"])).otherwise(F.lit(levels["p_ordinary"]))
+    good = bins.where(F.pow(F.lit(10.0), -F.col("b") / BINS_PER_DECADE) <= level * F.col("rank") / F.col("m"))
+    out: dict[str, dict[int, int]] = {p: {} for p in levels}
+    for r in good.groupBy("c", "p").agg(F.min("b").alias("b")).collect():
+        out[r.p][r.c] = r.b
+    return out
+
+
+def rejected(x: Column, p: str, least: dict[int, int]) -> Column:
+    if not least:
+        return F.lit(False)
+    table = F.create_map(*[F.lit(v) for kv in least.items() for v in kv])
+    return F.coalesce(bin_of(x["test"][p]) >= table[length_class(x["test"]["n"])], F.lit(False))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_assign, n_access, n_hex, n_random, base_sha256, spans (kind:start:end, by start, then kind as listed)."""
     rows = scanned(docs, id_col, text)
     least = cutoffs(rows)
-    passes = lambda x: F.lit(False)
-    if least:
-        table = F.create_map(*[F.lit(v) for kv in least.items() for v in kv])
-        passes = lambda x: F.coalesce((bin_of(x["test"]["p_ordinary"]) >= table[length_class(x["test"]["n"])]) & (x["test"]["p_uniform"] >= UNIFORM), F.lit(False))
+    passes = lambda x: rejected(x, "p_ordinary", least["p_ordinary"]) & ~rejected(x, "p_uniform", least["p_uniform"])
     rows = rows.withColumn("random", F.filter("tokens", passes))
     told = lambda kind: F.transform(F.col(kind), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), x["end"].alias("end")))
     names = F.array(*map(F.lit, KINDS))

@@ -1,6 +1,7 @@
 """Operator 7 against regular expressions in Python, and the tests' own figures."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -52,7 +53,7 @@ def test_uniform_tokens_pass_at_the_level(spark):
     rng = random.Random(9)
     rows = [("".join(rng.choice("0123456789abcdef") for _ in range(40)),) for _ in range(2000)]
     t = spark.createDataFrame(rows, "t string").select(S.tested(S.F.col("t")).alias("x")).select("x.*")
-    assert t.where("encoding = 'hex'").count() == 2000 and t.where(f"p_uniform < {S.UNIFORM}").count() < 12
+    assert t.where("encoding = 'hex'").count() == 2000 and t.where(f"p_uniform < 0.001").count() < 12
 
 
 @pytest.mark.parametrize("name", ["odd", "empty"])
@@ -60,3 +61,50 @@ def test_odd_rows(request, name):
     df = request.getfixturevalue(name)
     got = S.scan(df)
     assert got.count() == df.count() and not got.where("base_sha256 is null or spans is null").count()
+
+
+def test_many_matches_in_one_text(spark):
+    """Starts are added up in chunks: more matches than several chunks hold, against regular expressions."""
+    text = "".join(f"token={'ab' * 6}{i % 7} é " for i in range(3 * S.CHUNK + 5)) + "deadbeef" * 3
+    one = S.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    counts, told = base(text)
+    assert ([one.n_assign, one.n_access, one.n_hex], one.base_sha256) == (counts, hashlib.sha256(told.encode()).hexdigest())
+
+
+def battery(t):
+    """The battery's figures of a token, plainly: encoding, p of randomness, p of ordinary text."""
+    name, alphabet = next((n, a) for n, p, a in S.ENCODINGS if re.search(p, t))
+    code, n, a = [alphabet.index(c) for c in t.translate({45: 43, 95: 47})], len(t), len(alphabet)
+    chi2 = sum((code.count(k) - n / a) ** 2 / (n / a) for k in range(a))
+    far = 2 / (9 * (a - 1))
+    z = [max(0.0, ((chi2 / (a - 1)) ** (1 / 3) - (1 - far)) / far**0.5)]
+    z.append(abs(sum((x < a / 2) != (y < a / 2) for x, y in zip(code, code[1:], strict=False)) - (n - 1) / 2) / ((n - 1) / 4) ** 0.5)
+    z.append(abs(sum((x - (a - 1) / 2) * (y - (a - 1) / 2) for x, y in zip(code, code[1:], strict=False)) / ((a * a - 1) / 12) / (n - 1) ** 0.5))
+    p = [0.5 * math.exp(-0.717 * x - 0.416 * x * x) * k for x, k in zip(z, (1, 2, 2), strict=True)]
+    kind = lambda c: "d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o"
+    rate = sum(kind(x) != kind(y) for x, y in zip(t, t[1:], strict=False)) / (n - 1)
+    kl = sum(x * math.log(x / e) for x, e in ((rate, S.ORDINARY), (1 - rate, 1 - S.ORDINARY)) if x > 0)
+    return name, min(1.0, 3 * min(p)), math.exp(-(n - 1) * kl) if rate > S.ORDINARY else 1.0
+
+
+def test_battery_and_false_discovery_against_plain(spark):
+    rng = random.Random(11)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters = string.ascii_letters + string.digits
+    tokens = [pick(a, rng.randint(20, 80)) + "a1" for a in ("0123456789abcdef", letters, letters + "+/-_", string.ascii_lowercase + string.digits) for _ in range(40)]
+    tokens += [w for k in range(60) for w in ("chapter%dintroductiontoeverything" % k, "a1" * (10 + k % 20), "XyZ0" * (6 + k % 9))]
+    rows = {r.i: r for r in spark.createDataFrame(list(enumerate(tokens)), "i int, t string").select("i", S.tested(S.F.col("t")).alias("x")).select("i", "x.*").collect()}
+    figures = [battery(t) for t in tokens]
+    for i, (name, uniform, ordinary) in enumerate(figures):
+        assert rows[i].encoding == name and math.isclose(rows[i].p_uniform, uniform, rel_tol=1e-9, abs_tol=1e-300) and math.isclose(rows[i].p_ordinary, ordinary, rel_tol=1e-9), tokens[i]
+    bins = lambda p: min(S.MOST_BIN, math.floor(-math.log10(max(p, 1e-300)) * S.BINS_PER_DECADE))
+    cls = [max(c for c in S.CLASSES if len(t) >= c) for t in tokens]
+    ok = [True] * len(tokens)
+    for which, level in ((1, S.STRUCTURED), (2, S.FDR)):
+        for c in S.CLASSES:
+            own = sorted((10 ** (-bins(figures[i][which]) / S.BINS_PER_DECADE), i) for i in range(len(tokens)) if cls[i] == c)
+            most = max((p for k, (p, _) in enumerate(own, 1) if p <= level * k / len(own)), default=-1)
+            for p, i in own:
+                ok[i] &= (p <= most) == (which == 2)
+    got = {r.doc_id: r.n_random for r in S.scan(spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens)], "doc_id int, text string")).collect()}
+    assert [got[i] for i in range(len(tokens))] == [int(x) for x in ok] and 60 < sum(ok) < len(tokens) - 60
