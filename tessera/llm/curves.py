@@ -3,11 +3,13 @@
 Each of CURVES curves projects the vectors on DIMS random directions, shifts the grid by a random amount and orders the
 vectors by their Hilbert key. Keys are range-partitioned; each vector's position on a curve is its partition's offset and
 its place there. A query meets the vectors at most `window` positions from its own, curve by curve, in blocks of BLOCK
-positions; each block reranks them by exact distance, and the best of all blocks and curves are merged.
+positions; each block reranks them by exact distance, and the best of all blocks and curves are merged. Only vectors of the window
+are compared: queries go in groups of neighbours on the curve, each with the slice of the block that its windows cover.
 
 The window is WINDOW of all different vectors (LEAST_WINDOW at least): on vectors without any cluster structure, as the
 driver's are, a fixed window loses recall as the table grows, and this share holds it above 0.9 at every size (tests and
-README have figures). Clustered tables can do with less; it is a parameter.
+README have figures). All curves together then compare a query with about as many vectors as there are: no index saves work on
+such vectors. Clustered tables can do with far less, so the window is a parameter, a share or (above 1) a number of positions.
 
 Vectors equal in every component form one class; one of each class is on the curves, and its eleven least ids stand for
 it in results, which is all that ten neighbours can need. Defined results: vectors that are null, zero, hold a null or
@@ -27,6 +29,7 @@ from . import common
 CURVES, DIMS, BITS = 24, 8, 7
 WINDOW, LEAST_WINDOW = 0.02, 64
 BLOCK = 4096
+GROUP = 16  #: queries compared at once
 SAMPLE = 4096
 SEED = 11
 
@@ -90,7 +93,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     members = members.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1).drop("n").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "id")
     sample = [r.v for r in reps.orderBy("h1", "h2").select("v").limit(SAMPLE).collect()]
     dim = len(sample[0]) if sample else 1
-    width = max(LEAST_WINDOW, int(np.ceil(window * total)))
+    width = max(LEAST_WINDOW, int(np.ceil(window * total))) if window <= 1 else int(window)
     grids = []
     for c in range(CURVES):
         to, shift = directions(dim, c)
@@ -112,35 +115,40 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     parts = dealt.groupBy("curve", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     parts = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     placed = dealt.join(parts, ["curve", "part"]).select("rep", "curve", (F.col("base") + F.col("at") - F.col("first")).alias("pos"))
-    placed = placed.join(reps.select("rep", "v", "asks"), "rep")
+    placed = placed.join(reps.select("rep", "low", "v", "asks"), "rep")
     block = lambda p: F.floor(p / BLOCK)
-    data = placed.select("curve", block(F.col("pos")).alias("block"), F.lit(0).alias("asks"), "pos", "rep", "v")
+    data = placed.select("curve", block(F.col("pos")).alias("block"), F.lit(0).alias("asks"), "pos", "rep", "low", "v")
     asked = placed.where("asks = 1").withColumn("block", F.explode(F.sequence(block(F.greatest(F.lit(0), F.col("pos") - width)), block(F.least(F.lit(max(total - 1, 0)), F.col("pos") + width)))))
-    units = data.unionByName(asked.select("curve", "block", F.lit(1).alias("asks"), "pos", "rep", "v"))
+    units = data.unionByName(asked.select("curve", "block", F.lit(1).alias("asks"), "pos", "rep", "low", "v"))
 
     def near(batches):
         held: list[pa.RecordBatch] = []
 
         def done():
             t = pa.Table.from_batches(held)
-            asks, pos, rep = (t.column(c).to_numpy() for c in ("asks", "pos", "rep"))
+            asks, pos, rep, low = (t.column(c).to_numpy() for c in ("asks", "pos", "rep", "low"))
             x = np.array(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), kind).astype(np.float64).reshape(len(t), dim)
-            here, qs = asks == 0, np.flatnonzero(asks == 1)
-            cand, at, ids = x[here], pos[here], rep[here]
+            n = int(np.searchsorted(asks, 1))  # vectors of the block come first, both they and the queries by position
+            cand, at, ids, lows = x[:n], pos[:n], rep[:n], low[:n]
             squares = (cand**2).sum(1)
             out = [[], [], []]
-            for lo in range(0, len(qs), 256):
-                q = qs[lo : lo + 256]
-                rough = squares - 2 * x[q] @ cand.T
-                rough[np.abs(at[None] - pos[q][:, None]) > width] = np.inf
-                m = min(k + 8, len(cand))
-                best = np.argpartition(rough, m - 1, axis=1)[:, :m] if len(cand) else np.zeros((len(q), 0), int)
-                for row, (i, b) in enumerate(zip(q, best, strict=True)):
-                    b = b[np.isfinite(rough[row, b])]
+            for lo in range(n, len(t), GROUP) if n else ():
+                q = np.arange(lo, min(lo + GROUP, len(t)))
+                begin, end = np.searchsorted(at, pos[q[0]] - width), np.searchsorted(at, pos[q[-1]] + width, "right")
+                rough = squares[begin:end] - 2 * x[q] @ cand[begin:end].T
+                rough[np.abs(at[None, begin:end] - pos[q][:, None]) > width] = np.inf
+                m = min(k + 1, end - begin)
+                if m <= 0:
+                    continue
+                worst = np.partition(rough, m - 1, axis=1)[:, m - 1]
+                for row, i in enumerate(q.tolist()):
+                    # all that are as near as the m-th, but for rounding; then the m of least exact distance, ties by the class's least id
+                    b = begin + np.flatnonzero((rough[row] <= worst[row] + 1e-9 * (squares[begin:end].max() + x[i] @ x[i])) & np.isfinite(rough[row]))
                     d = np.sqrt(((cand[b] - x[i]) ** 2).sum(1))
-                    out[0] += [rep[i]] * len(b)
-                    out[1] += ids[b].tolist()
-                    out[2] += d.tolist()
+                    first = np.lexsort((lows[b], d))[:m]
+                    out[0] += [rep[i]] * len(first)
+                    out[1] += ids[b[first]].tolist()
+                    out[2] += d[first].tolist()
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["q", "rep", "d"])
 
         for batch in batches:
@@ -157,7 +165,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         if held:
             yield done()
 
-    found = common.arrow(units.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks"), near, "q long, rep long, d double")
+    found = common.arrow(units.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks", "pos"), near, "q long, rep long, d double")
     found = found.groupBy("q", "rep").agg(F.min("d").alias("d")).join(members, "rep")  # the classes found, with the ids that stand for them
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("n") <= k + 1).select("q", "d", "id")
     asking = rows.where(is_query(F.col("id"))).select("h1", "h2", F.col("id").alias("query_id")).distinct().join(reps.select("h1", "h2", F.col("rep").alias("q")), ["h1", "h2"]).select("q", "query_id")

@@ -64,3 +64,19 @@ def test_windows_cross_partitions(spark):
     x = np.random.default_rng(3).normal(size=(500, 6))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(7)
     assert run(df, window=1.0) == {i: rows for i, rows in brute(np.arange(500), x, range(0, 500, 20)).items()}
+
+
+def test_ties_of_different_vectors(spark):
+    """All other one-hot vectors are equally far: the smallest ids win, whatever block they are met in."""
+    df = spark.createDataFrame([(i, [float(i == j) for j in range(1, 201)]) for i in range(1, 201)], "vec_id long, embedding array<float>").repartition(3)
+    for i, rows in run(df).items():
+        assert [a for a, _ in rows] == [j for j in range(1, 12) if j != i][:10]
+
+
+def test_fixed_window(spark):
+    """A window above 1 is a number of positions; clustered vectors need few."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(3000, 16)) / 10 + rng.normal(size=(150, 16))[rng.integers(0, 150, 3000)]).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = run(df, window=40), brute(np.arange(3000), x, range(0, 3000, 20))
+    assert sum(len({a for a, _ in got[i]} & {a for a, _ in want[i]}) for i in want) >= 0.9 * 10 * len(want)
