@@ -4,13 +4,16 @@ Lines are hashed, those of fewer than five words together with the line before t
 documents is shared, and the document of least id that has it is its owner. So have runs of 2, 4, 8, ... neighbouring shared lines each
 their owner, the first document that holds the run; a passage is covered by two runs of its longest scale, so its holder is found
 though others own its lines. A later document is paired with the owners of its shared lines and runs (one row for
-each document, line and scale, never a pair of all holders), and the two are aligned with patience diff: lines that
-occur once in both are anchors, the longest increasing run of them is kept, and matches grow from the anchors over
-equal neighbours. What any of a document's alignments takes is pooled, and blocks (runs of neighbouring lines) of
-MIN_WORDS words or more are deleted, and shorter ones that hold a line of LINE_WORDS words or more which COMMON_DOCS documents or
-more share. Other short blocks, of rare or very short lines, stay. Each owner is aligned once, so of two blocks that changed places against it only one is taken there.
-Where all of a document's shared lines have MIN_WORDS words or more, each of them is a block by itself and only the lines' owners are
-aligned: such a line stays if it changed places against its owner, even where another document holds it in a like passage.
+each document, line and scale, never a pair of all holders), those first whose rarest line has the fewest holders; an owner
+none of whose lines is left to take is passed over. The two documents' shared lines are aligned with patience diff: what
+they begin and end with alike is matched, lines that occur once in both are anchors, the longest increasing run of anchors
+is kept, and the stretches between them are aligned in the same way, where lines may be unique that are not so in the whole.
+A stretch without any such line matches the n-th occurrence with the n-th, the longest increasing run of these.
+
+What any of a document's alignments takes is pooled, and blocks (runs of neighbouring lines) of MIN_WORDS words or more are
+deleted, and shorter ones that hold a line of LINE_WORDS words or more which COMMON_DOCS documents or more share. Other short
+blocks, of rare or very short lines, stay. Each owner is aligned once, so of two blocks that changed places against it only one is taken there.
+A row of a document and line holds the line's places in both documents, so an alignment reads no more than the two documents' lines.
 
 Defined results: null and empty texts have one empty line and lose none. Lines are compared after trimming outer
 white space. Rows of null id take no part and stay. Rows that repeat an id count as one document of that id, later
@@ -67,22 +70,34 @@ def increasing(at: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(mine: dict[int, int], theirs: dict[int, list[int]], lines: dict[int, list[int]]) -> set[int]:
-    """Positions of mine (position to line) aligned with theirs (line to positions); lines: line to my positions."""
-    once = sorted((at[0], theirs[line][0]) for line, at in lines.items() if len(at) == 1 and len(theirs[line]) == 1)
-    pairs = [once[i] for i in increasing([b for _, b in once])]
-    if not pairs:  # no line is unique in both: the first occurrences serve as anchors
-        first = sorted((at[0], theirs[line][0]) for line, at in lines.items())
-        pairs = [first[i] for i in increasing([b for _, b in first])]
-    where = {b: line for line, at in theirs.items() for b in at}
-    taken, used = {a for a, _ in pairs}, {b for _, b in pairs}
-    for step in (1, -1):
-        for a, b in pairs if step == 1 else reversed(pairs):
-            a, b = a + step, b + step
-            while a in mine and a not in taken and b not in used and where.get(b) == mine[a]:
-                taken.add(a)
-                used.add(b)
-                a, b = a + step, b + step
+def patience(mine: list[tuple[int, int]], theirs: list[tuple[int, int]]) -> set[int]:
+    """Positions of mine aligned with theirs; both are (position, line) in order of position."""
+    taken: set[int] = set()
+    stretches = [(0, len(mine), 0, len(theirs))]
+    while stretches:
+        a, a_end, b, b_end = stretches.pop()
+        while a < a_end and b < b_end and mine[a][1] == theirs[b][1]:
+            taken.add(mine[a][0])
+            a, b = a + 1, b + 1
+        while a < a_end and b < b_end and mine[a_end - 1][1] == theirs[b_end - 1][1]:
+            taken.add(mine[a_end - 1][0])
+            a_end, b_end = a_end - 1, b_end - 1
+        if a == a_end or b == b_end:
+            continue
+        here: dict[int, list[int]] = {}
+        there: dict[int, list[int]] = {}
+        for at, seq, lo, hi in ((here, mine, a, a_end), (there, theirs, b, b_end)):
+            for i in range(lo, hi):
+                at.setdefault(seq[i][1], []).append(i)
+        pairs = sorted((at[0], there[line][0]) for line, at in here.items() if len(at) == 1 and len(there.get(line, ())) == 1)
+        recurse = bool(pairs)
+        if not recurse:
+            pairs = sorted(pair for line, at in here.items() for pair in zip(at, there.get(line, ()), strict=False))
+        pairs = [pairs[i] for i in increasing([j for _, j in pairs])]
+        taken.update(mine[i][0] for i, _ in pairs)
+        if recurse:
+            ends = [(a - 1, b - 1), *pairs, (a_end, b_end)]
+            stretches += [(i + 1, i2, j + 1, j2) for (i, j), (i2, j2) in zip(ends, ends[1:], strict=False) if i + 1 < i2 and j + 1 < j2]
     return taken
 
 
@@ -97,26 +112,32 @@ def diagonals(runs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 
 def deleted(rows: list[tuple]) -> list[int]:
-    """Positions that one document loses. rows: (pos, scale, words, line, holders, owner, the owner's positions); words, line and holders where scale is 0."""
-    line, words = {r[0]: r[3] for r in rows if r[1] == 0}, {r[0]: r[2] for r in rows if r[1] == 0}
-    common_ones = {r[0] for r in rows if r[1] == 0 and r[2] >= LINE_WORDS and r[4] >= COMMON_DOCS}
-    theirs: dict[int, dict[int, set[int]]] = {}  # owner, my position, its positions
+    """Positions that one document loses. rows: (scale, words, line, holders, owner, my positions, the owner's); words, line and holders where scale is 0."""
+    line: dict[int, int] = {}
+    words: dict[int, int] = {}
+    holders: dict[int, int] = {}
+    common_ones: set[int] = set()
+    here: dict[int, set[int]] = {}  # owner, my positions
+    there: dict[int, dict[int, int]] = {}  # owner, its position, the line there
     runs: dict[int, list[tuple[int, int, int]]] = {}
-    for pos, scale, _, _, _, owner, at in rows:
-        if scale == 0:
-            theirs.setdefault(owner, {})[pos] = set(at)
-        else:
-            runs.setdefault(owner, []).append((pos, 1 << scale, at[0]))
-    for owner, found in runs.items() if any(n < MIN_WORDS for n in words.values()) else ():
+    for scale, n, key, count, owner, mine, theirs in rows:
+        if scale:
+            runs.setdefault(owner, []).extend((p, 1 << scale, q) for p, q in zip(mine, theirs, strict=True))
+            continue
+        for p in mine:
+            line[p], words[p], holders[p] = key, n, count
+        if n >= LINE_WORDS and count >= COMMON_DOCS:
+            common_ones.update(mine)
+        here.setdefault(owner, set()).update(mine)
+        there.setdefault(owner, {}).update(dict.fromkeys(theirs, key))
+    for owner, found in runs.items():
         for p, q in diagonals(found):
-            theirs.setdefault(owner, {}).setdefault(p, set()).add(q)
+            here.setdefault(owner, set()).add(p)
+            there.setdefault(owner, {})[q] = line[p]
     gone: set[int] = set()
-    for of in theirs.values():
-        mine, places, lines = {p: line[p] for p in of}, {}, {}
-        for p in sorted(of):
-            lines.setdefault(line[p], []).append(p)
-            places.setdefault(line[p], set()).update(of[p])
-        gone |= patience(mine, {x: sorted(at) for x, at in places.items()}, lines)
+    for _, owner in sorted((min(holders[p] for p in of), owner) for owner, of in here.items()):
+        if not here[owner] <= gone:
+            gone |= patience([(p, line[p]) for p in sorted(here[owner])], sorted(there[owner].items()))
     out, block = [], []
     for p in [*sorted(gone), None]:
         if block and (p is None or p != block[-1] + 1):
@@ -188,15 +209,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     owners = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("o"), F.max("doc").alias("latest"), F.count("*").alias("holders"))
     # written, so that the join below has a shuffle of its own and a line with very many holders can be split
     owners = common.cut(owners.where("o.doc < latest").select("h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs"), "holders"))
-    shared = common.cut(lines.join(owners, ["h1", "h2"]).select("doc", "text_hash", "h1", "h2", F.explode("at").alias("pos"), "words", "holders", "owner", F.when(F.col("doc") > F.col("owner"), F.col("theirs")).alias("theirs")))
-    runs = common.cut(runs_of(shared).groupBy("scale", "h1", "h2", "doc", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("at")))
+    shared = common.cut(lines.join(owners, ["h1", "h2"]).select("doc", "text_hash", "h1", "h2", "at", "words", "holders", "owner", F.when(F.col("doc") > F.col("owner"), F.col("theirs")).alias("theirs")))
+    runs = common.cut(runs_of(shared.withColumn("pos", F.explode("at"))).groupBy("scale", "h1", "h2", "doc", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("at")))
     first = runs.groupBy("scale", "h1", "h2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("o"), F.max("doc").alias("latest"))
     first = common.cut(first.where("o.doc < latest").select("scale", "h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs")))
     # a run is held against one of the owner's, the n-th against the n-th
-    nth = F.get("theirs", F.least("i", F.size("theirs") - 1))
-    longer = runs.join(first, ["scale", "h1", "h2"]).where("doc > owner").select("doc", "text_hash", "scale", "owner", "theirs", F.posexplode("at").alias("i", "pos"))
-    longer = longer.select("doc", "text_hash", "pos", "scale", F.lit(0).alias("words"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("holders"), "owner", F.array(nth).alias("theirs"))
-    matches = shared.where("doc > owner").select("doc", "text_hash", "pos", F.lit(0).alias("scale"), "words", "h1", "holders", "owner", "theirs").unionByName(longer)
+    nth = F.transform("at", lambda _, i: F.get("theirs", F.least(i, F.size("theirs") - 1)))
+    longer = runs.join(first, ["scale", "h1", "h2"]).where("doc > owner").select("doc", "text_hash", "scale", F.lit(0).alias("words"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("holders"), "owner", F.col("at").alias("mine"), nth.alias("theirs"))
+    matches = shared.where("doc > owner").select("doc", "text_hash", F.lit(0).alias("scale"), "words", "h1", "holders", "owner", F.col("at").alias("mine"), "theirs").unionByName(longer)
 
     def run(batches):
         held: list = []
@@ -206,7 +226,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
         for batch in batches:
             out = []
-            for r in zip(*(batch.column(n).to_pylist() for n in ("doc", "text_hash", "pos", "scale", "words", "h1", "holders", "owner", "theirs")), strict=True):
+            for r in zip(*(batch.column(n).to_pylist() for n in ("doc", "text_hash", "scale", "words", "h1", "holders", "owner", "mine", "theirs")), strict=True):
                 if held and held[0][:2] != r[:2]:
                     out += done()
                     held.clear()

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tessera.llm import line_dedup as L
 
 
@@ -13,21 +15,61 @@ def run(spark, rows):
     return {r.doc_id: r for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
 
+def aligned(a, b):
+    """Patience diff by its definition, on lists of (position, line)."""
+    if not a or not b:
+        return set()
+    if a[0][1] == b[0][1]:
+        return {a[0][0]} | aligned(a[1:], b[1:])
+    if a[-1][1] == b[-1][1]:
+        return {a[-1][0]} | aligned(a[:-1], b[:-1])
+    place = lambda seq, x: [i for i, (_, y) in enumerate(seq) if y == x]
+    once = [(i, place(b, x)[0]) for i, (_, x) in enumerate(a) if len(place(a, x)) == len(place(b, x)) == 1]
+    each = once or sorted(pair for x in {x for _, x in a} for pair in zip(place(a, x), place(b, x), strict=False))
+    kept = [each[k] for k in L.increasing([j for _, j in each])]
+    out = {a[i][0] for i, _ in kept}
+    for (i, j), (i2, j2) in zip([(-1, -1), *kept], [*kept, (len(a), len(b))], strict=True) if once else ():
+        out |= aligned(a[i + 1 : i2], b[j + 1 : j2])
+    return out
+
+
 def plain(rows):
-    """For documents of long lines in which none repeats: a line goes if an earlier document has it and it lies on the longest common order with its owner."""
-    owner, out = {}, {}
-    for i, t in sorted(rows):
-        for pos, x in enumerate(t.split("\n")):
-            owner.setdefault(x, (i, pos))
-    for i, t in rows:
-        lines, gone = t.split("\n"), set()
-        for o in {owner[x][0] for x in lines} - {i}:
-            at = [(p, owner[x][1]) for p, x in enumerate(lines) if owner[x][0] == o]
-            best = [[]]
-            for p, q in at:
-                best.append(max((b for b in best if not b or b[-1][1] < q), key=len) + [(p, q)])
-            gone |= {p for p, _ in max(best, key=len)}
-        out[i] = len(gone)
+    """How many lines each document loses, by dictionaries of all lines and runs; ids do not repeat."""
+    split = {i: t.split("\n") for i, t in rows}
+    count = lambda x: len(x.split())
+    keys = {i: [(x, ">" if count(x) >= L.LINE_WORDS else "<" + (xs[p - 1] if p else "")) for p, x in enumerate(xs)] for i, xs in split.items()}
+    at = {}
+    for i in sorted(keys):
+        for p, x in enumerate(keys[i]):
+            at.setdefault((x,), {}).setdefault(i, []).append(p)
+    for i in sorted(keys):
+        n = 2
+        while n <= len(keys[i]):
+            for p in range(len(keys[i]) - n + 1):
+                run = tuple(keys[i][p : p + n])
+                if all(len(at[(x,)]) > 1 for x in run):
+                    at.setdefault(run, {}).setdefault(i, []).append(p)
+            n *= 2
+    out = {}
+    for i, xs in split.items():
+        mine, theirs = {}, {}
+        for run, places in at.items():
+            owner = min(places)
+            if i in places and owner < i:
+                for k, p in enumerate(places[i]):
+                    for q in places[owner] if len(run) == 1 else [places[owner][min(k, len(places[owner]) - 1)]]:
+                        for d in range(len(run)):
+                            mine.setdefault(owner, {})[p + d] = theirs.setdefault(owner, {})[q + d] = run[d]
+        gone = set().union(*(aligned(sorted(mine[o].items()), sorted(theirs[o].items())) for o in mine))
+        lost, block = 0, []
+        for p in range(len(xs) + 1):
+            if p in gone:
+                block.append(p)
+                continue
+            common = any(count(xs[q]) >= L.LINE_WORDS and len(at[(keys[i][q],)]) >= L.COMMON_DOCS for q in block)
+            lost += len(block) * (common or sum(count(xs[q]) for q in block) >= L.MIN_WORDS)
+            block = []
+        out[i] = lost
     return out
 
 
@@ -51,11 +93,37 @@ def test_crossed_lines(spark):
     assert run(spark, [(1, a), (2, b)])[2].removed_lines == 3
 
 
-def test_against_plain(spark):
-    rng = random.Random(3)
-    rows = [(i, "\n".join(line(k) for k in rng.sample(range(40), rng.randint(1, 9)))) for i in range(60)]
+def test_between_anchors():
+    """Lines that are unique only between two anchors are aligned there."""
+    pairs = lambda x: list(enumerate(x.split()))
+    assert L.patience(pairs("u r v r w"), pairs("u x r y v z r t w")) == {0, 1, 2, 3, 4}
+    assert L.patience(pairs("a a a b"), pairs("a a c a")) == {0, 1, 2} and L.patience(pairs("a b"), pairs("")) == set()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_patience_against_its_definition(seed):
+    rng = random.Random(seed)
+    a, b = ([(i, rng.randrange(seed % 9 + 1)) for i in range(rng.randrange(25))] for _ in "ab")
+    assert L.patience(a, b) == aligned(a, b)
+
+
+@pytest.mark.parametrize(("lines", "sizes"), [(40, (12,)), (12, (12, 6)), (9, (3, 7, 12)), (4, (1, 5))])
+def test_against_plain(spark, lines, sizes):
+    """Lines that repeat within and across documents, of several lengths."""
+    rng = random.Random(lines)
+    text = [line(k, sizes[k % len(sizes)]) for k in range(lines)]
+    pick = (lambda n: rng.sample(range(lines), min(n, 9))) if lines == 40 else (lambda n: [rng.randrange(lines) for _ in range(n)])
+    rows = [(i, "\n".join(text[k] for k in pick(rng.randint(1, 14)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + "\n" + rows[i + 1][1]) for i in range(0, 60, 3)]
     got, want = run(spark, rows), plain(rows)
-    assert all(got[i].removed_lines == want[i] for i, _ in rows)
+    assert {i: got[i].removed_lines for i, _ in rows} == want
+
+
+def test_equal_lines(spark):
+    """Texts of one line many times: an alignment reads both documents' places once."""
+    texts = ["\n".join([line(0)] * 20_000), "\n".join([line(1), *[line(0)] * 30_000])]
+    got = run(spark, list(enumerate(texts)))
+    assert got[0].removed_lines == 0 and got[1].removed_lines == 20_000
 
 
 def test_common_line_and_many_copies(spark):
