@@ -3,8 +3,11 @@
 Documents of equal shingle sets form one text class (128 bits of set hash). MinHash values of the classes are banded;
 classes that share a band key are chained into clusters, and only clusters meet in tasks: within one, MinHash values
 are compared 16 at a time, a pair is dropped as soon as the posterior probability (uniform prior) that its similarity
-reaches THRESHOLD is below TOLERANCE, and what is left is verified exactly on the shingle sets. A cluster of more than
-BLOCK shingles is dealt to blocks, and each pair of blocks is a unit of its own, so no task sees more than two blocks.
+reaches THRESHOLD is below TOLERANCE, and what is left is verified exactly on the shingle sets. A larger cluster is dealt to
+blocks, and each pair of blocks is a unit of its own, so no task sees more than two blocks. A block holds some
+LEAST_TEXTS texts, or twice the root of the cluster's texts, and LEAST_SHINGLES to MOST_SHINGLES shingles, by a root too: units are
+even, and a text is copied as often as its cluster has blocks, which grows with the root of the cluster's size. (Dealing pairs
+by band instead would copy every text up to BANDS times, and compare a pair in each band that it shares.)
 Links are counted where they are found: pairs never become rows.
 
 With BANDS bands of ROWS values a pair of similarity 0.8 shares no band with probability 5e-6; no bound on partners,
@@ -32,7 +35,8 @@ THRESHOLD = 0.8
 ROWS, BANDS = 6, 40
 TOLERANCE = 1e-6
 STEP = 16
-BLOCK = 100_000  #: shingles in a block of a cluster
+LEAST_TEXTS = 64  #: texts in a block of a cluster
+LEAST_SHINGLES, MOST_SHINGLES = 50_000, 1_000_000  #: shingles in a block; two blocks of the most take some 50 MB
 SEED = 20240229
 
 WORD = re.compile(r"\w+")
@@ -211,7 +215,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     keys = reps.select("rep", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub < most").select("key", "hub")
     clusters = common.cut(common.connected_components(keys.join(hubs, "key").select("rep", "hub"), "rep", "hub"))
-    sizes = reps.select("rep", "n").join(clusters, F.col("rep") == F.col("node")).groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = reps.select("rep", "n").join(clusters, F.col("rep") == F.col("node")).groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    texts_in = F.greatest(F.lit(LEAST_TEXTS), 2 * F.sqrt("m"))
+    shingles_in = F.least(F.lit(MOST_SHINGLES), F.greatest(F.lit(LEAST_SHINGLES), 64 * F.sqrt("s")))
+    sizes = sizes.select("root", F.ceil(F.greatest(F.col("m") / texts_in, F.col("s") / shingles_in)).cast("int").alias("blocks"))
     members = reps.select("rep", "one", "k1", "k2", "copies").join(clusters, F.col("rep") == F.col("node")).join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # one row of each class brings its text; a copy of that row does no harm
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))

@@ -47,7 +47,7 @@ def test_all_links(spark):
 
 
 def test_blocks_of_a_cluster(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 300)  # every cluster is cut into pairs of blocks
+    monkeypatch.setattr(N, "MOST_SHINGLES", 300)  # every cluster is cut into pairs of blocks
     rows = near_copies(80, 5)
     got = {r.doc_id: (r.n_links, r.class_id) for r in N.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i, _ in rows] == list(zip(*exact(rows), strict=True))
