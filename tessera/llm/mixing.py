@@ -1,11 +1,14 @@
 """Operator 9: mixing sources to target weights by a low-discrepancy schedule.
 
-Slot i of the schedule has the point frac(i * golden ratio) (multiplicative form on 32 bits), which the cumulative
-target shares map to a source. Slots are ranked within their source; rank r takes block r mod n of the source's n
-equal-token blocks, cut from its documents in the order of a seeded hash. A source takes no slots beyond its quota.
+Slot i of the schedule has the point frac(i * golden ratio) (multiplicative form on 32 bits, the points of every further 2^31
+slots shifted), which the cumulative target shares map to a source. Slots are ranked within their source; rank r takes block r
+mod n of the source's n equal-token blocks, cut from its documents in the order of a seeded hash. A source takes no slots beyond
+its quota, and one whose points did not fill its quota gets the rest at the end.
 
 Target weights: sources by code point, null last, weigh 3, 1, 2, repeating; they share 150 % of all words; a target
-stops at twice its source's words and the excess goes to the others by weight (water filling).
+stops at twice its source's words and the excess goes to the others by weight, again until none is above.
+Sources may be as many as documents: they are numbered in range partitions, their quotas added up in slices, and each round of
+the sharing is one aggregation over them.
 
 Defined results: null text has 0 words, a document without words is taken 0 times, null source is a source of its
 own. Documents of equal hash are ordered by id and size; full repeats are interchangeable. An empty table gives an
@@ -31,23 +34,47 @@ def size_of(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")
 
 
+def numbered(src: DataFrame) -> DataFrame:
+    """src with source_no, from 0 by code point, null last: the place in its range partition and the rows of the partitions before."""
+    order = F.asc_nulls_last("source")
+    own = src.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    own = common.cut(own)
+    parts = own.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__first"))  # a row per partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.join(F.broadcast(parts.select("__part", "__first", before.alias("__before"))), "__part").withColumn("source_no", F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
+
+
+def level_of(src: DataFrame) -> float:
+    """The words per weight at which the targets, each at most `most`, share SHARE of all words; infinite if all are at most. Each round is one aggregation."""
+    share, weight = src.agg(F.sum("source_size") * F.lit(SHARE), F.sum("w")).first()
+    level, last = (share or 0.0) / (weight or 1.0), -1.0
+    while last < level < float("inf"):
+        above = F.col("most") < level * F.col("w")
+        full, rest = src.agg(F.coalesce(F.sum(F.when(above, F.col("most"))), F.lit(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("w")))).first()
+        last, level = level, (share - full) / rest if rest else float("inf")
+    return max(last, level)
+
+
 def sources_of(sized: DataFrame) -> DataFrame:
-    """One row per source: source, source_no, source_size, n_docs, target, n_blocks, quota (slots). One row is what a source adds to a task here."""
-    src = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    src = src.withColumn("source_no", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1)
+    """One row per source: source, source_no, source_size, n_docs, target, n_blocks, quota (slots)."""
+    src = numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     src = src.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("source_no") % len(WEIGHTS) + 1).cast("int")).cast("double"))
-    src = src.withColumn("most", F.col("source_size") * F.lit(MOST))
-    by = Window.orderBy(F.col("most") / F.col("w"), "source_no")
-    everything = Window.partitionBy()
-    src = src.withColumn("level", (F.sum("source_size").over(everything) * F.lit(SHARE) - F.coalesce(F.sum("most").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    # the first source, by what it can take for its weight, that the level does not fill; from it on all get level * weight
-    src = src.withColumn("level", F.min(F.when(F.col("most") / F.col("w") > F.col("level"), F.struct((F.col("most") / F.col("w")).alias("k"), "source_no", "level"))).over(everything)["level"])
-    src = src.withColumn("target", F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))))
+    src = common.cut(src.withColumn("most", F.col("source_size") * F.lit(MOST)))
+    src = src.withColumn("target", F.least("most", F.lit(level_of(src)) * F.col("w")))
     src = src.withColumn("n_blocks", F.least(F.col("source_size"), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS))).cast("long"))
     src = src.withColumn("quota", F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("n_blocks") / F.greatest(F.col("source_size"), F.lit(1))), F.col("n_blocks") * F.lit(MOST)).cast("long")).otherwise(F.lit(0)).cast("long"))
     return src.select("source", "source_no", "source_size", "n_docs", "target", "n_blocks", "quota")
 
 
+def running(src: DataFrame, value: str) -> DataFrame:
+    """src with `upto`, the sum of value over the sources up to this one: slices of SLICE sources, and a row per slice."""
+    rows = src.withColumn("__slice", F.floor(F.col("source_no") / SLICE))
+    sums = rows.groupBy("__slice").agg(F.sum(value).alias("__n"))
+    sums = sums.select("__slice", F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    within = F.sum(value).over(Window.partitionBy("__slice").orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("upto", within).join(sums, "__slice").withColumn("upto", F.col("upto") + F.col("__base")).drop("__slice", "__base")
+
+
 def placed(sized: DataFrame, src: DataFrame) -> DataFrame:
     """sized with source_no and [start, end), each document's words in its source's shuffled order. Sums run within slices of a source; slice sums join them."""
     rows = sized.join(src.select(F.col("source").alias("s"), "source_no", "source_size", "n_docs", "target", "n_blocks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -62,17 +89,23 @@ def placed(sized: DataFrame, src: DataFrame) -> DataFrame:
 def schedule(src: DataFrame) -> DataFrame:
     """(slot, source_no, epoch, block): which block of which source each slot takes; slots are in the order of training."""
     spark = src.sparkSession
-    total = src.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
-    n = int(total * 1.02) + 64 * 16 if total else 0  # a source reaches its quota a little after the end of an ideal schedule
-    upto = F.sum("quota").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0))
-    spans = src.where("quota > 0").withColumn("hi", upto / F.lit(float(max(total, 1)))).withColumn("lo", F.col("hi") - F.col("quota") / F.lit(float(max(total, 1))))
-    spans = spans.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("source_no")), F.lit(0.0))).select("source_no", "quota", "n_blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.floor(F.col("hi") * CELLS).cast("int"), F.lit(CELLS - 1)))).alias("cell"))
-    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("x", F.pmod(F.pmod("slot", F.lit(1 << 31)) * F.lit(2654435769), F.lit(1 << 32)) / F.lit(float(1 << 32)))
-    slots = slots.withColumn("cell", F.floor(F.col("x") * CELLS).cast("int")).join(spans, "cell").where("lo <= x and x < hi").select("slot", "source_no", "quota", "n_blocks", F.floor(F.col("slot") / SLICE).alias("slice"))
-    counts = slots.groupBy("source_no", "slice").agg(F.count("*").alias("c"))
-    counts = counts.withColumn("base", F.coalesce(F.sum("c").over(Window.partitionBy("source_no").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    total, n_sources = src.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    n = int(total * 1.02) + 64 * 16 if total else 0  # most sources reach their quota a little after the end of an ideal schedule
+    cells, whole = max(CELLS, 4 * n_sources), F.lit(float(max(total, 1)))
+    spans = running(src, "quota").where("quota > 0").withColumn("hi", F.col("upto") / whole).withColumn("lo", (F.col("upto") - F.col("quota")) / whole)
+    spans = spans.select("source_no", "quota", "n_blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))).alias("cell"))
+    point = F.pmod(F.pmod("slot", F.lit(1 << 31)) * F.lit(2654435769), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    shift = F.pmod(F.floor(F.col("slot") / F.lit(1 << 31)) * F.lit(0.7548776662466927), F.lit(1.0))
+    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("x", F.pmod(point + shift, F.lit(1.0)))
+    slots = slots.withColumn("cell", F.floor(F.col("x") * cells)).join(spans, "cell").where("lo <= x and x < hi").select("slot", "source_no", "quota", "n_blocks", F.floor(F.col("slot") / SLICE).alias("slice"))
+    counts = common.cut(slots.groupBy("source_no", "slice").agg(F.count("*").alias("c")))
+    base = counts.withColumn("base", F.coalesce(F.sum("c").over(Window.partitionBy("source_no").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     rank = F.col("base") + F.row_number().over(Window.partitionBy("source_no", "slice").orderBy("slot")) - 1
-    ranked = slots.join(counts, ["source_no", "slice"]).withColumn("rank", rank).where("rank < quota")
+    ranked = slots.join(base, ["source_no", "slice"]).withColumn("rank", rank).where("rank < quota").select("slot", "source_no", "n_blocks", "rank")
+    got = counts.groupBy("source_no").agg(F.sum("c").alias("got"))
+    short = src.join(got, "source_no", "left").withColumn("got", F.least("quota", F.coalesce("got", F.lit(0)))).withColumn("lacking", F.col("quota") - F.col("got"))
+    short = running(short, "lacking").where("lacking > 0").select(F.lit(n).alias("n"), "upto", "lacking", "source_no", "n_blocks", F.posexplode(F.sequence(F.col("got"), F.col("quota") - 1)).alias("i", "rank"))
+    ranked = ranked.unionByName(short.select((F.col("n") + F.col("upto") - F.col("lacking") + F.col("i")).alias("slot"), "source_no", "n_blocks", "rank"))
     return ranked.select("slot", "source_no", F.floor(F.col("rank") / F.col("n_blocks")).alias("epoch"), (F.col("rank") % F.col("n_blocks")).alias("block"))
 
 

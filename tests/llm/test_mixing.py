@@ -76,3 +76,19 @@ def test_odd_rows(spark, odd, empty):
     assert M.mix(empty).count() == 0
     out = M.stage(spark, odd, "")
     assert out.columns == odd.columns and out.groupBy("doc_id", "text").count().where("count > 4").count() == 0
+
+
+def test_many_sources_reach_their_quotas(spark):
+    """A source per few documents: numbers follow code points, and every source gets exactly its quota of blocks."""
+    rng = random.Random(6)
+    rows = [(f"s{i}", rng.choice([1, 2, 7, 40])) for i in range(2000)] + [("big", 300_000), (None, 1000)]
+    src = M.sources_of(spark.createDataFrame(rows, "source string, size long").repartition(5)).cache()
+    held = {r.source: r for r in src.collect()}
+    order = sorted((s for s, _ in rows if s is not None)) + [None]
+    assert [held[s].source_no for s in order] == list(range(len(rows)))
+    want = targets({s: dict(rows)[s] for s in order})
+    assert all(held[s].target == pytest.approx(want[s]) for s in order)
+    slots = M.schedule(src)
+    assert slots.count() == slots.select("slot").distinct().count() == sum(r.quota for r in held.values())
+    got = {r.source_no: r["count"] for r in slots.groupBy("source_no").count().collect()}
+    assert got == {r.source_no: r.quota for r in held.values() if r.quota}
