@@ -7,7 +7,7 @@ of the new token are queued. An entry whose position has meanwhile changed is st
 however long the pre-token is.
 
 Texts are cut at spaces that have no other white space beside them: there the pattern always ends a match, so pieces
-between such spaces are encoded once and remembered, in a bounded memory that is emptied when full.
+between such spaces are encoded once and remembered, in a bounded memory whose older half goes when it is full.
 
 Defined results: a null text counts as empty and has no ids; every row is encoded on its own, repeats alike; other columns
 are ignored; an empty table gives an empty result. Ids outside the vocabulary make decoding fail.
@@ -16,7 +16,9 @@ are ignored; an empty table gives an empty result. Ids outside the vocabulary ma
 import base64
 import hashlib
 from heapq import heappop, heappush
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -53,9 +55,16 @@ class Memory:
 
     def put(self, key, value) -> None:
         if len(self.fresh) >= self.bounds[1]:
-            self.fresh.clear()
+            self.halve(self.fresh)
         self.fresh[key] = value
 
+    @staticmethod
+    def halve(held: dict) -> None:
+        """Drop the entries that came first."""
+        newer = list(islice(held.items(), len(held) // 2, None))
+        held.clear()
+        held.update(newer)
+
 
 class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -240,39 +249,43 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
     return common.arrow(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, bytes binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes each text: id_col, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes)."""
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes each text: id_col, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes); ids too if asked for."""
     file = _sent(docs.sparkSession, path)
 
     def run(batches):
         own = coder(file.value, pattern)
         for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
-            for t in common.texts_of(batch.column(1)):
-                decimals = own.decimals(t)
-                ids = decimals.split(",") if decimals else []
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(decimals.encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(b"".join(map(own.told.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=names)
-
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+            texts = common.texts_of(batch.column(1))
+            for lo, hi in common.by_bytes(np.array([len(t) for t in texts]), 2_000_000):
+                counts, of_ids, of_bytes, all_ids = [], [], [], []
+                for t in texts[lo:hi]:
+                    decimals = own.decimals(t)
+                    ids = decimals.split(",") if decimals else []
+                    counts.append(len(ids))
+                    of_ids.append(hashlib.sha256(decimals.encode()).hexdigest())
+                    of_bytes.append(hashlib.sha256(b"".join(map(own.told.__getitem__, ids))).hexdigest())
+                    if with_ids:
+                        all_ids.append(np.array(ids, np.int32))
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=names)
+
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     rows = docs.select(id_col, text)
-    return common.arrow(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.arrow(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def tokenizer() -> tuple[str, str]:
+    """The rank file and the pattern of the query and the stage."""
     import public_tokenizers
 
-    return digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and the digests of ids and of the decoded bytes."""
-    return query_of(docs)
 
+def query(spark, sf_dir: str) -> DataFrame:
+    return digests(common.table(spark, sf_dir, "documents"), *tokenizer())
 
-def query_of(docs: DataFrame) -> DataFrame:
-    import public_tokenizers
 
-    return digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokenised corpus: ids of every document, and the digests of ids and of the decoded bytes."""
+    return digests(docs, *tokenizer(), with_ids=True)

@@ -64,3 +64,18 @@ def test_query(odd, empty, pair):
 def test_operators(odd):
     back = bpe.decode(bpe.encode(odd, FILE, P.PATTERN), FILE, P.PATTERN)
     assert sorted(bytes(r.bytes) for r in back.collect()) == sorted((r.text or "").encode() for r in odd.collect())
+
+
+def test_stage_returns_the_ids(spark, odd, pair):
+    out = bpe.stage(spark, odd, "")
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    want = sorted(pair[1].encode_ordinary(r.text or "") for r in odd.collect())
+    assert sorted(r.ids for r in out.collect()) == want and out.where("size(ids) <> n_tokens").count() == 0
+
+
+def test_halves():
+    held = bpe.Memory((4, 4))
+    for i in range(9):
+        held.put(i, i + 1)
+        assert held.get(i) == i + 1 and len(held.lasting) <= 4
+    assert held.get(0) is None and held.get(8) == 9

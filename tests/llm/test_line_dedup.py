@@ -34,7 +34,12 @@ def aligned(a, b):
 
 
 def plain(rows):
-    """How many lines each document loses, by dictionaries of all lines and runs; ids do not repeat."""
+    """How many lines each document loses."""
+    return {i: len(gone) for i, gone in plain_lines(rows).items()}
+
+
+def plain_lines(rows):
+    """The lines each document loses, by dictionaries of all lines and runs; ids do not repeat."""
     split = {i: t.split("\n") for i, t in rows}
     count = lambda x: len(x.split())
     keys = {i: [(x, ">" if count(x) >= L.LINE_WORDS else "<" + (xs[p - 1] if p else "")) for p, x in enumerate(xs)] for i, xs in split.items()}
@@ -61,13 +66,13 @@ def plain(rows):
                         for d in range(len(run)):
                             mine.setdefault(owner, {})[p + d] = theirs.setdefault(owner, {})[q + d] = run[d]
         gone = set().union(*(aligned(sorted(mine[o].items()), sorted(theirs[o].items())) for o in mine))
-        lost, block = 0, []
+        lost, block = [], []
         for p in range(len(xs) + 1):
             if p in gone:
                 block.append(p)
                 continue
             common = any(count(xs[q]) >= L.LINE_WORDS and len(at[(keys[i][q],)]) >= L.COMMON_DOCS for q in block)
-            lost += len(block) * (common or sum(count(xs[q]) for q in block) >= L.MIN_WORDS)
+            lost += block if common or sum(count(xs[q]) for q in block) >= L.MIN_WORDS else []
             block = []
         out[i] = lost
     return out
