@@ -4,7 +4,8 @@ Bytes become signed 8-bit samples of one channel and are stored as a FLAC stream
 seek table with one point per frame, then frames of BLOCK samples, each a constant, a fixed-predictor (order 0 to 2) or a
 quantised linear-predictor subframe with Rice-coded residuals, a CRC-8 of its header and a CRC-16 of the frame. Reading
 checks both sums and the MD5. Frames of many rows are coded together: numpy works on all samples of a group at once, and
-the unary codes of a group's frames are followed in step.
+the unary codes of a group's frames are followed in step. Reading gives PCM blocks, each with its sample offset in the stream, and
+a place in the stream is found by its block's offset. The query writes the streams to the shared folder and reads these files.
 
 Defined results: null and empty texts are stored as 64 zero bytes. Equal texts give equal values. Repeated rows are stored
 each. An empty table gives an empty result. A damaged frame, sum or MD5 raises ValueError.
@@ -326,26 +327,39 @@ def fixed(x: np.ndarray, order: int) -> np.ndarray:
     return np.concatenate([x[:, :order], r], axis=1)
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload bytes of each stream; both sums of each frame and the MD5 are verified."""
+def pcm_blocks(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """(sample offset, payload bytes) of every frame of each stream; both sums of each frame and the MD5 are verified."""
     pieces, parts, heads = [], [[] for _ in streams], []
     for i, s in enumerate(streams):
         samples, md5, points, at = opened(s)
         ends = [p[1] for p in points[1:]] + [len(s) - at]
-        pieces += [(i, s[at + p[1] : at + e], p[2]) for p, e in zip(points, ends, strict=True)]
+        pieces += [(i, s[at + p[1] : at + e], p[2], p[0]) for p, e in zip(points, ends, strict=True)]
         heads.append((samples, md5))
     for lo, hi in common.by_bytes(np.array([p[2] for p in pieces]), GROUP):
-        for (i, _, _), x in zip(pieces[lo:hi], samples_of([p[1] for p in pieces[lo:hi]]), strict=True):
-            parts[i].append(x)
+        for (i, _, n, offset), x in zip(pieces[lo:hi], samples_of([p[1] for p in pieces[lo:hi]]), strict=True):
+            if len(x) != n or offset != (parts[i][-1][0] + len(parts[i][-1][1]) if parts[i] else 0):
+                raise ValueError("a frame is not where the seek table says")
+            parts[i].append((offset, x))
     out = []
     for (samples, md5), xs in zip(heads, parts, strict=True):
-        x = np.concatenate(xs)
+        x = np.concatenate([x for _, x in xs])
         if len(x) != samples or hashlib.md5(x.tobytes()).digest() != md5:
             raise ValueError("the samples do not have the stream's MD5")
-        out.append((x.view(np.uint8) ^ 128).tobytes())
+        out.append([(offset, (x.view(np.uint8) ^ 128).tobytes()) for offset, x in xs])
     return out
 
 
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payload bytes of each stream."""
+    return [b"".join(x for _, x in blocks) for blocks in pcm_blocks(streams)]
+
+
+def tail(blocks: list[tuple[int, bytes]], n: int) -> bytes:
+    """The last n bytes, from the blocks whose offsets say that they hold them."""
+    end = blocks[-1][0] + len(blocks[-1][1])
+    return b"".join(x for offset, x in blocks if offset + len(x) > end - n)[-n:]
+
+
 def read_from(stream: bytes, sample: int, count: int) -> bytes:
     """Bytes of `count` samples from `sample` on: only the frames that hold them are read."""
     samples, _, points, at = opened(stream)
@@ -385,39 +399,37 @@ def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 
 def blocks(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, sample_offset, pcm): the samples of every frame, each with its place in the stream."""
+    """(id_col, sample_offset, pcm): the samples of every frame, each with its place in the stream; none where media is null."""
     def run(batches):
         for batch in batches:
             for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if m is not None:
-                    x = decode([m])[0]
-                    at = list(range(0, len(x), BLOCK))
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), batch.schema[0].type), pa.array(at, pa.int64()), pa.array([x[a : a + BLOCK] for a in at], pa.binary())], names=[id_col, "sample_offset", "pcm"])
+                    at, pcm = zip(*pcm_blocks([m])[0], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), batch.schema[0].type), pa.array(at, pa.int64()), pa.array(pcm, pa.binary())], names=[id_col, "sample_offset", "pcm"])
 
     rows = stored.select(id_col, "media")
     return common.arrow(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, sample_offset long, pcm binary")
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores each text, reads it back and tells: n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_frames."""
+def features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Reads what store() gives (media not null) and tells: n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_frames."""
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in common.by_bytes(np.array([len(t or "") for t in texts]), 4 * GROUP):
-                media = encode([payload(t) for t in texts[lo:hi]])
+            sizes, media = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for lo, hi in common.by_bytes(np.array(sizes, np.int64), 4 * GROUP):
                 rows = []
-                for t, m, x in zip(texts[lo:hi], media, decode(media), strict=True):
-                    n = len((t or "").encode("utf-8", "replace"))
-                    rows.append((n, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(np.frombuffer(x, np.uint8), n), -(-len(x) // BLOCK)))
+                for n, m, pcm in zip(sizes[lo:hi], media[lo:hi], pcm_blocks(media[lo:hi]), strict=True):
+                    x = b"".join(b for _, b in pcm)
+                    rows.append((n, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(tail(pcm, 64)), len(m), hashlib.sha256(m).hexdigest(), feature(np.frombuffer(x, np.uint8), n), len(pcm)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
-    rows = docs.select(id_col, text)
+    rows = stored.select(id_col, "n_bytes", "media")
     spark_kinds = {"int64": "long", "string": "string"}
     return common.arrow(rows, run, ", ".join([f"`{id_col}` {rows.schema[0].dataType.simpleString()}"] + [f"{n} {spark_kinds[str(k)]}" for n, k in zip(names[1:], kinds, strict=True)]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return features(common.table(spark, sf_dir, "documents"))
+    return features(common.cut(store(common.table(spark, sf_dir, "documents"))))

@@ -2,7 +2,9 @@
 
 For each language a suffix automaton of labelled text answers "does this string occur there?". A text is
 parsed greedily into the longest matches with that automaton (Ziv-Merhav cross parsing); each phrase costs
-log2(training length) bits. The language that needs the fewest bits for each symbol wins.
+log2(training length) bits. The language that needs the fewest bits for each symbol wins. Parsing runs over the whole text in segments of
+SEGMENT symbols, at whose ends a phrase ends too, for every language alike. A worker holds TABLE_BYTES of dense transitions, for all
+languages together, and beside them the sparse ones of the rarer letters: a few numbers for each symbol of the sample.
 
 Defined results: a null text, an empty text and a text without a letter get `und` and score 0. Equal costs go
 to the language first in code-point order. Training rows with null text or lang are left out; if no row can be

@@ -1,6 +1,7 @@
 """Operator 4: toxicity by cumulative-link ordinal regression.
 
-Grades: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in one of poor quality. The proportional-odds model has one
+Grades: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in one of poor quality: labels hold no severity of their own, so the
+label of quality stands for it; whether a document is called toxic depends on the first threshold alone. The proportional-odds model has one
 weight per word feature, shared by all thresholds: P(grade <= j) = sigmoid(threshold_j - w.x). Features are the presence of
 words, of a word that begins with a stem of PREFIXES letters, and of two different such words, which toxic labelled
 documents hold far more often than others; a document's features are scaled to length one. The expected

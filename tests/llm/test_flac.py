@@ -63,17 +63,28 @@ def test_checksums():
 
 def test_query(odd, empty):
     got = {}
-    for r in flac.features(odd).collect():
+    for r in flac.features(flac.store(odd)).collect():
         got.setdefault((r.doc_id), []).append(r)
     for r in odd.where("doc_id is not null").collect():
         raw = (r.text or "").encode()
         full = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         x = got[r.doc_id][0]
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
-    assert got[1][0][1:] == got[1][1][1:] == got[2][0][1:] and flac.features(empty).count() == 0
+    assert got[1][0][1:] == got[1][1][1:] == got[2][0][1:] and flac.features(flac.store(empty)).count() == 0
 
 
 def test_blocks(odd):
     rows = flac.blocks(flac.store(odd.where("doc_id = 6"))).orderBy("sample_offset").collect()
     text = odd.where("doc_id = 6").first().text.encode()
     assert b"".join(bytes(r.pcm) for r in rows)[: len(text)] == text and [r.sample_offset for r in rows] == list(range(0, 4096 * len(rows), 4096))
+
+
+def test_tail_and_seek_table():
+    data = bytes(range(256)) * 40
+    media = flac.encode([data])[0]
+    pcm = flac.pcm_blocks([media])[0]
+    assert [at for at, _ in pcm] == [0, 4096, 8192] and all(flac.tail(pcm, n) == data[-n:] for n in (1, 64, 2048, 2049, 6200, len(data)))
+    bad = bytearray(media)
+    bad[4 + 4 + 34 + 4 + 18 + 7] ^= 1  # the second seek point's sample number
+    with pytest.raises(ValueError):
+        flac.pcm_blocks([bytes(bad)])
