@@ -1,6 +1,6 @@
 """The operators' queries and their SQL."""
 
-from . import bpe, curves, flac, language, licenses, line_dedup, mixing, ngram_join, secrets, toxicity
+from . import bpe, curves, flac, language, licenses, line_dedup, mixing, ngram_join, parts, secrets, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -13,9 +13,10 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_source_mixing": mixing.query,
     "op10_language_id": language.query,
+    **parts.QUERIES,
 }
 
-#: Where SQL can express the whole result in reasonable time. The join is exact there: shingles as texts, classes by recursion.
+#: Where SQL can express the whole result in reasonable time; parts.py has columns of the others. The join is exact there: shingles as texts, classes by recursion.
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
 WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
@@ -31,4 +32,5 @@ class AS (SELECT node, min(root) AS class_id FROM reach GROUP BY 1),
 far AS (SELECT e.a, sum(c.copies) AS n FROM edge e JOIN same c ON c.rep = e.b GROUP BY 1)
 SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(m.copies - 1 + coalesce(f.n, 0), 0)::BIGINT AS n_links, coalesce(m.copies, 1)::BIGINT AS copies
 FROM docs d LEFT JOIN member m ON m.doc_id = d.doc_id LEFT JOIN class c ON c.node = m.rep LEFT JOIN far f ON f.a = m.rep""",
+    **parts.ORACLE_SQL,
 }
