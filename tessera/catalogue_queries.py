@@ -1,6 +1,6 @@
 """Queries of the catalogue operators over the driver's tables, and the same in SQL."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import catalogue_tables as T
@@ -28,6 +28,10 @@ def rows_of(spark, d: str) -> DataFrame:
     return library.nest_sources(T.releases(spark, d), T.sources(spark, d))
 
 
+def counted(spark, d) -> DataFrame:
+    return library.with_evidence(T.releases(spark, d), T.sources(spark, d))
+
+
 @register("library_stats", """
 SELECT "artistId", count(*) AS total, count(*) FILTER (status = 'OWNED') AS owned, count(*) FILTER (status = 'NOT_OWNED') AS not_owned,
   count(*) FILTER (status = 'WANTED') AS wanted, count(*) FILTER (coalesce(status = 'PENDING_REVIEW', false) OR review) AS pending_review,
@@ -36,7 +40,7 @@ SELECT "artistId", count(*) AS total, count(*) FILTER (status = 'OWNED') AS owne
   CASE WHEN count(*) FILTER (NOT excluded) = 0 THEN 0 ELSE round(100.0 * count(*) FILTER (NOT excluded AND status = 'OWNED') / count(*) FILTER (NOT excluded))::INT END AS completion_rate
 FROM library GROUP BY 1""", T.SQL)
 def library_stats(spark, d):
-    return library.stats(rows_of(spark, d))
+    return library.stats(counted(spark, d))
 
 
 @register("collection_counts", """
@@ -44,7 +48,7 @@ SELECT "artistId", greatest(0, count(*) - count(*) FILTER (excluded)) AS collect
   greatest(0, greatest(0, count(*) - count(*) FILTER (excluded)) - count(*) FILTER (status = 'OWNED')) AS gap
 FROM library GROUP BY 1""", T.SQL)
 def collection_counts(spark, d):
-    return library.collection_counts(library.stats(rows_of(spark, d))).select("artistId", "collectible", "gap")
+    return library.collection_counts(library.stats(counted(spark, d))).select("artistId", "collectible", "gap")
 
 
 @register("category_completion", """
@@ -62,7 +66,7 @@ def filter_query(name: str, where: str, **fields):
 
     @register(name, f'SELECT id, "artistId", title FROM library WHERE {where}', T.SQL)
     def run(spark, d):
-        rows = rows_of(spark, d) if needs_sources else T.releases(spark, d)
+        rows = counted(spark, d) if needs_sources else T.releases(spark, d)
         return library.filtered(rows, Filters(**fields)).select("id", "artistId", "title")
 
 
@@ -86,7 +90,7 @@ filter_query("filter_open_year", "year(\"releaseDate\") >= 2000", decade="custom
 SELECT id, "artistId", row_number() OVER (PARTITION BY "artistId" ORDER BY CASE WHEN id % 8 <> 0 THEN "releaseDate" END ASC NULLS LAST, title, id)::INT AS position FROM releases""", T.SQL)
 def library_order(spark, d):
     rows = T.releases(spark, d).withColumn("releaseDate", F.when(F.col("id") % 8 != 0, F.col("releaseDate")))
-    return rows.select("id", "artistId", F.row_number().over(Window.partitionBy("artistId").orderBy(F.asc_nulls_last("releaseDate"), "title", "id")).alias("position"))
+    return library.numbered_positions(rows).select("id", "artistId", "position")
 
 
 ARTISTS_SQL = T.SQL + """, artists AS (SELECT c_custkey AS id, c_name AS name, TIMESTAMP '2020-01-01' + to_days((c_custkey * 7919 % 1000)::INT) AS "updatedAt" FROM customer)"""
@@ -433,9 +437,7 @@ def anti_sources(spark, d):
 
 @register("catalogue_collision", """SELECT a.id, count(*) AS others FROM releases a JOIN releases b ON a."artistId" = b."artistId" AND a."catalogNo" = b."catalogNo" AND a.id <> b.id GROUP BY 1""", T.SQL)
 def catalogue_collision(spark, d):
-    rows = T.releases(spark, d).where("catalogNo <> ''").select("id", "artistId", "catalogNo")
-    n = rows.groupBy("artistId", "catalogNo").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(n, ["artistId", "catalogNo"]).select("id", (F.col("n") - 1).alias("others"))
+    return library.same_number(T.releases(spark, d))
 
 
 @register("url_provenance", """, m AS (SELECT "releaseId", list(DISTINCT url ORDER BY url) FILTER (description = 'official') AS m0, list(DISTINCT url ORDER BY url) FILTER (description IS DISTINCT FROM 'official' OR url LIKE '%1') AS e0 FROM sources GROUP BY 1),

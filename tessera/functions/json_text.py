@@ -1,5 +1,7 @@
 """JSON inside free text, and lenient typing of candidate documents."""
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,29 +19,20 @@ SOURCE = "struct<title:string,url:string,sourceType:string>"
 DOCUMENT = "struct<artist:variant,collectionScope:variant,releases:array<variant>,globalWarnings:variant>"
 
 
+FENCED = re.compile("```(.*?)```", re.DOTALL)
+#: A whole string (or one that never ends), or a brace: what lies between these does not matter.
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[{}]', re.DOTALL)
+
+
 def _first_object(text: str | None) -> str | None:
     """The first balanced {...} of the first fenced block, or of the text; strings and escapes are honoured. None without one."""
-    if text is None:
-        return None
-    fence = text.find("```")
-    if fence >= 0 and (close := text.find("```", fence + 3)) >= 0:
-        text = text[fence + 3 : close]
-    start = text.find("{")
-    depth, quoted, skip = 0, False, False
-    for i in range(start, len(text)) if start >= 0 else ():
-        c = text[i]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return text[start : i + 1]
+    block = FENCED.search(text or "")
+    text = block[1] if block else text or ""
+    begin, depth = text.find("{"), 0
+    for token in TOKEN.finditer(text, begin) if begin >= 0 else ():
+        depth += {"{": 1, "}": -1}.get(token[0], 0)
+        if not depth:
+            return text[begin : token.end()]
     return None
 
 
@@ -111,6 +104,11 @@ def warnings_of(json: Column) -> Column:
     return F.coalesce(F.transform(items_of(v, "$"), lambda x: F.try_variant_get(x, "$", "string")), F.expr("cast(array() as array<string>)"))
 
 
+def json_safe(c: Column) -> Column:
+    """A column as the JSON that is stored of it and read again: absent fields go, dates and times become texts."""
+    return F.to_json(F.struct(c.alias("value")))
+
+
 def response_text(output_text: Column, output: Column) -> Column:
     """A model response's text: its own field, else all content texts, a line each. output: array<struct<content:array<struct<text>>>>."""
     parts = F.flatten(F.transform(output, lambda o: F.coalesce(o["content"], F.expr("cast(array() as array<struct<type:string,text:string>>)"))))

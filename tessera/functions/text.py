@@ -79,6 +79,15 @@ def whole_word(words: str) -> str:
     return rf"(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])"
 
 
+# The lengths that stored and shown texts are cut to.
+ERROR_LENGTH, SHOWN_ERROR_LENGTH, PREVIEW_LENGTH = 2000, 500, 500
+
+
+def cut(c: Column, most: int) -> Column:
+    """The first `most` characters."""
+    return F.left(c, F.lit(most))
+
+
 def masked(secret: Column) -> Column:
     """First and last characters only: 4, or 2 of a secret of 8 or fewer."""
     n = F.when(F.length(secret) <= 8, 2).otherwise(4)

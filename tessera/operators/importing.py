@@ -4,7 +4,7 @@ Rows have rowId, sheetName, rowNumber, category, title, releaseDate, format, cat
 sourceUrl, priority, status, included and errors (array of text).
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -121,15 +121,13 @@ def outcome_columns() -> list[Column]:
 
 
 def batch_errors(rows: DataFrame) -> DataFrame:
-    """One row: the error rows in their order, each with sheet, number and errors."""
-    items = F.collect_list(F.when(F.size("errors") > 0, F.struct("rowNumber", "sheetName", "errors")))
-    return rows.agg(F.array_sort(items).alias("errorRows"))
+    """(rowId, sheetName, rowNumber, errors) of a batch's error rows, as they were before anything was stored. Rows, not one list: a batch may have any number."""
+    return rows.where(F.size("errors") > 0).select("rowId", "sheetName", "rowNumber", "errors")
 
 
 def last_wins(updates: DataFrame, target: str, order: str) -> DataFrame:
-    """Of several updates of one target the last stays."""
-    n = F.row_number().over(Window.partitionBy(target).orderBy(F.desc(order)))
-    return updates.withColumn("__n", n).where("__n = 1").drop("__n")
+    """Of several updates of one target the last stays: a partial maximum, however many there are."""
+    return updates.groupBy(target).agg(F.max_by(F.struct(*updates.columns), F.col(order)).alias("__x")).select("__x.*")
 
 
 def apply_import(rows: DataFrame, releases: DataFrame, statuses: DataFrame, sources: DataFrame, user: object, batch: object, strategy: str) -> dict[str, DataFrame]:

@@ -1,11 +1,11 @@
 """The library of an artist: releases with sources and one user's status, filters, statistics, orders."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..functions.values import canonical_status, clamped_priority, rate
-from ..plans.filters import Filters, evidence, mentions_review
+from ..plans.filters import Filters, evidence, is_evidence, mentions_review
 
 #: Fixed order of the groups of category completion, empty ones included.
 GROUPS = [
@@ -16,7 +16,6 @@ GROUPS = [
     ("REMIX", ["REMIX"]),
     ("OTHER", ["BOX", "EP", "OTHER"]),
 ]
-SOURCES = "array<struct<id:string,url:string,label:string,description:string>>"
 
 
 def nest_sources(releases: DataFrame, sources: DataFrame) -> DataFrame:
@@ -26,6 +25,13 @@ def nest_sources(releases: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("sources", F.coalesce("sources", F.expr("array()").cast(nested.schema["sources"].dataType)))
 
 
+def with_evidence(releases: DataFrame, sources: DataFrame) -> DataFrame:
+    """Adds `evidence`, the number of sources that are not there for the cover alone: what counts and filters need of sources. A sum per release joins, no lists."""
+    n = sources.where(is_evidence(F.col("description"))).groupBy("releaseId").agg(F.count("*").alias("evidence"))
+    joined = releases.join(n, releases["id"] == n["releaseId"], "left").drop("releaseId")
+    return joined.withColumn("evidence", F.coalesce("evidence", F.lit(0)))
+
+
 def with_status(releases: DataFrame, statuses: DataFrame, user: str | None) -> DataFrame:
     """Adds the user's status and priority; without a user no status is shown. Unknown statuses show as none."""
     own = statuses.where(F.col("userId") == F.lit(user)).select("releaseId", canonical_status(F.col("status")).alias("status"), clamped_priority(F.col("priority")).alias("priority"))
@@ -38,12 +44,17 @@ def library(releases: DataFrame, sources: DataFrame, statuses: DataFrame, user:
 
 
 def filtered(rows: DataFrame, filters: Filters) -> DataFrame:
-    return rows.where(filters.predicate())
+    """Rows that pass. Filters of missing sources read `evidence` (with_evidence) where it is there, else `sources`."""
+    return rows.where(filters.predicate(F.col("evidence") == 0 if "evidence" in rows.columns else F.size(evidence(F.col("sources"))) == 0 if "sources" in rows.columns else None))
 
 
-def ordered(rows: DataFrame) -> DataFrame:
+def order() -> list[Column]:
     """By date, undated rows last, then title; ids settle ties."""
-    return rows.orderBy(F.asc_nulls_last("releaseDate"), "title", "id")
+    return [F.asc_nulls_last("releaseDate"), F.col("title"), F.col("id")]
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(*order())
 
 
 def is_excluded() -> Column:
@@ -55,7 +66,7 @@ def count_where(condition: Column) -> Column:
 
 
 def stat_columns() -> list[Column]:
-    """All measures, for one grouping: a single pass with partial sums."""
+    """All measures, for one grouping: a single pass with partial sums. Rows have `evidence` (with_evidence)."""
     has = lambda s: F.col("status") == s
     owned, total = count_where(~is_excluded() & has("OWNED")), count_where(~is_excluded())
     return [
@@ -66,13 +77,16 @@ def stat_columns() -> list[Column]:
         count_where(has("PENDING_REVIEW") | mentions_review(F.col("warnings"), F.col("notes"))).alias("pending_review"),
         count_where(is_excluded()).alias("excluded"),
         count_where(is_blank(F.col("coverUrl"))).alias("missing_cover"),
-        count_where(F.size(evidence(F.col("sources"))) == 0).alias("missing_source"),
+        count_where(F.col("evidence") == 0).alias("missing_source"),
         count_where(is_blank(F.col("catalogNo"))).alias("missing_catalog"),
         rate(owned, total).alias("completion_rate"),
     ]
 
 
 def stats(rows: DataFrame, by: str = "artistId") -> DataFrame:
+    """Measures of each artist. Rows with `sources` and no `evidence` get its count from them."""
+    if "evidence" not in rows.columns:
+        rows = rows.withColumn("evidence", F.size(evidence(F.col("sources"))))
     return rows.groupBy(by).agg(*stat_columns())
 
 
@@ -112,3 +126,27 @@ def detail(releases: DataFrame, artists: DataFrame, sources: DataFrame, statuses
 
 def artist_options(artists: DataFrame) -> DataFrame:
     return artists.select("id", "name").orderBy("name", "id")
+
+
+def serialised(rows: DataFrame) -> DataFrame:
+    """(id, release): each release as JSON, dates as texts, absent fields as nulls, and `userStatus` null where the user has no known status."""
+    own = F.when(F.col("status").isNotNull(), F.struct("status", "priority"))
+    fields = [F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in rows.dtypes if c not in ("status", "priority")]
+    return rows.select("id", F.to_json(F.struct(*fields, own.alias("userStatus")), {"ignoreNullFields": "false"}).alias("release"))
+
+
+def same_number(releases: DataFrame) -> DataFrame:
+    """(id, others): releases whose catalogue number other releases of their artist have too, and how many. A count per number, no pairs."""
+    numbered = releases.where(~is_blank(F.col("catalogNo"))).select("id", "artistId", "catalogNo")
+    n = numbered.groupBy("artistId", "catalogNo").agg(F.count("*").alias("n")).where("n > 1")
+    return numbered.join(n, ["artistId", "catalogNo"]).select("id", (F.col("n") - 1).alias("others"))
+
+
+def numbered_positions(rows: DataFrame, by: str = "artistId") -> DataFrame:
+    """Adds `position` of each release in its artist's library, in the order of ordered()."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order())))
+
+
+def previews(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows in the library's order."""
+    return ordered(rows).limit(n)

@@ -1,6 +1,6 @@
 """Changes as new snapshots: upserts, bulk updates, patches, source rows, artists. Parquet has no MERGE, so each returns the whole new table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_or_null, trimmed
@@ -157,5 +157,39 @@ def import_input_rules() -> dict[str, object]:
     }
 
 
+# The most characters of an artist form's fields.
+ARTIST_TEXTS = {"name": 160, "sortName": 160, "country": 80, "description": 4000}
+
+
+def artist_rules() -> dict[str, object]:
+    """Rules of an artist's form; name must be there, the other fields may be blank. Lengths are of the trimmed texts."""
+    text = lambda n: text_or_null(F.col(n))
+    return {"name is required.": text("name").isNotNull()} | {f"{n} has more than {most} characters.": text(n).isNull() | (F.length(text(n)) <= most) for n, most in ARTIST_TEXTS.items()}
+
+
+def bulk_rules() -> dict[str, object]:
+    """Rules of a bulk change as it was sent: artistId, releaseIds (array) and status, priority and excluded as texts, of which blank ones count as not sent."""
+    c = F.col
+    status, priority, excluded = (text_or_null(c(n)) for n in ("status", "priority", "excluded"))
+    return {
+        "releaseIds is required.": F.coalesce(F.size(F.filter("releaseIds", lambda x: F.coalesce(x, F.lit("")) != "")) > 0, F.lit(False)),
+        "artistId is required.": text_or_null(c("artistId")).isNotNull(),
+        "Invalid collection status.": status.isNull() | canonical_status(status).isNotNull(),
+        "priority must be an integer from 1 to 5.": priority.isNull() | priority.try_cast("double").isin(1.0, 2.0, 3.0, 4.0, 5.0),
+        "No bulk update operation was provided.": status.isNotNull() | priority.isNotNull() | excluded.isNotNull(),
+    }
+
+
+def flag(c: Column) -> Column:
+    """True for true and its text, false for anything else."""
+    return F.coalesce(c.cast("string") == "true", F.lit(False))
+
+
+def whole_priority(c: Column) -> Column:
+    """An integer from 1 to 5, else null (which the rules refuse)."""
+    n = c.cast("string").try_cast("double")
+    return F.when(n.isin(1.0, 2.0, 3.0, 4.0, 5.0), n.cast("int"))
+
+
 def status_rules() -> dict[str, object]:
     return {"Invalid collection status.": canonical_status(F.col("status")).isNotNull(), "priority must be an integer from 1 to 5.": F.col("priority").try_cast("double").isin(1.0, 2.0, 3.0, 4.0, 5.0)}

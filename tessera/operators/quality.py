@@ -53,29 +53,32 @@ def gate(candidates: DataFrame, target: Column, exclude_reissues: Column) -> Dat
     facts = {"no_catalog": no_catalog, "no_source": no_source, "wiki": wiki, "dated": dated, "non_cd": non_cd, "reissue": reissue, "remaster": remaster, "unknown": unknown, "incomplete": incomplete, "risky": F.exists("warnings", lambda w: w.rlike(RISKY)), "cd": (fmt != "") & fmt.rlike(CD) & ~fmt.rlike(NOT_CD)}
     rows = rows.withColumn("__f", F.struct(*[v.alias(k) for k, v in facts.items()]))
     f = lambda k: c("__f")[k]
-    # each rule that can warn sees the warnings of those before it
-    for hit, needle, text in (
-        (f("no_catalog"), "catalogNumber", NO_CATALOG),
-        (f("no_source"), "source", NO_SOURCE),
-        (f("wiki"), "only wiki source", ONLY_WIKI),
-        (f("non_cd"), "non-CD", NON_CD),
-        (f("reissue"), "reissue excluded by scope", REISSUE),
-        (f("remaster"), "remaster excluded by scope", REMASTER),
-        (f("unknown") & ~f("dated"), "format", NO_FORMAT),
-    ):
-        rows = rows.withColumn("warnings", F.when(hit & ~any_warning(c("warnings"), needle), F.array_append("warnings", F.lit(text))).otherwise(c("warnings")))
-    level = confidence_rank(c("confidence"))
-    cap = lambda hit, level, most=MEDIUM: F.when(hit, F.least(level, F.lit(most))).otherwise(level)
-    level = cap(f("no_catalog"), level)
-    level = cap(f("no_source"), level, LOW)
-    for k in ("wiki", "non_cd", "reissue", "remaster"):
-        level = cap(f(k), level)
+    # each rule that can warn sees the warnings of those before it: one fold over the rules
+    rules = F.array(
+        *[
+            F.struct(hit.alias("hit"), F.lit(needle.lower()).alias("needle"), F.lit(text).alias("text"))
+            for hit, needle, text in (
+                (f("no_catalog"), "catalogNumber", NO_CATALOG),
+                (f("no_source"), "source", NO_SOURCE),
+                (f("wiki"), "only wiki source", ONLY_WIKI),
+                (f("non_cd"), "non-CD", NON_CD),
+                (f("reissue"), "reissue excluded by scope", REISSUE),
+                (f("remaster"), "remaster excluded by scope", REMASTER),
+                (f("unknown") & ~f("dated"), "format", NO_FORMAT),
+            )
+        ]
+    )
+    said = lambda warnings, needle: F.exists(warnings, lambda w: F.lower(w).contains(needle))
+    rows = rows.withColumn("warnings", F.aggregate(rules, c("warnings"), lambda ws, r: F.when(r["hit"] & ~said(ws, r["needle"]), F.array_append(ws, r["text"])).otherwise(ws)))
+    # a rule's cap and its lift are one term each, so the level is written once
+    cap = lambda hit, most=MEDIUM: F.when(hit, most).otherwise(HIGH)
     complete = ~f("no_source") & ~f("no_catalog")
-    level = F.when(complete, F.greatest(level, F.lit(MEDIUM))).otherwise(level)
-    level = cap(f("incomplete"), level)
-    level = F.when(complete & f("dated") & f("cd") & ~yes(c("isReissue")) & ~yes(c("isRemaster")) & ~f("risky") & ~f("wiki"), HIGH).otherwise(level)
+    level = F.coalesce(confidence_rank(c("confidence")), F.lit(LOW))
+    level = F.least(level, cap(f("no_catalog")), cap(f("no_source"), LOW), *[cap(f(k)) for k in ("wiki", "non_cd", "reissue", "remaster")])
+    level = F.least(F.greatest(level, F.when(complete, MEDIUM).otherwise(LOW)), cap(f("incomplete")))
+    level = F.greatest(level, F.when(complete & f("dated") & f("cd") & ~yes(c("isReissue")) & ~yes(c("isRemaster")) & ~f("risky") & ~f("wiki"), HIGH).otherwise(LOW))
     lowest = (f("unknown") & ~f("dated")) | (f("no_catalog") & ~f("dated")) | f("risky") | f("no_source")
-    level = cap(f("no_catalog") | f("wiki"), cap(lowest, level, LOW))
+    level = F.least(level, cap(lowest, LOW), cap(f("no_catalog") | f("wiki")))
     excluded = c("isExcludedByDefault") | f("non_cd") | f("reissue") | f("remaster")
     pending = f("no_catalog") | f("wiki") | f("non_cd") | lowest
     rows = rows.withColumn("confidence", confidence_name(level)).withColumn("isExcludedByDefault", excluded)

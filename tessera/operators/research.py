@@ -1,6 +1,6 @@
 """Candidates: typed from model text, gated, edited, selected and imported."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json_text as J
@@ -46,6 +46,19 @@ def unknown_ids(candidates: DataFrame, selected: DataFrame) -> DataFrame:
     return selected.join(candidates, ["taskId", "id"], "left_anti")
 
 
+def check_known(candidates: DataFrame, selected: DataFrame) -> DataFrame:
+    """(taskId, error) for each task with selected ids that no candidate has."""
+    n = unknown_ids(candidates, selected).groupBy("taskId").agg(F.count("*").alias("n"))
+    return n.select("taskId", F.concat(F.col("n"), F.lit(" selected candidates are not in the task.")).alias("error"))
+
+
+def selection_counts(candidates: DataFrame, selected: DataFrame) -> DataFrame:
+    """(taskId, candidates, selected, with_cover) of each task."""
+    chosen = selected.select("taskId", "id").distinct().withColumn("__selected", F.lit(True))
+    rows = candidates.join(chosen, ["taskId", "id"], "left")
+    return rows.groupBy("taskId").agg(F.count("*").alias("candidates"), count_where(F.col("__selected")).alias("selected"), count_where(~is_blank(F.col("coverImageUrl"))).alias("with_cover"))
+
+
 def visible(category: str = "ALL", confidence: str = "ALL") -> Column:
     out = F.lit(True)
     if category != "ALL":
@@ -62,8 +75,8 @@ def candidate_notes(pending: Column) -> Column:
 
 def first_of_each(rows: DataFrame, keys: list[str], order: list, only_if: Column) -> DataFrame:
     """Rows that only_if does not hold for, and of the others the first of each key: what a loop that looks at its own inserts keeps."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.where(~only_if).unionByName(rows.where(only_if).withColumn("__n", n).where("__n = 1").drop("__n"))
+    first = rows.where(only_if).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__x"))
+    return rows.where(~only_if).unionByName(first.select("__x.*"))
 
 
 def import_candidates(candidates: DataFrame, selected: DataFrame, releases: DataFrame, artist: object, user: object, excluded_ids: DataFrame | None = None, pending_ids: DataFrame | None = None) -> dict[str, DataFrame]:

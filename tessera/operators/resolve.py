@@ -8,9 +8,10 @@ from ..functions.urls import STORE_HOSTS, artwork_600, secure
 from ..functions.values import leading_year
 
 MOST_SAFE = (1 << 53) - 1
+MOST_ALBUMS = 200
 
 
-def valid_albums(rows: DataFrame) -> DataFrame:
+def valid_albums(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Albums whose ids and names can be used; optional texts over their length become null."""
     name = lambda c, n: F.when((F.length(trimmed(F.col(c))) > 0) & (F.length(trimmed(F.col(c))) <= n), trimmed(F.col(c)))
     kind = lambda c, v: (F.coalesce(F.col(c), F.lit(v)) == v) if c in rows.columns else F.lit(True)
@@ -18,10 +19,17 @@ def valid_albums(rows: DataFrame) -> DataFrame:
     for c in ("collectionId", "artistId"):
         ids &= F.col(c).between(1, MOST_SAFE)
     out = rows.where(kind("wrapperType", "collection") & kind("collectionType", "Album") & ids)
-    out = out.select("collectionId", "artistId", name("artistName", 500).alias("artistName"), name("collectionName", 500).alias("collectionName"), name("releaseDate", 100).alias("releaseDate"), name("artworkUrl100", 2048).alias("artworkUrl100"), name("collectionViewUrl", 2048).alias("collectionViewUrl"))
+    out = out.select(*keep, "collectionId", "artistId", name("artistName", 500).alias("artistName"), name("collectionName", 500).alias("collectionName"), name("releaseDate", 100).alias("releaseDate"), name("artworkUrl100", 2048).alias("artworkUrl100"), name("collectionViewUrl", 2048).alias("collectionViewUrl"))
     return out.where("artistName is not null and collectionName is not null")
 
 
+def album_list(rows: DataFrame, limit: int = MOST_ALBUMS, search: str = "search") -> DataFrame:
+    """The first `limit` results (1 to MOST_ALBUMS) of each search, by their position from 0, and of these the usable albums."""
+    most = max(1, min(MOST_ALBUMS, int(limit)))
+    taken = rows.where(F.col("position") < most)
+    return valid_albums(taken, keep=(search,))
+
+
 def title_year_matches(candidates: DataFrame, albums: DataFrame, compose: bool = True) -> DataFrame:
     """(taskId, id, album): candidates and albums of one title key and year, once for each album. Keys are exploded, so the join is an equi-join."""
     keys = F.array_distinct(F.filter(F.array(title_key(F.col("title"), compose), title_key(F.col("titleOriginal"), compose)), lambda k: k != ""))

@@ -15,10 +15,20 @@ def leased(tasks: DataFrame, now: Column, lease: str = LEASE) -> DataFrame:
 
 
 def over_limit(requests: DataFrame, user: str, at: str, span: int = SPAN, most: int = MOST) -> DataFrame:
-    """Requests made when the user already had `most` within the last `span` seconds. Frames run within a user, on whole seconds since the epoch."""
-    second = F.unix_timestamp(at)
-    w = Window.partitionBy(user).orderBy(second).rangeBetween(-span, 0)
-    return requests.withColumn("recent", F.count("*").over(w)).where(F.col("recent") >= most)
+    """Requests by which the user has made `most` or more within the last `span` seconds, on whole seconds since the epoch.
+
+    Time is cut into pieces of `span` seconds, and a frame runs within a user's piece and the one before it, whose requests come
+    along: a user of very many requests is spread over the pieces."""
+    rows = requests.withColumn("__s", F.unix_timestamp(at)).withColumn("__own", F.floor(F.col("__s") / span))
+    rows = rows.withColumn("__piece", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    w = Window.partitionBy(user, "__piece").orderBy("__s").rangeBetween(-span, 0)
+    return rows.withColumn("recent", F.count("*").over(w)).where((F.col("__piece") == F.col("__own")) & (F.col("recent") >= most)).drop("__s", "__own", "__piece")
+
+
+def of_user(tasks: DataFrame, task: object, user: object, succeeded: bool = False) -> DataFrame:
+    """The task, if it is the user's; for an import it must have succeeded. All conditions reach the scan."""
+    own = tasks.where((F.col("id") == F.lit(task)) & (F.col("userId") == F.lit(user)))
+    return own.where("status = 'SUCCEEDED'") if succeeded else own
 
 
 def latest(tasks: DataFrame, by: str, at: str, tie: str) -> DataFrame:

@@ -12,9 +12,14 @@ DECADES = {"1980s": (1980, 1989), "1990s": (1990, 1999), "2000s": (2000, 2009)}
 GAP_STATUSES = ("NOT_OWNED", "WANTED", "PENDING_REVIEW")
 
 
+def is_evidence(description: Column) -> Column:
+    """A null description is evidence."""
+    return ~description.eqNullSafe(F.lit(COVER_ROLE))
+
+
 def evidence(sources: Column) -> Column:
-    """Sources that are not there for the cover alone; a null description is evidence."""
-    return F.filter(sources, lambda s: ~s["description"].eqNullSafe(F.lit(COVER_ROLE)))
+    """Sources that are not there for the cover alone."""
+    return F.filter(sources, lambda s: is_evidence(s["description"]))
 
 
 def cover_source(sources: Column) -> Column:
@@ -64,7 +69,10 @@ class Filters:
     def years(self) -> tuple[float | None, float | None] | None:
         return (number(self.yearFrom), number(self.yearTo)) if self.decade == "custom" else DECADES.get(self.decade)
 
-    def predicate(self) -> Column:
+    def predicate(self, no_evidence: Column | None = None) -> Column:
+        """no_evidence: whether a release has no source but for its cover; by `sources` unless given."""
+        if no_evidence is None:
+            no_evidence = F.size(evidence(F.col("sources"))) == 0
         c, out = F.col, F.lit(True)
         if query := self.q.strip():
             out &= includes(c("title"), query) | includes(c("catalogNo"), query) | includes(c("notes"), query)
@@ -80,14 +88,14 @@ class Filters:
         if self.missingCover == "true":
             out &= is_blank(c("coverUrl"))
         if self.missingSource == "true":
-            out &= F.size(evidence(c("sources"))) == 0
+            out &= no_evidence
         if self.missingCatalog == "true":
             out &= is_blank(c("catalogNo"))
         review = mentions_review(c("warnings"), c("notes"))
         if self.pendingReview == "true":
             out &= F.coalesce(c("status") == "PENDING_REVIEW", F.lit(False)) | review
         if self.gap == "true":
-            out &= F.coalesce(c("status"), F.lit("NOT_OWNED")).isin(*GAP_STATUSES) | is_blank(c("coverUrl")) | (F.size(evidence(c("sources"))) == 0) | review
+            out &= F.coalesce(c("status"), F.lit("NOT_OWNED")).isin(*GAP_STATUSES) | is_blank(c("coverUrl")) | no_evidence | review
         if (bounds := self.years()) is not None:
             year = F.year("releaseDate")
             out &= year.isNotNull()

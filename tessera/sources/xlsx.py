@@ -1,8 +1,10 @@
-"""Workbooks: Spark lists and reads the files, each sheet is parsed in a task of its own, and tables are written as workbooks.
+"""Workbooks: Spark lists and reads the files, each file is parsed in one go by a task, and tables are written as workbooks.
 
-A workbook is a zip of XML parts; only what cells need is read. Dates stay day numbers, so no time zone is involved.
+A workbook is a zip of XML parts; only what cells need is read. Dates stay day numbers, so no time zone is involved; as texts
+they are ISO times. Phonetic guides are no part of a text. A file that cannot be taken is a row with an error.
 """
 
+import datetime
 import io
 import re
 import zipfile
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 MOST_BYTES = 10 << 20
+MOST_ROWS = 500_000  #: rows of a written workbook; a sheet cannot hold more than about twice as many
 CELLS = "array<struct<header:string,text:string,serial:double>>"
 # Built-in number formats that show dates.
 DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), 45, 46, 47, *range(50, 59)])
@@ -34,61 +37,93 @@ def _column(ref: str) -> int:
     return n
 
 
-def _rows(data: bytes, sheet: str) -> list[tuple[int, list[tuple[str, str, float | None]]]]:
-    """(row number, cells (header, text, day number)) of a sheet. The first row that has cells is the header; blank rows are left out and not counted."""
+def _text(item) -> str:
+    """The text of a string item: its own, or that of its runs; guides to its reading (rPh) stay out."""
+    return "".join(t.text or "" for t in [*item.findall(f"{MAIN}t"), *item.findall(f"{MAIN}r/{MAIN}t")])
+
+
+def _day(serial: float) -> str:
+    """A day number as an ISO time, in milliseconds."""
+    at = datetime.datetime(1899, 12, 30) + datetime.timedelta(milliseconds=round(serial * 86_400_000))
+    return at.isoformat(timespec="milliseconds") + "Z"
+
+
+def _workbook(data: bytes):
+    """(sheet, row number, cells (header, text, day number)) of a workbook, sheet by sheet. A sheet's first row that has cells is its header; blank rows are left out and not counted."""
     book = zipfile.ZipFile(io.BytesIO(data))
     names = set(book.namelist())
-    shared = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")] if "xl/sharedStrings.xml" in names else []
+    shared = [_text(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")] if "xl/sharedStrings.xml" in names else []
+    about = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{MAIN}workbookPr")
+    since = 1462 if about is not None and about.get("date1904") in ("1", "true") else 0  # days from the other epoch
     dates: set[int] = set()
     if "xl/styles.xml" in names:
         styles = ElementTree.fromstring(book.read("xl/styles.xml"))
         own = {int(f.get("numFmtId")) for f in styles.iter(f"{MAIN}numFmt") if re.search("[ymd]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode")).lower())}
         xfs = styles.find(f"{MAIN}cellXfs")
         dates = {i for i, x in enumerate(xfs if xfs is not None else ()) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own}
-    header: dict[int, str] = {}
-    out: list = []
-    for row in ElementTree.fromstring(book.read(dict(_sheets(book))[sheet])).iter(f"{MAIN}row"):
-        cells = {}
-        for at, c in enumerate(row.iter(f"{MAIN}c"), 1):
-            kind, v = c.get("t", "n"), c.find(f"{MAIN}v")
-            value = v.text if v is not None and v.text else ""
-            serial = None
-            if kind == "s":
-                value = shared[int(value)] if value else ""
-            elif kind == "inlineStr":
-                value = "".join(t.text or "" for t in c.iter(f"{MAIN}t"))
-            elif kind == "b":
-                value = "true" if value == "1" else "false"
-            elif kind == "n" and value:
-                serial = float(value)
-                value = str(int(serial)) if serial.is_integer() else value
-            cells[_column(c.get("r")) if c.get("r") else at] = (value, serial)
-        if not any(v for v, _ in cells.values()):
-            continue
-        if not header:
-            header = {k: v for k, (v, _) in cells.items()}
-        else:
-            out.append((len(out) + 2, [(h, *cells.get(k, ("", None))) for k, h in sorted(header.items())]))
-    return out
+    for sheet, part in _sheets(book):
+        header: dict[int, str] = {}
+        n = 1
+        for row in ElementTree.fromstring(book.read(part)).iter(f"{MAIN}row"):
+            cells = {}
+            for at, c in enumerate(row.iter(f"{MAIN}c"), 1):
+                kind, v = c.get("t", "n"), c.find(f"{MAIN}v")
+                value = v.text if v is not None and v.text else ""
+                serial = None
+                if kind == "s":
+                    value = shared[int(value)] if value else ""
+                elif kind == "inlineStr":
+                    value = "".join(map(_text, c.findall(f"{MAIN}is")))
+                elif kind == "b":
+                    value = "true" if value == "1" else "false"
+                elif kind == "n" and value:
+                    dated = int(c.get("s", 0)) in dates
+                    serial = float(value) + (since if dated else 0)
+                    value = _day(serial) if dated else str(int(serial)) if serial.is_integer() else value
+                cells[_column(c.get("r")) if c.get("r") else at] = (value, serial)
+            if not any(v for v, _ in cells.values()):
+                continue
+            if not header:
+                header = {k: v for k, (v, _) in cells.items()}
+            else:
+                n += 1
+                yield sheet, n, [(h, *cells.get(k, ("", None))) for k, h in sorted(header.items())]
+
+
+# What is said of a file that cannot be taken.
+TOO_LARGE, UNREADABLE = "File is larger than 10 MiB.", "File is not a readable workbook."
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """(fileName, sheetName, rowNumber, cells, error) of the .xlsx files at path: a row for each row of each sheet, or one with an error
+    for a file that is over MOST_BYTES, whose content is never read, or unreadable. Spark's file scans leave out files without a byte."""
+    files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".xlsx")).withColumn("fileName", F.element_at(F.split("path", "/"), -1))
+    names = ["fileName", "sheetName", "rowNumber", "cells", "error"]
 
+    def rows(batches):
+        for batch in batches:
+            for f, data in zip(batch.fileName, batch.content, strict=True):
+                try:
+                    found = [(f, sheet, n, [{"header": h, "text": t, "serial": s} for h, t, s in cells], None) for sheet, n, cells in _workbook(data)]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, AttributeError, IndexError):
+                    found = [(f, None, None, None, UNREADABLE)]
+                for i in range(0, len(found), 10_000):
+                    yield pd.DataFrame(found[i : i + 10_000], columns=names).astype({"rowNumber": "Int32"})
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(fileName, sheetName, rowNumber, cells) of all sheets of the workbooks at path. Files over MOST_BYTES and other than .xlsx are left out."""
-    files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".xlsx") & F.col("length").between(1, MOST_BYTES))
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("fileName"), "content")
+    schema = f"fileName string, sheetName string, rowNumber int, cells {CELLS}, error string"
+    good = files.where(F.col("length") <= MOST_BYTES).select("fileName", "content").mapInPandas(rows, schema)
+    bad = files.where(F.col("length") > MOST_BYTES).select("fileName", F.lit(TOO_LARGE).alias("error"))
+    return good.unionByName(bad, allowMissingColumns=True)
 
-    def sheets(batches):
-        for batch in batches:
-            rows = [(f, n, c) for f, c in zip(batch.fileName, batch.content, strict=True) for n, _ in _sheets(zipfile.ZipFile(io.BytesIO(c)))]
-            yield pd.DataFrame(rows, columns=["fileName", "sheetName", "content"])
 
-    def rows(batches):
-        for batch in batches:
-            out = [(f, n, i, [{"header": h, "text": t, "serial": s} for h, t, s in cells]) for f, n, c in zip(batch.fileName, batch.sheetName, batch.content, strict=True) for i, cells in _rows(c, n)]
-            yield pd.DataFrame(out, columns=["fileName", "sheetName", "rowNumber", "cells"])
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(fileName, sheetName, rowNumber, cells) of all sheets of the workbooks at path; see rejected() for the files that give none."""
+    return scan(spark, path).where("error is null").drop("error")
+
 
-    each = files.mapInPandas(sheets, "fileName string, sheetName string, content binary")
-    return each.repartition("fileName", "sheetName").mapInPandas(rows, f"fileName string, sheetName string, rowNumber int, cells {CELLS}")
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """(fileName, error) of the files that cannot be taken."""
+    return scan(spark, path).where("error is not null").select("fileName", "error")
 
 
 def _escape(text: str) -> str:
@@ -113,11 +148,18 @@ def workbook(sheets: dict[str, tuple[list[str], list[list[object]]]]) -> bytes:
     return out.getvalue()
 
 
-def write(rows: DataFrame, key: str, sheet: str = "Library") -> DataFrame:
-    """(key, content): one workbook for each value of key, such as an artist. A workbook holds what one library holds, and is made in one task."""
+def write(rows: DataFrame, key: str, sheet: str = "Library", order: tuple[str, ...] = (), most: int = MOST_ROWS) -> DataFrame:
+    """(key, part, content): workbooks of each value of key, such as an artist, with some `most` rows each, from part 0, sorted by `order` (nulls last).
+
+    A key of more rows is dealt to parts by hash before any workbook is made: a task makes one part, however large a key is."""
     names = [c for c in rows.columns if c != key]
+    large = rows.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("__parts")).where("__parts > 1")
+    dealt = rows.join(large, F.col(key).eqNullSafe(F.col("__key")), "left")
+    part = F.when(F.col("__parts") > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__parts"))).otherwise(0)
+    dealt = dealt.select(key, part.cast("int").alias("__part"), *names)
 
     def one(k, pdf):
-        return pd.DataFrame([(k[0], workbook({sheet: (names, pdf[names].astype(object).where(pdf[names].notna(), "").values.tolist())}))], columns=[key, "content"])
+        own = pdf.sort_values(list(order), na_position="last", kind="stable") if order else pdf
+        return pd.DataFrame([(k[0], k[1], workbook({sheet: (names, own[names].astype(object).where(own[names].notna(), "").values.tolist())}))], columns=[key, "part", "content"])
 
-    return rows.groupBy(key).applyInPandas(one, f"`{key}` {rows.schema[key].dataType.simpleString()}, content binary")
+    return dealt.groupBy(key, "__part").applyInPandas(one, f"`{key}` {rows.schema[key].dataType.simpleString()}, part int, content binary")

@@ -233,22 +233,43 @@ def test_tasks(spark):
     assert {r.userId: r.id for r in tasks.latest(rows, "userId", "createdAt", "id").collect()} == {"u": 3, "v": 9}
 
 
+def streamed(df, name, mode="append"):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return df.sparkSession.table(name)
+
+
 def test_stream(spark, sf):
     from tessera.streaming import tasks as streaming
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    q = streaming.request_counts(events, "user_id", "ts", "1 hour", "30 minutes", most=2).writeStream.format("memory").queryName("spans").outputMode("complete").start()
-    try:
-        q.processAllAvailable()
-        assert spark.table("spans").where("n >= 2").count() == spark.table("spans").count() > 0
-    finally:
-        q.stop()
+    spans = streamed(streaming.request_counts(events, "user_id", "ts", "1 hour", "30 minutes", most=2), "spans", "complete")
+    assert spans.where("n >= 2").count() == spans.count() > 0
+    at = F.unix_timestamp("ts").alias("s")
+    got = sorted(map(tuple, streamed(streaming.over_limit(events, "user_id", "ts", span=3600, most=3), "limits").select("user_id", at, "recent").collect()))
+    batch = tasks.over_limit(spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", span=3600, most=3)
+    assert got == sorted(map(tuple, batch.select("user_id", at, "recent").collect())) and len(got) > 3
+
+
+def test_stream_of_two_batches(spark, tmp_path):
+    """What a user did in an earlier micro-batch counts in the next."""
+    from tessera.streaming import tasks as streaming
+
+    rows = lambda *seconds: spark.createDataFrame([("u", datetime.datetime(2024, 1, 1, 0, 0, s)) for s in seconds], "user string, at timestamp")
+    rows(0, 10, 20).write.mode("append").parquet(str(tmp_path / "in"))
+    rows(25, 59).write.mode("append").parquet(str(tmp_path / "in"))
+    files = spark.readStream.schema("user string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = streamed(streaming.over_limit(files, "user", "at", span=30, most=2), "two").select("user", F.second("at"), "recent").collect()
+    assert {(r[1], r[2]) for r in got} <= {(10, 2), (20, 3), (25, 4), (59, 1)} and len(got) >= 2
 
 
 def test_workbooks_round_trip(spark, tmp_path):
     rows = export.export_rows(spark.createDataFrame([release("r", notes="a<b>&\x01"), release("s", artistId="b", status=None)], LIBRARY), keep=("artistId",))
-    for r in xlsx.write(rows, "artistId").collect():
+    for r in xlsx.write(rows, "artistId", order=("标题",)).collect():
         (tmp_path / f"{r.artistId}.xlsx").write_bytes(r.content)
     back = xlsx.read(spark, f"file://{tmp_path}/*.xlsx").collect()
     assert sorted((r.fileName, r.sheetName, r.rowNumber) for r in back) == [("a.xlsx", "Library", 2), ("b.xlsx", "Library", 2)]
@@ -284,3 +305,64 @@ def test_rules(spark):
     assert [len(f) for f in faults(edit, mutations.edit_rules())] == [3]
     st = spark.createDataFrame([("want", "0"), ("SKIP", "5"), ("x", "6")], "status string, priority string")
     assert [len(f) for f in faults(st, mutations.status_rules())] == [1, 2]
+
+
+def test_workbook_oddities(spark, tmp_path):
+    """Phonetic guides, the 1904 epoch, date cells as texts, files that cannot be taken, and a key of many rows."""
+    import io
+    import zipfile
+
+    def parts(book, **more):
+        src, out = zipfile.ZipFile(io.BytesIO(book)), io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in src.namelist():
+                if n not in more:
+                    z.writestr(n, src.read(n))
+            for n, data in more.items():
+                z.writestr(n, data)
+        return out.getvalue()
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    plain = xlsx.workbook({"A_原创专辑原版CD": (["标题"], [["x"]])})
+    shared = f'<sst {ns}><si><t>标题</t></si><si><t>中山美穂</t><rPh sb="0" eb="2"><t>ナカヤマ</t></rPh></si><si><r><t>二</t></r><r><t>つ</t></r><phoneticPr fontId="1"/></si><si><t>发行日</t></si></sst>'
+    sheet = f'<worksheet {ns}><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>3</v></c></row><row><c t="s"><v>1</v></c><c s="1"><v>29833</v></c></row><row><c t="s"><v>2</v></c><c><v>31295</v></c></row></sheetData></worksheet>'
+    styles = f'<styleSheet {ns}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'
+    book = zipfile.ZipFile(io.BytesIO(plain)).read("xl/workbook.xml").decode().replace("<sheets>", '<workbookPr date1904="1"/><sheets>')
+    (tmp_path / "a.xlsx").write_bytes(parts(plain, **{"xl/sharedStrings.xml": shared, "xl/worksheets/sheet1.xml": sheet, "xl/styles.xml": styles, "xl/workbook.xml": book}))
+    (tmp_path / "broken.xlsx").write_bytes(b"no zip")
+    (tmp_path / "large.xlsx").write_bytes(bytes(xlsx.MOST_BYTES + 1))
+    (tmp_path / "other.txt").write_bytes(b"x")
+    rows = xlsx.read(spark, f"file://{tmp_path}/*").orderBy("rowNumber").collect()
+    assert [[(c.text, c.serial) for c in r.cells] for r in rows] == [[("中山美穂", None), ("1985-09-05T00:00:00.000Z", 31295.0)], [("二つ", None), ("31295", 31295.0)]]
+    assert {r.fileName: r.error for r in xlsx.rejected(spark, f"file://{tmp_path}/*").collect()} == {"broken.xlsx": xlsx.UNREADABLE, "large.xlsx": xlsx.TOO_LARGE}
+    many = spark.range(100).selectExpr("'k' as key", "cast(id as string) as v").unionByName(spark.createDataFrame([("one", "1")], "key string, v string"))
+    made = xlsx.write(many, "key", most=30).collect()
+    assert sorted((r.key, r.part) for r in made) == [("k", 0), ("k", 1), ("k", 2), ("k", 3), ("one", 0)]
+    assert sum(len(list(xlsx._workbook(bytes(r.content)))) for r in made) == 101
+
+
+def test_objects_in_text():
+    from tessera.functions.json_text import _first_object as first
+
+    assert first('x {"a": "}\\"{", "b": {}} {') == '{"a": "}\\"{", "b": {}}' and first("no") is None and first('{"a": "x}') is None and first(None) is None
+    assert first('{"x":1} ```json\n{"y":2}\n```') == '{"y":2}' and first('{"x":1} ``` none ```') is None and first('``` {"z":3}') == '{"z":3}' and first("} {}") == "{}"
+
+
+def test_gate_plan_is_small(spark):
+    rows = gated(spark, candidate())
+    assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+
+
+def test_forms_and_bulk(spark):
+    faults = lambda df, rules: [r.faults for r in mutations.validated(df, rules)[1].collect()]
+    form = spark.createDataFrame([("A", None, " ", "d" * 4000), (" ", "s" * 161, "c" * 81, None)], "name string, sortName string, country string, description string")
+    assert faults(form, mutations.artist_rules()) == [["name is required.", "sortName has more than 160 characters.", "country has more than 80 characters."]]
+    bulk = spark.createDataFrame([("a1", ["r1"], "OWNED", None, None), ("a1", [], "OWNED", None, None), ("a1", ["r1"], "BAD", None, None), ("a1", ["r1"], None, "9", None), ("a1", ["r1"], None, None, ""), (" ", ["", "r"], "WANT", "5", "true")], "artistId string, releaseIds array<string>, status string, priority string, excluded string")
+    assert sorted(faults(bulk, mutations.bulk_rules())) == sorted([["releaseIds is required."], ["Invalid collection status."], ["priority must be an integer from 1 to 5."], ["No bulk update operation was provided."], ["artistId is required."]])
+
+
+def test_serialised(spark, two):
+    import json
+
+    got = {r.id: json.loads(r.release) for r in library.serialised(two.withColumn("status", F.when(F.col("id") == "r1", F.col("status")))).collect()}
+    assert got["r2"]["userStatus"] is None and got["r2"]["catalogNo"] is None and got["r1"]["releaseDate"] == "1985-09-05" and set(got["r1"]["userStatus"]) == {"status", "priority"}
