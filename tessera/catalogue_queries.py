@@ -149,22 +149,33 @@ def owned_scope(spark, d):
     return mutations.scoped(T.releases(spark, d), 7, ids).select("id")
 
 
-# Rows of a spreadsheet: every third release comes again, some without a number, some with a fault.
-IMPORT_SQL = T.SQL + """, stored AS (SELECT * FROM releases WHERE id % 4 <> 0),
-file AS (SELECT id AS "rowId", "artistId", CASE WHEN id % 2 = 0 THEN "catalogNo" END AS "catalogNo", CASE WHEN id % 25 = 0 THEN '' ELSE title END AS title,
-  CASE WHEN id % 9 <> 0 THEN "releaseDate" END AS "releaseDate", format, id % 25 = 0 AS bad, id % 6 <> 0 AS included FROM releases WHERE id % 3 = 0),
-found AS (SELECT f.*, CASE WHEN NOT bad THEN CASE WHEN f."catalogNo" IS NOT NULL THEN (SELECT min(s.id) FROM stored s WHERE s."artistId" = f."artistId" AND s."catalogNo" = f."catalogNo")
-  ELSE (SELECT min(s.id) FROM stored s WHERE s."artistId" = f."artistId" AND s.title = f.title AND s."releaseDate" IS NOT DISTINCT FROM f."releaseDate" AND s.format = f.format) END END AS duplicate FROM file f),
+# Rows of a spreadsheet: every release comes again, some under another number or title, some without a number, some with a fault.
+IMPORT_SQL = T.SQL + """, stored AS (SELECT * REPLACE (CASE WHEN id % 4 = 0 THEN 'OLD-' || id::VARCHAR ELSE "catalogNo" END AS "catalogNo", CASE WHEN id % 5 = 0 THEN 'Old ' || title ELSE title END AS title) FROM releases),
+file AS (SELECT id AS "rowId", "artistId", CASE WHEN id % 6 = 1 THEN 'NEW-' || id::VARCHAR WHEN id % 2 = 0 THEN "catalogNo" END AS "catalogNo", CASE WHEN id % 25 = 0 THEN '' ELSE title END AS title,
+  CASE WHEN id % 9 <> 0 THEN "releaseDate" END AS "releaseDate", format, category, id % 25 = 0 AS bad, id % 6 <> 0 AS included, CASE WHEN id % 8 = 0 THEN ' ' WHEN id % 8 < 6 THEN 'https://file.example/' || (id % 50)::VARCHAR END AS "sourceUrl", (id % 5 + 1)::INT AS priority FROM releases),
+found AS (SELECT f.*, CASE WHEN NOT bad THEN coalesce(n.id, t.id) END AS duplicate FROM file f
+  LEFT JOIN (SELECT "artistId", "catalogNo", min(id) AS id FROM stored WHERE "catalogNo" <> '' GROUP BY ALL) n ON n."artistId" = f."artistId" AND n."catalogNo" = f."catalogNo"
+  LEFT JOIN (SELECT "artistId", title, "releaseDate", format, min(id) AS id FROM stored GROUP BY ALL) t ON f."catalogNo" IS NULL AND t."artistId" = f."artistId" AND t.title = f.title AND t."releaseDate" IS NOT DISTINCT FROM f."releaseDate" AND t.format = f.format),
 acted AS (SELECT *, CASE WHEN bad THEN 'error' WHEN duplicate IS NOT NULL THEN 'updated' ELSE 'created' END AS action FROM found)
 """
 
 
+def stored_releases(spark, d):
+    k = F.col("id")
+    return T.releases(spark, d).withColumn("catalogNo", F.when(k % 4 == 0, F.concat(F.lit("OLD-"), k.cast("string"))).otherwise(F.col("catalogNo"))).withColumn("title", F.when(k % 5 == 0, F.concat(F.lit("Old "), F.col("title"))).otherwise(F.col("title")))
+
+
 def import_rows(spark, d):
-    rel = T.releases(spark, d)
     k = F.col("id")
     none = F.expr("cast(array() as array<string>)")
-    rows = rel.where(k % 3 == 0).select(k.alias("rowId"), F.col("artistId").alias("target"), F.when(k % 2 == 0, F.col("catalogNo")).alias("catalogNo"), F.when(k % 25 == 0, "").otherwise(F.col("title")).alias("title"), F.when(k % 9 != 0, F.col("releaseDate")).alias("releaseDate"), "format", F.when(k % 25 == 0, F.array(F.lit(importing.NO_TITLE))).otherwise(none).alias("errors"), (k % 6 != 0).alias("included"))
-    return importing.with_duplicates(rows, rel.where(k % 4 != 0), F.col("target")).withColumn("action", importing.action("update"))
+    number = F.when(k % 6 == 1, F.concat(F.lit("NEW-"), k.cast("string"))).when(k % 2 == 0, F.col("catalogNo"))
+    url = F.when(k % 8 == 0, " ").when(k % 8 < 6, F.concat(F.lit("https://file.example/"), (k % 50).cast("string")))
+    rows = T.releases(spark, d).select(
+        k.alias("rowId"), F.col("artistId").alias("target"), number.alias("catalogNo"), F.when(k % 25 == 0, "").otherwise(F.col("title")).alias("title"), F.when(k % 9 != 0, F.col("releaseDate")).alias("releaseDate"), "format", "category", F.lit(None).cast("string").alias("label"),
+        "isReissue", F.lit(None).cast("string").alias("notes"), F.lit(None).cast("string").alias("coverUrl"), url.alias("sourceUrl"), (k % 5 + 1).cast("int").alias("priority"), F.lit("owned").alias("status"), F.concat(F.lit("sheet "), (k % 3).cast("string")).alias("sheetName"), k.cast("int").alias("rowNumber"),
+        F.when(k % 25 == 0, F.array(F.lit(importing.NO_TITLE))).otherwise(none).alias("errors"), (k % 6 != 0).alias("included"),
+    )
+    return importing.with_duplicates(rows, stored_releases(spark, d), F.col("target")).withColumn("action", importing.action("update"))
 
 
 @register("dup_lookup", 'SELECT "rowId", duplicate AS "duplicateId" FROM found', IMPORT_SQL)
@@ -177,9 +188,12 @@ def import_preview(spark, d):
     return import_rows(spark, d).groupBy("artistId").agg(*importing.preview_columns())
 
 
-@register("import_actions", 'SELECT action, count(*) AS n FROM acted GROUP BY 1', IMPORT_SQL)
+@register("import_actions", """SELECT s AS strategy, CASE WHEN bad THEN 'error' WHEN duplicate IS NULL THEN 'created' ELSE CASE s WHEN 'update' THEN 'updated' WHEN 'create' THEN 'created' ELSE 'skipped' END END AS action, count(*) AS n
+FROM found, (VALUES ('skip'), ('update'), ('create')) g(s) GROUP BY 1, 2""", IMPORT_SQL)
 def import_actions(spark, d):
-    return import_rows(spark, d).groupBy("action").agg(F.count("*").alias("n"))
+    rows = import_rows(spark, d)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), importing.action(s).alias("action")) for s in importing.STRATEGIES])).alias("x")
+    return rows.select(each).groupBy("x.strategy", "x.action").agg(F.count("*").alias("n"))
 
 
 @register("batch_outcome", """SELECT "artistId", count(*) FILTER (action = 'created') AS created, count(*) FILTER (action = 'updated') AS updated, 0::BIGINT AS skipped, count(*) FILTER (action = 'error') AS errors,
@@ -196,9 +210,9 @@ def last_wins_update(spark, d):
 
 
 @register("first_wins_dedup", """
-SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY "artistId", "releaseDate" ORDER BY id) AS n FROM releases) WHERE "catalogNo" IS NULL OR n = 1""", T.SQL.replace('o_orderkey % 11 <> 0', 'true'))
+SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY "artistId", "releaseDate", "catalogNo" IS NULL ORDER BY id) AS n FROM releases) WHERE "catalogNo" IS NULL OR n = 1""", T.SQL)
 def first_wins_dedup(spark, d):
-    return first_of_each(T.releases(spark, d), ["artistId", "releaseDate"], ["id"], F.lit(True)).select("id")
+    return first_of_each(T.releases(spark, d), ["artistId", "releaseDate"], ["id"], F.col("catalogNo").isNotNull()).select("id")
 
 
 @register("map_dedup", """
@@ -228,7 +242,7 @@ def majority_vote(spark, d):
 
 
 # Parts are albums, and candidates of the same names: the year comes from the key.
-ALBUM_SQL = T.CANDIDATES_SQL + """, albums AS (SELECT p_partkey AS "collectionId", p_partkey % 7 + 1 AS "artistId", trim(lower(p_name)) AS name, 1980 + p_partkey % 30 AS year FROM part WHERE p_partkey % 3 = 0),
+ALBUM_SQL = T.CANDIDATES_SQL + """, albums AS (SELECT p_partkey AS "collectionId", CASE WHEN p_size % 2 = 0 THEN 1 ELSE p_partkey % 7 + 1 END AS "artistId", trim(lower(p_name)) AS name, CASE WHEN p_partkey % 3 = 2 THEN 1950 ELSE 1980 END + p_partkey % 30 AS year FROM part),
 keys AS (SELECT DISTINCT "taskId", id, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS key, year FROM (SELECT "taskId", id, title AS t, year FROM base WHERE dated UNION ALL SELECT "taskId", id, "titleOriginal", year FROM base WHERE dated AND "titleOriginal" IS NOT NULL)),
 hits AS (SELECT DISTINCT k."taskId", k.id, a."collectionId", a."artistId" FROM keys k JOIN albums a ON regexp_replace(a.name, '[^a-z0-9]', '', 'g') = k.key AND a.year = k.year),
 uniq AS (SELECT "taskId", id, min("collectionId") AS "collectionId", min("artistId") AS "artistId" FROM hits GROUP BY 1, 2 HAVING count(*) = 1)
@@ -237,7 +251,7 @@ uniq AS (SELECT "taskId", id, min("collectionId") AS "collectionId", min("artist
 
 def albums(spark, d):
     k = F.col("p_partkey")
-    return T.load(spark, d, "part").where(k % 3 == 0).select(k.alias("collectionId"), (k % 7 + 1).alias("artistId"), F.col("p_brand").alias("artistName"), F.col("p_name").alias("collectionName"), F.concat((1980 + k % 30).cast("string"), F.lit("-01-01T00:00:00Z")).alias("releaseDate"), F.lit(None).cast("string").alias("artworkUrl100"), F.lit(None).cast("string").alias("collectionViewUrl"))
+    return T.load(spark, d, "part").select(k.alias("collectionId"), F.when(F.col("p_size") % 2 == 0, 1).otherwise(k % 7 + 1).alias("artistId"), F.col("p_brand").alias("artistName"), F.col("p_name").alias("collectionName"), F.concat((F.when(k % 3 == 2, 1950).otherwise(1980) + k % 30).cast("string"), F.lit("-01-01T00:00:00Z")).alias("releaseDate"), F.lit(None).cast("string").alias("artworkUrl100"), F.lit(None).cast("string").alias("collectionViewUrl"))
 
 
 @register("title_year_join", 'SELECT "taskId", id, "collectionId" FROM hits', ALBUM_SQL)
@@ -252,9 +266,9 @@ def unique_match(spark, d):
 
 @register("dominant_artist", """, n AS (SELECT "taskId", "artistId", count(DISTINCT "collectionId") AS n FROM uniq GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER w AS place, lead(n) OVER w AS second, sum(n) OVER (PARTITION BY "taskId") AS everything FROM n WINDOW w AS (PARTITION BY "taskId" ORDER BY n DESC, "artistId"))
-SELECT "taskId", "artistId", n FROM r WHERE place = 1 AND n >= 1 AND second IS DISTINCT FROM n AND 2 * n > everything""", ALBUM_SQL)
+SELECT "taskId", "artistId", n FROM r WHERE place = 1 AND n >= 2 AND second IS DISTINCT FROM n AND 2 * n > everything""", ALBUM_SQL)
 def dominant_artist(spark, d):
-    return resolve.dominant_artist(T.candidates(spark, d), albums(spark, d), least=1, compose=False)
+    return resolve.dominant_artist(T.candidates(spark, d), albums(spark, d), compose=False)
 
 
 @register("title_key", "SELECT p_partkey, regexp_replace(lower(p_name || ' - ' || p_type), '[^a-z0-9+]', '', 'g') AS key FROM part")
@@ -397,24 +411,35 @@ def task_states(spark, d):
     return tasks.task_states(rows)
 
 
-UPSERT_SQL = T.SQL + """, old AS (SELECT id, status, priority FROM releases WHERE id % 13 <> 0 AND id % 2 = 0),
-change AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'WANTED' END AS status, CASE WHEN id % 6 = 0 THEN 1 END AS priority FROM releases WHERE id % 3 = 0)
-SELECT 'u1' AS "userId", coalesce(o.id, c.id) AS "releaseId", coalesce(c.status, o.status, 'NOT_OWNED') AS status, coalesce(c.priority, o.priority, 3) AS priority FROM old o FULL JOIN change c ON o.id = c.id"""
+UPSERT_SQL = T.SQL + """, old AS (SELECT 'u' || (id % 2)::VARCHAR AS "userId", id AS "releaseId", coalesce(status, 'SKIP') AS status, priority FROM releases),
+change AS (SELECT 'u' || (id % 3 % 2)::VARCHAR AS "userId", id AS "releaseId", CASE WHEN id % 4 = 0 THEN 'WANTED' END AS status, CASE WHEN id % 6 = 0 THEN 1 END AS priority FROM releases)
+SELECT coalesce(o."userId", c."userId") AS "userId", coalesce(o."releaseId", c."releaseId") AS "releaseId", coalesce(c.status, o.status, 'NOT_OWNED') AS status, coalesce(c.priority, o.priority, 3) AS priority FROM old o FULL JOIN change c ON o."userId" = c."userId" AND o."releaseId" = c."releaseId" """
 
 
 @register("status_upsert", UPSERT_SQL)
 def status_upsert(spark, d):
     rel, k = T.releases(spark, d), F.col("id")
-    old = rel.where((k % 13 != 0) & (k % 2 == 0)).select(F.lit("u1").alias("userId"), k.alias("releaseId"), "status", "priority")
-    change = rel.where(k % 3 == 0).select(F.lit("u1").alias("userId"), k.alias("releaseId"), F.when(k % 4 == 0, "WANTED").alias("status"), F.when(k % 6 == 0, 1).alias("priority"))
+    user = lambda n: F.concat(F.lit("u"), n.cast("string")).alias("userId")
+    old = rel.select(user(k % 2), k.alias("releaseId"), F.coalesce("status", F.lit("SKIP")).alias("status"), "priority")
+    change = rel.select(user(k % 3 % 2), k.alias("releaseId"), F.when(k % 4 == 0, "WANTED").alias("status"), F.when(k % 6 == 0, 1).alias("priority"))
     return mutations.upsert_statuses(old, change)
 
 
-@register("bulk_update", """SELECT id, CASE WHEN "artistId" = 7 AND id % 2 = 0 THEN true ELSE "isExcludedByDefault" END AS excluded FROM releases""", T.SQL)
+@register("bulk_update", """SELECT id, CASE WHEN "artistId" = 7 AND "isReissue" THEN true ELSE "isExcludedByDefault" END AS excluded FROM releases""", T.SQL)
 def bulk_update(spark, d):
     rel = T.releases(spark, d)
     none = rel.where("false").select(F.lit("u1").alias("userId"), F.col("id").alias("releaseId"), "status", "priority")
-    return mutations.bulk_update(rel, none, "u1", 7, rel.where("id % 2 = 0").select("id"), excluded=True)["releases"].select("id", F.col("isExcludedByDefault").alias("excluded"))
+    return mutations.bulk_update(rel, none, "u1", 7, rel.where("isReissue").select("id"), excluded=True)["releases"].select("id", F.col("isExcludedByDefault").alias("excluded"))
+
+
+@register("bulk_statuses", """, own AS (SELECT 'u' || (id % 2)::VARCHAR AS "userId", id AS "releaseId", status, priority FROM releases WHERE status IS NOT NULL),
+hit AS (SELECT id FROM releases WHERE "artistId" = 7 AND "isReissue")
+SELECT coalesce(o."userId", 'u1') AS "userId", coalesce(o."releaseId", h.id) AS "releaseId", CASE WHEN h.id IS NOT NULL THEN 'OWNED' ELSE status END AS status, CASE WHEN h.id IS NOT NULL THEN 2 ELSE priority END AS priority
+FROM own o FULL JOIN hit h ON o."releaseId" = h.id AND o."userId" = 'u1' """, T.SQL)
+def bulk_statuses(spark, d):
+    rel, k = T.releases(spark, d), F.col("id")
+    own = rel.where("status is not null").select(F.concat(F.lit("u"), (k % 2).cast("string")).alias("userId"), k.alias("releaseId"), "status", "priority")
+    return mutations.bulk_update(rel, own, "u1", 7, rel.where("isReissue").select("id"), status="OWNED", priority=2)["statuses"]
 
 
 @register("delete_cascade", """SELECT s.id FROM sources s WHERE s."releaseId" NOT IN (SELECT id FROM releases WHERE "isExcludedByDefault")""", T.SQL)
@@ -423,10 +448,31 @@ def delete_cascade(spark, d):
     return mutations.delete_cascade(rel, {"sources": T.sources(spark, d)}, rel.where("isExcludedByDefault"))["sources"].select("id")
 
 
-@register("case_insensitive_lookup", """, w AS (SELECT DISTINCT upper(name) AS name FROM artists WHERE id % 2 = 0) SELECT w.name, min(a.id) AS id FROM w JOIN artists a ON lower(a.name) = lower(w.name) GROUP BY 1""", ARTISTS_SQL)
+# A hundred names, each borne by several artists in two spellings; the key also gives the day each was made.
+NAMES_SQL = """WITH artist AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'ARTIST ' ELSE 'Artist ' END || (c_custkey % 100)::VARCHAR AS name, c_custkey * 7919 % 1000 AS "createdAt" FROM customer),
+asked AS (SELECT DISTINCT CASE WHEN c_custkey % 4 = 0 THEN 'Nobody ' ELSE 'artist ' END || (c_custkey % 120)::VARCHAR AS name FROM customer)
+"""
+
+
+def named_artists(spark, d):
+    k = F.col("c_custkey")
+    return T.load(spark, d, "customer").select(k.alias("id"), F.concat(F.when(k % 2 == 0, "ARTIST ").otherwise("Artist "), (k % 100).cast("string")).alias("name"), (k * 7919 % 1000).alias("createdAt"))
+
+
+def asked_names(spark, d):
+    k = F.col("c_custkey")
+    return T.load(spark, d, "customer").select(F.concat(F.when(k % 4 == 0, " Nobody ").otherwise(" artist "), (k % 120).cast("string")).alias("name"))
+
+
+@register("case_insensitive_lookup", """SELECT w.name, min_by(a.id, (a."createdAt", a.id)) AS id FROM asked w JOIN artist a ON lower(a.name) = lower(w.name) GROUP BY 1""", NAMES_SQL)
 def case_insensitive_lookup(spark, d):
-    a = artists(spark, d)
-    return resolve.lookup_by_name(a.withColumn("createdAt", F.lit(0)), a.where("id % 2 = 0").select(F.concat(F.lit(" "), F.upper("name")).alias("name")), fold_case=True)
+    return resolve.lookup_by_name(named_artists(spark, d), asked_names(spark, d), fold_case=True)
+
+
+@register("exact_lookup", """SELECT w.name, min(a.id) AS id FROM (SELECT DISTINCT 'A' || substr(name, 2) AS name FROM asked) w JOIN artist a ON a.name = w.name GROUP BY 1""", NAMES_SQL)
+def exact_lookup(spark, d):
+    names = asked_names(spark, d).select(F.concat(F.lit("A"), F.substring("name", 3, 100)).alias("name"))
+    return resolve.lookup_by_name(named_artists(spark, d), names, fold_case=False)
 
 
 @register("anti_sources", """SELECT DISTINCT "releaseId" + 1 AS "releaseId", url FROM sources EXCEPT SELECT "releaseId", url FROM sources""", T.SQL)

@@ -3,7 +3,7 @@
 import datetime
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.filters import Filters, cover_source, evidence
@@ -27,6 +27,14 @@ def export(rows: DataFrame, filters: Filters | None = None) -> DataFrame:
     return export_rows(ordered(filtered(rows, filters) if filters else rows))
 
 
+REFUSED = r'[\\/:*?"<>|]'
+
+
 def file_name(prefix: str, artist: str, day: datetime.date) -> str:
     """prefix_artist_yyyymmdd.xlsx; characters that file systems refuse become underscores."""
-    return f"{prefix}_{re.sub(r'[/:*?\"<>|' + re.escape(chr(92)) + ']', '_', artist)}_{day:%Y%m%d}.xlsx"
+    return f"{prefix}_{re.sub(REFUSED, '_', artist)}_{day:%Y%m%d}.xlsx"
+
+
+def file_names(prefix: str, artist: Column, day: Column) -> Column:
+    """file_name() of columns."""
+    return F.concat(F.lit(f"{prefix}_"), F.regexp_replace(artist, REFUSED, "_"), F.lit("_"), F.date_format(day, "yyyyMMdd"), F.lit(".xlsx"))

@@ -94,10 +94,8 @@ def _workbook(data: bytes):
 TOO_LARGE, UNREADABLE = "File is larger than 10 MiB.", "File is not a readable workbook."
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(fileName, sheetName, rowNumber, cells, error) of the .xlsx files at path: a row for each row of each sheet, or one with an error
-    for a file that is over MOST_BYTES, whose content is never read, or unreadable. Spark's file scans leave out files without a byte."""
-    files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".xlsx")).withColumn("fileName", F.element_at(F.split("path", "/"), -1))
+def parsed(books: DataFrame) -> DataFrame:
+    """(fileName, sheetName, rowNumber, cells, error) of (fileName, content): a row for each row of each sheet, or one with an error for what is no workbook."""
     names = ["fileName", "sheetName", "rowNumber", "cells", "error"]
 
     def rows(batches):
@@ -110,8 +108,13 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, len(found), 10_000):
                     yield pd.DataFrame(found[i : i + 10_000], columns=names).astype({"rowNumber": "Int32"})
 
-    schema = f"fileName string, sheetName string, rowNumber int, cells {CELLS}, error string"
-    good = files.where(F.col("length") <= MOST_BYTES).select("fileName", "content").mapInPandas(rows, schema)
+    return books.select("fileName", "content").mapInPandas(rows, f"fileName string, sheetName string, rowNumber int, cells {CELLS}, error string")
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """parsed() of the .xlsx files at path. A file over MOST_BYTES is a row with an error, and its content is never read. Spark's file scans leave out files without a byte."""
+    files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(".xlsx")).withColumn("fileName", F.element_at(F.split("path", "/"), -1))
+    good = parsed(files.where(F.col("length") <= MOST_BYTES))
     bad = files.where(F.col("length") > MOST_BYTES).select("fileName", F.lit(TOO_LARGE).alias("error"))
     return good.unionByName(bad, allowMissingColumns=True)
 
