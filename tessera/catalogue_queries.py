@@ -298,11 +298,11 @@ def artwork_resize(spark, d):
     return T.load(spark, d, "part").select("p_partkey", U.artwork_600(url).alias("url"))
 
 
-@register("explicit_urls", r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '(?i)https?://[^\s"''<>),\]]+')))::INT AS n, md5(array_to_string(list_sort(list_distinct(list_transform(
-  list_distinct(regexp_extract_all(html, '(?i)https?://[^\s"''<>),\]]+')), lambda u: regexp_replace(trim(u), '[.。]+$', '')))), ' ')) AS digest FROM pages""")
+@register("explicit_urls", r"""SELECT page_id, len(u)::INT AS n, md5(array_to_string(list_transform(u, lambda x: regexp_replace(trim(x), '[.。]+$', '')), ' ')) AS digest
+FROM (SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS u FROM (SELECT page_id, regexp_extract_all(html, '(?i)https?://[^\s"''<>),\]]+') AS l FROM pages))""")
 def explicit_urls(spark, d):
     found = U.explicit_urls(F.col("html"))
-    return T.load(spark, d, "pages").select("page_id", F.size(found).alias("n"), F.md5(F.array_join(F.array_sort(F.array_distinct(found)), " ")).alias("digest"))
+    return T.load(spark, d, "pages").select("page_id", F.size(found).alias("n"), F.md5(F.array_join(found, " ")).alias("digest"))
 
 
 @register("json_props", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")

@@ -103,7 +103,7 @@ library AS (SELECT r.*, coalesce(e.n, 0) AS evidence, coalesce("coverUrl", '') =
   FROM releases r LEFT JOIN evidence e ON r.id = e."releaseId")
 """
 
-CANDIDATES_SQL = """
+BASE_SQL = """
 WITH base AS (
   SELECT 'task-' || p_size::VARCHAR AS "taskId", 'candidate-' || p_partkey::VARCHAR AS id, p_partkey AS k, p_name AS title,
     CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) END AS "titleOriginal",
@@ -113,18 +113,28 @@ WITH base AS (
     p_partkey % 31 = 0 AS excluded0, CASE WHEN p_partkey % 2 = 0 THEN 1 WHEN p_partkey % 3 = 0 THEN 3 ELSE 2 END AS conf0,
     p_partkey % 23 = 0 AS risky, p_partkey % 23 = 1 AS said_source, p_partkey % 7 = 0 AS no_source, p_partkey % 7 = 1 AS wiki
   FROM part),
-facts AS (SELECT *, format IN ('LP', 'DVD box') AS non_cd_, format = '8cm CD' AS cd_, format IS NULL OR format = 'unknown' AS unknown FROM base),
-g AS (SELECT *, coalesce(non_cd_, false) AS non_cd, coalesce(cd_, false) AS cd FROM facts),
-l1 AS (SELECT *, CASE WHEN no_source THEN 1 WHEN no_catalog OR wiki OR non_cd OR reissue OR remaster THEN least(conf0, 2) ELSE conf0 END AS a FROM g),
-l2 AS (SELECT *, CASE WHEN NOT no_source AND NOT no_catalog THEN greatest(a, 2) ELSE a END AS b FROM l1),
-l3 AS (SELECT *, CASE WHEN NOT dated OR format IS NULL OR NOT labelled THEN least(b, 2) ELSE b END AS c FROM l2),
-l4 AS (SELECT *, CASE WHEN NOT no_source AND NOT no_catalog AND dated AND cd AND NOT reissue AND NOT remaster AND NOT risky AND NOT wiki THEN 3 ELSE c END AS d FROM l3),
-l5 AS (SELECT *, CASE WHEN (unknown AND NOT dated) OR (no_catalog AND NOT dated) OR risky OR no_source THEN 1 ELSE d END AS e FROM l4),
-gated AS (SELECT *, CASE WHEN no_catalog OR wiki THEN least(e, 2) ELSE e END AS level,
+"""
+
+
+def gate_sql(base: str, gated: str) -> str:
+    """The gate over the table `base`, as a chain of tables that ends in `gated`."""
+    t = lambda n: f"{gated}_{n}"
+    return f"""{t("f")} AS (SELECT *, format IN ('LP', 'DVD box') AS non_cd_, format IN ('8cm CD', 'CD') AS cd_, format IS NULL OR format = 'unknown' AS unknown FROM {base}),
+{t("g")} AS (SELECT *, coalesce(non_cd_, false) AS non_cd, coalesce(cd_, false) AS cd FROM {t("f")}),
+{t("1")} AS (SELECT *, CASE WHEN no_source THEN 1 WHEN no_catalog OR wiki OR non_cd OR reissue OR remaster THEN least(conf0, 2) ELSE conf0 END AS a FROM {t("g")}),
+{t("2")} AS (SELECT *, CASE WHEN NOT no_source AND NOT no_catalog THEN greatest(a, 2) ELSE a END AS b FROM {t("1")}),
+{t("3")} AS (SELECT *, CASE WHEN NOT dated OR format IS NULL OR NOT labelled THEN least(b, 2) ELSE b END AS c FROM {t("2")}),
+{t("4")} AS (SELECT *, CASE WHEN NOT no_source AND NOT no_catalog AND dated AND cd AND NOT reissue AND NOT remaster AND NOT risky AND NOT wiki THEN 3 ELSE c END AS d FROM {t("3")}),
+{t("5")} AS (SELECT *, CASE WHEN (unknown AND NOT dated) OR (no_catalog AND NOT dated) OR risky OR no_source THEN 1 ELSE d END AS e FROM {t("4")}),
+{gated} AS (SELECT *, CASE WHEN no_catalog OR wiki THEN least(e, 2) ELSE e END AS level,
     excluded0 OR non_cd OR reissue OR remaster AS excluded,
     no_catalog OR wiki OR non_cd OR risky OR no_source OR (unknown AND NOT dated) AS pending,
     no_catalog::INT + (no_source AND NOT said_source)::INT + wiki::INT + non_cd::INT + reissue::INT + remaster::INT
       + (unknown AND NOT dated AND NOT non_cd)::INT + (risky OR said_source)::INT AS n_warnings,
-    no_catalog OR (no_source AND NOT said_source) OR wiki OR (unknown AND NOT dated) AS warns
-  FROM l5)
+    no_catalog OR (no_source AND NOT said_source) OR wiki OR (unknown AND NOT dated) AS warns,
+    no_catalog OR (no_source AND NOT said_source) OR wiki OR (unknown AND NOT dated AND NOT non_cd) AS flagged
+  FROM {t("5")})
 """
+
+
+CANDIDATES_SQL = BASE_SQL + gate_sql("base", "gated")
