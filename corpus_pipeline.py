@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written as Parquet to the shared
 folder and read again before the next one starts.
+
+Defined results: texts that are null or have no letter go at the first stage, other rows of null id pass it like any; a null id takes no part
+in line dedup and stays; of rows that repeat an id with an equal text the join keeps one. Columns of any name pass through all
+stages but the last. An empty table gives an empty result.
 """
 
 from pyspark.sql import DataFrame, SparkSession
