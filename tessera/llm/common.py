@@ -43,10 +43,12 @@ def arrow(rows: DataFrame, run, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is unset (tests on one machine) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset, on one machine (tests), a folder of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("On a cluster spark.checkpoint.dir must name a folder that the driver and all executors share.")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
     return _own_dir[0]

@@ -205,3 +205,17 @@ def test_run_on_odd_tables(spark, odd, empty, tmp_path):
         df.write.parquet(str(tmp_path / name / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path / "odd"))
     assert 0 < out.count() <= 2 * odd.count() and corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_no_folder_of_our_own_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master, getConf = "spark://host:7077", staticmethod(lambda: Conf)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
