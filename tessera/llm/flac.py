@@ -5,7 +5,7 @@ seek table with one point per frame, then frames of BLOCK samples, each a consta
 quantised linear-predictor subframe with Rice-coded residuals, a CRC-8 of its header and a CRC-16 of the frame. Reading
 checks both sums and the MD5. Frames of many rows are coded together: numpy works on all samples of a group at once, and
 the unary codes of a group's frames are followed in step. Reading gives PCM blocks, each with its sample offset in the stream, and
-a place in the stream is found by its block's offset. The query writes the streams to the shared folder and reads these files.
+a place in the stream is found by its block's offset. The query passes the stored streams as rows from the step that stores to the one that reads.
 
 Defined results: null and empty texts are stored as 64 zero bytes. Equal texts give equal values. Repeated rows are stored
 each. An empty table gives an empty result. A damaged frame, sum or MD5 raises ValueError.
@@ -432,4 +432,4 @@ def features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return features(common.cut(store(common.table(spark, sf_dir, "documents"))))
+    return features(store(common.table(spark, sf_dir, "documents")))
