@@ -62,13 +62,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> int:
-    """Delete what cut() has written in this session, once no result that reads it is needed any more; how many tables went."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many tables cut() has written in this session and sweep() has not deleted."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables that cut() has written in this session, once no result that reads them is needed any more; how many went. Those
+    before number `since` and the last `keep` ones stay."""
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -71,6 +71,9 @@ def test_components(spark):
 def test_sweep(spark):
     df = common.cut(spark.range(5).toDF("id"))
     assert df.count() == 5 and common.sweep(spark) > 0 and common.sweep(spark) == 0
+    tables = [common.cut(spark.range(n)) for n in (1, 2, 3, 4)]
+    assert common.sweep(spark, since=1, keep=1) == 2 and common.written() == 2
+    assert (tables[0].count(), tables[3].count()) == (1, 4) and common.sweep(spark) == 2
 
 
 LANGUAGES = {
