@@ -9,7 +9,7 @@ from .functions import text as X
 from .functions import urls as U
 from .functions import values as V
 from .operators import export, importing, library, mutations, selection, tasks
-from .plans.filters import COVER_ROLE, Filters
+from .plans.filters import COVER_ROLE, Filters, store_cover_source
 from .sources import xlsx
 
 
@@ -243,6 +243,27 @@ def export_files(spark, d):
     return T.load(spark, d, "customer").select("c_custkey", export.file_names("Shelf", artist, F.date_add(F.lit("2024-01-01").cast("date"), (k % 400).cast("int"))).alias("name"))
 
 
+@register("store_covers", f"""SELECT r.id, CASE WHEN min_by(s.releaseId % 2, s.id) FILTER (s.description = '{COVER_ROLE}') = 0 THEN 'https://music.apple.com/' || min(s.id) FILTER (s.description = '{COVER_ROLE}') END AS page FROM releases r LEFT JOIN sources s ON s."releaseId" = r.id GROUP BY 1""", T.SQL)
+def store_covers(spark, d):
+    """The cover's source, where it is a page of the store."""
+    k = F.col("releaseId")
+    pages = T.sources(spark, d).withColumn("url", F.concat(F.when(k % 2 == 0, "https://music.apple.com/").otherwise("https://music.apple.com.example/"), F.col("id")))
+    return library.nest_sources(T.releases(spark, d), pages).select("id", store_cover_source(F.col("sources"))["url"].alias("page"))
+
+
+@register("filter_any_year", 'SELECT id FROM releases WHERE id % 8 <> 0', T.SQL)
+def filter_any_year(spark, d):
+    """Own bounds that are both open still ask for a date."""
+    rows = T.releases(spark, d).withColumn("releaseDate", F.when(F.col("id") % 8 != 0, F.col("releaseDate")))
+    return library.filtered(rows, Filters.of({"decade": ["custom", "1980s"], "yearFrom": "0", "yearTo": "x", "page": "2"})).select("id")
+
+
+@register("skipped_batch", """SELECT "artistId", count(*) FILTER (NOT bad AND duplicate IS NULL) AS created, 0::BIGINT AS updated, count(duplicate) AS skipped, count(*) FILTER (bad) AS errors, CASE WHEN count(*) FILTER (bad) > 0 AND count(*) FILTER (NOT bad AND duplicate IS NULL) = 0 THEN 'FAILED' ELSE 'IMPORTED' END AS batch_status FROM found GROUP BY 1""", IMPORT_SQL)
+def skipped_batch(spark, d):
+    """A batch that leaves duplicates out."""
+    return import_rows(spark, d).withColumn("action", importing.action("skip")).groupBy("artistId").agg(*importing.outcome_columns())
+
+
 # ---- changes
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import includes, is_blank
+from ..functions.urls import STORE_HOSTS, on_hosts
 
 COVER_ROLE = "cover-image-source"
 DECADES = {"1980s": (1980, 1989), "1990s": (1990, 1999), "2000s": (2000, 2009)}
@@ -27,6 +28,12 @@ def cover_source(sources: Column) -> Column:
     return F.try_element_at(F.filter(sources, lambda s: s["description"].eqNullSafe(F.lit(COVER_ROLE))), F.lit(1))
 
 
+def store_cover_source(sources: Column) -> Column:
+    """The first source in the cover role, if it is a page of the store."""
+    first = cover_source(sources)
+    return F.when(on_hosts(first["url"], STORE_HOSTS), first)
+
+
 def mentions_review(warnings: Column, notes: Column) -> Column:
     hit = lambda t: F.lower(t).contains("pending_review") | F.lower(t).contains("pending review")
     return F.coalesce(F.exists(warnings, hit), F.lit(False)) | F.coalesce(hit(notes), F.lit(False))
