@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .text import text_or_null
 
+# The hosts of store pages and of their pictures, the longest URL, and what a URL in a text looks like.
 STORE_HOSTS = ("music.apple.com", "itunes.apple.com")
 ARTWORK_HOSTS = ("mzstatic.com", "itunes.apple.com")
 MOST = 2048

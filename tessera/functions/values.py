@@ -21,6 +21,10 @@ STATUS_WORDS = {
     "EXCLUDED": ("排除", "excluded"),
 }
 FIRST_WORDS, LAST_WORDS = ("必收", "最高", "high"), ("候补", "低", "low")
+# What a format's text holds, and the words of a sheet's name and of its type column, in the order in which they are tried.
+FORMAT_WORDS = (("SHM", "SHM_CD"), ("BLU", "BLU_SPEC_CD"), ("HYBRID", "HYBRID_SACD"), ("SACD", "HYBRID_SACD"), ("DVD", "CD_DVD"), ("BOX", "BOX_SET"), ("CD", "CD"))
+SHEET_CATEGORIES = (("A_原创专辑原版CD", "ORIGINAL_ALBUM"), ("B_单曲原版CD", "SINGLE"))
+TYPE_CATEGORIES = (("best|ベスト|精选", "BEST"), ("collection|合集", "COLLECTION"), ("live|ライブ|现场", "LIVE"), ("remix|リミックス|混音", "REMIX"))
 
 
 def word(c: Column) -> Column:
@@ -74,14 +78,7 @@ def status(c: Column, is_included: Column) -> Column:
 
 
 def _format(text: Column) -> Column:
-    return (
-        F.when(text.contains("SHM"), "SHM_CD")
-        .when(text.contains("BLU"), "BLU_SPEC_CD")
-        .when(text.contains("HYBRID") | text.contains("SACD"), "HYBRID_SACD")
-        .when(text.contains("DVD"), "CD_DVD")
-        .when(text.contains("BOX"), "BOX_SET")
-        .when(text.contains("CD"), "CD")
-    )
+    return F.coalesce(*[F.when(text.contains(word), name) for word, name in FORMAT_WORDS])
 
 
 def sheet_format(c: Column) -> Column:
@@ -118,16 +115,9 @@ def canonical_status(c: Column) -> Column:
 
 
 def sheet_category(sheet: Column, kind: Column) -> Column:
-    kind = F.coalesce(kind, F.lit(""))
-    return (
-        F.when(sheet.contains("A_原创专辑原版CD"), "ORIGINAL_ALBUM")
-        .when(sheet.contains("B_单曲原版CD"), "SINGLE")
-        .when(kind.rlike("(?i)best|ベスト|精选"), "BEST")
-        .when(kind.rlike("(?i)collection|合集"), "COLLECTION")
-        .when(kind.rlike("(?i)live|ライブ|现场"), "LIVE")
-        .when(kind.rlike("(?i)remix|リミックス|混音"), "REMIX")
-        .otherwise("OTHER")
-    )
+    by_sheet = [F.when(sheet.contains(word), name) for word, name in SHEET_CATEGORIES]
+    by_type = [F.when(F.coalesce(kind, F.lit("")).rlike(f"(?i){words}"), name) for words, name in TYPE_CATEGORIES]
+    return F.coalesce(*by_sheet, *by_type, F.lit("OTHER"))
 
 
 def confidence_rank(c: Column) -> Column:

@@ -8,7 +8,17 @@ from ..functions.urls import STORE_HOSTS, on_hosts, without_dots
 from ..plans.filters import COVER_ROLE
 
 NO_URL = "PENDING_REVIEW: no explicit source url."
+# The fields that describe a row, and the words of each category, in the order in which they are tried; words of the reissue hint.
 ROW_FIELDS = ("title", "titleOriginal", "category", "format", "editionType", "notes", "label")
+COLLECTED = "collection|best|ベスト|精选|精選|合集"
+CATEGORY_WORDS = (
+    ("live|ライブ|现场|現場", "LIVE"),
+    ("remix|リミックス|混音", "REMIX"),
+    (f"{whole_word('box')}|box set", "BOX"),
+    (f"8cmcd|cdシングル|{whole_word('single')}|シングル", "SINGLE"),
+    ("original album|studio album|オリジナル.?アルバム|原创专辑|原創專輯", "ORIGINAL_ALBUM"),
+)
+REISSUED = "(?i)再発|復刻|リマスター|reissue|remaster"
 
 
 def release_sources(sources: Column, cover: Column) -> Column:
@@ -31,21 +41,13 @@ def pasted_category(current: Column, source_text: Column, prefix: str = "") -> C
     """By the row's text and the whole pasted document, in a fixed order; else the current category, else OTHER."""
     now = F.upper(F.coalesce(current, F.lit("")))
     text = F.lower(F.concat(row_text(prefix), F.lit(" "), F.coalesce(source_text, F.lit(""))))
-    return (
-        F.when(text.rlike("collection|best|ベスト|精选|精選|合集"), F.when(now == "BEST", "BEST").otherwise("COLLECTION"))
-        .when(text.rlike("live|ライブ|现场|現場"), "LIVE")
-        .when(text.rlike("remix|リミックス|混音"), "REMIX")
-        .when(text.rlike(f"{whole_word('box')}|box set"), "BOX")
-        .when(text.rlike(f"8cmcd|cdシングル|{whole_word('single')}|シングル"), "SINGLE")
-        .when(text.rlike("original album|studio album|オリジナル.?アルバム|原创专辑|原創專輯"), "ORIGINAL_ALBUM")
-        .when(now != "", now)
-        .otherwise("OTHER")
-    )
+    collected = F.when(text.rlike(COLLECTED), F.when(now == "BEST", "BEST").otherwise("COLLECTION"))
+    return F.coalesce(collected, *[F.when(text.rlike(words), name) for words, name in CATEGORY_WORDS], F.nullif(now, F.lit("")), F.lit("OTHER"))
 
 
 def pasted_reissue(flag: Column, prefix: str = "") -> Column:
     """An explicit flag wins; a hint in the text says yes; else unknown."""
-    return F.when(flag.isNotNull(), flag).when(row_text(prefix).rlike("(?i)再発|復刻|リマスター|reissue|remaster"), True)
+    return F.when(flag.isNotNull(), flag).when(row_text(prefix).rlike(REISSUED), True)
 
 
 def allowed_urls(model: Column, explicit: Column) -> Column:
