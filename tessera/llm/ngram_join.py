@@ -37,6 +37,7 @@ TOLERANCE = 1e-6
 STEP = 16
 LEAST_TEXTS = 64  #: texts in a block of a cluster
 LEAST_SHINGLES, MOST_SHINGLES = 50_000, 1_000_000  #: shingles in a block; two blocks of the most take some 50 MB
+TASK_SHINGLES = 2_000_000  #: shingles that a task of units is meant to hold
 SEED = 20240229
 
 WORD = re.compile(r"\w+")
@@ -218,8 +219,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     sizes = reps.select("rep", "n").join(clusters, F.col("rep") == F.col("node")).groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     texts_in = F.greatest(F.lit(LEAST_TEXTS), 2 * F.sqrt("m"))
     shingles_in = F.least(F.lit(MOST_SHINGLES), F.greatest(F.lit(LEAST_SHINGLES), 64 * F.sqrt("s")))
-    sizes = sizes.select("root", F.ceil(F.greatest(F.col("m") / texts_in, F.col("s") / shingles_in)).cast("int").alias("blocks"))
-    members = reps.select("rep", "one", "k1", "k2", "copies").join(clusters, F.col("rep") == F.col("node")).join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = common.cut(sizes.select("root", "s", F.ceil(F.greatest(F.col("m") / texts_in, F.col("s") / shingles_in)).cast("int").alias("blocks")))
+    # units are dealt by number of tasks, since bytes do not tell what comparing costs
+    work = sizes.agg(F.coalesce(F.sum(F.col("s") * F.col("blocks")), F.lit(0))).first()[0]
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-work // TASK_SHINGLES))
+    members = reps.select("rep", "one", "k1", "k2", "copies").join(clusters, F.col("rep") == F.col("node")).join(sizes.drop("s"), "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # one row of each class brings its text; a copy of that row does no harm
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
     units = members.join(texts, members["one.doc"].eqNullSafe(texts["doc"]) & (members["one.body"] == texts["body"]))
@@ -253,7 +257,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         if held:
             yield done()
 
-    found = common.cut(common.arrow(units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep"), run, "rep long, links long, to long"))
+    found = common.cut(common.arrow(units.repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep"), run, "rep long, links long, to long"))
     groups = common.connected_components(found.select("rep", "to"), "rep", "to")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.select("rep", "k1", "k2", "copies", "least").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
