@@ -222,7 +222,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     sizes = common.cut(sizes.select("root", "s", F.ceil(F.greatest(F.col("m") / texts_in, F.col("s") / shingles_in)).cast("int").alias("blocks")))
     # units are dealt by number of tasks, since bytes do not tell what comparing costs
     work = sizes.agg(F.coalesce(F.sum(F.col("s") * F.col("blocks")), F.lit(0))).first()[0]
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-work // TASK_SHINGLES))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, min(20 * least, -(-work // TASK_SHINGLES)))
     members = reps.select("rep", "one", "k1", "k2", "copies").join(clusters, F.col("rep") == F.col("node")).join(sizes.drop("s"), "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # one row of each class brings its text; a copy of that row does no harm
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
