@@ -240,6 +240,78 @@ NOTICES = [
     ("unicode", r"unicode(?: inc)? license(?: agreement| v3)?(?: data files and software)?", 14, 0.9, "unicode"),
     ("latex", r"latex project public license(?: version 1 \d\w?)?|lppl(?: 1 \d\w?)?", 14, 0.95, "latex lppl"),
     ("blueoak", r"blue oak model license(?: 1 0 0)?", 14, 0.95, "oak"),
+    # further licenses by their own names and sentences
+    ("json", r"the software shall be used for good not evil", 5, 1.0, "evil"),
+    ("adaptive", r"adaptive public license(?: 1 0)?", 14, 0.95, "adaptive"),
+    ("aladdin", r"aladdin free public license", 14, 0.95, "aladdin"),
+    ("ecl-2.0", r"educational community license(?: version)?(?: [12] 0)?", 14, 0.95, "educational"),
+    ("efl", r"eiffel forum license(?: version)?(?: [12])?", 14, 0.95, "eiffel"),
+    ("erlang", r"erlang public license(?: version)?(?: 1 1)?", 14, 0.95, "erlang"),
+    ("frameworx", r"frameworx open license(?: 1 0)?", 14, 0.95, "frameworx"),
+    ("ftl", r"freetype (?:project )?license|portions of this software are copyright \w+ the freetype project", 14, 0.95, "freetype"),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", 5, 1.0, "jpeg"),
+    ("ijg", r"independent jpeg group license", 14, 0.95, "jpeg"),
+    ("icu", r"icu license(?: icu 1 8 1 and later)?", 14, 0.9, "icu"),
+    ("imagemagick", r"imagemagick license", 14, 0.95, "imagemagick"),
+    ("info-zip", r"info zip license|this is version \w+(?: \w+){0,4} of the info zip license", 13, 0.95, "zip"),
+    ("ipa", r"ipa font license(?: agreement)?(?: v1 0)?", 14, 0.95, "ipa"),
+    ("jasper", r"jasper license version 2 0", 14, 0.95, "jasper"),
+    ("lal", r"licence art libre|free art license(?: 1 \d)?", 14, 0.95, "art"),
+    ("liliq", r"licence libre du quebec|liliq (?:p|r|rplus)(?: 1 1)?", 14, 0.95, "libre liliq"),
+    ("lpl", r"lucent public license(?: version)?(?: 1 0\d?)?", 14, 0.95, "lucent"),
+    ("miros", r"the miros licen[cs]e|provided that these terms and disclaimer and all copyright notices are retained or reproduced", 14, 0.9, "miros disclaimer"),
+    ("motosoto", r"motosoto open source license", 14, 0.95, "motosoto"),
+    ("multics", r"multics license", 14, 0.95, "multics"),
+    ("nasa", r"nasa open source agreement(?: version)?(?: 1 3)?", 14, 0.95, "nasa"),
+    ("naumen", r"naumen public license", 14, 0.95, "naumen"),
+    ("nethack", r"nethack general public license", 13, 0.95, "nethack"),
+    ("nokia", r"nokia open source license", 14, 0.95, "nokia"),
+    ("nposl", r"non profit open software license(?: 3 0)?", 13, 0.95, "profit"),
+    ("ntp", r"ntp license|the university of delaware makes no representations about the suitability", 14, 0.95, "ntp delaware"),
+    ("oclc", r"oclc research public license(?: 2 0)?", 14, 0.95, "oclc"),
+    ("ogtsl", r"open group test suite license", 14, 0.95, "suite"),
+    ("oldap", r"openldap public license(?: version)?(?: \d(?: \d)*)?", 14, 0.95, "openldap"),
+    ("opl", r"open publication license(?: v1 0)?|open content license", 14, 0.9, "publication content"),
+    ("osl-3.0", r"open software license (?:version |v )?3 0", 13, 0.95, "open"),
+    ("afl-3.0", r"academic free license (?:version |v )?3 0", 13, 0.95, "academic"),
+    ("peer", r"peer production license", 14, 0.9, "peer"),
+    ("phorum", r"phorum license(?: 2 0)?", 14, 0.9, "phorum"),
+    ("qhull", r"qhull copyright|qhull license", 14, 0.9, "qhull"),
+    ("qpl", r"q public license(?: version)?(?: 1 0)?", 14, 0.95, "public"),
+    ("rpl", r"reciprocal public license(?: 1 [15])?", 14, 0.95, "reciprocal"),
+    ("rpsl", r"realnetworks public source license(?: v(?:ersion)? ?1 0)?", 14, 0.95, "realnetworks"),
+    ("ricoh", r"ricoh source code public license", 14, 0.95, "ricoh"),
+    ("sgi-b", r"sgi free software license b(?: version)?(?: [12] [01])?", 14, 0.95, "sgi"),
+    ("simpl", r"simple public license(?: 2 0)?", 14, 0.95, "simple"),
+    ("sissl", r"sun industry standards source license(?: version)?(?: 1 [12])?", 13, 0.95, "standards"),
+    ("sleepycat", r"sleepycat (?:public )?license|redistributions in any form must be accompanied by information on how to obtain complete source code", 12, 0.95, "sleepycat accompanied"),
+    ("smlnj", r"standard ml of new jersey license", 14, 0.95, "jersey"),
+    ("torque", r"torque v2 5 software license", 14, 0.95, "torque"),
+    ("tmate", r"tmate open source license", 14, 0.95, "tmate"),
+    ("vovida", r"vovida software license(?: v 1 0)?", 14, 0.95, "vovida"),
+    ("w3c", r"w3c (?:software )?(?:and document )?(?:notice and )?license", 14, 0.95, "w3c"),
+    ("w3c", r"permission to copy modify and distribute this work with or without modification for any purpose and without fee or royalty is hereby granted", 5, 0.95, "royalty"),
+    ("watcom", r"sybase open watcom public license(?: 1 0)?", 14, 0.95, "watcom"),
+    ("wxwidgets", r"wxwidgets licen[cs]e", 14, 0.95, "wxwidgets"),
+    ("xfree86", r"xfree86 license(?: 1 1)?", 14, 0.95, "xfree86"),
+    ("xnet", r"x net license", 14, 0.95, "net"),
+    ("zpl", r"zope public license(?: version| zpl version)?(?: [12] [01])?", 14, 0.95, "zope"),
+    ("yahoo", r"yahoo public license(?: v1 [01])?", 14, 0.95, "yahoo"),
+    ("eurosym", r"(?:christian )?eurosym license", 14, 0.9, "eurosym"),
+    ("bitstream-vera", r"bitstream vera fonts? (?:copyright|license)|bitstream vera is a trademark of bitstream", 14, 0.95, "bitstream"),
+    ("ubuntu-font", r"ubuntu font licen[cs]e(?: version)?(?: 1 0)?", 13, 0.95, "ubuntu"),
+    ("gust-font", r"gust font (?:source )?license|gust font nosource license", 13, 0.95, "gust"),
+    ("kde", r"either version 2 of the license or at your option any later version accepted by the membership of kde", 4, 1.0, "kde"),
+    ("hippocratic", r"hippocratic license(?: version)?(?: \d \d)?", 14, 0.95, "hippocratic"),
+    ("anti-996", r"anti 996 license(?: version)?(?: 1 0)?", 14, 0.95, "996"),
+    ("parity", r"(?:the )?parity public license(?: \d 0 0)?", 14, 0.95, "parity"),
+    ("prosperity", r"prosperity public license(?: \d 0 0)?", 14, 0.95, "prosperity"),
+    ("confluent", r"confluent community license(?: agreement)?(?: version)?(?: 1 0)?", 14, 0.95, "confluent"),
+    ("timescale", r"timescale license agreement|timescale license", 14, 0.95, "timescale"),
+    ("redis", r"redis source available license(?: agreement)?(?: rsal)?", 14, 0.95, "redis"),
+    ("fsl", r"functional source license(?: version)?(?: 1 [01])?", 14, 0.95, "functional"),
+    ("bigcode", r"bigcode open ?rail m(?: v1)?(?: license)?(?: agreement)?", 11, 0.95, "bigcode"),
+    ("falcon", r"falcon (?:180b )?(?:tii )?license", 14, 0.9, "falcon"),
     # source-available, models, proprietary
     ("busl-1.1", r"business source license 1 1|busl 1 1|bsl 1 1", 12, 0.95, "business busl bsl"),
     ("sspl-1.0", r"server side public license v(?:ersion)? ?1|sspl(?: v)? ?1(?: 0)?", 12, 0.95, "server sspl"),
@@ -261,7 +333,7 @@ NOTICES = [
 # Names that are a sign without more words: those of FAMILIES that say license, and these. All have one priority, so that the longest wins.
 NAMED, NAMED_WEIGHT = 70, 0.5
 NAMES = [(label, name, "cc creative") for label, name in FAMILIES if label.startswith("cc-by")] + [
-    ("cc0", r"cc0|cc zero|creative commons zero|public domain dedication", "cc creative dedication"), ("unlicense", r"the unlicense|unlicense", "unlicense"), ("commons-clause", r"commons clause", "commons"),
+    ("cc0", r"cc0|cc zero|creative commons zero|public domain dedication", "cc cc0 creative dedication"), ("unlicense", r"the unlicense|unlicense", "unlicense"), ("commons-clause", r"commons clause", "commons"),
     ("bsd-0-clause", r"0bsd", "0bsd"), ("mulan", r"mulan (?:permissive|psl)", "mulan"), ("ofl", r"sil ofl", "ofl"), ("openrail", r"openrail(?: m)?", "openrail"),
 ]
 
@@ -299,6 +371,9 @@ def gates() -> dict[str, list[int]]:
     return out
 
 
+#: Keywords that begin or end longer words; all others are words.
+STEMS = ("licen", "release", "distribut", "publish", "availab", "provid", "cover", "offer", "version", "epl", "cddl", "eupl", "sspl")
+
 #: What the key "v#" stands for, in words and in bytes whose spaces are not joined yet: a v and a number, of any script.
 V_NUMBER, V_BYTES = re.compile(r"(?<![^ ])v ?\d"), re.compile(rb"(?<![^ ])v *[0-9\x80-\xff]")
 
@@ -342,12 +417,19 @@ def uncontained(found: list[tuple]) -> list[tuple]:
     return kept
 
 
+def is_open(key: str, words: str, held: set[str]) -> bool:
+    """Whether a keyword is in a text; held: its words."""
+    if key == "v#":
+        return V_NUMBER.search(words) is not None
+    return key in words if key in STEMS or " " in key else key in held
+
+
 def detected(words: str, ends: np.ndarray) -> list[tuple[int, int, str, float]]:
     """Accepted detections (first word, words, label, weight) of the rules."""
-    found, ran = [], set()
+    found, ran, held = [], set(), set(words.split(" "))
     every = rules()
     for key, ids in gates().items():
-        if not (V_NUMBER.search(words) if key == "v#" else key in words):
+        if not is_open(key, words, held):
             continue
         for i in ids:
             if i in ran:
@@ -361,9 +443,18 @@ def detected(words: str, ends: np.ndarray) -> list[tuple[int, int, str, float]]:
     return [(a, b - a + 1, label, weight) for a, b, (_, _, _, label, weight) in zip(begin, end, kept, strict=True)]
 
 
-#: One of these is in every text that a rule or a base phrase can match.
-#: Or else V_BYTES is. Tested before spaces are joined, so these are single words: of a key of two words, the last.
-ANY = tuple(k.encode() for k in sorted({k.split()[-1] for r in rules() for k in r[4] if k != "v#"} | {"license", "cc"}))
+ANY_STEM = tuple(k.encode() for k in STEMS)
+
+
+@cache
+def any_word() -> frozenset[bytes]:
+    """One of these words or of the stems is in every text that a rule or a base phrase can match, or else V_BYTES is. Tested before spaces are joined, so of a key of two words the last stands for it."""
+    return frozenset(k.split()[-1].encode() for r in rules() for k in r[4] if k not in STEMS and k != "v#") | {b"license", b"cc"}
+
+
+def may_match(part: bytes, tokens: list[bytes]) -> bool:
+    """Whether a text, as bytes of lower-case words with any number of spaces between, has a keyword; tokens: its words."""
+    return not any_word().isdisjoint(tokens) or any(k in part for k in ANY_STEM) or V_BYTES.search(part) is not None
 
 
 def scanned(words: str, n_words: int) -> tuple:
@@ -405,8 +496,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
                 rows = []
                 for a, b, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), counts.tolist(), strict=True):
                     part = raw[a:b]
-                    if any(k in part for k in ANY) or V_BYTES.search(part):
-                        rows.append(scanned(b" ".join(filter(None, part.split(b" "))).decode("utf-8", "replace"), n))
+                    tokens = part.split()
+                    if may_match(part, tokens):
+                        rows.append(scanned(b" ".join(tokens).decode("utf-8", "replace"), n))
                     else:
                         rows.append(none)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
