@@ -43,20 +43,25 @@ def takes_sheet(sheet: Column) -> Column:
 
 
 def cell(cells: Column, field: str) -> Column:
-    """The first cell, in column order, whose header is one of the field's spellings. cells: array<struct<header,text,serial>>."""
+    """The first cell, in column order, whose header is one of the field's spellings. cells: array<struct<name,...>>, name the header in lower case with single spaces."""
     names = [h.lower() for h in HEADERS[field]]
-    return F.try_element_at(F.filter(cells, lambda c: F.lower(collapsed(c["header"])).isin(*names)), F.lit(1))
+    return F.try_element_at(F.filter(cells, lambda c: c["name"].isin(*names)), F.lit(1))
 
 
 def typed_rows(raw: DataFrame) -> DataFrame:
     """Typed rows of (fileName, sheetName, rowNumber, cells). A row without a title stays, with an error. `raw` keeps the cells by header."""
     raw = raw.where(takes_sheet(F.col("sheetName")))
-    at = lambda field: cell(F.col("cells"), field)
-    text = lambda field: trimmed(F.coalesce(at(field)["text"], F.lit("")))
+    # headers are normalised once, and each field's cell is looked for once
+    headed = F.transform("cells", lambda c: F.struct(collapsed(c["header"]).alias("header"), c["text"].alias("text"), c["serial"].alias("serial")))
+    raw = raw.withColumn("cells", headed).withColumn("cells", F.transform("cells", lambda c: F.struct(F.lower(c["header"]).alias("name"), c["header"].alias("header"), c["text"].alias("text"), c["serial"].alias("serial"))))
+    raw = raw.withColumns({f"__{field}": cell(F.col("cells"), field) for field in HEADERS})
+    raw = raw.withColumns({f"__{field}_text": trimmed(F.coalesce(F.col(f"__{field}.text"), F.lit(""))) for field in HEADERS})
+    at = lambda field: F.col(f"__{field}")
+    text = lambda field: F.col(f"__{field}_text")
     date = F.coalesce(V.serial_date(at("releaseDate")["serial"]), V.written_date(at("releaseDate")["text"]))
     rows = raw.withColumn("included", V.included(text("included")))
-    named = F.filter("cells", lambda c: collapsed(c["header"]) != "")
-    by_header = F.map_from_entries(F.transform(F.array_distinct(F.transform(named, lambda c: collapsed(c["header"]))), lambda h: F.struct(h, F.element_at(F.filter(named, lambda c: collapsed(c["header"]) == h), -1)["text"])))
+    named = F.filter("cells", lambda c: c["header"] != "")
+    by_header = F.map_from_entries(F.transform(F.array_distinct(F.transform(named, lambda c: c["header"])), lambda h: F.struct(h, F.element_at(F.filter(named, lambda c: c["header"] == h), -1)["text"])))
     return rows.select(
         F.concat_ws(":", "fileName", "sheetName", F.col("rowNumber").cast("string")).alias("rowId"),
         "sheetName",
