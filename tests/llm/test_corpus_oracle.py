@@ -9,7 +9,7 @@ from tessera.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark", "conversations", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
     df = registry.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
