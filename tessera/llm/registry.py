@@ -1,6 +1,6 @@
 """The operators' queries and their SQL."""
 
-from . import bpe, curves, flac, language, lexical, licenses, line_dedup, mixing, ngram_join, parts, secrets, toxicity
+from . import bpe, curves, flac, language, lexical, licenses, line_dedup, mixing, ngram_join, parts, prefix_trie, quality, secrets, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_source_mixing": mixing.query,
     "op10_language_id": language.query,
     "op11_lexical_search": lexical.query,
+    "op12_quality": quality.query,
+    "op13_prefix_trie": prefix_trie.query,
     **parts.QUERIES,
 }
 
@@ -34,5 +36,6 @@ far AS (SELECT e.a, sum(c.copies) AS n FROM edge e JOIN same c ON c.rep = e.b GR
 SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(m.copies - 1 + coalesce(f.n, 0), 0)::BIGINT AS n_links, coalesce(m.copies, 1)::BIGINT AS copies
 FROM docs d LEFT JOIN member m ON m.doc_id = d.doc_id LEFT JOIN class c ON c.node = m.rep LEFT JOIN far f ON f.a = m.rep""",
     "op11_lexical_search": lexical.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
     **parts.ORACLE_SQL,
 }
