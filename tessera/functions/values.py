@@ -31,9 +31,14 @@ def word(c: Column) -> Column:
     return F.lower(trimmed(F.coalesce(c, F.lit(""))))
 
 
+# The last day number of a spreadsheet, 9999-12-31; its day 60, 1900-02-29, was none; how near to midnight a time counts as the next day.
+LAST_DAY, LEAP_DAY, TO_MIDNIGHT = 2958465, 60, 0.0001 / 86400
+
+
 def serial_date(days: Column) -> Column:
-    """The date of a spreadsheet's day number."""
-    return F.date_add(F.lit("1899-12-30").cast("date"), F.floor(days).cast("int"))
+    """The date of a spreadsheet's day number, 0 to LAST_DAY, else null. Day 1 is 1900-01-01, and both 60 and 61 are 1900-03-01."""
+    day = F.floor(F.when(days.between(0, LAST_DAY), days) + F.lit(TO_MIDNIGHT)).try_cast("int")
+    return F.date_add(F.lit("1899-12-30").cast("date"), day + (day <= LEAP_DAY).cast("int"))
 
 
 def written_date(c: Column) -> Column:

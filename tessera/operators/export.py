@@ -22,11 +22,20 @@ def export_rows(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(*keep, *[v.alias(t) for v, t in zip(values, TITLES, strict=True)])
 
 
+# Fixed value: the sheet that an export fills.
+SHEET = "CD-BOX"
+
+
 def export(rows: DataFrame, filters: Filters | None = None) -> DataFrame:
     """The whole library, or what the filters leave, in the library's order."""
     return export_rows(ordered(filtered(rows, filters) if filters else rows))
 
 
+def save(rows: DataFrame, folder: str, filters: Filters | None = None, most: int = 100_000) -> None:
+    """export() as workbooks of `most` rows in a folder, by the data source `workbook`, which the session must know. A task's rows are in the library's order."""
+    export(rows, filters).write.format("workbook").mode("append").option("sheet", SHEET).option("maxRows", most).save(folder)
+
+
 REFUSED = r'[\\/:*?"<>|]'
 
 

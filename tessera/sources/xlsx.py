@@ -1,13 +1,18 @@
-"""Workbooks: Spark lists and reads the files, each file is parsed in one go by a task, and tables are written as workbooks.
+"""Workbooks: Spark lists and reads the files, each file is parsed by a task, row by row, and tables are written as workbooks.
 
 A workbook is a zip of XML parts; only what cells need is read. Dates stay day numbers, so no time zone is involved; as texts
-they are ISO times. Phonetic guides are no part of a text. A file that cannot be taken is a row with an error.
+they are ISO times, and a number beyond the calendar stays as it is written. Phonetic guides are no part of a text. A file that cannot be
+taken, or whose parts unpack to more than MOST_UNPACKED bytes, is one row with an error, whatever could be read of it.
 """
 
 import datetime
 import io
+import itertools
+import math
 import re
 import zipfile
+import zlib
+from collections import deque
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,6 +22,8 @@ from pyspark.sql import functions as F
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 MOST_BYTES = 10 << 20
+MOST_UNPACKED = 256 << 20  #: bytes of a workbook's parts
+HELD = 16 << 20  #: unpacked bytes up to which a workbook's rows are held until all are read; larger ones are parsed twice
 MOST_ROWS = 500_000  #: rows of a written workbook; a sheet cannot hold more than about twice as many
 CELLS = "array<struct<header:string,text:string,serial:double>>"
 # Built-in number formats that show dates.
@@ -42,56 +49,121 @@ def _text(item) -> str:
     return "".join(t.text or "" for t in [*item.findall(f"{MAIN}t"), *item.findall(f"{MAIN}r/{MAIN}t")])
 
 
-def _day(serial: float) -> str:
-    """A day number as an ISO time, in milliseconds."""
-    at = datetime.datetime(1899, 12, 30) + datetime.timedelta(milliseconds=round(serial * 86_400_000))
+def _day(serial: float) -> str | None:
+    """A day number as an ISO time, in milliseconds; None beyond the calendar."""
+    try:
+        at = datetime.datetime(1899, 12, 30) + datetime.timedelta(milliseconds=round(serial * 86_400_000))
+    except OverflowError:
+        return None
     return at.isoformat(timespec="milliseconds") + "Z"
 
 
-def _workbook(data: bytes):
-    """(sheet, row number, cells (header, text, day number)) of a workbook, sheet by sheet. A sheet's first row that has cells is its header; blank rows are left out and not counted."""
-    book = zipfile.ZipFile(io.BytesIO(data))
-    names = set(book.namelist())
-    shared = [_text(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")] if "xl/sharedStrings.xml" in names else []
-    about = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{MAIN}workbookPr")
-    since = 1462 if about is not None and about.get("date1904") in ("1", "true") else 0  # days from the other epoch
-    dates: set[int] = set()
-    if "xl/styles.xml" in names:
-        styles = ElementTree.fromstring(book.read("xl/styles.xml"))
-        own = {int(f.get("numFmtId")) for f in styles.iter(f"{MAIN}numFmt") if re.search("[ymd]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode")).lower())}
-        xfs = styles.find(f"{MAIN}cellXfs")
-        dates = {i for i, x in enumerate(xfs if xfs is not None else ()) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own}
-    for sheet, part in _sheets(book):
-        header: dict[int, str] = {}
-        n = 1
-        for row in ElementTree.fromstring(book.read(part)).iter(f"{MAIN}row"):
-            cells = {}
-            for at, c in enumerate(row.iter(f"{MAIN}c"), 1):
-                kind, v = c.get("t", "n"), c.find(f"{MAIN}v")
-                value = v.text if v is not None and v.text else ""
-                serial = None
-                if kind == "s":
-                    value = shared[int(value)] if value else ""
-                elif kind == "inlineStr":
-                    value = "".join(map(_text, c.findall(f"{MAIN}is")))
-                elif kind == "b":
-                    value = "true" if value == "1" else "false"
-                elif kind == "n" and value:
-                    dated = int(c.get("s", 0)) in dates
-                    serial = float(value) + (since if dated else 0)
-                    value = _day(serial) if dated else str(int(serial)) if serial.is_integer() else value
-                cells[_column(c.get("r")) if c.get("r") else at] = (value, serial)
-            if not any(v for v, _ in cells.values()):
+def _elements(book: zipfile.ZipFile, part: str, tag: str):
+    """The elements of one kind of a part, one at a time; what has been read is let go."""
+    with book.open(part) as stream:
+        path = []
+        for event, e in ElementTree.iterparse(stream, ("start", "end")):
+            if event == "start":
+                path.append(e)
                 continue
-            if not header:
-                header = {k: v for k, (v, _) in cells.items()}
-            else:
-                n += 1
-                yield sheet, n, [(h, *cells.get(k, ("", None))) for k, h in sorted(header.items())]
+            path.pop()
+            if e.tag == f"{MAIN}{tag}":
+                yield e
+                if path:
+                    path[-1].remove(e)
+
+
+class Book:
+    """A workbook's shared texts, date styles and sheets."""
+
+    def __init__(self, data):
+        self.zip = book = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes | bytearray) else data)
+        names = set(book.namelist())
+        self.unpacked = sum(i.file_size for i in book.infolist())
+        if self.unpacked > MOST_UNPACKED:
+            raise _TooLargeError
+        self.sheets = dict(_sheets(book))
+        self.has_shared = "xl/sharedStrings.xml" in names
+        about = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{MAIN}workbookPr")
+        self.since = 1462 if about is not None and about.get("date1904") in ("1", "true") else 0  # days from the other epoch
+        self.dates: set[int] = set()
+        if "xl/styles.xml" in names:
+            styles = ElementTree.fromstring(book.read("xl/styles.xml"))
+            own = {int(f.get("numFmtId")) for f in styles.iter(f"{MAIN}numFmt") if re.search("[ymd]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode")).lower())}
+            xfs = styles.find(f"{MAIN}cellXfs")
+            self.dates = {i for i, x in enumerate(xfs if xfs is not None else ()) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own}
+
+    def _number(self, text: str, dated: bool) -> tuple[str, float | None]:
+        serial = float(text)
+        if not math.isfinite(serial):
+            return text, None
+        serial += self.since if dated else 0
+        return (_day(serial) if dated else None) or (str(int(serial)) if serial.is_integer() else text), serial
+
+    def rows(self, sheets=None):
+        """(sheet, row number, cells (header, text, day number)) of these sheets, else of all in their order. A sheet's first row that has cells is its header; blank rows are left out and not counted."""
+        shared = [_text(s) for s in _elements(self.zip, "xl/sharedStrings.xml", "si")] if self.has_shared else []
+        for sheet in self.sheets if sheets is None else sheets:
+            header: dict[int, str] = {}
+            n = 1
+            for row in _elements(self.zip, self.sheets[sheet], "row"):
+                cells = {}
+                for at, c in enumerate(row.iter(f"{MAIN}c"), 1):
+                    kind, v = c.get("t", "n"), c.find(f"{MAIN}v")
+                    value = v.text if v is not None and v.text else ""
+                    serial = None
+                    if kind == "s":
+                        value = shared[int(value)] if value else ""
+                    elif kind == "inlineStr":
+                        value = "".join(map(_text, c.findall(f"{MAIN}is")))
+                    elif kind == "b":
+                        value = "true" if value == "1" else "false"
+                    elif kind == "n" and value:
+                        value, serial = self._number(value, int(c.get("s", 0)) in self.dates)
+                    cells[_column(c.get("r")) if c.get("r") else at] = (value, serial)
+                if not any(v for v, _ in cells.values()):
+                    continue
+                if not header:
+                    header = {k: v for k, (v, _) in cells.items()}
+                else:
+                    n += 1
+                    yield sheet, n, [(h, *cells.get(k, ("", None))) for k, h in sorted(header.items())]
+
+
+class _TooLargeError(Exception):
+    pass
+
+
+def sheet_names(file) -> list[str]:
+    """The names of a workbook's sheets, in order."""
+    with zipfile.ZipFile(file) as book:
+        return [n for n, _ in _sheets(book)]
+
+
+def _workbook(data: bytes):
+    """The rows of a workbook, all of which can be read: what fails, fails before the first row is given."""
+    book = Book(data)
+    if book.unpacked <= HELD:
+        return list(book.rows())
+    deque(book.rows(), maxlen=0)
+    return book.rows()
 
 
 # What is said of a file that cannot be taken.
-TOO_LARGE, UNREADABLE = "File is larger than 10 MiB.", "File is not a readable workbook."
+TOO_LARGE, UNREADABLE, UNPACKED = "File is larger than 10 MiB.", "File is not a readable workbook.", "File unpacks to more than 256 MiB."
+# a zip that is damaged, encrypted or of an unknown kind, XML that is none, parts or numbers that are missing or no numbers
+BAD = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, OSError, ElementTree.ParseError, LookupError, ValueError, AttributeError, TypeError)
+
+
+def told(name: str, data, rows=_workbook):
+    """(fileName, sheetName, rowNumber, cells, error) for each row of a workbook, or once with an error."""
+    try:
+        for sheet, n, cells in rows(data):
+            yield name, sheet, n, [{"header": h, "text": t, "serial": s} for h, t, s in cells], None
+    except _TooLargeError:
+        yield name, None, None, None, UNPACKED
+    except BAD:
+        yield name, None, None, None, UNREADABLE
 
 
 def parsed(books: DataFrame) -> DataFrame:
@@ -101,12 +173,9 @@ def parsed(books: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             for f, data in zip(batch.fileName, batch.content, strict=True):
-                try:
-                    found = [(f, sheet, n, [{"header": h, "text": t, "serial": s} for h, t, s in cells], None) for sheet, n, cells in _workbook(data)]
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, AttributeError, IndexError):
-                    found = [(f, None, None, None, UNREADABLE)]
-                for i in range(0, len(found), 10_000):
-                    yield pd.DataFrame(found[i : i + 10_000], columns=names).astype({"rowNumber": "Int32"})
+                found = told(f, data)
+                while part := list(itertools.islice(found, 10_000)):
+                    yield pd.DataFrame(part, columns=names).astype({"rowNumber": "Int32"})
 
     return books.select("fileName", "content").mapInPandas(rows, f"fileName string, sheetName string, rowNumber int, cells {CELLS}, error string")
 
