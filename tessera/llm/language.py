@@ -2,9 +2,11 @@
 
 For each language a suffix automaton of labelled text answers "does this string occur there?". A text is
 parsed greedily into the longest matches with that automaton (Ziv-Merhav cross parsing); each phrase costs
-log2(training length) bits. The language that needs the fewest bits for each symbol wins. Parsing runs over the whole text in segments of
-SEGMENT symbols, at whose ends a phrase ends too, for every language alike. A worker holds TABLE_BYTES of dense transitions, for all
-languages together, and beside them the sparse ones of the rarer letters: a few numbers for each symbol of the sample.
+log2(training length) bits. The language that needs the fewest bits for each symbol wins. All segments of SEGMENT symbols of all texts are
+parsed at once, each as if a phrase began there; then those in whose beginning the phrase before goes on are parsed again, until a phrase
+begins at the same place in both, so the phrases are those of one parse from end to end. A worker holds TABLE_BYTES of dense transitions, for all
+languages together, and beside them the sparse ones of the rarer letters: a few numbers for each symbol of the sample, which has SAMPLE_TOTAL
+symbols at most, shared evenly by the languages. More than MOST_LANGS languages are an error.
 
 Defined results: a null text, an empty text and a text without a letter get `und` and score 0. Equal costs go
 to the language first in code-point order. Training rows with null text or lang are left out; if no row can be
@@ -24,8 +26,10 @@ from . import common
 
 SAMPLE_DOCS = 400  #: different training texts of each language, those of least hash
 SAMPLE_SYMBOLS = 1 << 16  #: symbols of normalised training text of each language
+SAMPLE_TOTAL = 1 << 21  #: symbols of all languages together
+MOST_LANGS = SAMPLE_TOTAL >> 8  #: so that each has 256 symbols at least
 TABLE_BYTES = 128 << 20  #: of all languages' dense transitions, of the commonest symbols; the others' are sparse
-SEGMENT = 512  #: symbols parsed in a run; a phrase ends where a segment ends, alike for every language
+SEGMENT = 512  #: symbols parsed in a run, before runs are joined
 ODD = 0.62  #: phrases per symbol from which a text counts as in none of the languages
 
 _letters: list[np.ndarray] = []
@@ -116,10 +120,14 @@ def step(table: Table, state: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def symbols_of_each(languages: int) -> int:
+    return min(SAMPLE_SYMBOLS, SAMPLE_TOTAL // max(1, languages))
+
+
 def _load(model: str) -> tuple:
     """Languages, code point to symbol, and for each language its automaton and bits per phrase."""
     texts = json.loads(model)
-    codes = {lang: symbols([t])[0][:SAMPLE_SYMBOLS] for lang, t in texts.items()}
+    codes = {lang: symbols([t])[0][: symbols_of_each(len(texts))] for lang, t in texts.items()}
     known, times = np.unique(np.concatenate([*codes.values(), np.zeros(1, np.uint32)]), return_counts=True)
     known = known[np.argsort(-times, kind="stable")]
     to = np.full(0x110000, len(known), np.uint32)  # the last symbol: letters not seen, in no transition
@@ -128,6 +136,16 @@ def _load(model: str) -> tuple:
     return list(texts), to, [(automaton(to[c].tolist(), len(known) + 1, most), math.log2(max(2, len(c)))) for c in codes.values()]
 
 
+def advance(table: Table, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each state goes with its symbol, and whether a phrase begins with it; a symbol that is in no phrase is one by itself."""
+    to = step(table, state, c)
+    fails = to == 0
+    begins = fails | (state == 0)
+    if fails.any():
+        to[fails] = step(table, np.zeros(fails.sum(), np.int64), c[fails])
+    return to, begins
+
+
 def phrases(seq: np.ndarray, offsets: np.ndarray, table: Table) -> np.ndarray:
     """Phrases of each text's cross parsing. All segments step together, longest first, so that each step is a few array operations."""
     lengths = np.diff(offsets)
@@ -136,34 +154,56 @@ def phrases(seq: np.ndarray, offsets: np.ndarray, table: Table) -> np.ndarray:
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     start = offsets[:-1][owner] + nth * SEGMENT
     size = np.minimum(SEGMENT, offsets[1:][owner] - start)
+    begins = np.zeros(len(seq), bool)  # where phrases begin
     order = np.argsort(-size, kind="stable")
-    start, size, owner = start[order], size[order], owner[order]
-    state, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-    active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
+    by_size, long = start[order], size[order]
+    state = np.zeros(len(start), np.int64)
+    active = np.searchsorted(-long, -np.arange(long[0] if len(long) else 0), side="left")
     for t, n in enumerate(active.tolist()):
-        c = seq[start[:n] + t].astype(np.int64)
-        to = step(table, state[:n], c)
-        fails = to == 0
-        count[:n] += fails | (state[:n] == 0)  # a phrase begins; a symbol that is in no phrase is one by itself
-        if fails.any():
-            to[fails] = step(table, np.zeros(fails.sum(), np.int64), c[fails])
-        state[:n] = to
-    return np.bincount(owner, count, len(lengths)).astype(np.int64)
+        at = by_size[:n] + t
+        state[:n], begins[at] = advance(table, state[:n], seq[at].astype(np.int64))
+    ends = np.zeros(len(start), np.int64)  # the state behind each segment
+    ends[order] = state
+    todo = np.flatnonzero((nth > 0) & (np.append(0, ends[:-1]) != 0))
+    while len(todo):
+        here, state, t, changed = todo, ends[todo - 1], 0, []
+        while len(here):
+            at = start[here] + t
+            state, new = advance(table, state, seq[at].astype(np.int64))
+            met = new & begins[at]
+            begins[at] = new
+            t += 1
+            over = ~met & (size[here] == t)
+            other = over & (ends[here] != state)
+            changed.append(here[other])
+            ends[here[other]] = state[other]
+            going = ~met & ~over
+            here, state = here[going], state[going]
+        # a segment that ends otherwise than before changes the beginning of the next
+        todo = np.concatenate(changed) + 1
+        todo = todo[todo < len(start)]
+        todo = np.sort(todo[nth[todo] > 0])
+    total = np.concatenate([[0], np.cumsum(begins)])
+    return total[offsets[1:]] - total[offsets[:-1]]
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> str:
-    """The model: a bounded sample of the text of each language (SAMPLE_DOCS, SAMPLE_SYMBOLS), by least text hash."""
+    """The model: a bounded sample of the text of each language (SAMPLE_DOCS, symbols_of_each()), by least text hash."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    kept = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"))
+    kept = common.cut(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")))
+    langs = kept.count()
+    if langs > MOST_LANGS:
+        raise ValueError(f"{langs} languages are labelled; {MOST_LANGS} can be learned.")
+    most = symbols_of_each(langs)
     # the least hashes are among those below a share that holds some three times as many texts; copies of a text meet before they move
     below = F.pmod("h", F.lit(1 << 30)) * F.col("texts") < F.lit(float((3 * SAMPLE_DOCS + 64) << 30))
-    # a document counts with its first SAMPLE_SYMBOLS characters at most, so that the sample's size is bounded
-    rows = rows.join(F.broadcast(kept), "lang").where(below).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_SYMBOLS)).alias("text"))
+    # a document counts with its first characters, as many as its language has symbols at most, so that the sample's size is bounded
+    rows = rows.join(F.broadcast(kept), "lang").where(below).groupBy("lang", "h").agg(F.min(F.substring("text", 1, most)).alias("text"))
     best = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
     least = rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= SAMPLE_DOCS)
     so_far = F.sum(F.length("text")).over(best.rowsBetween(Window.unboundedPreceding, -1))
-    least = least.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < SAMPLE_SYMBOLS)
+    least = least.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < most)
     sample: dict[str, list] = {}
     for r in sorted(least.collect(), key=lambda r: (r.lang, r.n)):
         sample.setdefault(r.lang, []).append(r.text)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tessera.llm import language as G
 
@@ -29,6 +30,31 @@ def test_cross_parsing():
         assert [g for g, t in zip(got, texts, strict=True) if t] == [plain_phrases(t, training) for t in texts if t]
 
 
+def test_long_texts_are_parsed_in_one():
+    """Texts of 5,000 symbols, against a parse that does not cut; such too in which no phrase begins where a segment does."""
+    rng = random.Random(9)
+    for training in ("".join(rng.choice("abc") for _ in range(300)), "a" * 10 + "b", "ab" * 700, "abc" * 11):
+        texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (5000, 512, 513, 0, 1, 1024, 3000)] + ["a" * 5000, "ab" * 2500, "abcd" * 900, "d" * 1500]
+        table = G.automaton([ord(c) - 97 for c in training], 5)
+        seq = np.array([ord(c) - 97 for t in texts for c in t], np.uint8)
+        got = G.phrases(seq, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), table)
+        assert got.tolist() == [plain_phrases(t, training) if t else 0 for t in texts]
+
+
+def test_model_is_bounded(spark, monkeypatch):
+    """However many languages there are, they share the sample; more than can be learned are an error."""
+    import json
+
+    monkeypatch.setattr(G, "SAMPLE_TOTAL", 3000)
+    docs = corpus(spark)
+    model = json.loads(G.fit(docs))
+    assert len(model) == 3 and all(900 < len(t) < 1700 for t in model.values())
+    assert sum(r.lang == r.lang_pred for r in G.predict(docs, json.dumps(model), also=("lang",)).collect()) > 230
+    monkeypatch.setattr(G, "MOST_LANGS", 2)
+    with pytest.raises(ValueError, match="3 languages"):
+        G.fit(docs)
+
+
 def test_symbols():
     codes, offsets = G.symbols(["Ab, c!", "", " é", "1"])
     assert "".join(chr(c or 32) for c in codes) == "ab c é" and offsets.tolist() == [0, 5, 5, 6, 6]
