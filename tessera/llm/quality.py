@@ -1,7 +1,7 @@
 """Operator 12: quality classifier by naive Bayes support vectors.
 
 Features are indicators of n-grams: single words and pairs of neighbouring words, and 1 to SHAPES neighbouring shapes. Shapes are a
-word's case (lower, upper, title, mixed), a repeat of the word before, a number, and other characters one by one, runs of one
+word's case (lower, upper, title, mixed), a repeat of the word before, a number, and other characters than spaces one by one, runs of one
 character once; a text's beginning and end have shapes too. N-grams are hashed to BUCKETS buckets. Each kept feature is scaled by the log of
 the ratio of its share in texts of label 1 and of label 0 (add-one smoothed, over the labelled sample), a document's vector is scaled to length
 one, and a linear model of hinge loss is fitted on these by dual coordinate descent. A logistic curve of the margin, fitted on a fifth of the sample
@@ -80,7 +80,7 @@ def grams(text: bytes) -> np.ndarray:
         title = (upper == 1) & upper_byte[start[is_word]]
         shape[is_word] = np.select([again, upper == 0, (upper == size) & (size > 1), title], [_SHAPE_AGAIN, _SHAPE_LOWER, _SHAPE_UPPER, _SHAPE_TITLE], _SHAPE_MIXED)
         out += [bucket(words), bucket(words[:-1] * _PAIR + words[1:])]
-    shape = np.concatenate([[np.uint64(_BEGIN)], shape, [np.uint64(_END)]])
+    shape = np.concatenate([[np.uint64(_BEGIN)], shape[shape != 32], [np.uint64(_END)]])
     key = np.zeros(len(shape) + 1, np.uint64)
     for n in range(1, min(SHAPES, len(shape)) + 1):
         key = key[:-1] * np.uint64(512) + shape[n - 1 :]
