@@ -261,7 +261,7 @@ def title_year_join(spark, d):
 
 @register("unique_match", 'SELECT "taskId", id, "collectionId" FROM uniq', ALBUM_SQL)
 def unique_match(spark, d):
-    return resolve.unique_matches(resolve.title_year_matches(T.candidates(spark, d), albums(spark, d), compose=False)).select("taskId", "id", "album.collectionId")
+    return resolve.sole_matches(resolve.candidate_keys(T.candidates(spark, d), compose=False), resolve.album_keys(albums(spark, d), compose=False)).select("taskId", "id", "album.collectionId")
 
 
 @register("dominant_artist", """, n AS (SELECT "taskId", "artistId", count(DISTINCT "collectionId") AS n FROM uniq GROUP BY 1, 2),

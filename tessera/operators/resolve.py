@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_cjk, is_blank, is_composite, nfkc, title_key, trimmed
 from ..functions.urls import STORE_HOSTS, artwork_600, secure
 from ..functions.values import leading_year
+from ..sources.folders import written
 
 MOST_SAFE = (1 << 53) - 1
 MOST_ALBUMS = 200
@@ -30,21 +31,42 @@ def album_list(rows: DataFrame, limit: int = MOST_ALBUMS, search: str = "search"
     return valid_albums(taken, keep=(search,))
 
 
-def title_year_matches(candidates: DataFrame, albums: DataFrame, compose: bool = True) -> DataFrame:
-    """(taskId, id, album): candidates and albums of one title key and year, once for each album. Keys are exploded, so the join is an equi-join."""
+def candidate_keys(candidates: DataFrame, compose: bool = True) -> DataFrame:
+    """(taskId, id, key, year): a row for each different title key of a candidate with a year."""
     keys = F.array_distinct(F.filter(F.array(title_key(F.col("title"), compose), title_key(F.col("titleOriginal"), compose)), lambda k: k != ""))
     year = F.coalesce(leading_year(F.col("originalReleaseDate")), leading_year(F.col("releaseDate")))
-    left = candidates.select("taskId", "id", F.explode(keys).alias("key"), year.alias("year")).where("year is not null")
-    right = albums.select(title_key(F.col("collectionName"), compose).alias("key"), leading_year(F.col("releaseDate")).alias("year"), F.struct(*albums.columns).alias("album")).where("key <> ''")
-    both = left.join(right, ["key", "year"])
+    return candidates.select("taskId", "id", F.explode(keys).alias("key"), year.alias("year")).where("year is not null")
+
+
+def album_keys(albums: DataFrame, compose: bool = True) -> DataFrame:
+    """(key, year, artistId, collectionId, album) of albums with a title key and a year."""
+    rows = albums.select(title_key(F.col("collectionName"), compose).alias("key"), leading_year(F.col("releaseDate")).alias("year"), "artistId", "collectionId", F.struct(*albums.columns).alias("album"))
+    return rows.where("key <> '' and year is not null")
+
+
+def title_year_matches(candidates: DataFrame, albums: DataFrame, compose: bool = True) -> DataFrame:
+    """(taskId, id, album): candidates and albums of one title key and year, once for each album. Keys are exploded, so the join is an
+    equi-join. Its result is all matches, as many as there are; sole_matches() needs none of them."""
+    both = candidate_keys(candidates, compose).join(album_keys(albums, compose).drop("artistId", "collectionId"), ["key", "year"])
     return both.groupBy("taskId", "id", F.col("album.collectionId").alias("collectionId")).agg(F.min("album").alias("album")).drop("collectionId")
 
 
 def unique_matches(matches: DataFrame) -> DataFrame:
-    """Candidates with exactly one album."""
+    """Candidates with exactly one album, of title_year_matches()."""
     return matches.groupBy("taskId", "id").agg(F.count("*").alias("n"), F.min("album").alias("album")).where("n = 1").drop("n")
 
 
+def sole_matches(keys: DataFrame, albums: DataFrame, artists: DataFrame | None = None) -> DataFrame:
+    """(taskId, id, album): the candidates of candidate_keys() to which exactly one album of album_keys() belongs; with (taskId,
+    artistId), one album of their task's artist. Albums of a key (and artist) become one row with their least and greatest id before they meet a candidate, and a
+    candidate has one album if these are the same over its keys: however common a key is, each of its candidates meets one row."""
+    by = ["key", "year", *(["artistId"] if artists is not None else [])]
+    held = albums.groupBy(*by).agg(F.min(F.struct("collectionId", "album")).alias("least"), F.max("collectionId").alias("most"))
+    asked = keys if artists is None else keys.join(artists, "taskId")
+    found = asked.join(held, by).groupBy("taskId", "id").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    return found.where(F.col("least.collectionId") == F.col("most")).select("taskId", "id", "least.album")
+
+
 def majority(votes: DataFrame, group: list[str], choice: str, evidence: str, least: int = 2) -> DataFrame:
     """The choice of each group with the most distinct evidence: at least `least`, more than any other and more than half of all. Groups without such a choice have no row."""
     counts = votes.groupBy(*group, choice).agg(F.countDistinct(evidence).alias("n"))
@@ -53,10 +75,13 @@ def majority(votes: DataFrame, group: list[str], choice: str, evidence: str, lea
     return ranked.where((F.col("place") == 1) & (F.col("n") >= max(1, least)) & ~F.coalesce(F.col("second") == F.col("n"), F.lit(False)) & (2 * F.col("n") > F.col("all"))).select(*group, choice, "n")
 
 
+def votes_of(matches: DataFrame) -> DataFrame:
+    return matches.select("taskId", F.col("album.artistId").alias("artistId"), F.col("album.collectionId").alias("collectionId"))
+
+
 def dominant_artist(candidates: DataFrame, albums: DataFrame, least: int = 2, compose: bool = True) -> DataFrame:
     """(taskId, artistId, n): the artist to whom most uniquely matched albums belong."""
-    votes = unique_matches(title_year_matches(candidates, albums, compose)).select("taskId", F.col("album.artistId").alias("artistId"), F.col("album.collectionId").alias("collectionId"))
-    return majority(votes, ["taskId"], "artistId", "collectionId", least)
+    return majority(votes_of(sole_matches(candidate_keys(candidates, compose), album_keys(albums, compose))), ["taskId"], "artistId", "collectionId", least)
 
 
 def native_name(matches: DataFrame, least: int = 2) -> DataFrame:
@@ -66,11 +91,12 @@ def native_name(matches: DataFrame, least: int = 2) -> DataFrame:
 
 
 def enrich(candidates: DataFrame, artists: DataFrame, albums: DataFrame, compose: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(candidates with missing covers filled, artists (taskId, name, nameRomaji, query) with a native name where one wins)."""
-    matches = title_year_matches(candidates, albums, compose)
-    votes = unique_matches(matches).select("taskId", F.col("album.artistId").alias("artistId"), F.col("album.collectionId").alias("collectionId"))
-    winner = majority(votes, ["taskId"], "artistId", "collectionId").select("taskId", "artistId")
-    own = unique_matches(matches.join(winner.withColumnRenamed("artistId", "w"), "taskId").where("album.artistId = w").drop("w"))
+    """(candidates with missing covers filled, artists (taskId, name, nameRomaji, query) with a native name where one wins).
+
+    Keys, for which titles are composed outside the JVM, and the matches of the winning artists are each made once and written: several results read them."""
+    keys, keyed = written(candidate_keys(candidates, compose), "keys"), written(album_keys(albums, compose), "albums")
+    winner = majority(votes_of(sole_matches(keys, keyed)), ["taskId"], "artistId", "collectionId").select("taskId", "artistId")
+    own = written(sole_matches(keys, keyed, winner), "matches")
     covers = own.select("taskId", "id", artwork_600(F.col("album.artworkUrl100")).alias("__art"), secure(F.col("album.collectionViewUrl"), STORE_HOSTS).alias("__page")).where("__art is not null and __page is not null")
     rows = candidates.join(covers, ["taskId", "id"], "left")
     fill = is_blank(F.col("coverImageUrl")) & F.col("__art").isNotNull()

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -20,3 +20,10 @@ def fresh(spark: SparkSession, name: str) -> str:
     elif "://" not in named and not named.startswith("file:"):
         named = "file://" + named
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a Parquet table of the shared folder, read back: made once, whatever reads it and however often."""
+    path = fresh(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
