@@ -143,11 +143,12 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     """(h, label, grams) of the labelled sample: a row for each different text, with its features."""
     one = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null").where(~held_out("id"))
     one = one.groupBy("id").agg(F.min("label").alias("label"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(one, "id").withColumn("h", F.xxhash64("text"))
-    texts = common.cut(rows.groupBy("h").agg(F.min("label").alias("label")))
+    bodies = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = common.cut(bodies.select("id", "h").join(one, "id").groupBy("h").agg(F.min("label").alias("label")))
     share = min(1.0, FIT_DOCS / max(1, texts.count()))
     few = F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = rows.where(few).drop("label").join(texts.where(few), "h").groupBy("h").agg(F.min(F.struct("label", "text")).alias("x"))
+    # some FIT_DOCS hashes and labels are broadcast; only texts of the sample move
+    rows = bodies.where(few).select("h", "text").join(F.broadcast(texts.where(few)), "h").groupBy("h").agg(F.min(F.struct("label", "text")).alias("x"))
 
     def run(batches):
         for batch in batches:
