@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank
 from ..functions.values import canonical_status, clamped_priority, rate
 from ..plans.filters import Filters, evidence, is_evidence, mentions_review
+from ..sources.folders import written
 
 #: Fixed order of the groups of category completion, empty ones included.
 GROUPS = [
@@ -90,6 +91,28 @@ def stats(rows: DataFrame, by: str = "artistId") -> DataFrame:
     return rows.groupBy(by).agg(*stat_columns())
 
 
+def changed_stats(kept: DataFrame, before: DataFrame, after: DataFrame, by: str = "artistId") -> DataFrame:
+    """stats() after a change, from those before it and the changed releases as they were and as they are (with status and evidence): what they
+    counted is taken back, what they count now is added. A release that moves, goes or comes is told by being in one of the two or under another artist. Artists without a release go.
+
+    Only the changed rows are read and grouped; the kept statistics, a row for each artist, are joined with the sums of the artists that are touched."""
+    measures = [*stat_columns()[:-1], count_where(~is_excluded() & (F.col("status") == "OWNED")).alias("owned_in"), count_where(~is_excluded()).alias("total_in")]
+    names = [c for c in kept.columns if c not in (by, "completion_rate")]
+    signed = lambda rows, sign: rows.groupBy(by).agg(*measures).select(by, *[(F.col(c) * sign).alias(c) for c in names])
+    delta = signed(before, -1).unionByName(signed(after, 1)).groupBy(F.col(by).alias("__by")).agg(*[F.sum(c).alias(f"__{c}") for c in names])
+    both = kept.join(delta, F.col(by).eqNullSafe(F.col("__by")), "full_outer")
+    known = kept.schema[by].dataType.simpleString()
+    # an artist that is new has no row of its own yet
+    key = F.when(F.col("total").isNull(), F.col("__by")).otherwise(F.col(by)).cast(known).alias(by)
+    now = both.select(key, *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in names]).where("total > 0")
+    return now.withColumn("completion_rate", rate(F.col("owned_in"), F.col("total_in"))).select(*kept.columns)
+
+
+def kept_stats(rows: DataFrame, by: str = "artistId") -> DataFrame:
+    """stats() with what changed_stats() needs beside them: the two counts of the rate."""
+    return rows.groupBy(by).agg(*stat_columns(), count_where(~is_excluded() & (F.col("status") == "OWNED")).alias("owned_in"), count_where(~is_excluded()).alias("total_in"))
+
+
 def collection_counts(stats_rows: DataFrame) -> DataFrame:
     """Adds collectible (not excluded) and gap (not owned of these), never below 0."""
     collectible = F.greatest(F.lit(0), F.col("total") - F.col("excluded"))
@@ -143,8 +166,18 @@ def same_number(releases: DataFrame) -> DataFrame:
 
 
 def numbered_positions(rows: DataFrame, by: str = "artistId") -> DataFrame:
-    """Adds `position` of each release in its artist's library, in the order of ordered()."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order())))
+    """Adds `position` of each release in its artist's library, in the order of ordered().
+
+    Rows are sorted over all partitions by artist and order, and written with their place, so an artist of very many releases is spread over partitions; a row's position is its place
+    less that of its artist's first row in the partition, plus the artist's rows in the partitions before. Only a row for each artist and partition is summed up in a window."""
+    keys = [F.asc_nulls_first(by), *order()]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    placed = written(placed, "positions")
+    parts = placed.groupBy(F.col(by).alias("__by"), F.col("__part").alias("__of")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__by").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("__before", before)
+    both = placed.join(parts, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__of")))
+    return both.withColumn("position", (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("int")).drop("__part", "__at", "__by", "__of", "__first", "__n", "__before")
 
 
 def previews(rows: DataFrame, n: int) -> DataFrame:
