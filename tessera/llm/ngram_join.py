@@ -1,13 +1,15 @@
 """Operator 1: n-gram Jaccard join with Bayesian candidate pruning.
 
 Documents of equal shingle sets form one text class (128 bits of set hash). MinHash values of the classes are banded;
-classes that share a band key are chained into clusters, and only clusters meet in tasks: within one, MinHash values
+classes that share a band key are chained into clusters, and only classes of one cluster meet in tasks: there, MinHash values
 are compared 16 at a time, a pair is dropped as soon as the posterior probability (uniform prior) that its similarity
-reaches THRESHOLD is below TOLERANCE, and what is left is verified exactly on the shingle sets. A larger cluster is dealt to
-blocks, and each pair of blocks is a unit of its own, so no task sees more than two blocks. A block holds some
-LEAST_TEXTS texts, or twice the root of the cluster's texts, and LEAST_SHINGLES to MOST_SHINGLES shingles, by a root too: units are
-even, and a text is copied as often as its cluster has blocks, which grows with the root of the cluster's size. (Dealing pairs
-by band instead would copy every text up to BANDS times, and compare a pair in each band that it shares.)
+reaches THRESHOLD is below TOLERANCE, and what is left is verified exactly on the shingle sets.
+
+A cluster is dealt in one of two ways, whichever copies fewer texts. As a whole: to blocks, and each pair of blocks is a unit of its own, so a text is
+copied as often as its cluster has blocks. Or by band: each band key that classes share is a group, dealt to blocks in the same way, so a text is copied for each
+key that it shares with others; a pair is compared in the unit of the first band that it shares. The first suits clusters of near copies, the second large ones that are chained of texts
+with little in common. A block holds some LEAST_TEXTS texts, or twice the root of its group's texts, and LEAST_SHINGLES to MOST_SHINGLES shingles, by a
+root too: no task sees more than two blocks, and units are even. Within a unit of a whole cluster, too, only pairs that share a band are compared, unless most do.
 Links are counted where they are found: pairs never become rows.
 
 With BANDS bands of ROWS values a pair of similarity 0.8 shares no band with probability 5e-6; no bound on partners,
@@ -163,10 +165,34 @@ def signed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return common.arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("body")), run, "doc long, body long, k1 long, k2 long, n long, bands array<long>")
 
 
-def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """For each set: the copies it is linked to, and the index of the least set that links lead to. side: only pairs of two sides count, unless it is None."""
+def partners(keys: np.ndarray) -> list[np.ndarray] | None:
+    """For each set the later ones that share a band key with it; None if these are so many that comparing all is less work."""
+    n = len(keys)
+    groups, pairs = [], 0
+    for b in range(BANDS):
+        order = np.argsort(keys[:, b], kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(keys[order, b])) + 1, n)
+        starts = np.append(0, ends[:-1])
+        for i in np.flatnonzero(ends - starts > 1).tolist():
+            groups.append(order[starts[i] : ends[i]])
+            pairs += len(groups[-1]) ** 2
+        if pairs * 4 > n * n:
+            return None
+    later: list[list] = [[] for _ in range(n)]
+    for g in groups:
+        for i, x in enumerate(g.tolist()):
+            later[x].append(g[i + 1 :])
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in later]
+
+
+def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None, key: int | None = None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each set: the copies it is linked to, and the index of the least set that links lead to. side: only pairs of two sides count, unless it is None. key:
+    all sets have this band key, and pairs that share an earlier band do not count. seen: gets how many pairs are compared."""
     n, bounds = len(sets), least_matches()
     values = minhashes(sets)
+    keys = band_keys(values)
+    before = keys[:, : int(np.flatnonzero(keys[0] == key)[0])] if key is not None else None
+    near = partners(keys) if key is None else None
     sizes = np.array([len(s) for s in sets])
     vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -179,17 +205,21 @@ def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None)
         return x
 
     for a in range(n - 1):
-        others = np.arange(a + 1, n)
+        others = np.arange(a + 1, n) if near is None else near[a]
         if side is not None:
             others = others[side[others] != side[a]]
         # a pair whose sizes alone rule the threshold out can have no link
         others = others[np.minimum(sizes[others], sizes[a]) >= THRESHOLD * np.maximum(sizes[others], sizes[a])]
+        if seen is not None:
+            seen.append(len(others))
         same, done = np.zeros(len(others), np.int64), 0
         for upto, least in bounds:
             if not len(others):
                 break
             same += (values[others, done:upto] == values[a, done:upto]).sum(1)
             keep = same >= least
+            if before is not None and not done:
+                keep[keep] = ~(before[others[keep]] == before[a]).any(1)
             others, same, done = others[keep], same[keep], upto
         if not len(others):
             continue
@@ -208,28 +238,54 @@ def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None)
     return links, np.array([top(i) for i in range(n)], np.int64)
 
 
+def blocks_of(m, s):
+    """How many blocks a group of m texts and s shingles has."""
+    texts_in = F.greatest(F.lit(LEAST_TEXTS), 2 * F.sqrt(m))
+    shingles_in = F.least(F.lit(MOST_SHINGLES), F.greatest(F.lit(LEAST_SHINGLES), 64 * F.sqrt(s)))
+    return F.ceil(F.greatest(m / texts_in, s / shingles_in)).cast("int")
+
+
+def dealt(reps: DataFrame, shared: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (banded, group, s, blocks), which are clusters or band keys, and their members (banded, group, block, blocks, rep, one, k1, k2, copies).
+
+    A cluster of several blocks is dealt by band if its texts have fewer copies so."""
+    sums = (F.count("*").alias("m"), F.sum("n").alias("s"))
+    sizes = common.cut(reps.select("rep", "n").join(clusters, "rep").groupBy("root").agg(*sums).withColumn("blocks", blocks_of(F.col("m"), F.col("s"))))
+    in_large = clusters.join(sizes.where("blocks > 1").select("root"), "root")
+    by_key = shared.join(in_large, "rep").join(reps.select("rep", "n"), "rep").groupBy("key", "root").agg(*sums)
+    by_key = common.cut(by_key.withColumn("blocks", blocks_of(F.col("m"), F.col("s"))))
+    copies = by_key.groupBy("root").agg(F.sum(F.col("m") * F.col("blocks")).alias("by_band"))
+    sizes = sizes.join(copies, "root", "left").withColumn("banded", F.coalesce(F.col("by_band") < F.col("m") * F.col("blocks"), F.lit(False)))
+    sizes = common.cut(sizes.select("root", "s", "blocks", "banded"))
+    whole, banded = sizes.where("not banded"), sizes.where("banded").select("root")
+    keyed = common.cut(by_key.join(banded, "root").select(F.col("key").alias("group"), "s", "blocks"))
+    groups = whole.select(F.lit(False).alias("banded"), F.col("root").alias("group"), "s", "blocks").unionByName(keyed.select(F.lit(True).alias("banded"), "group", "s", "blocks"))
+    placed = clusters.join(whole, "root").select(F.lit(False).alias("banded"), F.col("root").alias("group"), "blocks", "rep")
+    placed = placed.unionByName(shared.join(keyed, F.col("key") == F.col("group")).select(F.lit(True).alias("banded"), "group", "blocks", "rep"))
+    members = reps.select("rep", "one", "k1", "k2", "copies").join(placed, "rep")
+    return groups, members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id (least id of its connected group), n_links (other rows of similarity 0.8 or more), copies (rows of its shingle set)."""
     every = common.cut(signed(docs, id_col, text))
     some = every.where("n > 0")
     reps = common.cut(some.groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "body")).alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"), F.min("bands").alias("bands")).withColumn("rep", F.xxhash64("k1", "k2")))
     keys = reps.select("rep", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub < most").select("key", "hub")
-    clusters = common.cut(common.connected_components(keys.join(hubs, "key").select("rep", "hub"), "rep", "hub"))
-    sizes = reps.select("rep", "n").join(clusters, F.col("rep") == F.col("node")).groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    texts_in = F.greatest(F.lit(LEAST_TEXTS), 2 * F.sqrt("m"))
-    shingles_in = F.least(F.lit(MOST_SHINGLES), F.greatest(F.lit(LEAST_SHINGLES), 64 * F.sqrt("s")))
-    sizes = common.cut(sizes.select("root", "s", F.ceil(F.greatest(F.col("m") / texts_in, F.col("s") / shingles_in)).cast("int").alias("blocks")))
+    # written, so that the join has a shuffle of its own and a common band key can be split
+    hubs = common.cut(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub < most").select("key", "hub"))
+    shared = common.cut(keys.join(hubs, "key").select("rep", "hub", "key"))
+    clusters = common.cut(common.connected_components(shared.select("rep", "hub"), "rep", "hub").withColumnRenamed("node", "rep"))
+    groups, members = dealt(reps, shared, clusters)
     # units are dealt by number of tasks, since bytes do not tell what comparing costs
-    work = sizes.agg(F.coalesce(F.sum(F.col("s") * F.col("blocks")), F.lit(0))).first()[0]
+    work = groups.agg(F.coalesce(F.sum(F.col("s") * F.col("blocks")), F.lit(0))).first()[0]
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(least, min(20 * least, -(-work // TASK_SHINGLES)))
-    members = reps.select("rep", "one", "k1", "k2", "copies").join(clusters, F.col("rep") == F.col("node")).join(sizes.drop("s"), "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # one row of each class brings its text; a copy of that row does no harm
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
     units = members.join(texts, members["one.doc"].eqNullSafe(texts["doc"]) & (members["one.body"] == texts["body"]))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = units.withColumn("other", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "rep", "k1", "k2", "copies", "text")
+    units = units.withColumn("other", other).select("banded", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "rep", "k1", "k2", "copies", "text")
 
     def run(batches):
         held: list = []
@@ -237,28 +293,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         def done():
             sets, rows = [], []
             for r in held:
-                s = shingles(r[8])
-                if len(s) and not (rows and rows[-1][4] == r[4]) and (int(np.bitwise_xor.reduce(s)), int(mixed(s ^ MIX).sum(dtype=np.uint64))) == (r[5] % (1 << 64), r[6] % (1 << 64)):
+                s = shingles(r[9])
+                if len(s) and not (rows and rows[-1][5] == r[5]) and (int(np.bitwise_xor.reduce(s)), int(mixed(s ^ MIX).sum(dtype=np.uint64))) == (r[6] % (1 << 64), r[7] % (1 << 64)):
                     sets.append(s)
                     rows.append(r)
             if len(sets) < 2:
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["rep", "links", "to"])
-            off = rows[0][1] != rows[0][2]
-            links, to = linked(sets, np.array([r[7] for r in rows]), np.array([r[3] for r in rows]) if off else None)
-            reps_here = np.array([r[4] for r in rows])
+            off = rows[0][2] != rows[0][3]
+            links, to = linked(sets, np.array([r[8] for r in rows]), np.array([r[4] for r in rows]) if off else None, rows[0][1] if rows[0][0] else None)
+            reps_here = np.array([r[5] for r in rows])
             hit = links > 0
             return pa.RecordBatch.from_arrays([pa.array(reps_here[hit]), pa.array(links[hit]), pa.array(reps_here[to[hit]])], names=["rep", "links", "to"])
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][:3] != r[:3]:
+                if held and held[0][:4] != r[:4]:
                     yield done()
                     held.clear()
                 held.append(r)
         if held:
             yield done()
 
-    found = common.cut(common.arrow(units.repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep"), run, "rep long, links long, to long"))
+    found = common.cut(common.arrow(units.repartition(tasks, "banded", "group", "i", "j").sortWithinPartitions("banded", "group", "i", "j", "rep"), run, "rep long, links long, to long"))
     groups = common.connected_components(found.select("rep", "to"), "rep", "to")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.select("rep", "k1", "k2", "copies", "least").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))

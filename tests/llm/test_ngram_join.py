@@ -53,6 +53,59 @@ def test_blocks_of_a_cluster(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == list(zip(*exact(rows), strict=True))
 
 
+def templates(n, seed=7):
+    """Texts of one template, of which more than half is alike in all, so that bands chain them into one large cluster of few links; each twentieth text is a near copy of the one before."""
+    rng = random.Random(seed)
+    head, rows, body = [f"a{j}" for j in range(54)], [], []
+    for i in range(n):
+        if i % 20 == 19:
+            body[rng.randrange(100)] = f"v{i}"
+        else:
+            body = head + [f"w{rng.randrange(10**6)}" for _ in range(46)]
+        rows.append((i, " ".join(body)))
+    return rows
+
+
+def test_a_chained_cluster_is_dealt_by_band(spark, monkeypatch):
+    """The same links by either way of dealing; by band far fewer texts are copied and pairs compared than the cluster has."""
+    monkeypatch.setattr(N, "LEAST_TEXTS", 4)
+    rows = templates(1000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    dealt = N.dealt
+
+    def told(reps, shared, clusters):
+        groups, members = dealt(reps, shared, clusters)
+        seen.append((members.where("banded").count(), members.where("not banded").selectExpr("coalesce(sum(blocks), 0)").first()[0], members.where("banded").selectExpr("coalesce(sum(blocks), 0)").first()[0]))
+        return groups, members
+
+    monkeypatch.setattr(N, "dealt", told)
+    got = {r.doc_id: (r.n_links, r.class_id) for r in N.join(docs).collect()}
+    links, classes = exact(rows)
+    assert [got[i] for i, _ in rows] == list(zip(links, classes, strict=True)) and sum(links) >= 100
+    assert seen[0][0] > 300 and seen[0][2] < 1000 * 1000 ** 0.5 / 2
+
+
+def test_pairs_of_one_unit(monkeypatch):
+    """A cluster of little in common compares far below all pairs; in the units of its bands each link is found once."""
+    import numpy as np
+
+    rows = templates(1000)
+    sets = [N.shingles(t) for _, t in rows]
+    copies, seen = np.ones(len(sets), np.int64), []
+    links, _ = N.linked(sets, copies, None, seen=seen)
+    assert links.tolist() == exact(rows)[0] and sum(seen) < 1000 * 999 / 2 / 5
+    keys = N.band_keys(N.minhashes(sets))
+    total = np.zeros(len(sets), np.int64)
+    for b in range(N.BANDS):
+        for key in np.unique(keys[:, b]):
+            at = np.flatnonzero(keys[:, b] == key)
+            if len(at) > 1:
+                total[at] += N.linked([sets[i] for i in at], copies[at], None, key=int(key))[0]
+    assert total.tolist() == links.tolist()
+    assert N.partners(np.zeros((50, N.BANDS), np.int64)) is None
+
+
 def test_odd_rows(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     links, classes = exact(rows)
