@@ -4,8 +4,9 @@ Lines are hashed, those of fewer than five words together with the line before t
 documents is shared, and the document of least id that has it is its owner. So have runs of 2, 4, 8, ... neighbouring shared lines each
 their owner, the first document that holds the run; a passage is covered by two runs of its longest scale, so its holder is found
 though others own its lines. A later document is paired with the owners of its shared lines and runs (one row for
-each document, line and scale, never a pair of all holders), those first whose rarest line has the fewest holders; an owner
-none of whose lines is left to take is passed over. The two documents' shared lines are aligned with patience diff: what
+each document, line and scale, never a pair of all holders), and each pair is aligned where the owner's lines are: an owner's places stand in a task once,
+and again for every further slice of its pairs, which hold as many lines as it has itself. So what moves grows with the sum of the
+two documents' lines, also if a line stands a million times in an owner. The two documents' shared lines are aligned with patience diff: what
 they begin and end with alike is matched, lines that occur once in both are anchors, the longest increasing run of anchors
 is kept, and the stretches between them are aligned in the same way, where lines may be unique that are not so in the whole.
 A stretch without any such line matches the n-th occurrence with the n-th, the longest increasing run of these.
@@ -13,12 +14,13 @@ A stretch without any such line matches the n-th occurrence with the n-th, the l
 What any of a document's alignments takes is pooled, and blocks (runs of neighbouring lines) of MIN_WORDS words or more are
 deleted, and shorter ones that hold a line of LINE_WORDS words or more which COMMON_DOCS documents or more share. Other short
 blocks, of rare or very short lines, stay. Each owner is aligned once, so of two blocks that changed places against it only one is taken there.
-A row of a document and line holds the line's places in both documents, so an alignment reads no more than the two documents' lines.
+
+The ids of documents are whole numbers, or texts of such.
 
 Defined results: null and empty texts have one empty line and lose none. Lines are compared after trimming outer
 white space. Rows of null id take no part and stay. Rows that repeat an id count as one document of that id, later
 rows' lines behind earlier ones', and each such row loses the lines that a copy of its own line sequence would lose.
-An empty table gives an empty table. A document that is wholly repeated keeps an empty text.
+An empty table gives an empty table. A document that is wholly repeated keeps an empty text. Columns of any name pass through; the counts are a struct of its own, DROPPED.
 """
 
 import bisect
@@ -27,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -34,7 +38,12 @@ LINE_WORDS = 5  #: words of a line that is compared alone
 MIN_WORDS = 10  #: words of an aligned block that is deleted
 COMMON_DOCS = 3  #: documents that hold a line of LINE_WORDS words or more, from which a shorter block goes with it
 
+SLICE_LINES = 20_000  #: lines of an owner's pairs that one task is meant to align at least
+DROPPED = "__dropped"  #: the struct (lines, words, of) that tells what a document has lost
+
 MATCHES = "doc long, text_hash long, lines array<int>"
+PAIRS = "doc long, text_hash long, owner long, at array<int>, lines array<long>, words array<int>, common array<boolean>, extra array<int>, extra_lines array<long>"
+TAKEN = "doc long, text_hash long, at array<int>, words array<int>, common array<boolean>"
 
 
 def words_in(line: Column) -> Column:
@@ -72,32 +81,46 @@ def increasing(at: list[int]) -> list[int]:
 
 def patience(mine: list[tuple[int, int]], theirs: list[tuple[int, int]]) -> set[int]:
     """Positions of mine aligned with theirs; both are (position, line) in order of position."""
+    number: dict = {}
+    told = lambda x: number.setdefault(x, len(number))
+    return aligned_in([(p, told(x)) for p, x in mine], np.array([told(x) for _, x in theirs], np.int64))
+
+
+def aligned_in(mine: list[tuple[int, int]], theirs: np.ndarray) -> set[int]:
+    """Positions of mine, (position, line) in order, aligned with theirs, lines in order. Theirs may be far longer: a stretch costs its own lines times a search."""
+    order = np.argsort(theirs, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(theirs[order])) + 1, len(theirs))
+    at_line = dict(zip(theirs[order[ends - 1]].tolist(), np.split(order, ends[:-1]), strict=True)) if len(theirs) else {}
+    none = np.zeros(0, np.int64)
     taken: set[int] = set()
     stretches = [(0, len(mine), 0, len(theirs))]
     while stretches:
         a, a_end, b, b_end = stretches.pop()
-        while a < a_end and b < b_end and mine[a][1] == theirs[b][1]:
+        while a < a_end and b < b_end and mine[a][1] == theirs[b]:
             taken.add(mine[a][0])
             a, b = a + 1, b + 1
-        while a < a_end and b < b_end and mine[a_end - 1][1] == theirs[b_end - 1][1]:
+        while a < a_end and b < b_end and mine[a_end - 1][1] == theirs[b_end - 1]:
             taken.add(mine[a_end - 1][0])
             a_end, b_end = a_end - 1, b_end - 1
         if a == a_end or b == b_end:
             continue
         here: dict[int, list[int]] = {}
-        there: dict[int, list[int]] = {}
-        for at, seq, lo, hi in ((here, mine, a, a_end), (there, theirs, b, b_end)):
-            for i in range(lo, hi):
-                at.setdefault(seq[i][1], []).append(i)
-        pairs = sorted((at[0], there[line][0]) for line, at in here.items() if len(at) == 1 and len(there.get(line, ())) == 1)
+        for i in range(a, a_end):
+            here.setdefault(mine[i][1], []).append(i)
+        there = {}
+        for line in here:
+            places = at_line.get(line, none)
+            lo, hi = places.searchsorted((b, b_end)).tolist()
+            there[line] = places[lo : min(hi, lo + max(2, len(here[line])))].tolist()
+        pairs = sorted((at[0], there[line][0]) for line, at in here.items() if len(at) == 1 and len(there[line]) == 1)
         recurse = bool(pairs)
         if not recurse:
-            pairs = sorted(pair for line, at in here.items() for pair in zip(at, there.get(line, ()), strict=False))
+            pairs = sorted(pair for line, at in here.items() for pair in zip(at, there[line], strict=False))
         pairs = [pairs[i] for i in increasing([j for _, j in pairs])]
         taken.update(mine[i][0] for i, _ in pairs)
         if recurse:
-            ends = [(a - 1, b - 1), *pairs, (a_end, b_end)]
-            stretches += [(i + 1, i2, j + 1, j2) for (i, j), (i2, j2) in zip(ends, ends[1:], strict=False) if i + 1 < i2 and j + 1 < j2]
+            ends_of = [(a - 1, b - 1), *pairs, (a_end, b_end)]
+            stretches += [(i + 1, i2, j + 1, j2) for (i, j), (i2, j2) in zip(ends_of, ends_of[1:], strict=False) if i + 1 < i2 and j + 1 < j2]
     return taken
 
 
@@ -111,11 +134,11 @@ def diagonals(runs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def deleted(rows: list[tuple]) -> list[int]:
-    """Positions that one document loses. rows: (scale, words, line, holders, owner, my positions, the owner's); words, line and holders where scale is 0."""
+def paired(rows: list[tuple]) -> list[tuple]:
+    """One document's pairs: (owner, positions, their lines, words, whether common, and on the diagonals of runs the owner's positions and their lines).
+    rows: (scale, words, line, holders, owner, my positions, the owner's); words, line and holders where scale is 0, the owner's positions elsewhere."""
     line: dict[int, int] = {}
     words: dict[int, int] = {}
-    holders: dict[int, int] = {}
     common_ones: set[int] = set()
     here: dict[int, set[int]] = {}  # owner, my positions
     there: dict[int, dict[int, int]] = {}  # owner, its position, the line there
@@ -125,23 +148,36 @@ def deleted(rows: list[tuple]) -> list[int]:
             runs.setdefault(owner, []).extend((p, 1 << scale, q) for p, q in zip(mine, theirs, strict=True))
             continue
         for p in mine:
-            line[p], words[p], holders[p] = key, n, count
+            line[p], words[p] = key, n
         if n >= LINE_WORDS and count >= COMMON_DOCS:
             common_ones.update(mine)
         here.setdefault(owner, set()).update(mine)
-        there.setdefault(owner, {}).update(dict.fromkeys(theirs, key))
     for owner, found in runs.items():
         for p, q in diagonals(found):
             here.setdefault(owner, set()).add(p)
             there.setdefault(owner, {})[q] = line[p]
-    gone: set[int] = set()
-    for _, owner in sorted((min(holders[p] for p in of), owner) for owner, of in here.items()):
-        if not here[owner] <= gone:
-            gone |= patience([(p, line[p]) for p in sorted(here[owner])], sorted(there[owner].items()))
+    out = []
+    for owner, of in here.items():
+        at, extra = sorted(of), there.get(owner, {})
+        out.append((owner, at, [line[p] for p in at], [words[p] for p in at], [p in common_ones for p in at], list(extra), list(extra.values())))
+    return out
+
+
+def aligned_with(own: dict[int, np.ndarray], at: list[int], lines: list[int], extra: list[int], extra_lines: list[int]) -> set[int]:
+    """Positions of a pair that are aligned. own: the owner's positions by line."""
+    held = {x: own[x] for x in set(lines) if x in own}
+    places = np.concatenate([*held.values(), np.array(extra, np.int64)])
+    labels = np.concatenate([*(np.full(len(v), x, np.int64) for x, v in held.items()), np.array(extra_lines, np.int64)])
+    _, first = np.unique(places, return_index=True)  # in order of position, each once
+    return aligned_in(list(zip(at, lines, strict=True)), labels[first])
+
+
+def blocks(taken: dict[int, tuple[int, bool]]) -> list[int]:
+    """The positions that go, of those that alignments have taken: position, (words, whether common)."""
     out, block = [], []
-    for p in [*sorted(gone), None]:
+    for p in [*sorted(taken), None]:
         if block and (p is None or p != block[-1] + 1):
-            if sum(words[x] for x in block) >= MIN_WORDS or not common_ones.isdisjoint(block):
+            if sum(taken[x][0] for x in block) >= MIN_WORDS or any(taken[x][1] for x in block):
                 out += block
             block = []
         block.append(p)
@@ -209,68 +245,104 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     owners = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("o"), F.max("doc").alias("latest"), F.count("*").alias("holders"))
     # written, so that the join below has a shuffle of its own and a line with very many holders can be split
     owners = common.cut(owners.where("o.doc < latest").select("h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs"), "holders"))
-    shared = common.cut(lines.join(owners, ["h1", "h2"]).select("doc", "text_hash", "h1", "h2", "at", "words", "holders", "owner", F.when(F.col("doc") > F.col("owner"), F.col("theirs")).alias("theirs")))
+    shared = common.cut(lines.join(owners.drop("theirs"), ["h1", "h2"]).select("doc", "text_hash", "h1", "h2", "at", "words", "holders", "owner"))
     runs = common.cut(runs_of(shared.withColumn("pos", F.explode("at"))).groupBy("scale", "h1", "h2", "doc", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("at")))
     first = runs.groupBy("scale", "h1", "h2").agg(F.min(F.struct("doc", "text_hash", "at")).alias("o"), F.max("doc").alias("latest"))
     first = common.cut(first.where("o.doc < latest").select("scale", "h1", "h2", F.col("o.doc").alias("owner"), F.col("o.at").alias("theirs")))
     # a run is held against one of the owner's, the n-th against the n-th
     nth = F.transform("at", lambda _, i: F.get("theirs", F.least(i, F.size("theirs") - 1)))
     longer = runs.join(first, ["scale", "h1", "h2"]).where("doc > owner").select("doc", "text_hash", "scale", F.lit(0).alias("words"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("holders"), "owner", F.col("at").alias("mine"), nth.alias("theirs"))
-    matches = shared.where("doc > owner").select("doc", "text_hash", F.lit(0).alias("scale"), "words", "h1", "holders", "owner", F.col("at").alias("mine"), "theirs").unionByName(longer)
-
+    single = shared.where("doc > owner").select("doc", "text_hash", F.lit(0).alias("scale"), "words", "h1", "holders", "owner", F.col("at").alias("mine"), F.array().cast("array<int>").alias("theirs"))
+    # all matches of one document meet, at most one for each of its lines and scales; a line with many holders is spread over them
+    names = ("scale", "words", "h1", "holders", "owner", "mine", "theirs")
+    pairs = common.cut(grouped(single.unionByName(longer), ("doc", "text_hash"), names, lambda key, rows: [(*key, *p) for p in paired(rows)], PAIRS))
+    # pairs of an owner are dealt to slices that hold as many lines as it has itself, or SLICE_LINES
+    sizes = pairs.groupBy("owner").agg(F.sum(F.size("at")).alias("n")).join(owners.groupBy("owner").agg(F.sum(F.size("theirs")).alias("own")), "owner", "left")
+    sizes = common.cut(sizes.select("owner", F.ceil(F.col("n") / F.greatest(F.coalesce("own", F.lit(0)), F.lit(SLICE_LINES))).cast("int").alias("slices")))
+    asked = pairs.join(sizes, "owner").withColumn("slice", F.pmod(F.xxhash64("doc", "text_hash"), F.col("slices")).cast("int")).drop("slices")
+    held = owners.join(sizes, "owner").select("owner", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("doc"), F.col("theirs").alias("at"), F.array("h1").alias("lines"))
+    units = asked.unionByName(held, allowMissingColumns=True)
+
+    def align(key, rows):
+        # rows without a document are the owner's, and come first
+        own = {lines[0]: np.array(at, np.int64) for doc, _, at, lines, *_ in rows if doc is None}
+        for doc, text_hash, at, lines, words, common_ones, extra, extra_lines in rows:
+            if doc is not None:
+                gone = aligned_with(own, at, lines, extra, extra_lines)
+                some = [i for i, p in enumerate(at) if p in gone]
+                if some:
+                    yield doc, text_hash, [at[i] for i in some], [words[i] for i in some], [common_ones[i] for i in some]
+
+    taken = grouped(units, ("owner", "slice"), ("doc", "text_hash", "at", "lines", "words", "common", "extra", "extra_lines"), align, TAKEN, order=(F.asc_nulls_first("doc"),))
+
+    def pool(key, rows):
+        every = {p: (n, c) for at, words, common_ones in rows for p, n, c in zip(at, words, common_ones, strict=True)}
+        gone = blocks(every)
+        return [(*key, gone)] if gone else []
+
+    return grouped(taken, ("doc", "text_hash"), ("at", "words", "common"), pool, MATCHES)
+
+
+def grouped(rows: DataFrame, by: tuple[str, ...], names: tuple[str, ...], build, schema: str, order: tuple = ()) -> DataFrame:
+    """What build(key, rows of a key as tuples of names) gives for each key of by. Rows of a key meet in a task, sorted, and are held one key at a time."""
     def run(batches):
-        held: list = []
+        held, now = [], None
 
-        def done():
-            return [(held[0][0], held[0][1], deleted([r[2:] for r in held]))] if held else []
+        def out_of(found):
+            found = list(found)
+            fields = kinds.names
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kinds.field(i).type) for i in range(len(fields))], names=fields)
 
         for batch in batches:
+            keys, values = [batch.column(n).to_pylist() for n in by], [batch.column(n).to_pylist() for n in names]
             out = []
-            for r in zip(*(batch.column(n).to_pylist() for n in ("doc", "text_hash", "scale", "words", "h1", "holders", "owner", "mine", "theirs")), strict=True):
-                if held and held[0][:2] != r[:2]:
-                    out += done()
-                    held.clear()
-                held.append(r)
-            yield batch_of(out)
-        yield batch_of(done())
-
-    def batch_of(rows):
-        rows = [r for r in rows if r[2]]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["doc", "text_hash", "lines"])
-
-    # all matches of one document meet, at most one for each of its lines and scales; a line with many holders is spread over them
-    return common.arrow(matches.repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash"), run, MATCHES)
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, text without the deleted lines, and `removed_lines`, `removed_words`, `n_lines`."""
-    gone = find(docs, id_col, text).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__gone"))
-    named = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    both = named.join(gone, (F.col(id_col).cast("long") == F.col("__doc")) & (F.col("__key") == F.col("__hash")), "left")
-    rows = both.drop("__doc", "__hash", "__key")
-    names = [c for c in docs.columns if c != text]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+            for key, row in zip(zip(*keys, strict=True), zip(*values, strict=True), strict=True):
+                if key != now:
+                    out += build(now, held) if held else ()
+                    held, now = [], key
+                held.append(row)
+            yield out_of(out)
+        yield out_of(build(now, held) if held else ())
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, *order)
+    return common.arrow(dealt, run, schema)
+
+
+def marked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, its columns in their order, the text without the deleted lines, and DROPPED, a struct of how many lines and words went and how many lines there were."""
+    gone = find(docs, id_col, text).withColumnsRenamed({"doc": "of", "text_hash": "hash"})
+    rest = [c for c in docs.columns if c not in (id_col, text)]
+    # columns whose names may be any go in a struct of their own, by number
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("none")).alias("rest"))
+    rows = rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(gone, (F.col("id").cast("long") == F.col("of")) & (F.col("key") == F.col("hash")), "left").select("id", "rest", "text", "lines")
+    counts = "struct<lines:bigint,words:bigint,of:bigint>"
 
     def run(batches):
         common.kept("lines", None)
         for batch in batches:
-            texts, spans = batch.column(batch.schema.get_field_index("__text")).to_pylist(), batch.column(batch.schema.get_field_index("__gone")).to_pylist()
-            kept, counts, words, all_lines = [], [], [], []
-            for t, g in zip(texts, spans, strict=True):
-                n = 1 if t is None else t.count("\n") + 1
-                w = 0
+            kept, told = [], []
+            for t, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                n, w = 1 if t is None else t.count("\n") + 1, 0
                 if g:
                     lines, drop = t.split("\n"), set(g)
                     w = sum(len(lines[i].split()) for i in drop)
                     t = "\n".join(x for i, x in enumerate(lines) if i not in drop)
                 kept.append(t)
-                counts.append(len(g or ()))
-                words.append(w)
-                all_lines.append(n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(words, pa.int64()), pa.array(all_lines, pa.int64())], names=[*names, text, "removed_lines", "removed_words", "n_lines"])
+                told.append({"lines": len(g or ()), "words": w, "of": n})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(kept, pa.string()), pa.array(told, pa.struct([("lines", pa.int64()), ("words", pa.int64()), ("of", pa.int64())]))], names=["id", "rest", "text", DROPPED])
+
+    out = common.arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, rest {rows.schema['rest'].dataType.simpleString()}, text string, {DROPPED} {counts}")
+    column = lambda c: F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text else F.col(f"rest.c{rest.index(c)}").alias(c)
+    return out.select(*[column(c) for c in docs.columns], DROPPED)
 
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{text}` string, removed_lines long, removed_words long, n_lines long"])
-    return common.arrow(rows.select(*names, F.col(text).alias("__text"), "__gone"), run, schema)
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of docs, text without the deleted lines, and `removed_lines`, `removed_words`, `n_lines`; of these not those whose names docs has itself, which stay its own."""
+    names = {"removed_lines": "lines", "removed_words": "words", "n_lines": "of"}
+    out = marked(docs, id_col, text)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{DROPPED}.{v}").alias(k) for k, v in names.items() if k not in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -280,8 +352,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without what repeats an earlier one; one that is wholly repeated goes."""
-    out = dedup(docs.drop("removed_lines", "removed_words", "n_lines"))
-    out = out.where((F.col("removed_lines") == 0) | (F.length(F.trim(F.col("text"))) > 0)).select(*docs.columns)
+    out = marked(docs)
+    out = out.where((F.col(f"{DROPPED}.lines") == 0) | (F.length(F.trim(F.col("text"))) > 0)).drop(DROPPED)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -184,3 +184,44 @@ def test_common_short_line(spark):
     rows = [(i, f"{line(0, 5)}\n{line(100 + i)}\n{line(1, 4)}\n{line(200 + i)}\n{line(2 + (i == 3), 5)}") for i in (1, 2, 3)]
     got = run(spark, [*rows, (4, line(3, 5))])
     assert {i: r.text.split("\n") for i, r in got.items()} == {1: rows[0][1].split("\n"), 2: rows[1][1].split("\n")[1:], 3: rows[2][1].split("\n")[1:], 4: [line(3, 5)]}
+
+
+def test_columns_of_any_name_stay(spark):
+    """Names that the operator uses itself are the caller's."""
+    text = line(1) + "\n" + line(2)
+    rows = [(1, text, "mine", "a", "b", "c", "d"), (2, text + "\nmore", "yours", "a", "b", "c", "d"), (3, "x", "x", "a", "b", "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, removed_lines string, __gone string, __dropped_not string, `odd name.x` string")
+    out = L.stage(spark, docs, "").orderBy("doc_id").collect()
+    assert out[0].asDict() == docs.where("doc_id = 1").first().asDict() and [r.n_lines for r in out] == ["mine", "yours", "x"] and out[1].text == "more"
+    got = L.dedup(docs).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.removed_lines, r["__gone"], r.removed_words) for r in got] == [("mine", "a", "b", 0), ("yours", "a", "b", 24), ("x", "a", "b", 0)]
+
+
+def test_a_line_that_an_owner_has_very_often(spark):
+    """What pairs and slices hold grows with the sum of the documents' lines: the owner's 60,000 places are not copied to its 200 holders."""
+    rows = [(0, "\n".join([line(0), line(1)] * 30_000)), *((i, f"{line(10 + i)}\n{line(i % 2)}") for i in range(1, 201))]
+    sizes = []
+    grouped = L.grouped
+
+    def told(rows, by, names, *args, **kwargs):
+        if by == ("owner", "slice"):
+            sizes.append(rows.selectExpr("sum(size(at)) as n").first().n)
+        return grouped(rows, by, names, *args, **kwargs)
+
+    L.grouped = told
+    try:
+        got = run(spark, rows)
+    finally:
+        L.grouped = grouped
+    assert [got[i].text for i in (1, 2, 200)] == [line(10 + i) for i in (1, 2, 200)] and got[0].removed_lines == 0
+    assert sizes == [60_000 + 200]
+
+
+def test_owner_in_many_slices(spark, monkeypatch):
+    """Pairs of one owner that are dealt to slices give what one task gives."""
+    monkeypatch.setattr(L, "SLICE_LINES", 3)
+    rng = random.Random(4)
+    text = [line(k, 6) for k in range(12)]
+    rows = [(i, "\n".join(rng.choice(text) for _ in range(rng.randint(1, 9)))) for i in range(80)]
+    got, want = run(spark, rows), plain(rows)
+    assert {i: got[i].removed_lines for i, _ in rows} == want
