@@ -475,6 +475,26 @@ def exact_lookup(spark, d):
     return resolve.lookup_by_name(named_artists(spark, d), names, fold_case=False)
 
 
+EXACT_SQL = NAMES_SQL + """, w AS (SELECT DISTINCT 'A' || substr(name, 2) AS name FROM asked), known AS (SELECT w.name, min(a.id::VARCHAR) AS id FROM w JOIN artist a ON a.name = w.name GROUP BY 1)
+"""
+
+
+def resolved(spark, d):
+    names = asked_names(spark, d).select(F.concat(F.lit(" A"), F.substring("name", 3, 100)).alias("name"))
+    return resolve.resolve_or_create(named_artists(spark, d).withColumn("id", F.col("id").cast("string")), names)
+
+
+@register("import_artists", """SELECT w.name, coalesce(k.id, 'artist:' || w.name) AS id FROM w LEFT JOIN known k USING (name)""", EXACT_SQL)
+def import_artists(spark, d):
+    """Artists that an import finds by their exact names, or makes."""
+    return resolved(spark, d)["found"]
+
+
+@register("created_artists", """SELECT id::VARCHAR AS id, name FROM artist UNION ALL SELECT 'artist:' || name, name FROM w WHERE name NOT IN (SELECT name FROM known)""", EXACT_SQL)
+def created_artists(spark, d):
+    return resolved(spark, d)["artists"].select("id", "name")
+
+
 @register("anti_sources", """SELECT DISTINCT "releaseId" + 1 AS "releaseId", url FROM sources EXCEPT SELECT "releaseId", url FROM sources""", T.SQL)
 def anti_sources(spark, d):
     s = T.sources(spark, d)

@@ -144,12 +144,12 @@ new AS (SELECT g.* FROM goal g JOIN latest l USING (target, "rowId"))
 """
 
 
-def applied(spark, d):
+def applied(spark, d, strategy: str = "update"):
     rows = import_rows(spark, d).withColumn("rowId", -F.col("rowId"))
     releases = stored_releases(spark, d).withColumn("importBatchId", F.lit(None).cast("string"))
     k = F.col("id")
     statuses = releases.where("status is not null").select(F.concat(F.lit("u"), (k % 2).cast("string")).alias("userId"), k.alias("releaseId"), "status", "priority")
-    return importing.apply_import(rows, releases, statuses, T.sources(spark, d), "u1", "batch-1", "update")
+    return importing.apply_import(rows, releases, statuses, T.sources(spark, d), "u1", "batch-1", strategy)
 
 
 @register("import_releases", """SELECT coalesce(s.id, n.target) AS id, CASE WHEN n.target IS NOT NULL THEN n.title ELSE s.title END AS title, CASE WHEN n.target IS NOT NULL THEN n."catalogNo" ELSE s."catalogNo" END AS "catalogNo",
@@ -158,6 +158,12 @@ def import_releases(spark, d):
     return applied(spark, d)["releases"].select("id", "title", "catalogNo", "releaseDate", F.col("importBatchId").alias("batch"))
 
 
+@register("created_duplicates", """SELECT id, title, "catalogNo", NULL::VARCHAR AS batch FROM stored UNION ALL SELECT -"rowId", title, "catalogNo", 'batch-1' FROM found WHERE NOT bad""", IMPORT_SQL)
+def created_duplicates(spark, d):
+    """With the strategy that creates, every row without an error is a release of its own, duplicate or not."""
+    return applied(spark, d, "create")["releases"].select("id", "title", "catalogNo", F.col("importBatchId").alias("batch"))
+
+
 @register("import_statuses", """, own AS (SELECT 'u' || (id % 2)::VARCHAR AS "userId", id AS "releaseId", status, priority FROM stored WHERE status IS NOT NULL)
 SELECT coalesce(o."userId", 'u1') AS "userId", coalesce(o."releaseId", n.target) AS "releaseId", CASE WHEN n.target IS NOT NULL THEN 'owned' ELSE o.status END AS status, CASE WHEN n.target IS NOT NULL THEN n.priority ELSE o.priority END AS priority
 FROM own o FULL JOIN new n ON o."userId" = 'u1' AND o."releaseId" = n.target""", APPLIED_SQL)
@@ -173,15 +179,15 @@ def import_sources(spark, d):
 # ---- the library of one user
 
 SPELLED = ["owned", "Want", "skip", "ORDERED", "nonsense", "EXCLUDED"]
-USER_SQL = T.SQL + f""", told AS (SELECT id, CASE (id % 6) WHEN 0 THEN 'OWNED' WHEN 1 THEN 'WANTED' WHEN 2 THEN 'NOT_OWNED' WHEN 3 THEN 'WANTED' WHEN 5 THEN 'EXCLUDED' END AS own, least(5, greatest(1, coalesce((CASE WHEN id % 5 <> 0 THEN id % 9 END)::INT, 3))) AS level FROM releases WHERE id % 4 <> 3),
-mine AS (SELECT r.* EXCLUDE (status, priority), CASE WHEN r.id % 2 = 1 THEN t.own END AS status, CASE WHEN r.id % 2 = 1 AND t.own IS NOT NULL THEN t.level END AS priority FROM releases r LEFT JOIN told t ON r.id = t.id)
+USER_SQL = T.SQL + f""", told AS (SELECT id, CASE (id % 6) WHEN 0 THEN 'OWNED' WHEN 1 THEN 'WANTED' WHEN 2 THEN 'NOT_OWNED' WHEN 3 THEN 'WANTED' WHEN 5 THEN 'EXCLUDED' END AS own, least(5, greatest(1, coalesce((CASE WHEN id % 5 <> 0 THEN id % 9 END)::INT, 3))) AS level, CASE WHEN id % 4 = 3 THEN 9 ELSE id % 2 END AS u FROM releases),
+mine AS (SELECT r.* EXCLUDE (status, priority), CASE WHEN t.u = 1 THEN t.own END AS status, CASE WHEN t.u = 1 AND t.own IS NOT NULL THEN t.level END AS priority FROM releases r LEFT JOIN told t ON r.id = t.id)
 """
 
 
 def statuses(spark, d):
-    """Each release's status of one of two users, in old and new spellings; some releases have none."""
+    """Each release's status of one of three users, in old and new spellings."""
     k = F.col("id")
-    return T.releases(spark, d).where(k % 4 != 3).select(F.concat(F.lit("u"), (k % 2).cast("string")).alias("userId"), k.alias("releaseId"), pick(SPELLED, k).alias("status"), F.when(k % 5 != 0, k % 9).cast("int").alias("priority"))
+    return T.releases(spark, d).select(F.concat(F.lit("u"), F.when(k % 4 == 3, 9).otherwise(k % 2).cast("string")).alias("userId"), k.alias("releaseId"), pick(SPELLED, k).alias("status"), F.when(k % 5 != 0, k % 9).cast("int").alias("priority"))
 
 
 @register("user_library", 'SELECT id, status, priority FROM mine', USER_SQL)
@@ -322,7 +328,7 @@ def deleted_sources(spark, d):
     return mutations.delete_sources(s, gone).select("id")
 
 
-FOLLOW_SQL = NAMES_SQL + """, follow AS (SELECT 'me' AS "userId", id::VARCHAR AS "artistId" FROM artist WHERE "createdAt" < 100),
+FOLLOW_SQL = NAMES_SQL + """, follow AS (SELECT CASE WHEN "createdAt" < 100 THEN 'me' ELSE 'other' END AS "userId", id::VARCHAR AS "artistId" FROM artist),
 known AS (SELECT a.name, min_by(x.id, (x."createdAt", x.id)) AS id FROM asked a JOIN artist x ON lower(x.name) = lower(a.name) GROUP BY 1),
 fresh AS (SELECT min(name) AS name FROM asked WHERE name NOT IN (SELECT name FROM known) GROUP BY lower(name))
 """
@@ -330,7 +336,7 @@ fresh AS (SELECT min(name) AS name FROM asked WHERE name NOT IN (SELECT name FRO
 
 def followed(spark, d):
     own = named_artists(spark, d).withColumn("id", F.col("id").cast("string"))
-    follows = own.where("createdAt < 100").select(F.lit("me").alias("userId"), F.col("id").alias("artistId"))
+    follows = own.select(F.when(F.col("createdAt") < 100, "me").otherwise("other").alias("userId"), F.col("id").alias("artistId"))
     # ids are texts here, so the oldest artist's tie is settled among texts; days of creation do not repeat within a name
     return mutations.follow_artists(own, follows, asked_names(spark, d), "me")
 

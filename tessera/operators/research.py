@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import json_text as J
 from ..functions.text import is_blank
 from ..functions.values import candidate_format, confidence_priority, leading_date, release_status
+from ..sources.folders import written
 from .library import count_where
 from .provenance import release_sources
 from .quality import gate, is_pending, needs_review
@@ -87,10 +88,13 @@ def import_candidates(candidates: DataFrame, selected: DataFrame, releases: Data
     for name, ids in (("userExcluded", excluded_ids), ("userPending", pending_ids)):
         rows = rows.withColumn(name, F.lit(False)) if ids is None else rows.join(ids.select(*key).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
     rows = rows.withColumn("pending", F.col("userPending") | needs_review()).withColumn("excluded", F.col("userExcluded") | F.col("isExcludedByDefault"))
+    # both are read for several results: written once
+    rows = written(rows, "selected")
     numbered = ~is_blank(F.col("catalogNumber"))
     known = releases.where(F.col("artistId") == F.lit(artist)).select("title", F.col("catalogNo").alias("catalogNumber")).where("catalogNumber <> ''").distinct()
     fresh = rows.where(~numbered).unionByName(rows.where(numbered).join(known, ["title", "catalogNumber"], "left_anti").select(*rows.columns))
     kept = first_of_each(fresh, ["taskId", "title", "catalogNumber"], ["position"], numbered).withColumn("releaseId", F.concat_ws(":", "taskId", "id"))
+    kept = written(kept, "imported")
     new = kept.select(F.col("releaseId").alias("id"), "artistId", "category", "title", leading_date(F.coalesce("originalReleaseDate", "releaseDate")).alias("releaseDate"), candidate_format(F.col("format")).alias("format"), F.col("catalogNumber").alias("catalogNo"), "label", "originalPrice", "editionType", F.coalesce("isReissue", F.lit(False)).alias("isReissue"), F.coalesce("isRemaster", F.lit(False)).alias("isRemaster"), "isExcludedByDefault", "confidence", "warnings", candidate_notes(F.col("pending")).alias("notes"), F.col("coverImageUrl").alias("coverUrl"))
     status = kept.select(F.lit(user).alias("userId"), "releaseId", release_status(F.col("excluded"), F.col("pending")).alias("status"), confidence_priority(F.col("confidence")).alias("priority"), F.when(F.col("pending"), "PENDING_REVIEW").alias("notes"))
     links = kept.select("releaseId", F.posexplode(release_sources(F.col("sources"), F.col("coverImageSourceUrl"))).alias("position", "s")).select("releaseId", "position", "s.*")

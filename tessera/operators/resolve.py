@@ -116,3 +116,11 @@ def lookup_by_name(artists: DataFrame, names: DataFrame, fold_case: bool) -> Dat
     order = F.struct("createdAt", "id") if fold_case else F.struct("id")
     found = artists.groupBy(key.alias("key")).agg(F.min_by("id", order).alias("id"))
     return wanted.withColumn("key", key).join(found, "key").select("name", "id")
+
+
+def resolve_or_create(artists: DataFrame, names: DataFrame) -> dict[str, DataFrame]:
+    """The artist of each trimmed name of an import: `found` (name, id) by exact name, the least id, or else a new one; and `artists` with the new ones."""
+    wanted = names.select(trimmed(F.col("name")).alias("name")).where("name <> ''").distinct()
+    known = lookup_by_name(artists, wanted, fold_case=False)
+    fresh = wanted.join(known, "name", "left_anti").select("name", F.concat(F.lit("artist:"), F.col("name")).alias("id"))
+    return {"found": known.select("name", F.col("id").cast("string").alias("id")).unionByName(fresh), "artists": artists.unionByName(fresh, allowMissingColumns=True)}

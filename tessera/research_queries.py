@@ -9,6 +9,7 @@ from .change_queries import pick, pick_sql
 from .functions import json_text as J
 from .operators import provenance, quality, research, resolve, structuring
 from .plans.filters import COVER_ROLE
+from .sources.folders import written
 
 
 def text(c):
@@ -176,15 +177,15 @@ def default_selection(spark, d):
     return research.default_selection(gated(spark, d))
 
 
-CHOSEN_SQL = T.CANDIDATES_SQL + """, chosen AS (SELECT "taskId", id FROM gated WHERE level >= 2 UNION ALL SELECT 'task-' || p_size::VARCHAR, 'unknown-' || p_partkey::VARCHAR FROM part WHERE p_size < 10)
+CHOSEN_SQL = T.CANDIDATES_SQL + """, chosen AS (SELECT "taskId", id FROM gated WHERE level >= 2 UNION ALL SELECT 'task-' || p_size::VARCHAR, CASE WHEN p_size < 10 THEN 'unknown-' ELSE 'candidate-' END || p_partkey::VARCHAR FROM part)
 """
 
 
 def chosen(spark, d) -> DataFrame:
-    """Ids that a user chose: candidates of some confidence, and in a few tasks ids that no candidate has."""
-    part = T.load(spark, d, "part").where("p_size < 10")
-    made_up = part.select(F.concat(F.lit("task-"), text(F.col("p_size"))).alias("taskId"), F.concat(F.lit("unknown-"), text(F.col("p_partkey"))).alias("id"))
-    return gated(spark, d).where("confidence <> 'LOW'").select("taskId", "id").unionByName(made_up)
+    """Ids that a user chose: candidates of some confidence, and each part's, which in a few tasks no candidate has."""
+    name = F.concat(F.when(F.col("p_size") < 10, "unknown-").otherwise("candidate-"), text(F.col("p_partkey")))
+    named = T.load(spark, d, "part").select(F.concat(F.lit("task-"), text(F.col("p_size"))).alias("taskId"), name.alias("id"))
+    return gated(spark, d).where("confidence <> 'LOW'").select("taskId", "id").unionByName(named)
 
 
 @register("unknown_candidates", """SELECT "taskId", count(*)::VARCHAR || ' selected candidates are not in the task.' AS error FROM chosen WHERE id LIKE 'unknown%' GROUP BY 1""", CHOSEN_SQL)
@@ -192,7 +193,7 @@ def unknown_candidates(spark, d):
     return research.check_known(candidates(spark, d), chosen(spark, d))
 
 
-@register("selection_counts", """SELECT "taskId", count(*) AS candidates, count(*) FILTER (level >= 2) AS selected, count(*) FILTER (k % 3 = 0) AS with_cover FROM gated GROUP BY 1""", CHOSEN_SQL)
+@register("selection_counts", """SELECT "taskId", count(*) AS candidates, count(*) FILTER (level >= 2 OR substr("taskId", 6)::INT >= 10) AS selected, count(*) FILTER (k % 3 = 0) AS with_cover FROM gated GROUP BY 1""", CHOSEN_SQL)
 def selection_counts(spark, d):
     return research.selection_counts(candidates(spark, d), chosen(spark, d))
 
@@ -221,11 +222,14 @@ kept AS (SELECT * FROM fresh JOIN brand USING (k) WHERE no_catalog OR place = 1)
 """
 
 
-def imported(spark, d):
+def imported(spark, d, flagged: bool = False):
     k = F.col("position")
-    rows = gated(spark, d)
-    known = rows.where((k % 9 == 0) & F.col("catalogNumber").isNotNull()).select(F.lit("artist").alias("artistId"), "title", F.col("catalogNumber").alias("catalogNo"))
-    return research.import_candidates(rows, rows.where("confidence <> 'LOW'").select("taskId", "id"), known, "artist", "me")
+    rows = written(gated(spark, d), "gated")  # several results read what passed the gate
+    # the others' numbers belong to another artist
+    known = rows.select(F.when(k % 9 == 0, "artist").otherwise("other").alias("artistId"), "title", F.col("catalogNumber").alias("catalogNo"))
+    ids = lambda n: rows.where(k % 7 == n).select("taskId", "id")
+    flags = {"excluded_ids": ids(2), "pending_ids": ids(3)} if flagged else {}
+    return research.import_candidates(rows, rows.where("confidence <> 'LOW'").select("taskId", "id"), known, "artist", "me", **flags)
 
 
 @register("candidate_releases", """SELECT "taskId" || ':' || id AS id, 'Title ' || t::VARCHAR AS title, CASE WHEN NOT no_catalog THEN 'N-' || n::VARCHAR END AS number, CASE WHEN dated THEN make_date(year::INT, 3, 4) END AS day, CASE WHEN format IS NULL OR format = '8cm CD' THEN 'CD' WHEN format = 'DVD box' THEN 'CD_DVD' ELSE 'OTHER' END AS format,
@@ -240,6 +244,17 @@ def candidate_statuses(spark, d):
     return imported(spark, d)["statuses"]
 
 
+@register("flagged_statuses", """SELECT "taskId" || ':' || id AS "releaseId", CASE WHEN excluded OR k % 7 = 2 THEN 'EXCLUDED' WHEN review OR k % 7 = 3 THEN 'PENDING_REVIEW' ELSE 'NOT_OWNED' END AS status, CASE WHEN review OR k % 7 = 3 THEN 'PENDING_REVIEW' END AS notes FROM kept""", IMPORTED_SQL)
+def flagged_statuses(spark, d):
+    """Statuses where the user has marked some candidates as excluded and others as pending."""
+    return imported(spark, d, flagged=True)["statuses"].select("releaseId", "status", "notes")
+
+
+@register("flagged_counters", """SELECT count(*) AS imported, (SELECT count(*) FROM picked) - count(*) AS "skippedDuplicates", count(*) FILTER (review OR k % 7 = 3) AS "pendingReview", count(*) FILTER (excluded OR k % 7 = 2) AS excluded FROM kept""", IMPORTED_SQL)
+def flagged_counters(spark, d):
+    return imported(spark, d, flagged=True)["counters"]
+
+
 @register("candidate_sources", f"""SELECT "taskId" || ':' || id AS "releaseId", 'https://' || site || '/' || k::VARCHAR AS url, 'other' AS description FROM kept, (VALUES ('shop.example', 0), ('ja.wikipedia.org', 1)) s(site, i) WHERE NOT no_source AND (i = 1 OR NOT wiki)
 UNION ALL SELECT "taskId" || ':' || id, 'https://page.example', '{COVER_ROLE}' FROM kept WHERE k % 3 = 0""", IMPORTED_SQL)
 def candidate_sources(spark, d):
@@ -302,8 +317,8 @@ def native_names(spark, d):
     return resolve.native_name(T.load(spark, d, "part").select(F.concat(F.lit("task-"), text(F.col("p_size"))).alias("taskId"), text(k).alias("id"), album.alias("album")))
 
 
-ENRICH_SQL = T.CANDIDATES_SQL + """, albums AS (SELECT p_partkey AS "collectionId", CASE WHEN p_partkey % 5 <> 4 THEN 1 ELSE 2 END AS "artistId", p_partkey % 200 AS key FROM part WHERE p_partkey % 200 >= 60 OR p_partkey < 200),
-hits AS (SELECT b."taskId", b.id, b.k, a."collectionId", a."artistId" FROM base b JOIN albums a ON a.key = b.k % 200 WHERE b.dated),
+ENRICH_SQL = T.CANDIDATES_SQL + """, albums AS (SELECT p_partkey AS "collectionId", CASE WHEN p_partkey % 5 <> 4 THEN 1 ELSE 2 END AS "artistId", p_partkey % 200 AS key, p_partkey % 200 >= 60 OR p_partkey < 200 AS of_year FROM part),
+hits AS (SELECT b."taskId", b.id, b.k, a."collectionId", a."artistId" FROM base b JOIN albums a ON a.key = b.k % 200 AND a.of_year WHERE b.dated),
 uniq AS (SELECT "taskId", id, min("collectionId") AS "collectionId", min("artistId") AS "artistId" FROM hits GROUP BY 1, 2 HAVING count(*) = 1),
 n AS (SELECT "taskId", "artistId", count(DISTINCT "collectionId") AS n FROM uniq GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER w AS place, lead(n) OVER w AS second, sum(n) OVER (PARTITION BY "taskId") AS everything FROM n WINDOW w AS (PARTITION BY "taskId" ORDER BY n DESC, "artistId")),
@@ -315,8 +330,8 @@ own AS (SELECT h."taskId", h.id, min(h."collectionId") AS c FROM hits h JOIN win
 def enriched(spark, d):
     """Candidates and albums of one name and year; names repeat among both, so that some matches are not unique."""
     k = F.col("p_partkey")
-    name, year = F.concat(F.lit("Name "), text(k % 200)), F.lit("1999-01-01")
-    albums = T.load(spark, d, "part").where((k % 200 >= 60) | (k < 200)).select(
+    name, year = F.concat(F.lit("Name "), text(k % 200)), F.when((k % 200 >= 60) | (k < 200), "1999-01-01").otherwise("1950-01-01")
+    albums = T.load(spark, d, "part").select(
         k.alias("collectionId"), F.when(k % 5 != 4, 1).otherwise(2).cast("long").alias("artistId"), F.when(k % 5 != 4, "歌手").otherwise("Other").alias("artistName"), name.alias("collectionName"), year.alias("releaseDate"),
         F.when(k % 5 != 1, F.concat(F.lit("http://is1.mzstatic.com/"), text(k), F.lit("/100x100bb.jpg"))).otherwise("http://other.example/x.jpg").alias("artworkUrl100"), F.when(k % 7 != 0, F.concat(F.lit("http://music.apple.com/"), text(k))).alias("collectionViewUrl"),
     )
