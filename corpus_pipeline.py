@@ -26,8 +26,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the last stage returns. Once a stage's result is written, all tables written for it and before it in this run are deleted."""
-    docs, since = common.table(spark, sf_dir, "documents"), common.written()
-    for _, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir))
-        common.sweep(spark, since, keep=1)
-    return docs
+    with common.tables() as mine:
+        docs = common.table(spark, sf_dir, "documents")
+        for _, stage in STAGES:
+            docs = common.cut(stage(spark, docs, sf_dir))
+            common.sweep(spark, mine, keep=1)
+        return docs

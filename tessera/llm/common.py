@@ -1,5 +1,7 @@
 """What several corpus operators share: cutting lineage, components of a graph, Arrow helpers."""
 
+import contextlib
+import contextvars
 import gc
 import tempfile
 import uuid
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
-_written: list[str] = []
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
 
 
 _state: dict = {}
@@ -58,20 +60,26 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later stages then restart from these files, not from df's lineage."""
     path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if (run := _written.get()) is not None:
+        run.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """How many tables cut() has written in this session and sweep() has not deleted."""
-    return len(_written)
+@contextlib.contextmanager
+def tables():
+    """A list of the tables that cut() writes within; runs beside it, in other threads, have lists of their own. Tables written outside of any run stay, for whoever clears the shared folder."""
+    mine: list[str] = []
+    token = _written.set(mine)
+    try:
+        yield mine
+    finally:
+        _written.reset(token)
 
 
-def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
-    """Delete the tables that cut() has written in this session, once no result that reads them is needed any more; how many went. Those
-    before number `since` and the last `keep` ones stay."""
-    gone = _written[since : len(_written) - keep]
-    del _written[since : len(_written) - keep]
+def sweep(spark: SparkSession, run: list[str], keep: int = 0) -> int:
+    """Delete the tables of a run, but for the last `keep`, once no result that reads them is needed any more; how many went."""
+    gone = run[: len(run) - keep]
+    del run[: len(run) - keep]
     for name in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

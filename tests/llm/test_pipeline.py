@@ -69,11 +69,29 @@ def test_components(spark):
 
 
 def test_sweep(spark):
-    df = common.cut(spark.range(5).toDF("id"))
-    assert df.count() == 5 and common.sweep(spark) > 0 and common.sweep(spark) == 0
-    tables = [common.cut(spark.range(n)) for n in (1, 2, 3, 4)]
-    assert common.sweep(spark, since=1, keep=1) == 2 and common.written() == 2
-    assert (tables[0].count(), tables[3].count()) == (1, 4) and common.sweep(spark) == 2
+    """A run deletes its own tables, but for the last, and none of a run beside it, be it around it or in another thread."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with common.tables() as mine:
+        kept = [common.cut(spark.range(n)) for n in (1, 2, 3)]
+        with common.tables() as inner:
+            own = common.cut(spark.range(4))
+            assert len(inner) == 1
+
+        def beside():
+            with common.tables() as other:
+                rows = common.cut(spark.range(5))
+                return len(other), rows
+
+        with ThreadPoolExecutor(1) as pool:
+            n, rows = pool.submit(beside).result()
+        assert n == 1 and len(mine) == 3 and common.sweep(spark, mine, keep=1) == 2 and len(mine) == 1
+    assert kept[2].count() == 3 and own.count() == 4 and rows.count() == 5
+    with pytest.raises(Exception, match="(?i)path|file"):
+        kept[0].count()
+    assert common.sweep(spark, mine) == 1 and common.sweep(spark, mine) == 0
+    outside = common.cut(spark.range(6))
+    assert outside.count() == 6 and mine == []
 
 
 LANGUAGES = {
