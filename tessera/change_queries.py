@@ -412,6 +412,42 @@ def url_checks(spark, d):
     return T.load(spark, d, "part").select(k.alias("k"), U.http_or_null(url).alias("url"), U.http_error(url).alias("fault"))
 
 
+ASCII = "".join(map(chr, range(33, 127)))
+WIDE = "".join(chr(c + 0xFEE0) for c in range(33, 127))  # the same characters in full width
+
+
+@register("composed_names", """SELECT p_partkey, regexp_replace(lower(p_name || ' - ' || p_type), '[^a-z0-9+]', '', 'g') AS key, CASE WHEN length(regexp_replace(p_name, '\\s', '', 'g')) = 2 THEN upper(p_name) ELSE 'US' END AS code FROM part""")
+def composed_names(spark, d):
+    """Keys and codes of the parts' names, written in full width."""
+    wide = lambda c: F.translate(F.translate(c, ASCII, WIDE), " ", "　")
+    return T.load(spark, d, "part").select("p_partkey", X.title_key(wide(F.concat("p_name", F.lit(" - "), "p_type"))).alias("key"), X.country_code(wide(F.col("p_name"))).alias("code"))
+
+
+@register("name_forms", """SELECT p_partkey, p_name AS text, regexp_replace(p_name, ' +', ' ', 'g') AS header, left(p_name, CASE WHEN length(p_name) <= 8 THEN 2 ELSE 4 END) || '...' || right(p_name, CASE WHEN length(p_name) <= 8 THEN 2 ELSE 4 END) AS masked, left(repeat(p_name || ' ', 1 + (p_partkey % 90)::INT), 500) AS preview, length(repeat(p_name || ' ', 1 + (p_partkey % 90)::INT)) > 2000 AS longer FROM part""")
+def name_forms(spark, d):
+    """Forms of the parts' names, with white space about and between their words, and texts of them of many lengths, cut."""
+    name, k = F.col("p_name"), F.col("p_partkey")
+    spaced = F.concat(F.lit(" \t　"), F.regexp_replace(name, " ", " \n　"), F.lit("\r\n "))
+    long = F.repeat(F.concat(name, F.lit(" ")), (1 + k % 90).cast("int"))
+    return T.load(spark, d, "part").select("p_partkey", X.text_or_null(F.concat(F.lit("　\n"), name, F.lit(" "))).alias("text"), X.collapsed(spaced).alias("header"), X.masked(name).alias("masked"), X.cut(long, X.PREVIEW_LENGTH).alias("preview"), (F.length(X.cut(long, 2000)) < F.length(long)).alias("longer"))
+
+
+@register("sent_numbers", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 AND o_custkey % 9 - 1 BETWEEN 1 AND 5 THEN (o_custkey % 9 - 1)::INT END AS priority FROM orders""")
+def sent_numbers(spark, d):
+    """Priorities sent as texts: whole numbers, such with a zero behind the point, and broken ones."""
+    k, n = F.col("o_orderkey"), (F.col("o_custkey") % 9 - 1).cast("string")
+    return T.load(spark, d, "orders").select("o_orderkey", mutations.whole_priority(F.concat(n, F.when(k % 3 == 0, "").when(k % 3 == 1, ".0").otherwise(".5"))).alias("priority"))
+
+
+@register("url_lengths", """SELECT p_partkey, CASE WHEN p_size % 4 < 2 AND length(u) <= 2048 THEN u END AS url, CASE WHEN p_size % 4 >= 2 OR length(u) > 2048 THEN 'URL must use HTTP or HTTPS and be at most 2048 characters.' END AS fault
+FROM (SELECT p_partkey, p_size, CASE p_size % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'https' WHEN 2 THEN 'ftp' ELSE 'file' END || '://h' || p_partkey::VARCHAR || '.example/' || repeat('x', (2000 + p_partkey % 60)::INT) AS u FROM part)""")
+def url_lengths(spark, d):
+    """Addresses about the greatest length, of several schemes."""
+    n, k = F.col("p_size") % 4, F.col("p_partkey")
+    u = F.concat(F.when(n == 0, "http").when(n == 1, "https").when(n == 2, "ftp").otherwise("file"), F.lit("://h"), k.cast("string"), F.lit(".example/"), F.repeat(F.lit("x"), (2000 + k % 60).cast("int")))
+    return T.load(spark, d, "part").select("p_partkey", U.http_or_null(u).alias("url"), U.http_error(u).alias("fault"))
+
+
 @register("artist_aliases", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || '|' || p_brand WHEN 2 THEN p_brand ELSE p_name || '|' || p_brand || '|' || p_type END AS names FROM part""")
 def artist_aliases(spark, d):
     k, name, brand = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
