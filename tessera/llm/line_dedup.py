@@ -38,7 +38,8 @@ LINE_WORDS = 5  #: words of a line that is compared alone
 MIN_WORDS = 10  #: words of an aligned block that is deleted
 COMMON_DOCS = 3  #: documents that hold a line of LINE_WORDS words or more, from which a shorter block goes with it
 
-SLICE_LINES = 20_000  #: lines of an owner's pairs that one task is meant to align at least
+BLANK = " \t\n\x0b\f\r"  #: what is trimmed from lines
+SLICE_LINES = 2000  #: lines of an owner's pairs that one task is meant to align at least
 DROPPED = "__dropped"  #: the struct (lines, words, of) that tells what a document has lost
 
 MATCHES = "doc long, text_hash long, lines array<int>"
@@ -53,7 +54,7 @@ def words_in(line: Column) -> Column:
 def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(doc, text_hash, pos, words, h1, h2): h1 and h2 are 128 bits of the trimmed line's hash."""
     body = F.coalesce(F.col(text), F.lit(""))
-    trimmed = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    trimmed = F.transform(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(BLANK)))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(body).alias("text_hash"), trimmed.alias("all"))
     rows = rows.select("doc", "text_hash", F.posexplode(F.transform("all", lambda x, i: F.struct(x.alias("line"), F.when(i > 0, F.get("all", i - 1)).alias("before")))).alias("pos", "x"))
     rows = rows.select("doc", "text_hash", "pos", F.col("x.line").alias("line"), F.col("x.before").alias("before"), F.when(F.col("x.line") == "", 0).otherwise(words_in(F.col("x.line"))).alias("words"))
