@@ -44,7 +44,7 @@ def test_run_repeats_itself(spark, sf):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_components(spark):
