@@ -11,6 +11,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows over spark.sql.shuffle.partitions tasks. Millions of rows of a few bytes are one split of a file, so costly work on each would be one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as releases, with the user's status."""
     k = F.col("o_orderkey")

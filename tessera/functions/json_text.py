@@ -3,7 +3,7 @@
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -47,6 +47,12 @@ def object_error(text: Column, found: Column) -> Column:
     return F.when(found.isNull(), F.when(F.coalesce(text, F.lit("")).contains("{"), "Unclosed JSON object in model output.").otherwise("No JSON object found in model output."))
 
 
+def once(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """rows with the columns `keep` and these. They come from a generator of one row, which no filter is moved across: what a filter above asks of a
+    column is computed where the column is, not a second time below with all that it is made of (texts parsed, paths looked up)."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def text_of(v: Column, path: str) -> Column:
     """A field that is a JSON string, else null."""
     raw = F.try_variant_get(v, path, "variant")

@@ -16,16 +16,15 @@ EDITED = ("title", "category", "artistCredit", "originalReleaseDate", "format",
 
 def parse_documents(texts: DataFrame, gated: bool = True) -> tuple[DataFrame, DataFrame]:
     """(candidates, errors) of (taskId, text). A document whose required fields are unusable fails as a whole."""
-    found = texts.withColumn("json", J.first_object(F.col("text")))
-    doc = F.try_parse_json("json")
-    rows = found.withColumn("doc", doc).withColumn("items", F.transform(J.items_of(F.col("doc"), "$.releases"), J.candidate))
     d = F.col("doc")
-    scope = J.text_of(d, "$.collectionScope.target")
-    bad = is_blank(J.text_of(d, "$.artist.name")) | is_blank(J.text_of(d, "$.artist.country")) | ~F.coalesce(scope.isin(*J.TARGETS), F.lit(False)) | J.flag_of(d, "$.collectionScope.excludeReissues").isNull() | J.flag_of(d, "$.collectionScope.includeCollaborations").isNull() | F.col("items").isNull() | F.exists("items", lambda x: x["title"].isNull() | x["artistCredit"].isNull())
+    rows = texts.withColumn("json", J.first_object(F.col("text"))).withColumn("doc", F.try_parse_json("json")).withColumn("items", J.items_of(d, "$.releases"))
+    scope, flag = J.text_of(d, "$.collectionScope.target"), lambda n: J.flag_of(d, f"$.collectionScope.{n}")
+    untitled = F.exists("items", lambda x: is_blank(J.text_of(x, "$.title")) | is_blank(J.text_of(x, "$.artistCredit")))
+    bad = is_blank(J.text_of(d, "$.artist.name")) | is_blank(J.text_of(d, "$.artist.country")) | ~F.coalesce(scope.isin(*J.TARGETS), F.lit(False)) | flag("excludeReissues").isNull() | flag("includeCollaborations").isNull() | F.col("items").isNull() | untitled
     error = F.coalesce(J.object_error(F.col("text"), F.col("json")), F.when(d.isNull(), "Invalid JSON."), F.when(F.coalesce(bad, F.lit(True)), "Document does not match the schema."))
-    rows = rows.withColumn("error", error)
-    good = rows.where("error is null").select("taskId", J.text_of(d, "$.artist.name").alias("artistName"), scope.alias("target"), J.flag_of(d, "$.collectionScope.excludeReissues").alias("excludeReissues"), F.posexplode("items").alias("position", "c"))
-    good = good.select("taskId", "artistName", "target", "excludeReissues", F.concat(F.lit("candidate-"), F.col("position") + 1).alias("id"), "position", "c.*")
+    rows = J.once(rows, ["taskId"], error=error, artistName=J.text_of(d, "$.artist.name"), target=scope, excludeReissues=flag("excludeReissues"), items=F.col("items"))
+    good = rows.where("error is null").select("taskId", "artistName", "target", "excludeReissues", F.posexplode("items").alias("position", "v"))
+    good = good.withColumn("c", J.candidate(F.col("v"))).select("taskId", "artistName", "target", "excludeReissues", F.concat(F.lit("candidate-"), F.col("position") + 1).alias("id"), "position", "c.*")
     return gate(good, F.col("target"), F.col("excludeReissues")) if gated else good, rows.where("error is not null").select("taskId", "error")
 
 

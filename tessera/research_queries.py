@@ -37,7 +37,7 @@ def documents(spark, d) -> DataFrame:
     second = F.concat(F.lit(', {"artistCredit": "B", "title": '), F.when(k % 7 == 5, F.lit("[1]")).otherwise('"Second"'), F.lit("}]}"))
     good = F.concat(F.lit("Here {so}: ```json\n"), head, one, second, F.lit("\n``` and {more}"))
     answer = F.when(k % 7 == 0, "nothing here").when(k % 7 == 1, '{"a": "}" ').when(k % 7 == 2, "{not: json}").otherwise(good)
-    return T.load(spark, d, "part").select(F.concat(F.lit("task-"), text(k)).alias("taskId"), answer.alias("text"), k.alias("k"))
+    return T.dealt(T.load(spark, d, "part").select("p_partkey", "p_name", "p_brand")).select(F.concat(F.lit("task-"), text(k)).alias("taskId"), answer.alias("text"), k.alias("k"))
 
 
 @register("parsed_documents", f"""SELECT 'task-' || p_partkey::VARCHAR AS "taskId", 'candidate-1' AS id, p_name AS title, {pick_sql(TAKEN_CATEGORIES, "p_partkey")} AS category, CASE WHEN p_partkey % 3 <> 0 THEN 'CD' END AS format, CASE WHEN p_partkey % 2 = 0 THEN true END AS reissue,
