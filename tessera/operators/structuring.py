@@ -27,6 +27,7 @@ def structure(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("items", F.coalesce(J.items_of(d, "$.releases"), F.expr("cast(array() as array<variant>)")))
     untitled = F.exists("items", lambda x: is_blank(J.text_of(x, "$.title")) | F.coalesce(J.text_of(x, "$.artistCredit") == "", F.lit(False)))
     rows = rows.withColumn("error", F.coalesce(J.object_error(F.col("text"), F.col("json")), F.when(d.isNull(), "Invalid JSON."), F.when(untitled, "Document does not match the schema.")))
+    rows = J.once(rows, ["taskId"], **{n: F.col(n) for n in ("error", "sourceText", "target", "excludeReissues", "explicit", "covers", "artistName", "items")})
     each = rows.where("error is null").select("taskId", "sourceText", "target", "excludeReissues", "explicit", "covers", "artistName", F.posexplode("items").alias("position", "v"))
     raw = F.struct(*[J.text_of(v, f"$.{n}").alias(n) for n in P.ROW_FIELDS])
     each = each.withColumn("raw", raw).withColumn("c", J.candidate(v)).withColumn("credit", J.text_of(v, "$.artistCredit"))

@@ -82,7 +82,7 @@ def structured(spark, d):
     flag = F.when(k % 3 == 0, F.lit("true")).when(k % 5 == 0, F.lit("false")).otherwise('"?"')
     urls = F.when(k % 8 == 0, F.lit('[{"url": "https://s.example/2"}, {"url": "https://made.up/"}]')).otherwise('[{"url": "https://made.up/"}]')
     parts = [F.lit('{"releases": [{"title": "Alpha", "category": '), q(pick(["best", "EP", ""], F.floor(k / 4))), F.lit(', "isReissue": '), flag, F.lit(', "notes": '), F.when(k % 2 == 0, F.lit('"a Reissue"')).otherwise("null"), F.when(k % 6 == 0, F.lit(', "artistCredit": "Own"')).otherwise(""), F.lit(', "coverImageUrl": "https://c.example/x.jpg", "sources": '), urls, F.lit("}]}")]
-    request = T.load(spark, d, "part").select(
+    request = T.dealt(T.load(spark, d, "part").select("p_partkey")).select(
         F.concat(F.lit("task-"), text(k)).alias("taskId"), F.concat(*parts).alias("text"), pick(SOURCE_TEXTS, k).alias("sourceText"), F.lit("Asked").alias("artistName"), F.lit("JP").alias("country"), F.lit("ALL_CD").alias("target"), F.lit(False).alias("excludeReissues"),
         F.when(k % 10 == 0, "https://given.example").alias("sourceUrl"), F.when(k % 3 == 1, "https://c.example/x.jpg").alias("defaultCoverSourceUrl"),
     )

@@ -9,7 +9,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["parsed_documents", "document_errors"])
+@pytest.mark.parametrize("name", ["parsed_documents", "document_errors", "structured_documents"])
 def test_documents_dealt(spark, sf, name):
     """Texts made of a table of one split are parsed by several tasks, and each by one parse: no filter repeats it."""
     df = QUERIES[name](spark, sf)
