@@ -10,6 +10,7 @@ from ..sources.folders import written
 
 MOST_SAFE = (1 << 53) - 1
 MOST_ALBUMS = 200
+UNIT = 1_000_000  #: matches of one key that a task makes at once
 
 
 def valid_albums(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -46,9 +47,25 @@ def album_keys(albums: DataFrame, compose: bool = True) -> DataFrame:
 
 def title_year_matches(candidates: DataFrame, albums: DataFrame, compose: bool = True) -> DataFrame:
     """(taskId, id, album): candidates and albums of one title key and year, once for each album. Keys are exploded, so the join is an
-    equi-join. Its result is all matches, as many as there are; sole_matches() needs none of them."""
-    both = candidate_keys(candidates, compose).join(album_keys(albums, compose).drop("artistId", "collectionId"), ["key", "year"])
-    return both.groupBy("taskId", "id", F.col("album.collectionId").alias("collectionId")).agg(F.min("album").alias("album")).drop("collectionId")
+    equi-join. Its result is all matches, as many as there are; sole_matches() needs none of them.
+
+    Matches are rows of the join as they come out, with no shuffle of their own: only a candidate of several keys and an album of several can meet twice, and these
+    alone are grouped. A key's candidates are dealt to slices of some UNIT matches each, and the join's tasks are as many as spark.sql.shuffle.partitions says:
+    they are few bytes that give many rows, which would otherwise be read as a task or two."""
+    keys = written(candidate_keys(candidates, compose).distinct(), "keys")
+    held = written(album_keys(albums, compose).groupBy("key", "year", "collectionId").agg(F.min("album").alias("album")), "albums")
+    many = lambda *by: F.count("*").over(Window.partitionBy(*by)) > 1
+    keys, held = keys.withColumn("asks", many("taskId", "id")), held.withColumn("repeats", many("collectionId"))
+    again = keys.where("asks").join(held.where("repeats"), ["key", "year"]).groupBy("taskId", "id", "collectionId").agg(F.min("album").alias("album"))
+    # slices of a key: as many as its matches make units, a candidate each at most
+    counts = keys.groupBy("key", "year").agg(F.count("*").alias("n")).join(held.groupBy("key", "year").agg(F.count("*").alias("m")), ["key", "year"])
+    cut = counts.select("key", "year", F.least("n", F.ceil(F.col("n") * F.col("m") / F.lit(UNIT))).alias("slices")).where("slices > 1")
+    slices = F.coalesce("slices", F.lit(1))
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = keys.join(cut, ["key", "year"], "left").withColumn("slice", F.pmod(F.xxhash64("taskId", "id"), slices)).drop("slices").repartition(parts, "key", "year", "slice")
+    found = held.join(cut, ["key", "year"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("slices").repartition(parts, "key", "year", "slice")
+    once = asked.join(found, ["key", "year", "slice"]).where("not (asks and repeats)").select("taskId", "id", "album")
+    return once.unionByName(again.select("taskId", "id", "album"))
 
 
 def unique_matches(matches: DataFrame) -> DataFrame:
