@@ -134,17 +134,25 @@ class Leases(StatefulProcessor):
         self.tasks = handle.getMapState("tasks", "taskId string", "at long, seq long, active boolean")
         self.told = handle.getValueState("told", "leased boolean")
 
-    def _now(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        """Forget what the watermark has passed, set the next timer, and tell what has changed."""
-        lease, ends = LEASE_SECONDS * 1_000_000, []
-        for k, (at, _, active) in list(self.tasks.iterator()) if self.tasks.exists() else []:
+    def _held(self) -> dict:
+        return {k[0]: tuple(v) for k, v in self.tasks.iterator()} if self.tasks.exists() else {}
+
+    def _now(self, key, watermark: int, held: dict, new: dict) -> Iterator[pd.DataFrame]:
+        """Keep what is new, forget what the watermark has passed, set the next timer, and tell what has changed. The state is read once, and a task is written once
+        however many events it has: each call to the state goes to another process."""
+        lease, left, ends = LEASE_SECONDS * 1_000_000, [], []
+        for task, (at, seq, active) in (held | new).items():
             if at + lease < watermark:
-                self.tasks.removeKey(k)
-            elif active:
+                if task in held:
+                    self.tasks.removeKey((task,))
+                continue
+            if task in new:
+                self.tasks.updateValue((task,), (at, seq, active))
+            left.append(at)
+            if active:
                 ends.append(at + lease)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        left = [at for _, (at, _, _) in self.tasks.iterator()] if self.tasks.exists() else []
         if left:
             self.handle.registerTimer((min(ends) if ends else max(left) + lease) // 1000 + 1)
         before = self.told.exists() and self.told.get()[0]
@@ -156,15 +164,16 @@ class Leases(StatefulProcessor):
             self.told.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, new = self._held(), {}
         for part in rows:
             for at, seq, task, status in zip(micros(part["at"]), part["seq"].tolist(), part["taskId"].tolist(), part["status"].tolist(), strict=True):
-                old = self.tasks.getValue((task,)) if self.tasks.exists() and self.tasks.containsKey((task,)) else None
+                old = new.get(task) or held.get(task)
                 if old is None or (at, seq) > (old[0], old[1]):
-                    self.tasks.updateValue((task,), (at, seq, status in ACTIVE))
-        yield from self._now(key, timerValues.getCurrentWatermarkInMs() * 1000)
+                    new[task] = (at, seq, status in ACTIVE)
+        yield from self._now(key, timerValues.getCurrentWatermarkInMs() * 1000, held, new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._now(key, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._now(key, timerValues.getCurrentWatermarkInMs() * 1000, self._held(), {})
 
 
 def leases(updates: DataFrame, late: str = "1 minute") -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,58 @@ def test_admission_stream(spark, feed):
     for user in ("u", "v"):
         assert [(r.taskId, r.reason) for r in sorted(got, key=lambda r: r["at"]) if r.userId == user] == admitted(events)
     assert {r.reason for r in got} == {None, "LEASED", "LIMITED"} and all(r.admitted == (r.reason is None) for r in got)
+
+
+def test_lease_state_is_called_once_per_task():
+    """A user's many events of few tasks: the state is read once, and written once for each task."""
+
+    class Store:
+        def __init__(self):
+            self.rows, self.reads, self.writes = {}, 0, 0
+
+        exists = lambda self: bool(self.rows)
+        containsKey = lambda self, k: k in self.rows  # noqa: E731, N815
+
+        def getValue(self, k):  # noqa: N802
+            self.reads += 1
+            return self.rows[k]
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.writes += 1
+            self.rows[k] = v
+
+        def removeKey(self, k):  # noqa: N802
+            del self.rows[k]
+
+        def iterator(self):
+            self.reads += 1
+            return iter(list(self.rows.items()))
+
+        def get(self):
+            return self.rows["v"]
+
+        def update(self, v):
+            self.rows["v"] = v
+
+        def clear(self):
+            self.rows.clear()
+
+    class Handle:
+        getMapState = getValueState = lambda self, *a: Store()  # noqa: E731, N815
+        listTimers = lambda self: []  # noqa: E731, N815
+        deleteTimer = registerTimer = lambda self, at: None  # noqa: E731, N815
+
+    class Clock:
+        getCurrentWatermarkInMs = lambda self: self.ms  # noqa: E731, N815
+        ms = 0
+
+    lease, clock = stateful.Leases(), Clock()
+    lease.init(Handle())
+    n = 1000
+    part = pd.DataFrame({"at": pd.to_datetime([i // 3 for i in range(n)], unit="s"), "seq": range(n), "taskId": [str(i % 7) for i in range(n)], "status": ["RUNNING" if i < n - 7 else "SUCCEEDED" if i % 7 else "RUNNING" for i in range(n)]})
+    out = [x for rows in (part[::2], part[1::2]) for x in lease.handleInputRows((1,), iter([rows]), clock)]
+    assert [x["leased"].tolist() for x in out] == [[True]] and lease.tasks.writes <= 14 and lease.tasks.reads <= 2
+    assert {k[0]: v for k, v in lease.tasks.rows.items()} == {str(i % 7): (i // 3 * 1_000_000, i, i % 7 == 0) for i in range(n - 7, n)}
+    clock.ms = 10_000_000
+    out = list(lease.handleExpiredTimer((1,), clock, None))
+    assert [x["leased"].tolist() for x in out] == [[False]] and not lease.tasks.rows
