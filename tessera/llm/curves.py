@@ -29,6 +29,7 @@ from . import common
 CURVES, DIMS, BITS = 24, 8, 7
 WINDOW, LEAST_WINDOW = 0.02, 64
 BLOCK = 4096
+BLOCKS = 256  #: most blocks of a curve: larger tables have larger blocks, so that a query of all blocks is copied so often at most
 GROUP = 16  #: queries compared at once
 SAMPLE = 4096
 SEED = 11
@@ -81,8 +82,9 @@ def x_type(vectors: DataFrame, vector: str) -> T.DataType:
     return vectors.schema[vector].dataType.elementType
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", window: float = WINDOW) -> DataFrame:
-    """query_id, rank (from 1), id, score (Euclidean distance in doubles): the k nearest found of each row for which is_query(id column) holds."""
+def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", window: float = WINDOW, curves: int = CURVES) -> DataFrame:
+    """query_id, rank (from 1), id, score (Euclidean distance in doubles): the k nearest found of each row for which is_query(id column) holds. One curve with a window
+    of 1.0 compares each query with every vector, block by block: an exact search."""
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vector)
     kind = np.float32 if isinstance(x_type(vectors, vector), T.FloatType) else np.float64
@@ -95,7 +97,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     dim = len(sample[0]) if sample else 1
     width = max(LEAST_WINDOW, int(np.ceil(window * total))) if window <= 1 else int(window)
     grids = []
-    for c in range(CURVES):
+    for c in range(curves):
         to, shift = directions(dim, c)
         seen = np.array(sample, np.float64).reshape(-1, dim) @ to
         grids.append((to, seen.mean(0) if sample else 0.0, np.maximum(seen.std(0), 1e-12) if sample else 1.0, shift))
@@ -116,7 +118,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     parts = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     placed = dealt.join(parts, ["curve", "part"]).select("rep", "curve", (F.col("base") + F.col("at") - F.col("first")).alias("pos"))
     placed = placed.join(reps.select("rep", "low", "v", "asks"), "rep")
-    block = lambda p: F.floor(p / BLOCK)
+    block = lambda p: F.floor(p / max(BLOCK, -(-total // BLOCKS)))
     data = placed.select("curve", block(F.col("pos")).alias("block"), F.lit(0).alias("asks"), "pos", "rep", "low", "v")
     asked = placed.where("asks = 1").withColumn("block", F.explode(F.sequence(block(F.greatest(F.lit(0), F.col("pos") - width)), block(F.least(F.lit(max(total - 1, 0)), F.col("pos") + width)))))
     units = data.unionByName(asked.select("curve", "block", F.lit(1).alias("asks"), "pos", "rep", "low", "v"))
