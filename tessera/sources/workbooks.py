@@ -5,26 +5,32 @@ not, beginning, end, part): files and sheets that they rule out are never read,
 file's list of sheets. Planning reads only these lists, LISTERS files at a time. A sheet that cannot be read is one row with an error; so is
 a file without a readable list of sheets, whose sheetName is null.
 
-Writing makes workbooks of at most `maxRows` rows (option), each with one sheet (option `sheet`), the columns' names as header. Tasks write to
+Writing makes workbooks of at most `maxRows` rows (option) and about MOST_TEXT bytes of XML, each with one sheet (option `sheet`), the columns' names as header. Tasks write to
 a folder of their own beside the target; files move into the target when all tasks have succeeded, and go if any has failed for good.
 
 Folders are URIs or paths that pyarrow's file systems open (local, hdfs, s3, gs); where only Spark's readers reach the files, xlsx.scan() reads them.
 """
 
+import itertools
 import posixpath
 import uuid
 from collections import deque
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
 from . import xlsx
 
 SCHEMA = f"fileName string, sheetName string, rowNumber int, cells {xlsx.CELLS}, error string"
 LISTERS = 16
+BATCH = 2000  #: rows of a batch that is read
+SLICE = 200  #: rows that are made into XML at once
+MOST_TEXT = 6 << 20  #: bytes of XML of a written workbook, but for a slice: it is read without a second parse (xlsx.HELD) and stays under xlsx.MOST_BYTES
 STAGING = "_staging-"
 TESTS = {
     EqualTo: lambda x, v: x is not None and x == v,
@@ -77,6 +83,18 @@ class Sheet(InputPartition):
     error: str | None = None
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch, column by column."""
+    names, sheets, numbers, cells, errors = zip(*rows, strict=True)
+    flat = [c for of in cells if of for c in of]
+    headers, texts, serials = zip(*flat, strict=True) if flat else ((), (), ())
+    items = pa.StructArray.from_arrays([pa.array(headers, pa.string()), pa.array(texts, pa.string()), pa.array(serials, pa.float64())], names=["header", "text", "serial"])
+    ends = [0, *itertools.accumulate(len(of or ()) for of in cells)]
+    lists = pa.ListArray.from_arrays(pa.array([None if of is None else at for of, at in zip(cells, ends, strict=False)] + ends[-1:], pa.int32()), items)
+    columns = [pa.array(names, pa.string()), pa.array(sheets, pa.string()), pa.array(numbers, pa.int32()), lists, pa.array(errors, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["fileName", "sheetName", "rowNumber", "cells", "error"])
+
+
 class Reader(DataSourceReader):
     def __init__(self, folder: str):
         self.folder, self.tests = folder, []
@@ -119,7 +137,7 @@ class Reader(DataSourceReader):
             return
         name = posixpath.basename(partition.path)
         if partition.error:
-            yield name, None, None, None, partition.error
+            yield _batch([(name, None, None, None, partition.error)])
             return
         files, _ = opened(self.folder)
 
@@ -132,8 +150,9 @@ class Reader(DataSourceReader):
             deque(book.rows([partition.sheet]), maxlen=0)
             return book.rows([partition.sheet])
 
-        for file, sheet, n, cells, error in xlsx.told(name, partition.path, rows):
-            yield file, sheet or partition.sheet, n, cells and [(c["header"], c["text"], c["serial"]) for c in cells], error
+        found = ((file, sheet or partition.sheet, n, cells, error) for file, sheet, n, cells, error in xlsx.told(name, partition.path, rows, cell=None))
+        while part := list(itertools.islice(found, BATCH)):
+            yield _batch(part)
 
 
 @dataclass
@@ -152,22 +171,29 @@ class Writer(DataSourceWriter):
         files, target = opened(self.folder)
         return files, f"{target}/{STAGING}{self.job}"
 
+    def _parts(self, iterator, room):
+        """(rows, their XML) of `room()` rows at most."""
+        for row in iterator:
+            yield 1, xlsx.row_of(row)
+
     def write(self, iterator) -> Written:
         files, staging = self._staging()
         files.create_dir(staging, recursive=True)
-        paths, held = [], []
+        paths, held, n, size = [], [], 0, 0
 
         def put():
             path = f"{staging}/{uuid.uuid4().hex}.xlsx"
             with files.open_output_stream(path) as out:
-                out.write(xlsx.workbook({self.sheet: (self.header, held)}))
+                out.write(xlsx.packed({self.sheet: xlsx.row_of(self.header) + "".join(held)}))
             paths.append(path)
             held.clear()
 
-        for row in iterator:
-            held.append(["" if v is None else v for v in row])
-            if len(held) >= self.most:
+        for rows, xml in self._parts(iterator, lambda: self.most - n):
+            held.append(xml)
+            n, size = n + rows, size + len(xml.encode())
+            if n >= self.most or size >= MOST_TEXT:
                 put()
+                n, size = 0, 0
         if held:
             put()
         return Written(paths)
@@ -190,6 +216,18 @@ class Writer(DataSourceWriter):
             files.delete_dir(staging)
 
 
+class ColumnWriter(Writer, DataSourceArrowWriter):
+    """Writer of texts and whole numbers, column by column."""
+
+    def _parts(self, iterator, room):
+        for batch in iterator:
+            at = 0
+            while at < len(batch):
+                part = batch.slice(at, min(SLICE, room()))
+                yield len(part), xlsx.rows_of(part)
+                at += len(part)
+
+
 class Workbooks(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -202,5 +240,6 @@ class Workbooks(DataSource):
         return Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], self.options.get("sheet", "Sheet1"), int(self.options.get("maxRows", 100_000)), list(schema.names), overwrite)
+        plain = all(isinstance(f.dataType, StringType | ByteType | ShortType | IntegerType | LongType) for f in schema.fields)
+        return (ColumnWriter if plain else Writer)(self.options["path"], self.options.get("sheet", "Sheet1"), int(self.options.get("maxRows", 100_000)), list(schema.names), overwrite)
 

@@ -58,7 +58,8 @@ def export_workbooks(spark, d):
     export.save(rows_of(spark, d), folder)
     names = ("status", "priority", "category", "title", "release_date", "format", "catalog_no", "label", "price", "edition", "reissue", "remaster", "excluded", "cover", "cover_source", "urls", "notes", "own_notes")
     rows = workbooks.load(spark, folder).where(F.col("sheetName") == export.SHEET)
-    return rows.select(*[by_header(F.col("cells"))[t].alias(n) for t, n in zip(export.TITLES, names, strict=True)])
+    rows = rows.select(by_header(F.col("cells")).alias("texts"))  # one map for all columns
+    return rows.select(*[F.col("texts")[t].alias(n) for t, n in zip(export.TITLES, names, strict=True)])
 
 
 @register("day_numbers", """

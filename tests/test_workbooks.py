@@ -139,3 +139,27 @@ def test_aborted_sink_leaves_nothing(source, tmp_path):
         with pytest.raises(Exception, match="no"):
             bad.write.format("workbook").mode(mode).option("maxRows", 5).save(folder)
         assert sorted(os.listdir(folder)) == before
+
+
+def test_own_sheets_read_alike(monkeypatch):
+    """Sheets as they are written are read as the XML parser reads them, and what is written otherwise is left to it."""
+    texts = ["a&<b>\n", "&amp;", "", " x ", "é\U0001f600", "\t]]>", 'q"\'', "x\x01y", 1, -2.5, float("inf"), True, None, "3"]
+    data = xlsx.workbook({"S": ([f"h{i}" for i in range(len(texts))], [texts, [""] * len(texts), texts[::-1], [5]])})
+    fast = list(xlsx.Book(data).rows())
+    part = xlsx.Book(data).zip.read("xl/worksheets/sheet1.xml")
+    assert xlsx._plain(part) is not None
+    monkeypatch.setattr(xlsx, "_plain", lambda data: None)
+    assert fast == list(xlsx.Book(data).rows()) and len(fast) == 3
+    monkeypatch.undo()
+    for old, new in ((b"&lt;", b"&#60;"), (b"&lt;", b"\r"), (b"<row>", b"<row >"), (b"<c><v>", b'<c s="1"><v>'), (b"</row>", b"</row><!-- -->"), (b"\xc3\xa9", b"\xff"), (b"&lt;", b"&"), (b"3</t>", b"3</t><t>4</t>"), (b"</is>", b"</is></is>"), (b"&gt;", b">")):
+        assert old in part and xlsx._plain(part.replace(old, new, 1)) is None
+
+
+def test_workbooks_are_parsed_once(source, tmp_path, monkeypatch):
+    """Written workbooks stay within what is held, so that large ones are not read twice, nor beyond what is taken."""
+    monkeypatch.setattr(workbooks, "MOST_TEXT", 2 << 20)
+    source.range(30_000).selectExpr("id", "repeat(sha2(cast(id as string), 256), 6) as t").coalesce(1).write.format("workbook").mode("append").save(f"{tmp_path}/w")
+    sizes = [xlsx.Book(p.read_bytes()).unpacked for p in (tmp_path / "w").glob("*.xlsx")]
+    assert max(sizes) <= xlsx.HELD
+    rows = workbooks.load(source, f"{tmp_path}/w")
+    assert rows.where("error is not null").count() == 0 and rows.selectExpr("cells[0].text as id").distinct().count() == 30_000
