@@ -24,7 +24,9 @@ BLOCK = 4096  #: samples of a frame
 RATE = 8000
 ORDER = 4  #: of the linear predictor
 PRECISION = 8  #: bits of its quantised coefficients
-GROUP = 2_000_000  #: samples coded together
+GROUP = 4_000_000  #: samples read together, whose frames are followed in step
+PART = 500_000  #: samples written together, so that arrays of them stay in the processor's cache
+ROWS = 64  #: codes of each frame that are unpacked together, for the same reason
 
 
 def _crc_table(poly: int, bits: int, n: int) -> np.ndarray:
@@ -82,26 +84,23 @@ def ramp(sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def put(bits: np.ndarray, at: np.ndarray, values: np.ndarray, widths: np.ndarray | int) -> None:
-    """Write each value, most significant bit first, into the width bits from its place."""
-    widths = np.broadcast_to(widths, at.shape)
-    last = at + widths - 1
-    least = int(widths.min(initial=0))
-    for b in range(int(widths.max(initial=0))):
-        if b < least:
-            bits[last - b] = values >> b & 1
-        else:
-            on = widths > b
-            bits[last[on] - b] = values[on] >> b & 1
+def packed(n: int, last: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """n bytes with each value, of 16 bits at most, in the bits up to its last one. No two share a bit, so those that end in one byte are joined by their sum."""
+    held = np.bincount(last >> 3, values << 7 - (last & 7), n).astype(np.int32)
+    out = held & 255
+    out[:-1] |= held[1:] >> 8 & 255
+    out[:-2] |= held[2:] >> 16
+    return out.astype(np.uint8)
 
 
-def predictors(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Quantised coefficients [frame, ORDER] of linear prediction, and each frame's shift (0: none fits)."""
-    y = x.astype(np.float64)
-    place = ramp(sizes)
+def predictors(before: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients [frame, ORDER] of linear prediction, and each frame's shift (0: none fits). before: ORDER zeros and all samples."""
     auto = np.empty((ORDER + 1, len(sizes)))
     for lag in range(ORDER + 1):
-        auto[lag] = np.add.reduceat(np.where(place >= lag, y * np.roll(y, lag), 0.0), starts)
+        products = before[ORDER:] * before[ORDER - lag : len(before) - lag]
+        for j in range(lag):
+            products[starts[sizes > j] + j] = 0
+        auto[lag] = np.add.reduceat(products, starts, dtype=np.int32)  # 4,096 products of 14 bits
     a, err = np.zeros((ORDER + 1, len(sizes))), auto[0] + 1e-9
     for m in range(1, ORDER + 1):
         k = (auto[m] - sum(a[i] * auto[m - i] for i in range(1, m))) / err
@@ -117,27 +116,34 @@ def predictors(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
 def frames_of(x: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     """Each frame's bytes. x: the samples of all frames; sizes: samples of each; numbers: of each in its stream."""
     n, starts = len(sizes), np.cumsum(sizes) - sizes
-    place, frame = ramp(sizes), np.repeat(np.arange(n, dtype=np.int32), sizes)
-    wide = x.astype(np.int32)
-    d1 = wide - np.roll(wide, 1)
-    coefs, shift = predictors(wide, starts, sizes)
-    guess = sum(coefs[:, j].astype(np.int32)[frame] * np.roll(wide, j + 1) for j in range(ORDER)) >> shift.astype(np.int32)[frame]
-    residuals = [wide, d1, d1 - np.roll(d1, 1), wide - guess]
+    before = np.concatenate([np.zeros(ORDER, np.int32), x])
+    wide, one, two = (before[ORDER - j : len(before) - j] for j in range(3))
+    coefs, shift = predictors(before, starts, sizes)
+    guess = sum(np.repeat(coefs[:, j].astype(np.int32), sizes) * before[ORDER - 1 - j : len(before) - 1 - j] for j in range(ORDER)) >> np.repeat(shift.astype(np.int32), sizes)
+    residuals = [wide.copy(), wide - one, wide - 2 * one + two, wide - guess]
     orders = np.array([0, 1, 2, ORDER])
     # what each predictor would take, by its mean residual; the linear one also stores coefficients
-    cost = np.array([np.add.reduceat(np.where(place >= o, np.abs(r), 0), starts) for o, r in zip(orders, residuals, strict=True)]).astype(np.float64)
+    for o, r in zip(orders, residuals, strict=True):
+        for j in range(o):
+            r[starts[sizes > j] + j] = 0
+    cost = np.array([np.add.reduceat(np.abs(r), starts, dtype=np.int32) for r in residuals]).astype(np.float64)
     cost = np.log2(cost / np.maximum(sizes - orders[:, None], 1) + 1) * sizes + 8 * orders[:, None] + np.array([0, 0, 0, 9 + PRECISION * ORDER])[:, None]
     cost[3, (shift == 0) | (sizes <= 2 * ORDER)] = np.inf
     kind = cost.argmin(0)
     order = orders[kind]
     still = np.maximum.reduceat(x, starts) == np.minimum.reduceat(x, starts)
-    r = np.choose(kind[frame], residuals)
-    coded = (place >= order[frame]) & ~still[frame]
-    u = np.where(r >= 0, 2 * r, -2 * r - 1)
-    mean = np.add.reduceat(np.where(coded, u, 0), starts) / np.maximum(sizes - order, 1)
-    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))), 0, 14).astype(np.int64)
-    k_of = k.astype(np.int32)[frame]
-    width = np.where(coded, (u >> k_of) + 1 + k_of, 0)
+    r = residuals[3]
+    for i in np.unique(kind[kind < 3]):
+        np.copyto(r, residuals[i], where=np.repeat(kind == i, sizes))
+    if still.any():
+        r[np.repeat(still, sizes)] = 0
+    u = r << 1 ^ r >> 31
+    mean = np.add.reduceat(u, starts, dtype=np.int32) / np.maximum(sizes - order, 1)
+    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))), 0, 14).astype(np.int32)
+    k_of = np.repeat(k, sizes)
+    width = (u >> k_of) + k_of + 1
+    bare = np.concatenate([np.flatnonzero(np.repeat(still, sizes)) if still.any() else starts[:0], *[starts[(order > j) & (sizes > j)] + j for j in range(ORDER)]])  # samples without a code
+    width[bare] = 0
     head = [b"\xff\xf8\x70\x02" + utf8_number(int(i)) + int(s - 1).to_bytes(2, "big") for i, s in zip(numbers, sizes, strict=True)]
     head_bytes = np.array([len(h) + 1 for h in head])
     linear = kind == 3
@@ -145,26 +151,23 @@ def frames_of(x: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> list[byt
     body = np.add.reduceat(width, starts)
     total = head_bytes + -(-(8 + extra + body) // 8) + 2
     at = np.cumsum(total) - total
-    bits = np.zeros(int(total.sum()) * 8, np.uint8)
     sub = (at + head_bytes) * 8
-    put(bits, sub, np.where(still, 0, np.where(linear, 32 | ORDER - 1, 8 | order)) << 1, 8)
-    put(bits, sub[still] + 8, x[starts[still]].astype(np.int64) & 255, 8)
+    after, lin = sub + 8 + 8 * order, linear & ~still
+    fields = [(sub + 7, np.where(still, 0, np.where(linear, 32 | ORDER - 1, 8 | order)) << 1), (sub[still] + 15, wide[starts[still]] & 255)]
     for j in range(ORDER):
         has = ~still & (order > j)
-        put(bits, sub[has] + 8 + 8 * j, wide[starts[has] + j] & 255, 8)
-    after = sub + 8 + 8 * order
-    put(bits, after[linear & ~still], np.full((linear & ~still).sum(), PRECISION - 1), 4)
-    put(bits, after[linear & ~still] + 4, shift[linear & ~still], 5)
-    for j in range(ORDER):
-        put(bits, after[linear & ~still] + 9 + PRECISION * j, coefs[linear & ~still, j] & (1 << PRECISION) - 1, PRECISION)
+        fields.append((sub[has] + 15 + 8 * j, wide[starts[has] + j] & 255))
+    fields += [(after[lin] + 3, np.full(lin.sum(), PRECISION - 1)), (after[lin] + 8, shift[lin])]
+    fields += [(after[lin] + 8 + PRECISION * (j + 1), coefs[lin, j] & (1 << PRECISION) - 1) for j in range(ORDER)]
     after = after + np.where(linear, 9 + PRECISION * ORDER, 0)
-    put(bits, after[~still] + 6, k[~still], 4)  # Rice codes with 4-bit parameters, one partition: zeros, then k
-    begin = np.cumsum(width, dtype=np.int32) - width
-    where = begin + (after + 10 - begin[starts]).astype(np.int32)[frame]
-    where, u, k_of = where[coded], u[coded], k_of[coded]
-    bits[where + (u >> k_of)] = 1
-    put(bits, where + (u >> k_of) + 1, u, k_of)
-    out = np.packbits(bits)
+    fields.append((after[~still] + 9, k[~still]))  # Rice codes with 4-bit parameters, one partition: zeros, then k
+    ends = np.cumsum(width, dtype=np.int32)
+    last = ends + np.repeat((after + 9 - ends[starts] + width[starts]).astype(np.int32), sizes)
+    stop = np.repeat(1 << k, sizes)  # the one that ends the unary part
+    code = u & stop - 1 | stop
+    code[bare] = 0
+    fields.append((last, code))
+    out = packed(int(total.sum()), *(np.concatenate(f).astype(np.int32) for f in zip(*fields, strict=True)))
     joined = np.frombuffer(b"".join(h + b"\0" for h in head), np.uint8)
     spots = np.repeat(at, head_bytes) + ramp(head_bytes)
     out[spots] = joined
@@ -180,7 +183,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream of each payload's bytes; no payload is empty."""
     spans = [(p, f, min(BLOCK, len(d) - f * BLOCK)) for p, d in enumerate(payloads) for f in range(-(-len(d) // BLOCK))]
     frames: list[list[bytes]] = [[] for _ in payloads]
-    for lo, hi in common.by_bytes(np.array([s[2] for s in spans]), GROUP):
+    for lo, hi in common.by_bytes(np.array([s[2] for s in spans]), PART):
         part = spans[lo:hi]
         x = np.frombuffer(b"".join(payloads[p][f * BLOCK : f * BLOCK + s] for p, f, s in part), np.uint8)
         coded = frames_of((x ^ 128).view(np.int8), np.array([s[2] for s in part]), np.array([s[1] for s in part]))
@@ -219,12 +222,15 @@ def opened(stream: bytes) -> tuple[int, bytes, list[tuple[int, int, int]], int]:
     return samples, md5, points, at
 
 
-def field(bits: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """The unsigned numbers of width bits at these places."""
-    out = np.zeros(len(at), np.int64)
-    for b in range(width):
-        out = out << 1 | bits[at + b]
-    return out
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The 24 bits from each byte on; zeros follow the last one."""
+    room = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
+    return room[:-2] << 16 | room[1:-1] << 8 | room[2:]
+
+
+def field(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The unsigned numbers of width bits, 17 at most, at these places."""
+    return (words[at >> 3] >> 24 - width - (at & 7) & (1 << width) - 1).astype(np.int64)
 
 
 def signed(x: np.ndarray, width: int) -> np.ndarray:
@@ -246,85 +252,122 @@ def samples_of(frames: list[bytes]) -> list[np.ndarray]:
         raise ValueError("a frame's header is damaged")
     if (checksums(data, start, end - 2, 16) != (data[end - 2].astype(np.uint32) << 8 | data[end - 1])).any():
         raise ValueError("a frame is damaged")
-    bits = np.unpackbits(data)
+    words = words_of(data)
     sub = (head + 1) * 8
-    kind = field(bits, sub, 8) >> 1
+    kind = field(words, sub, 8) >> 1
     still, linear = kind == 0, kind >= 32
     order = np.where(linear, (kind & 31) + 1, np.where(kind >= 8, kind & 7, 0))
     n, most = len(frames), int(order.max(initial=0))
-    out = np.zeros((n, int(sizes.max())), np.int32)
-    out[still] = signed(field(bits, sub[still] + 8, 8), 8)[:, None]
+    out: list[np.ndarray] = [np.empty(0, np.int8)] * n
+    for f in np.flatnonzero(still):
+        out[f] = np.full(sizes[f], data[head[f] + 2]).view(np.int8)
+    first = np.zeros((n, max(most, 1)), np.int64)
     for j in range(most):
         has = order > j
-        out[has, j] = signed(field(bits, sub[has] + 8 + 8 * j, 8), 8)
+        first[has, j] = signed(field(words, sub[has] + 8 + 8 * j, 8), 8)
     after = sub + 8 + 8 * order
     coefs, shift = np.zeros((n, max(most, 1)), np.int64), np.zeros(n, np.int64)
     lin = np.flatnonzero(linear)
     if len(lin):
-        precision = field(bits, after[lin], 4) + 1
-        shift[lin] = field(bits, after[lin] + 4, 5)
+        precision = field(words, after[lin], 4) + 1
+        shift[lin] = field(words, after[lin] + 4, 5)
         for p in np.unique(precision):
             own = lin[precision == p]
             for j in range(most):
                 has = own[order[own] > j]
-                coefs[has, j] = signed(field(bits, after[has] + 9 + p * j, int(p)), int(p))
+                coefs[has, j] = signed(field(words, after[has] + 9 + p * j, int(p)), int(p))
             after[own] += 9 + p * order[own]
     live = np.flatnonzero(~still)
     if len(live):
-        if field(bits, after[live], 6).any():
+        if field(words, after[live], 6).any():
             raise ValueError("only one partition with 4-bit Rice parameters is read")
-        k = field(bits, after[live] + 6, 4)
-        ones = np.flatnonzero(bits).astype(np.int32)
-        rank = np.cumsum(bits, dtype=np.int32)  # ones up to and with each bit
-        count = sizes[live] - order[live]
-        turn = np.argsort(-count, kind="stable")
-        count, k, own = count[turn], k[turn], live[turn]
-        at = (after[live] + 10)[turn].astype(np.int32)
-        active = np.searchsorted(-count, -np.arange(count[0]), side="left")
-        stop = np.zeros((int(count[0]), len(own)), np.int32)
-        begin = np.zeros_like(stop)
-        k = k.astype(np.int32)
-        step = k + 1
-        for t, m in enumerate(active.tolist()):  # all frames step to their next code together
-            a = at[:m]
-            s = ones[rank[a - 1]]
-            begin[t, :m], stop[t, :m] = a, s
-            at[:m] = s + step[:m]
-        # the k bits behind each stop bit, out of three bytes
-        byte, u = (stop + 1) >> 3, stop - begin
-        room = np.concatenate([data, np.zeros(3, np.uint8)])
-        low = room[byte].astype(np.int32)
-        for _ in range(2):
-            byte += 1
-            low = low << 8 | room[byte]
-        low >>= 24 - ((stop + 1) & 7) - k
-        u = u << k | low & (1 << k) - 1
-        r = (u >> 1) ^ -(u & 1)
-        for c in range(len(own)):
-            f, o, m = own[c], order[own[c]], count[c]
-            out[f, o : o + m] = r[:m, c]
-        for o in (1, 2, 3, 4):
-            has = np.flatnonzero(~linear & (order == o))
-            if len(has):
-                out[has] = fixed(out[has], o)
-        for o in np.unique(order[lin]) if len(lin) else ():
-            has = lin[order[lin] == o]
-            cols, c, s = np.ascontiguousarray(out[has].T), coefs[has, :o].T[::-1].astype(np.int32).copy(), shift[has].astype(np.int32)
-            for t in range(int(o), cols.shape[0]):
-                cols[t] += np.einsum("ij,ij->j", c, cols[t - o : t]) >> s
-            out[has] = cols.T
-    return [out[i, : sizes[i]].astype(np.int8) for i in range(n)]
-
-
-def fixed(x: np.ndarray, order: int) -> np.ndarray:
-    """Undo the differences of a fixed predictor; the first `order` columns are samples."""
-    lead = [x[:, :order]]
+        turn = np.argsort(order[live] - sizes[live], kind="stable")
+        own = live[turn]
+        count = (sizes - order)[own]
+        r = residuals_of(data, words, (after + 10)[own].astype(np.int32), field(words, (after + 6)[own], 4).astype(np.int32), count, (end[own] - 2) * 8)
+        for key in np.unique(kind[own]):
+            at = np.flatnonzero(kind[own] == key)
+            has, o = own[at], int(order[own[at[0]]])
+            x = np.concatenate([first[has, :o].T.astype(np.int32), r[: count[at[0]]].take(at, axis=1)])
+            if linear[has[0]]:
+                c, s = coefs[has, :o].T[::-1].astype(np.int32).copy(), shift[has].astype(np.int32)
+                for lo, hi, m in steps(count[at]):
+                    c, s, y = c[:, :m], s[:m], x[:, :m]
+                    for t in range(lo + o, hi + o):
+                        y[t] += np.einsum("ij,ij->j", c, y[t - o : t]) >> s
+            elif o:
+                fixed(x, o)
+            for f, row in zip(has, np.ascontiguousarray(x.astype(np.int8).T), strict=True):
+                out[f] = row[: sizes[f]]
+    return out
+
+
+def steps(count: np.ndarray):
+    """(lo, hi, m) by which the numbers of falling counts are walked: from lo to hi, the first m have more."""
+    lo = 0
+    for hi in np.unique(count).tolist():
+        yield lo, hi, int(np.searchsorted(-count, -hi, side="right"))
+        lo = hi
+
+
+_lanes: list[np.ndarray] = []
+
+
+def zeros_from(data: np.ndarray) -> np.ndarray:
+    """For each bit, how many zeros stand from there to the next one. Read off a table of 16 bits, which has eight places in a number; longer runs by the next byte that is not 0."""
+    if not _lanes:
+        v = np.arange(1 << 16)
+        ahead = [np.where(x, 16 - np.frexp(x)[1], 255) for x in (v << b & 0xFFFF for b in range(8))]
+        _lanes.append(np.stack(ahead, axis=1).astype(np.uint8).view(np.uint64).ravel())
+    pairs = data.astype(np.int64) << 8
+    pairs[:-1] |= data[1:]
+    out = _lanes[0].take(pairs).view(np.uint8)
+    far = np.flatnonzero(out == 255)
+    if len(far):
+        full = np.append(np.flatnonzero(data != 0), len(data))
+        at = full[np.searchsorted(full, np.minimum((far >> 3) + 2, len(data)))]
+        zeros = at * 8 + 8 - np.frexp(np.append(data, 255)[at].astype(np.float32))[1] - far
+        out = out.astype(np.min_scalar_type(zeros.max()))
+        out[far] = zeros
+    return out
+
+
+def residuals_of(data: np.ndarray, words: np.ndarray, at: np.ndarray, k: np.ndarray, count: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """[code, frame]: Rice codes of each frame from its place on, falling in count; they end before the frame's sum. All frames step to their next code together."""
+    out, zeros, now = np.zeros((int(count.max(initial=0)), len(at)), np.int32), zeros_from(data), at.astype(np.int64)
+    step = k + 1
+    for lo, hi, m in steps(count):
+        a, over = now[:m], step[:m]
+        for stop in out[lo:hi, :m]:
+            np.add(a, zeros.take(a, mode="clip"), out=stop, casting="same_kind")
+            np.add(stop, over, out=a)
+    if (now > end).any():
+        raise ValueError("a frame's codes go beyond it")
+    before, ones = at - step, (1 << k) - 1
+    for lo in range(0, len(out), ROWS):
+        stop = out[lo : lo + ROWS]
+        u = np.diff(stop, axis=0, prepend=before[None]) - step
+        before = stop[-1].copy()
+        stop += 1
+        low = words.take(stop >> 3, mode="clip")
+        low >>= 24 - (stop & 7) - k
+        low &= ones
+        u <<= k
+        u |= low
+        np.bitwise_xor(u >> 1, -(u & 1), out=stop)
+    return out
+
+
+def fixed(x: np.ndarray, order: int) -> None:
+    """Undo the differences of a fixed predictor in [sample, frame]; the first `order` rows are samples."""
+    lead = [x[:order].copy()]
     for _ in range(order - 1):
-        lead.append(np.diff(lead[-1], axis=1))
-    r = x[:, order:]
+        lead.append(np.diff(lead[-1], axis=0))
     for j in range(order):  # the highest difference first: each sum begins with the last known value of its level
-        r = lead[order - 1 - j][:, -1:] + np.cumsum(r, axis=1)
-    return np.concatenate([x[:, :order], r], axis=1)
+        r = x[order - 1 :]
+        r[0] = lead[order - 1 - j][-1]
+        np.cumsum(r, axis=0, out=r)
+    x[:order] = lead[0]
 
 
 def pcm_blocks(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
@@ -380,8 +423,9 @@ def payload(text: str | None) -> bytes:
 
 def feature(x: np.ndarray, n: int) -> str:
     """Mean, mean absolute step and share of sign changes of the samples, and zeros of padding."""
-    y = (x ^ 128).view(np.int8).astype(np.int64)
-    step, flips = np.abs(np.diff(y)).sum(), ((y[1:] < 0) != (y[:-1] < 0)).sum()
+    y = (x ^ 128).view(np.int8).astype(np.int16)
+    below = y < 0
+    step, flips = np.abs(np.diff(y)).sum(), np.count_nonzero(below[1:] != below[:-1])
     return f"mean={y.mean():.4f};step={step / max(1, len(y) - 1):.4f};flips={flips / max(1, len(y) - 1):.4f};pad={len(y) - n}"
 
 
@@ -391,7 +435,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         for batch in batches:
             data = [payload(t) for t in batch.column(1).to_pylist()]
             sizes = [len((t or "").encode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
-            for lo, hi in common.by_bytes(np.array([len(d) for d in data]), 16 * GROUP):
+            for lo, hi in common.by_bytes(np.array([len(d) for d in data]), 8 * GROUP):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes[lo:hi], pa.int64()), pa.array(encode(data[lo:hi]), pa.binary())], names=[id_col, "n_bytes", "media"])
 
     rows = docs.select(id_col, text)
@@ -419,7 +463,7 @@ def features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches):
         for batch in batches:
             sizes, media = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for lo, hi in common.by_bytes(np.array(sizes, np.int64), 4 * GROUP):
+            for lo, hi in common.by_bytes(np.array(sizes, np.int64), 2 * GROUP):
                 rows = []
                 for n, m, pcm in zip(sizes[lo:hi], media[lo:hi], pcm_blocks(media[lo:hi]), strict=True):
                     x = b"".join(b for _, b in pcm)

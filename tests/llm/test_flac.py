@@ -1,6 +1,7 @@
 """Operator 5: round trips, checks, seeking, the digest columns."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -184,3 +185,48 @@ def test_against_a_plain_decoder():
     data = [x[:9000] for x in signals().values()] + [b"\x00" * 64, "Ünï text of words, one after another. ".encode() * 130]
     for payload, media in zip(data, flac.encode(data), strict=True):
         assert plain_decode(media) == payload
+
+
+def peak(run) -> int:
+    """Bytes that are held at once, at most."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_arrays_stay_small():
+    """What is held for a sample while streams are written and read: no array of all bits in wide numbers, and no writing of millions of samples at once."""
+    rng = np.random.default_rng(2)
+    payloads = [b" ".join(rng.choice([b"stone", b"river", b"green", b"Apple,", b"lighthouse"], 700))[:4096] for _ in range(488)]
+    n = sum(map(len, payloads))
+    flac.decode(flac.encode(payloads[:1]))
+    media = flac.encode(payloads)
+    assert peak(lambda: flac.encode(payloads)) < 30 * n
+    assert peak(lambda: flac.decode(media)) < 50 * n
+
+
+def test_long_runs_of_zeros():
+    """Rare steps in still signals: unary codes of more than 16, 255 and 4,096 zeros, beside frames without any."""
+    rare = [bytes([v if i == at else 0 for i in range(n)]) for v, n, at in ((255, 4096, 4000), (255, 9000, 8999), (90, 70, 3), (128, 4096, 4))]
+    mixed = [*rare, *signals().values(), bytes(64), b"a" * 4095 + b"\xff"]
+    assert flac.decode(flac.encode(mixed)) == mixed
+    data = np.zeros(9000, np.uint8)
+    data[[0, 9, 600, 601, 8998]] = 1, 128, 3, 255, 16
+    bits, want, run = np.unpackbits(data), np.zeros(72_000, int), 8
+    for i in range(71_999, -1, -1):  # no one follows the last: 0xFF is taken to stand behind the data
+        run = want[i] = 0 if bits[i] else (run + 1 if i < 71_999 else 1)
+    assert (flac.zeros_from(data) == want).all()
+
+
+def test_codes_beyond_a_frame():
+    """A frame whose sums are right but which has fewer codes than its header says."""
+    frame = bytearray(flac.frames_of((np.arange(600) * 7 % 90).astype(np.int8), np.array([600]), np.array([0]))[0])
+    frame[5:7] = (4095).to_bytes(2, "big")
+    one = lambda data, bits: int(flac.checksums(np.frombuffer(bytes(data), np.uint8), np.array([0]), np.array([len(data)]), bits)[0])
+    frame[7] = one(frame[:7], 8)
+    frame[-2:] = one(frame[:-2], 16).to_bytes(2, "big")
+    with pytest.raises(ValueError):
+        flac.samples_of([bytes(frame)])
